@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.rules import linear_spread
@@ -50,7 +50,7 @@ def with_spread(bars: DataFrame, model=linear_spread) -> DataFrame:
     return bars.withColumns({"bid": F.col("close") - half, "ask": F.col("close") + half})
 
 
-def in_order() -> Window:
+def in_order() -> WindowSpec:
     return Window.partitionBy(*SESSION).orderBy("ts")
 
 
