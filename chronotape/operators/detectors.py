@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ DEFAULTS = DetectorSettings()
 
 
 def _whole() -> WindowSpec:
-    return Window.partitionBy(*SESSION)
+    # Ordered although the frame is the whole session: all windows then share one sort.
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def _prior(n: int) -> WindowSpec:
@@ -52,12 +54,13 @@ def _bars_later(ts: Column, bars: int, clock: BarClock) -> Column:
     return ts + F.make_dt_interval(secs=F.lit(bars * clock.unit_seconds))
 
 
-def _fact(when: Column, kind: str, **detail: Column) -> Column:
+def _fact(when: Column, kind: str, **detail: Column) -> tuple[Column, Column]:
     pairs = [x for k, v in detail.items() for x in (F.lit(k), v.cast("double"))]
-    return F.when(when, F.struct(F.lit(kind).alias("kind"), F.create_map(*pairs).alias("detail")))
+    return when, F.when(when, F.struct(F.lit(kind).alias("kind"), F.create_map(*pairs).alias("detail")))
 
 
-Detector = Callable[[DataFrame, DetectorSettings, BarClock], tuple[DataFrame, list[Column]]]
+Facts = list[tuple[Column, Column]]
+Detector = Callable[[DataFrame, DetectorSettings, BarClock], tuple[DataFrame, Facts]]
 
 
 def _rth(value: Column) -> Column:
@@ -159,9 +162,9 @@ def facts(bars: DataFrame, detectors: Sequence[Detector] = ALL_DETECTORS,
     for detector in detectors:
         frame, new = detector(frame, settings, clock)
         found += new
-    hits = F.array_compact(F.array(*found))
-    return frame.select(*SESSION, "ts", hits.alias("_hits")).where(F.size("_hits") > 0).select(
-        *SESSION, "ts", F.inline("_hits"))
+    any_hit = reduce(lambda a, b: a | b, [F.coalesce(when, F.lit(False)) for when, _ in found])
+    return frame.where(any_hit).select(*SESSION, "ts", F.inline(F.array(*[fact for _, fact in found]))).where(
+        F.col("kind").isNotNull())
 
 
 def halt_facts(halts: DataFrame, session: Column) -> DataFrame:
@@ -193,7 +196,8 @@ def clusters(events: DataFrame, settings: DetectorSettings = DEFAULTS, clock: Ba
 
     def merge(acc: Column, e: Column) -> Column:
         free = acc["until"].isNull() | (e["_us"] > acc["until"])
-        taken = F.struct((e["_us"] + width).alias("until"), F.concat(acc["out"], F.array(F.struct(e["_us"].alias("us"), e["n"].alias("n")))).alias("out")).cast(state)
+        found = F.struct(e["_us"].alias("us"), e["n"].alias("n"))
+        taken = F.struct((e["_us"] + width).alias("until"), F.concat(acc["out"], F.array(found)).alias("out")).cast(state)
         return F.when(free, taken).otherwise(acc)
 
     picked = starts.groupBy(*SESSION).agg(

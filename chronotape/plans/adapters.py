@@ -26,13 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per supplier and ship date; January plays the pre-market part of a session."""
     li = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), instant(F.col("l_shipdate")).alias("ts"),
+        "l_suppkey", instant(F.col("l_shipdate")).alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity",
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("rank"))
-    daily = li.groupBy("symbol", "ts").agg(
+    daily = li.groupBy("l_suppkey", "ts").agg(
         F.min_by("price", "rank").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "rank").alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
     marked = daily.withColumns({
+        "symbol": F.concat(F.lit("S"), F.col("l_suppkey")),
         "session": F.date_format("ts", "yyyy"),
         "seq": F.dayofyear("ts").cast("bigint"),
         "rth": F.month("ts") >= 2,
