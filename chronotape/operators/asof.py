@@ -50,10 +50,14 @@ def asof_fold(
     tie: Sequence[str] = (),
     strict: bool = False,
     slot_seconds: int = DAY,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per fold to `left`. A `Latest` fold gives a struct (NULL when nothing matches).
 
     `tie` orders right rows of equal time (last wins). `strict` uses `<` instead of `<=`.
+    The slots that need a carry row are read from `asked` (by default `left`): when `left` is
+    itself the result of a chain of joins, pass the frame the chain started from, so that the
+    chain is computed once.
     """
     by = list(by)
     keys = [F.col(c) for c in by]
@@ -87,7 +91,7 @@ def asof_fold(
     summary = known.groupBy(*by, "_slot").agg(
         F.max("_rank").alias("_rank"), *[combine(n) for n in names]
     ).withColumn("_asked", F.lit(0))
-    asked = left.where(F.col(left_ts).isNotNull()).select(
+    asked = (left if asked is None else asked).where(F.col(left_ts).isNotNull()).select(
         *keys, slot_of(F.col(left_ts), slot_seconds).alias("_slot")).distinct().withColumn("_asked", F.lit(1))
     slots = summary.unionByName(asked, allowMissingColumns=True).groupBy(*by, "_slot").agg(
         F.max("_asked").alias("_asked"), F.max("_rank").alias("_rank"), *[combine(n) for n in names])
@@ -148,11 +152,12 @@ def asof_join(
     tie: Sequence[str] = (),
     strict: bool = False,
     slot_seconds: int = DAY,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Latest right row per left row; `columns` lists (or renames) the right columns to add."""
     renames = dict(columns) if isinstance(columns, dict) else {c: c for c in columns}
     out = asof_fold(left, right, by, left_ts, right_ts, {"_hit": Latest(tuple(renames))},
-                    tie=tie, strict=strict, slot_seconds=slot_seconds)
+                    tie=tie, strict=strict, slot_seconds=slot_seconds, asked=asked)
     return out.select(*left.columns, *[F.col("_hit")[c].alias(n) for c, n in renames.items()])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.rules import typical_price
+from ..session import cut_lineage
 from .bars import MINUTE, SESSION, BarClock, in_order
 
 DETAIL = "map<string,double>"
@@ -210,9 +211,14 @@ def clusters(events: DataFrame, settings: DetectorSettings = DEFAULTS, clock: Ba
 
 def all_facts(bars: DataFrame, halts: DataFrame | None = None,
               settings: DetectorSettings = DEFAULTS, clock: BarClock = MINUTE) -> DataFrame:
-    """Detector facts, halt facts (symbol, session, halt_start_ts, halt_end_ts) and clusters over both."""
+    """Detector facts, halt facts (symbol, session, halt_start_ts, halt_end_ts) and clusters over both.
+
+    The facts feed the clusters and the result, so they are written once; they are few next
+    to the bars they come from.
+    """
     found = facts(bars, settings=settings, clock=clock)
     if halts is not None:
         sessions = bars.select(*SESSION).distinct()
         found = found.unionByName(halt_facts(halts, F.col("session")).join(sessions, SESSION, "left_semi"))
+    found = cut_lineage(found)
     return found.unionByName(clusters(found, settings, clock))

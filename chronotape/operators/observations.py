@@ -49,11 +49,15 @@ def with_data_as_of(candidates: DataFrame, bars: DataFrame, by: Sequence[str] =
 
 
 def resolve_references(candidates: DataFrame, refs: References, *, zone: str = EXCHANGE_ZONE,
-                       slot_seconds: int = DAY) -> DataFrame:
-    """Resolve all references as of the signal and set `reason_code` (NULL when complete)."""
-    out = resolve_symbol(candidates, refs.symbols, zone=zone, slot_seconds=slot_seconds)
-    out = resolve_regime(out, refs.regimes, spec=refs.regime_spec, cadence=refs.cadence, slot_seconds=slot_seconds)
-    out = resolve_universe(out, refs.universes, slot_seconds=slot_seconds)
+                       slot_seconds: int = DAY, asked: DataFrame | None = None) -> DataFrame:
+    """Resolve all references as of the signal and set `reason_code` (NULL when complete).
+
+    `asked` is the frame `candidates` was derived from, if that is cheaper to read again.
+    """
+    kw = {"slot_seconds": slot_seconds, "asked": candidates if asked is None else asked}
+    out = resolve_symbol(candidates, refs.symbols, zone=zone, **kw)
+    out = resolve_regime(out, refs.regimes, spec=refs.regime_spec, cadence=refs.cadence, **kw)
+    out = resolve_universe(out, refs.universes, **kw)
     out = resolve_scanner(resolve_setup(out, refs.setups), refs.scanners)
     reason = F.when(F.col("direction") != "LONG", LONG_ONLY)
     for column, code in MISSING_REFERENCE:
@@ -68,14 +72,15 @@ def no_features(observations: DataFrame) -> Column:
 
 def build_observations(
     candidates: DataFrame, refs: References, burned: DataFrame, *, zone: str = EXCHANGE_ZONE,
-    features: Callable[[DataFrame], Column] = no_features, slot_seconds: int = DAY, **boundaries: str | None,
+    features: Callable[[DataFrame], Column] = no_features, slot_seconds: int = DAY, asked: DataFrame | None = None,
+    **boundaries: str | None,
 ) -> DataFrame:
     """All candidates with their observation fields, `candidate_key` and final `reason_code`.
 
     Signature and key exist only for complete rows. A complete but burned row keeps its key
     and gets the exclusion code. `candidates` needs `data_as_of_ts`.
     """
-    rows = resolve_references(candidates, refs, zone=zone, slot_seconds=slot_seconds)
+    rows = resolve_references(candidates, refs, zone=zone, slot_seconds=slot_seconds, asked=asked)
     rows = assign_roles(rows, burned, local_date(F.col("signal_ts"), zone), **boundaries)
     signed = F.col("reason_code").isNull()
     rows = rows.withColumn("registry_signature_hash", F.when(signed, registry_signature()))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import numbered_id, row_hash
 from ..functions.rules import MATERIAL_CHANGE, float_bucket, relative_change
 from ..functions.times import local_date, seconds_between, slot_of
+from ..session import cut_lineage
 from .asof import DAY, Highest, Latest, Total, asof_fold, asof_join
 from .slots import with_previous, with_running_count
 
@@ -55,7 +56,9 @@ def version_refreshes(
     moving = seen.withColumn("_certain", certain).where(
         F.col("_certain").isNotNull() | changed([shares, free_float]))
     keep = [c for c in rows.columns] + ["_certain"]
-    cut = with_running_count(moving.select(*keep), ["symbol"], slot, order, F.col("_certain").isNotNull(), "_segment")
+    # Each ordered step reads its input twice, so every step starts from written rows.
+    moving = cut_lineage(moving.select(*keep))
+    cut = with_running_count(moving, ["symbol"], slot, order, F.col("_certain").isNotNull(), "_segment")
 
     item = F.struct(*order, F.col(shares).alias("_shares"), F.col(free_float).alias("_float"),
                     F.struct(*keep).alias("_row"))
@@ -80,7 +83,7 @@ def version_refreshes(
         F.col("_items").alias("item"), F.aggregate("_items", zero, merge)["reasons"].alias("version_reason"))))
     versions = judged.where(F.col("version_reason").isNotNull()).select(
         *[F.col("item")["_row"][c].alias(c) for c in rows.columns], "version_reason")
-    counted = with_running_count(versions, ["symbol"], slot, order, F.lit(True), "version_no")
+    counted = with_running_count(cut_lineage(versions), ["symbol"], slot, order, F.lit(True), "version_no")
     return counted.withColumn("symbol_registry_id", numbered_id(F.col("symbol"), F.col("version_no"))).withColumn(
         "row_hash", row_hash(F.col("symbol"), *[F.col(c) for c in compared], F.col("valid_from")))
 
@@ -94,13 +97,13 @@ def _by_order(a: Column, b: Column, order: Sequence[str]) -> Column:
 
 # -- resolving ------------------------------------------------------------------------------
 def resolve_symbol(signals: DataFrame, versions: DataFrame, ts: str = "signal_ts", *, zone: str = "America/New_York",
-                   slot_seconds: int = DAY) -> DataFrame:
+                   **kw) -> DataFrame:
     """Add `symbol_registry_id`: the latest version, provided the symbol is active on the local date.
 
     A latest version outside its active window rejects; older versions are not tried.
     """
     hit = asof_fold(signals, versions, ["symbol"], ts, "valid_from",
-                    {"_v": Latest(("symbol_registry_id", "active_from", "active_to"))}, slot_seconds=slot_seconds)
+                    {"_v": Latest(("symbol_registry_id", "active_from", "active_to"))}, **kw)
     day = local_date(F.col(ts), zone)
     v = F.col("_v")
     active = (v["active_from"] <= day) & (v["active_to"].isNull() | (day < v["active_to"]))
@@ -108,11 +111,11 @@ def resolve_symbol(signals: DataFrame, versions: DataFrame, ts: str = "signal_ts
 
 
 def resolve_regime(signals: DataFrame, regimes: DataFrame, ts: str = "signal_ts", *, spec: str = "v1",
-                   cadence: str = "1H", slot_seconds: int = DAY) -> DataFrame:
+                   cadence: str = "1H", **kw) -> DataFrame:
     """Add the market-wide `regime_snapshot_id`; work is spread over time slots, not keys."""
     own = regimes.where((F.col("regime_spec_version") == spec) & (F.col("cadence") == cadence))
     return asof_join(signals, own, [], ts, "regime_ts", ["regime_snapshot_id"], tie=["regime_snapshot_id"],
-                     slot_seconds=slot_seconds)
+                     **kw)
 
 
 def latest_active(versions: DataFrame, name: str, version: str, version_id: str) -> DataFrame:
@@ -133,9 +136,9 @@ def resolve_scanner(signals: DataFrame, scanners: DataFrame) -> DataFrame:
 
 
 def resolve_universe(signals: DataFrame, universes: DataFrame, ts: str = "signal_ts", *,
-                     tie: Sequence[str] = ("universe_version_id",), slot_seconds: int = DAY) -> DataFrame:
+                     tie: Sequence[str] = ("universe_version_id",), **kw) -> DataFrame:
     return asof_join(signals, universes, ["universe_id"], ts, "valid_from", ["universe_version_id"], tie=tie,
-                     slot_seconds=slot_seconds)
+                     **kw)
 
 
 # -- membership -------------------------------------------------------------------------------

@@ -58,6 +58,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """count, min, exact median, max and mean (3 decimals) of a column per group.
 
+    Reads `df` several times: pass a stored frame when it is costly to compute.
     Without groups an empty input still gives one row, with count 0 and NULL elsewhere.
     """
     v = F.col(value).cast("double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import bucket_from_anchor, phase_of
 from ..functions.times import seconds_between, slot_of
 from ..schemas import FORBIDDEN_KEYS, guard_keys
+from ..session import cut_lineage
 from .stats import describe
 
 ARCHETYPE_SCHEMES = ("phase_kind_seq", "kind_seq", "kind_set", "post_kind_set")
@@ -73,7 +74,7 @@ def phase_distribution(events: DataFrame) -> DataFrame:
 
 def events_per_timeline(events: DataFrame) -> DataFrame:
     sizes = events.groupBy("timeline_id").agg(F.count("*").alias("n_events"))
-    return describe(sizes, [], "n_events")
+    return describe(cut_lineage(sizes), [], "n_events")
 
 
 def gap_seconds(events: DataFrame) -> DataFrame:
@@ -82,14 +83,14 @@ def gap_seconds(events: DataFrame) -> DataFrame:
 
 
 def inter_event_gap(events: DataFrame) -> DataFrame:
-    return describe(gap_seconds(events), [], "gap")
+    return describe(cut_lineage(gap_seconds(events)), [], "gap")
 
 
 def time_to_first_kind(events: DataFrame, kind: str) -> DataFrame:
     """Minutes from the anchor to the first POST event of a kind, over timelines that have one."""
     first = events.where((F.col("kind") == kind) & (F.col("phase") == "POST")).groupBy("timeline_id").agg(
         F.min(seconds_between(F.col("ts"), F.col("anchor_ts")) / 60.0).alias("minutes"))
-    return describe(first, [], "minutes")
+    return describe(cut_lineage(first), [], "minutes")
 
 
 def kind_pairs(events: DataFrame) -> DataFrame:
@@ -179,6 +180,8 @@ def nested(events: DataFrame) -> DataFrame:
 
 def summary(events: DataFrame) -> DataFrame:
     """Long form (section, metric, value) of the counts and descriptions above."""
+    events = cut_lineage(events)
+
     def long(df: DataFrame, section: str) -> DataFrame:
         cols = df.columns
         pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])

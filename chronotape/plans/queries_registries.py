@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import observations as O
 from ..operators import registries as R
 from ..operators import roles as P
-from ..operators.asof import asof_small
+from ..functions.times import iso_utc
+from ..operators.asof import asof_small, with_validity
 from . import adapters as D
 from .registry import iso, query, r6, sql_iso, sql_r6
 
@@ -211,8 +212,9 @@ def signal_burn(spark, d):
 
 def built(spark, d):
     bars = D.events(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("session"), "ts", "event_type")
-    candidates = O.with_data_as_of(D.signals(spark, d), bars.where(F.col("event_type") == "view"))
-    return O.build_observations(candidates, references(spark, d), signal_burn(spark, d), zone=ZONE,
+    signals = D.signals(spark, d)
+    candidates = O.with_data_as_of(signals, bars.where(F.col("event_type") == "view"))
+    return O.build_observations(candidates, references(spark, d), signal_burn(spark, d), zone=ZONE, asked=signals,
                                 train_end="2024-01-15", val_end="2024-01-22")
 
 
@@ -285,19 +287,20 @@ def observation_checks(spark, d):
 
 # -- versioning -----------------------------------------------------------------------------------
 SQL_SCD2 = """
-refresh AS (SELECT 'C' || o_custkey AS symbol, o_orderdate, o_orderkey, o_orderpriority AS exchange, o_orderstatus AS sector,
-                   floor(o_totalprice / 20000) * 20000 AS shares, o_totalprice * 400 AS ff,
-                   CASE WHEN o_totalprice * 400 < 20e6 THEN 'MICRO' WHEN o_totalprice * 400 < 75e6 THEN 'SMALL'
-                        WHEN o_totalprice * 400 < 300e6 THEN 'MID' ELSE 'LARGE' END AS bucket,
+refresh AS (SELECT 'C' || o_custkey AS symbol, o_orderdate, o_orderkey, o_orderstatus AS sector,
+                   floor(o_totalprice / 100000) * 1000 AS shares, 60e6 + floor(o_totalprice / 50000) * 400000 AS ff,
+                   CASE WHEN 60e6 + floor(o_totalprice / 50000) * 400000 < 20e6 THEN 'MICRO'
+                        WHEN 60e6 + floor(o_totalprice / 50000) * 400000 < 75e6 THEN 'SMALL'
+                        WHEN 60e6 + floor(o_totalprice / 50000) * 400000 < 300e6 THEN 'MID' ELSE 'LARGE' END AS bucket,
                    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
 fold AS (
-  SELECT symbol, n, o_orderkey, 'INITIAL' AS reason, exchange, sector, bucket, shares, ff FROM refresh WHERE n = 1
+  SELECT symbol, n, o_orderkey, 'INITIAL' AS reason, sector, bucket, shares, ff FROM refresh WHERE n = 1
   UNION ALL
-  SELECT symbol, n, o_orderkey, reason, CASE WHEN reason <> '' THEN x ELSE px END, CASE WHEN reason <> '' THEN s ELSE ps END,
+  SELECT symbol, n, o_orderkey, reason, CASE WHEN reason <> '' THEN s ELSE ps END,
          CASE WHEN reason <> '' THEN b ELSE pb END, CASE WHEN reason <> '' THEN sh ELSE psh END, CASE WHEN reason <> '' THEN f ELSE pf END
-  FROM (SELECT r.symbol, r.n, r.o_orderkey, r.exchange AS x, r.sector AS s, r.bucket AS b, r.shares AS sh, r.ff AS f,
-               p.exchange AS px, p.sector AS ps, p.bucket AS pb, p.shares AS psh, p.ff AS pf,
-               CASE WHEN r.exchange <> p.exchange OR r.sector <> p.sector THEN 'CATEGORICAL' WHEN r.bucket <> p.bucket THEN 'BUCKET_CROSS'
+  FROM (SELECT r.symbol, r.n, r.o_orderkey, r.sector AS s, r.bucket AS b, r.shares AS sh, r.ff AS f,
+               p.sector AS ps, p.bucket AS pb, p.shares AS psh, p.ff AS pf,
+               CASE WHEN r.sector <> p.sector THEN 'CATEGORICAL' WHEN r.bucket <> p.bucket THEN 'BUCKET_CROSS'
                     WHEN (CASE WHEN p.shares = 0 THEN CASE WHEN r.shares = 0 THEN 0 ELSE 1 END ELSE abs(r.shares - p.shares) / abs(p.shares) END) >= 0.01 THEN 'SHARES_THRESHOLD'
                     WHEN abs(r.ff - p.ff) / abs(p.ff) >= 0.01 THEN 'FLOAT_THRESHOLD' ELSE '' END AS reason
         FROM fold p JOIN refresh r ON r.symbol = p.symbol AND r.n = p.n + 1))"""
@@ -309,10 +312,10 @@ SELECT symbol || '#' || lpad(CAST(row_number() OVER (PARTITION BY symbol ORDER B
 def scd2_versions(spark, d):
     o = D.table(spark, d, "orders").select(
         F.concat(F.lit("C"), F.col("o_custkey")).alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("valid_from"),
-        "o_orderkey", F.col("o_orderpriority").alias("exchange"), F.col("o_orderstatus").alias("sector"),
-        (F.floor(F.col("o_totalprice") / 20000) * 20000).cast("double").alias("shares_outstanding"),
-        (F.col("o_totalprice") * 400).alias("free_float"))
-    out = R.version_refreshes(o, categorical=("exchange", "sector"), tie=["o_orderkey"])
+        "o_orderkey", F.col("o_orderstatus").alias("sector"),
+        (F.floor(F.col("o_totalprice") / 100000) * 1000).cast("double").alias("shares_outstanding"),
+        (60e6 + F.floor(F.col("o_totalprice") / 50000) * 400000).alias("free_float"))
+    out = R.version_refreshes(o, categorical=("sector",), tie=["o_orderkey"])
     return out.select("symbol_registry_id", "o_orderkey", "version_reason")
 
 
@@ -321,7 +324,5 @@ SELECT symbol_registry_id, {sql_iso('valid_from', 'valid_from')},
        CASE WHEN lead(valid_from) OVER w IS NULL THEN '' ELSE {sql_iso('lead(valid_from) OVER w')} END AS valid_to
 FROM symver WINDOW w AS (PARTITION BY symbol ORDER BY valid_from)""")
 def version_validity(spark, d):
-    from ..operators.asof import with_validity
-    from ..functions.times import iso_utc
     v = with_validity(D.symbol_versions(spark, d), ["symbol"], "valid_from")
     return v.select("symbol_registry_id", iso("valid_from"), F.coalesce(iso_utc(F.col("valid_to")), F.lit("")).alias("valid_to"))

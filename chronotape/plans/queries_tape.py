@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as X
 from ..operators import timelines as T
+from ..session import cut_lineage
 from . import adapters as D
 from .reconstruction import reconstruct_sessions
 from .registry import iso, query, r6, sql_iso, sql_r6
@@ -241,7 +242,7 @@ near AS (SELECT a.timeline_id, a.idx AS src, b.idx AS dst,
 SELECT timeline_id, src, dst, relation, delta_seconds FROM follows WHERE dst IS NOT NULL
 UNION ALL SELECT * FROM near""")
 def graph_edges(spark, d):
-    e = T.graph_edges(_timeline_events(spark, d), within_seconds=6 * 3600)
+    e = T.graph_edges(cut_lineage(_timeline_events(spark, d)), within_seconds=6 * 3600)
     return e.select("timeline_id", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"),
                     "relation", "delta_seconds")
 
