@@ -32,15 +32,6 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def mark_new(incoming: DataFrame, store: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add `is_new`: first occurrence of its key in `order`, and the key is not stored yet."""
-    first = first_rows(incoming, key, order, 1).select(*key, F.struct(*order).alias("_first"))
-    known = store.select(*key).distinct().withColumn("_known", F.lit(True))
-    return (incoming.join(first, list(key), "left").join(known, list(key), "left")
-            .withColumn("is_new", F.col("_known").isNull() & F.col("_first").eqNullSafe(F.struct(*order)))
-            .drop("_first", "_known"))
-
-
 def new_rows(incoming: DataFrame, store: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows to append under keep-first semantics: one per key, unknown to the store."""
     return first_rows(incoming, key, order, 1).join(store.select(*key), list(key), "left_anti")
