@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import digest
 from ..functions.rules import bar_fault, quote_fault
 from ..functions.times import iso_utc, seconds_between
+from ..session import cut_lineage
 from .bars import SESSION
 from .slots import CHUNK_ROWS, first_rows, ordinal_chunk, with_previous
 
@@ -217,25 +218,93 @@ class Streams:
         "bars": ("ts", "open", "high", "low", "close", "volume"), "quotes": ("ts", "bid", "ask"),
         "trades": ("ts", "price", "size"), "news": ("article_id", "news_available_ts", "publish_ts", "vendor", "source")})
 
+    # Fixed columns the checks read, whatever part of a stream is hashed.
+    _CHECKED = {"bars": ("ts", "open", "high", "low", "close", "volume"), "quotes": ("ts", "bid", "ask"), "trades": ("ts",)}
+
+    def columns_for(self, stream: str) -> Sequence[str]:
+        return self._CHECKED[stream]
+
     def present(self) -> dict[str, tuple[DataFrame, Sequence[str]]]:
         return {n: (df, self.columns[n]) for n in ("bars", "quotes", "trades", "news")
                 if (df := getattr(self, n)) is not None}
 
 
+@dataclass(frozen=True)
+class Limits:
+    min_rows: int = MIN_BARS
+    warn_seconds: int = GAP_WARN_SECONDS
+    fail_seconds: int = GAP_FAIL_SECONDS
+
+
+def _stream_findings(rows: DataFrame, names: dict[str, str], fault: Column | None, warn_seconds: int | None) -> DataFrame:
+    """All row-level findings of one stream from a single ordered pass.
+
+    (symbol, session, check, seq, note, size): `names` maps chronology / coverage / sanity to
+    the check names wanted.
+    """
+    payload = [c for c in rows.columns if c not in (*SESSION, "seq", "ts")]
+    seen = with_previous(rows, SESSION, ordinal_chunk(F.col("seq")), ["seq"], ["ts"])
+    gap = seconds_between(F.col("ts"), F.col("prev_ts"))
+    stamp = F.coalesce(iso_utc(F.col("ts")), F.lit(""))
+
+    def found(when: Column, check: str, note: Column, size: Column) -> Column:
+        return F.when(when, F.struct(F.lit(check).alias("check"), note.alias("note"), size.cast("double").alias("size")))
+
+    zero = F.lit(0.0)
+    disorder = F.when(F.col("ts").isNull(), "unparseable ts").when(F.col("ts") <= F.col("prev_ts"), "non-increasing")
+    parts = [found(disorder.isNotNull(), names["chronology"], F.concat_ws(" ", disorder, stamp), zero)]
+    if "coverage" in names:
+        text = F.concat_ws(" ", iso_utc(F.col("prev_ts")), stamp, gap.cast("bigint"))
+        parts.append(found(gap > warn_seconds, names["coverage"], text, gap))
+    if fault is not None:
+        parts.append(found(F.col("_fault").isNotNull(), names["sanity"], F.concat_ws(" ", stamp, "_fault"), zero))
+        seen = seen.withColumn("_fault", fault)
+    return seen.drop(*payload).select(*SESSION, "seq", F.inline(F.array(*parts))).where(F.col("check").isNotNull())
+
+
+def _from_findings(spine: DataFrame, findings: DataFrame, names: Sequence[str], limits: Limits) -> DataFrame:
+    """One row per batch and named check. Chronology reports its first offender only."""
+    first_only = F.col("check").endswith("_chronology")
+    tally = findings.groupBy(*SESSION, "check").agg(F.count("*").alias("_n"), F.max("size").alias("_worst"))
+    top = first_rows(findings.select(*SESSION, "check", "seq", "note"), [*SESSION, "check"], ["seq", "note"], 3)
+    notes = top.groupBy(*SESSION, "check").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]).alias("_notes"))
+    wanted = spine.select(*SESSION, F.explode(F.array(*[F.lit(n) for n in names])).alias("check"))
+    joined = wanted.join(tally, [*SESSION, "check"], "left").join(notes, [*SESSION, "check"], "left")
+    n = F.coalesce("_n", F.lit(0)).cast("bigint")
+    status = (F.when(n == 0, "PASS")
+              .when((F.col("check") == "coverage") & (F.col("_worst") <= limits.fail_seconds), "WARN").otherwise("FAIL"))
+    empty = F.array().cast("array<string>")
+    return joined.select(
+        *SESSION, "check", status.alias("status"), F.when(first_only, F.least(n, F.lit(1))).otherwise(n).alias("n"),
+        F.when(first_only, F.slice(F.coalesce("_notes", empty), 1, 1)).otherwise(F.coalesce("_notes", empty)).alias("examples"))
+
+
 def run_checks(spine: DataFrame, streams: Streams, *, consolidated: bool = True, symbols_supplied: bool = False,
-               halts: DataFrame | None = None, min_rows: int = MIN_BARS, warn_seconds: int = GAP_WARN_SECONDS,
-               fail_seconds: int = GAP_FAIL_SECONDS) -> DataFrame:
-    """All checks of the present streams in one long table."""
+               halts: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
+    """All checks of the present streams in one long table.
+
+    Same results as the single checks above, but each stream is ordered once: its chronology,
+    gap and sanity findings come from one pass and are stored before they are summarised.
+    """
+    plans = (("bars", streams.bars, {"chronology": "bars_chronology", "coverage": "coverage", "sanity": "sane_bars"}, bar_fault),
+             ("quotes", streams.quotes, {"chronology": "quotes_chronology", "sanity": "sane_quotes"}, quote_fault),
+             ("trades", streams.trades, {"chronology": "trades_chronology"}, None))
+    found, names = None, []
+    for stream, rows, checks, fault in plans:
+        if rows is None:
+            continue
+        wanted = [*SESSION, "seq", *streams.columns_for(stream)]
+        part = _stream_findings(rows.select(*dict.fromkeys(wanted)), checks, fault() if fault else None, limits.warn_seconds)
+        found = part if found is None else found.unionByName(part)
+        names += list(checks.values())
     out = [consolidation(spine, consolidated)]
+    if found is not None:
+        out.append(_from_findings(spine, cut_lineage(found), names, limits))
     if streams.bars is not None:
-        out += [chronology(spine, streams.bars, "bars_chronology"), duplication(spine, streams.bars),
-                completeness(spine, streams.bars, min_rows), coverage(spine, streams.bars, warn_seconds, fail_seconds),
-                sane_bars(spine, streams.bars), corporate_actions(spine, symbols_supplied),
-                halt_consistency(spine, streams.bars, halts, fail_seconds)]
-    if streams.quotes is not None:
-        out += [chronology(spine, streams.quotes, "quotes_chronology"), sane_quotes(spine, streams.quotes)]
-    if streams.trades is not None:
-        out.append(chronology(spine, streams.trades, "trades_chronology"))
+        out += [duplication(spine, streams.bars), completeness(spine, streams.bars, limits.min_rows),
+                corporate_actions(spine, symbols_supplied),
+                halt_consistency(spine, streams.bars, halts, limits.fail_seconds)]
     if streams.news is not None:
         out.append(news_provenance(spine, streams.news))
     total = out[0]

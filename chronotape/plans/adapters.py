@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import instant
 from ..operators.bars import BarClock, with_spread
-from ..session import configure
+from ..session import configure, cut_lineage
 
 DAY_CLOCK = BarClock(unit_seconds=86_400)
 FIRST_YEAR, LAST_YEAR = 1995, 2001
@@ -28,10 +28,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", instant(F.col("l_shipdate")).alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity",
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("rank"))
+        "l_orderkey", "l_linenumber", "l_partkey")
+    # Order keys repeat, so the price itself is the last tie-break.
+    ranked = F.struct("l_orderkey", "l_linenumber", "l_partkey", "price")
     daily = li.groupBy("l_suppkey", "ts").agg(
-        F.min_by("price", "rank").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "rank").alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
+        F.min(ranked)["price"].alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max(ranked)["price"].alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
     marked = daily.withColumns({
         "symbol": F.concat(F.lit("S"), F.col("l_suppkey")),
         "session": F.date_format("ts", "yyyy"),
@@ -44,13 +46,18 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rth", "session_close")
 
 
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars written once, for plans that read them several times (a real bar table is stored)."""
+    return cut_lineage(bars(spark, sf_dir))
+
+
 SQL_BARS = """
 bars AS (
   SELECT 'S' || l_suppkey AS symbol, strftime(l_shipdate, '%Y') AS session, l_shipdate AS ts,
          CAST(dayofyear(l_shipdate) AS BIGINT) AS seq,
-         first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS open,
+         first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity) AS open,
          max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-         last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS close,
+         last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity) AS close,
          CAST(sum(l_quantity) AS BIGINT) AS volume,
          month(l_shipdate) >= 2 AS rth,
          make_timestamp(year(l_shipdate), 12, 31, 0, 0, 0.0) AS session_close

@@ -77,7 +77,7 @@ _TO_OUTCOME = f"WITH RECURSIVE {D.SQL_BARS}, {SQL_BUCKETS}, {SQL_ATR}, {SQL_ENTR
 
 
 def _touches(spark, d):
-    bars = D.bars(spark, d)
+    bars = D.stored_bars(spark, d)
     return B.first_touches(B.entries_with_atr(bars, D.DAY_CLOCK), bars, GRID, D.DAY_CLOCK)
 
 
@@ -113,7 +113,7 @@ def atr_wilder(spark, d):
 SELECT symbol, session, {sql_iso('entry_ts', 'entry_ts')}, ref, spread,
        {sql_r6('coalesce(atr, -1)', 'atr')} FROM warm""")
 def entry_atr(spark, d):
-    out = B.entries_with_atr(D.bars(spark, d), D.DAY_CLOCK).fillna({"atr": -1.0})
+    out = B.entries_with_atr(D.stored_bars(spark, d), D.DAY_CLOCK).fillna({"atr": -1.0})
     return out.select("symbol", "session", iso("entry_ts"), "ref", "spread", r6("atr"))
 
 
@@ -170,19 +170,19 @@ def _cell_output(cells):
 
 @query("grid_cells", f"{_TO_OUTCOME}, {SQL_CELLS} SELECT {_CELL_COLUMNS} FROM cells")
 def grid_cells(spark, d):
-    return _cell_output(run_grid(D.bars(spark, d), GRID, D.DAY_CLOCK).cells)
+    return _cell_output(run_grid(D.stored_bars(spark, d), GRID, D.DAY_CLOCK).cells)
 
 
 @query("grid_candidates", f"""{_TO_OUTCOME}, {SQL_CELLS}
 SELECT {_CELL_COLUMNS} FROM cells WHERE reasons = '' ORDER BY entropy DESC, k, h LIMIT 12""")
 def grid_candidates(spark, d):
-    return _cell_output(run_grid(D.bars(spark, d), GRID, D.DAY_CLOCK).candidates)
+    return _cell_output(run_grid(D.stored_bars(spark, d), GRID, D.DAY_CLOCK).candidates)
 
 
 @query("forward_excursions", f"""{_TO_OUTCOME}
 SELECT symbol, session, {sql_iso('entry_ts', 'entry_ts')}, count(*) AS path_bars, {sql_r6('max(up)', 'mfe')}, {sql_r6('min(dn)', 'mae')}
 FROM paths WHERE age <= 60 GROUP BY symbol, session, entry_ts""")
 def forward_excursions(spark, d):
-    bars = D.bars(spark, d)
+    bars = D.stored_bars(spark, d)
     out = B.excursions(B.entries_with_atr(bars, D.DAY_CLOCK), bars, 60, D.DAY_CLOCK)
     return out.select("symbol", "session", iso("entry_ts"), "path_bars", r6("mfe"), r6("mae"))

@@ -159,11 +159,11 @@ verdicts AS (SELECT symbol, session, n, CASE WHEN n = 0 OR worst > 20 * {DAY} TH
 
 
 def validated(spark, d):
-    bars = D.bars(spark, d)
+    bars = D.stored_bars(spark, d)
     streams = Q.Streams(bars=bars, quotes=bars.select("symbol", "session", "seq", "ts", "bid", "ask"))
     streams.columns["bars"] = ("ts", "volume")
     streams.columns["quotes"] = ("ts",)
-    return validate(bar_spine(spark, d), streams, min_rows=75, warn_seconds=10 * DAY, fail_seconds=20 * DAY)
+    return validate(bar_spine(spark, d), streams, limits=Q.Limits(75, 10 * DAY, 20 * DAY))
 
 
 @query("batch_verdict", f"WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS}, {SQL_VERDICT} SELECT symbol, session, verdict FROM verdicts")

@@ -307,11 +307,11 @@ FROM (VALUES ('trailing_return'), ('last_close'), ('long_lookback')) x(f)"""
 
 @query("pit_gate", SQL_GATE)
 def pit_gate(spark, d):
-    bars = D.bars(spark, d)
+    bars = D.stored_bars(spark, d)
     cases = bars.where(F.month("ts") <= 6).groupBy("symbol", "session").agg(F.max("ts").alias("signal_ts")).withColumn(
         "case_id", F.concat_ws("|", "symbol", "session"))
     runs = E.gate({"trailing_return": ("1", E.trailing_return, 5), "last_close": ("1", E.last_close, 0),
-                   "long_lookback": ("1", E.trailing_return, 100_000)}, cut_lineage(cases), cut_lineage(bars))
+                   "long_lookback": ("1", E.trailing_return, 100_000)}, cut_lineage(cases), bars)
     return runs.select("feature_name", "n_cases", "failures", "verdict", "remediation")
 
 

@@ -136,7 +136,7 @@ SELECT symbol || '@' || {sql_iso('anchor_ts')} AS timeline_id,
 FROM rows0""")
 def timelines(spark, d):
     """Reconstruction around the first bar of each month of a session."""
-    bars = D.bars(spark, d)
+    bars = D.stored_bars(spark, d)
     anchors = bars.groupBy("symbol", "session", F.month("ts").alias("_m")).agg(F.min("ts").alias("anchor_ts"))
     events = reconstruct_sessions(anchors, bars, pre_bars=15, post_bars=30, clock=D.DAY_CLOCK)
     return events.select("timeline_id", F.col("idx").cast("bigint").alias("idx"), iso("ts"), "kind", "phase")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder so that several jobs can share it.
+    """Write `df` once to the shared checkpoint folder and read it back.
 
-    The files survive the loss of executors, so nothing upstream is recomputed.
+    Several jobs can then share the rows: they survive the loss of executors, nothing
+    upstream is recomputed, and later reads still prune columns and push filters down.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
