@@ -87,12 +87,13 @@ def _true_range(high: str, low: str) -> Column:
     return F.greatest(h - l, F.abs(h - pc), F.abs(l - pc))
 
 
-def _wilder_by_session(bars: DataFrame, clock: BarClock) -> DataFrame:
-    """One row per session with `atr`: MAP<bucket_end, STRUCT<full, edge, before>>.
+def _wilder_buckets(bars: DataFrame, clock: BarClock) -> DataFrame:
+    """One row per bucket: (symbol, session, bucket_end, full, before, edge).
 
-    Wilder smoothing is a recursion, so the (few) buckets of a session are folded in order.
-    `full` uses the whole bucket, `edge` the bucket without a bar on its right edge, `before`
-    is the value at the preceding bucket. Values are NULL until `atr_period` ranges exist.
+    Wilder smoothing is a recursion, so the (few) buckets of a session are folded in order
+    into the array of running values. `full` uses the whole bucket, `edge` the bucket without
+    a bar on its right edge, `before` is the value at the preceding bucket. Values are NULL
+    until `atr_period` ranges exist. All steps keep the (symbol, session) layout.
     """
     p = clock.atr_period
     w = Window.partitionBy(*SESSION).orderBy("bucket_end")
@@ -102,51 +103,42 @@ def _wilder_by_session(bars: DataFrame, clock: BarClock) -> DataFrame:
     ordered = ranges.groupBy(*SESSION).agg(
         F.array_sort(F.collect_list(F.struct("bucket_end", "tr", "tr_edge"))).alias("_b"))
 
-    def step(state: Column, n: Column, tr: Column) -> Column:
-        return (F.when(n == 1, F.lit(0.0)).when(n < p + 1, state + tr)
-                .when(n == p + 1, (state + tr) / p).otherwise((state * (p - 1) + tr) / p))
-
-    ready = "struct<n:bigint,s:double,out:array<struct<bucket_end:timestamp,full:double,edge:double,before:double>>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"),
-                     F.expr("cast(array() as array<struct<bucket_end:timestamp,full:double,edge:double,before:double>>)")
-                     .alias("out")).cast(ready)
-
-    def merge(acc: Column, b: Column) -> Column:
-        n = (acc["n"] + 1).cast("bigint")
-        full = step(acc["s"], n, b["tr"])
-        edge = step(acc["s"], n, b["tr_edge"])
-        item = F.struct(
-            b["bucket_end"].alias("bucket_end"),
-            F.when(n >= p + 1, full).alias("full"),
-            F.when((n >= p + 1) & b["tr_edge"].isNotNull(), edge).alias("edge"),
-            F.when(n > p + 1, acc["s"]).alias("before"))
-        return F.struct(n.alias("n"), full.alias("s"), F.concat(acc["out"], F.array(item)).alias("out")).cast(ready)
-
-    folded = F.aggregate("_b", start, merge)["out"]
-    return ordered.select(*SESSION, folded.alias("atr_buckets"))
+    def step(prev: Column, n: Column, tr: Column) -> Column:
+        """Value at bucket `n` (from 1): sum while warming up, then the smoothed range."""
+        return (F.when(n == 1, F.lit(0.0)).when(n < p + 1, prev + tr)
+                .when(n == p + 1, (prev + tr) / p).otherwise((prev * (p - 1) + tr) / p))
+
+    nothing = F.expr("cast(array() as array<double>)")
+    values = F.aggregate("_b", nothing, lambda acc, b: F.concat(acc, F.array(
+        step(F.try_element_at(acc, F.lit(-1)), F.size(acc) + 1, b["tr"]))))
+    rows = ordered.select(*SESSION, "_b", values.alias("_s")).select(
+        *SESSION, F.posexplode(F.arrays_zip("_b", "_s")).alias("_i", "_x"), "_s").select(
+        *SESSION, (F.col("_i") + 1).alias("_n"), F.col("_x")["_b"]["bucket_end"].alias("bucket_end"),
+        F.col("_x")["_b"]["tr_edge"].alias("_tr_edge"), F.col("_x")["_s"].alias("_full"),
+        F.when(F.col("_i") > 0, F.get("_s", F.col("_i") - 1)).alias("_prev"))
+    n = F.col("_n")
+    return rows.select(
+        *SESSION, "bucket_end", F.when(n >= p + 1, F.col("_full")).alias("full"),
+        F.when(n > p + 1, F.col("_prev")).alias("before"),
+        F.when(n >= p + 1, step(F.col("_prev"), n, F.col("_tr_edge"))).alias("edge"))
 
 
 def wilder_atr(bars: DataFrame, clock: BarClock = MINUTE) -> DataFrame:
     """ATR after each bucket: (symbol, session, bucket_end, atr)."""
-    return (_wilder_by_session(bars, clock)
-            .select(*SESSION, F.inline("atr_buckets"))
-            .where(F.col("full").isNotNull())
-            .select(*SESSION, "bucket_end", F.col("full").alias("atr")))
+    return _wilder_buckets(bars, clock).where(F.col("full").isNotNull()).select(
+        *SESSION, "bucket_end", F.col("full").alias("atr"))
 
 
 def atr_at(entries: DataFrame, bars: DataFrame, clock: BarClock = MINUTE) -> DataFrame:
     """Add `atr` to entries (which are bars): strictly earlier bars only, NULL if unknown or not positive.
 
-    An entry on a bucket edge sees its bucket without itself; any other entry sees the
-    bucket before its own.
+    An entry on a bucket edge sees its bucket without itself, or the bucket before when it is
+    alone in it; any other entry sees the bucket before its own. Its own bucket always
+    exists, so the lookup is an equality join.
     """
-    lookup = _wilder_by_session(bars, clock).select(
-        *SESSION, F.map_from_entries(F.transform("atr_buckets", lambda b: F.struct(
-            b["bucket_end"], F.struct(b["edge"].alias("edge"), b["before"].alias("before"))))).alias("_atr"))
-    own = F.element_at("_atr", bucket_end(F.col("ts"), clock.bucket_seconds))
-    on_edge = bucket_end(F.col("ts"), clock.bucket_seconds) == F.col("ts")
-    joined = entries.join(lookup, SESSION, "left")
-    # On an edge with no other bar in the bucket nothing new is known: use the bucket before.
-    value = F.when(on_edge, F.coalesce(own["edge"], own["before"])).otherwise(own["before"])
-    return joined.withColumn("_a", value).select(
-        *entries.columns, F.when(F.col("_a") > 0, F.col("_a")).alias("atr"))
+    buckets = _wilder_buckets(bars, clock).select(*SESSION, "bucket_end", "before", "edge")
+    keyed = entries.withColumn("bucket_end", bucket_end(F.col("ts"), clock.bucket_seconds))
+    on_edge = F.col("bucket_end") == F.col("ts")
+    value = F.when(on_edge, F.coalesce("edge", "before")).otherwise(F.col("before"))
+    joined = keyed.join(buckets, [*SESSION, "bucket_end"], "left").withColumn("_a", value)
+    return joined.select(*entries.columns, F.when(F.col("_a") > 0, F.col("_a")).alias("atr"))

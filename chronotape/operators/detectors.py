@@ -191,19 +191,16 @@ def clusters(events: DataFrame, settings: DetectorSettings = DEFAULTS, clock: Ba
         .withColumn("n", F.sum("_n").over(ahead))
         .where(F.col("n") >= settings.cluster_min)
     )
-    state = "struct<until:bigint,out:array<struct<us:bigint,n:bigint>>>"
-    zero = F.expr("cast(named_struct('until', cast(null as bigint), 'out', "
-                  f"cast(array() as array<struct<us:bigint,n:bigint>>)) as {state})")
+    nothing = F.expr("cast(array() as array<struct<us:bigint,n:bigint>>)")
 
-    def merge(acc: Column, e: Column) -> Column:
-        free = acc["until"].isNull() | (e["_us"] > acc["until"])
-        found = F.struct(e["_us"].alias("us"), e["n"].alias("n"))
-        taken = F.struct((e["_us"] + width).alias("until"), F.concat(acc["out"], F.array(found)).alias("out")).cast(state)
-        return F.when(free, taken).otherwise(acc)
+    def merge(picked: Column, e: Column) -> Column:
+        """Take a start unless the last picked cluster still covers it."""
+        covered = e["us"] <= F.try_element_at(picked, F.lit(-1))["us"] + width
+        return F.when(F.coalesce(covered, F.lit(False)), picked).otherwise(F.concat(picked, F.array(e)))
 
     picked = starts.groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(F.struct("_us", "n"))).alias("_s"))
-    return picked.select(*SESSION, F.inline(F.aggregate("_s", zero, merge)["out"])).select(
+        F.array_sort(F.collect_list(F.struct(F.col("_us").alias("us"), "n"))).alias("_s"))
+    return picked.select(*SESSION, F.inline(F.aggregate("_s", nothing, merge))).select(
         *SESSION, F.timestamp_micros("us").alias("ts"), F.lit("CLUSTER").alias("kind"),
         F.create_map(F.lit("count"), F.col("n").cast("double"),
                      F.lit("span_minutes"), F.lit(float(settings.cluster_minutes))).alias("detail"))

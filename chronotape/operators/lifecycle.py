@@ -30,7 +30,7 @@ HYPOTHESIS_MOVES = {
 FEATURE_CLASSES = ("PRICE_STATE", "LIQUIDITY_STATE", "LIQUIDITY_SHOCK", "SESSION_STATE", "CROSS_MARKET", "SEQUENCE_STATE",
                    "EXECUTION_STATE", "CUSTOM")
 REQUIRED_FEATURE_FIELDS = ("feature_id", "name", "version", "formula_ref", "pit_proof", "economic_rationale")
-CHUNK_EVENTS = 4096
+CHUNK_EVENTS = 1024
 
 
 def _move(moves: dict[str, tuple[str, ...]], state: Column, to: Column) -> Column:
@@ -64,29 +64,25 @@ def replay(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[str, ...
         return F.element_at(ends_, F.array_position(F.array(*[F.lit(s) for s in states]), state).cast("int"))
 
     links = transfer.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ends"))).alias("_links"))
-    acc_type = "struct<state:string,starts:array<struct<_chunk:bigint,_start:string>>>"
-    zero = F.expr(f"cast(named_struct('state', '{initial}', 'starts', "
-                  f"cast(array() as array<struct<_chunk:bigint,_start:string>>)) as {acc_type})")
+    zero = F.expr(f"named_struct('state', '{initial}', 'starts', "
+                  "cast(array() as array<struct<_chunk:bigint,_start:string>>))")
 
     def chain(acc: Column, link: Column) -> Column:
         start = F.struct(link["_chunk"].alias("_chunk"), acc["state"].alias("_start"))
         return F.struct(jump(acc["state"], link["_ends"]).alias("state"),
-                        F.concat(acc["starts"], F.array(start)).alias("starts")).cast(acc_type)
+                        F.concat(acc["starts"], F.array(start)).alias("starts"))
 
     starts = links.select(*by, F.inline(F.aggregate("_links", zero, chain)["starts"]))
-    out_type = ("struct<state:string,"
-                "out:array<struct<seq:bigint,to_state:string,from_state:string,legal:boolean>>>")
 
     def judge(acc: Column, e: Column) -> Column:
         nxt = _move(moves, acc["state"], e["to_state"])
         row = F.struct(e["seq"].cast("bigint").alias("seq"), e["to_state"].alias("to_state"),
                        acc["state"].alias("from_state"), (nxt != acc["state"]).alias("legal"))
-        return F.struct(nxt.alias("state"), F.concat(acc["out"], F.array(row)).alias("out")).cast(out_type)
+        return F.struct(nxt.alias("state"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     begin = F.struct(
         F.col("_start").alias("state"),
-        F.expr("cast(array() as array<struct<seq:bigint,to_state:string,from_state:string,legal:boolean>>)").alias("out")
-    ).cast(out_type)
+        F.expr("cast(array() as array<struct<seq:bigint,to_state:string,from_state:string,legal:boolean>>)").alias("out"))
     return chunks.join(starts, [*by, "_chunk"]).select(*by, F.inline(F.aggregate("_items", begin, judge)["out"]))
 
 

@@ -64,9 +64,8 @@ def version_refreshes(
                     F.struct(*keep).alias("_row"))
     segments = cut.groupBy("symbol", "_segment").agg(F.collect_list(item).alias("_items")).withColumn(
         "_items", F.array_sort("_items", lambda a, b: _by_order(a, b, order)))
-    state = "struct<shares:double,ffloat:double,reasons:array<string>>"
-    zero = F.expr("cast(named_struct('shares', cast(null as double), 'ffloat', cast(null as double), 'reasons', "
-                  f"cast(array() as array<string>)) as {state})")
+    zero = F.expr("named_struct('shares', cast(null as double), 'ffloat', cast(null as double), "
+                  "'reasons', cast(array() as array<string>))")
 
     def merge(acc: Column, it: Column) -> Column:
         reason = (
@@ -77,7 +76,7 @@ def version_refreshes(
         return F.struct(
             F.when(taken, it["_shares"]).otherwise(acc["shares"]).cast("double").alias("shares"),
             F.when(taken, it["_float"]).otherwise(acc["ffloat"]).cast("double").alias("ffloat"),
-            F.concat(acc["reasons"], F.array(reason)).alias("reasons")).cast(state)
+            F.concat(acc["reasons"], F.array(reason)).alias("reasons"))
 
     judged = segments.select(F.inline(F.arrays_zip(
         F.col("_items").alias("item"), F.aggregate("_items", zero, merge)["reasons"].alias("version_reason"))))

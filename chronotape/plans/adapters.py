@@ -36,10 +36,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(ranked)["price"].alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
     marked = daily.withColumns({
         "symbol": F.concat(F.lit("S"), F.col("l_suppkey")),
-        "session": F.date_format("ts", "yyyy"),
+        "session": F.year("ts").cast("string"),
         "seq": F.dayofyear("ts").cast("bigint"),
         "rth": F.month("ts") >= 2,
-        "session_close": F.make_timestamp(F.year("ts"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)),
+        "session_close": F.make_date(F.year("ts"), F.lit(12), F.lit(31)).cast("timestamp"),
     })
     return with_spread(marked).select(
         "symbol", "session", "seq", "ts", "open", "high", "low", "close", "volume", "bid", "ask",
