@@ -78,7 +78,7 @@ def same_value(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
 def same_map(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     """Same keys, and `same_value` for every key."""
     pair = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    keys_match = F.array_sort(F.map_keys(a)).eqNullSafe(F.array_sort(F.map_keys(b)))
+    keys_match = F.sort_array(F.map_keys(a)).eqNullSafe(F.sort_array(F.map_keys(b)))
     zipped = F.map_zip_with(a, b, lambda _k, x, y: F.struct(x.alias("a"), y.alias("b")).cast(pair))
     values_match = F.forall(F.map_values(zipped), lambda p: same_value(p["a"], p["b"], tolerance))
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(keys_match & values_match)

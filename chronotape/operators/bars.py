@@ -101,7 +101,7 @@ def _wilder_buckets(bars: DataFrame, clock: BarClock) -> DataFrame:
         *SESSION, "bucket_end", _true_range("high", "low").alias("tr"),
         F.when(F.col("open_high").isNotNull(), _true_range("open_high", "open_low")).alias("tr_edge"))
     ordered = ranges.groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(F.struct("bucket_end", "tr", "tr_edge"))).alias("_b"))
+        F.sort_array(F.collect_list(F.struct("bucket_end", "tr", "tr_edge"))).alias("_b"))
 
     def step(prev: Column, n: Column, tr: Column) -> Column:
         """Value at bucket `n` (from 1): sum while warming up, then the smoothed range."""

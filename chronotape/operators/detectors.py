@@ -199,7 +199,7 @@ def clusters(events: DataFrame, settings: DetectorSettings = DEFAULTS, clock: Ba
         return F.when(F.coalesce(covered, F.lit(False)), picked).otherwise(F.concat(picked, F.array(e)))
 
     picked = starts.groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_us").alias("us"), "n"))).alias("_s"))
+        F.sort_array(F.collect_list(F.struct(F.col("_us").alias("us"), "n"))).alias("_s"))
     return picked.select(*SESSION, F.inline(F.aggregate("_s", nothing, merge))).select(
         *SESSION, F.timestamp_micros("us").alias("ts"), F.lit("CLUSTER").alias("kind"),
         F.create_map(F.lit("count"), F.col("n").cast("double"),

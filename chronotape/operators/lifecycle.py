@@ -55,7 +55,7 @@ def replay(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[str, ...
     states = list(moves)
     item = F.struct("seq", "to_state")
     chunks = events.groupBy(*by, ordinal_chunk(F.col("seq"), chunk_events).alias("_chunk")).agg(
-        F.array_sort(F.collect_list(item)).alias("_items"))
+        F.sort_array(F.collect_list(item)).alias("_items"))
     ends = F.array(*[
         F.aggregate("_items", F.lit(s), lambda acc, e: _move(moves, acc, e["to_state"])) for s in states])
     transfer = chunks.withColumn("_ends", ends)
@@ -63,7 +63,7 @@ def replay(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[str, ...
     def jump(state: Column, ends_: Column) -> Column:
         return F.element_at(ends_, F.array_position(F.array(*[F.lit(s) for s in states]), state).cast("int"))
 
-    links = transfer.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ends"))).alias("_links"))
+    links = transfer.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_ends"))).alias("_links"))
     zero = F.expr(f"named_struct('state', '{initial}', 'starts', "
                   "cast(array() as array<struct<_chunk:bigint,_start:string>>))")
 

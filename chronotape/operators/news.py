@@ -17,7 +17,7 @@ def build_records(articles: DataFrame) -> DataFrame:
     return articles.select(
         digest([vendor, F.col("article_id"), F.col("seq")], 32).alias("record_id"),
         F.col("article_id").cast("string").alias("article_id"), vendor.alias("vendor"), "source",
-        F.array_sort(F.array_distinct(F.transform("tickers", F.upper))).alias("tickers"),
+        F.sort_array(F.array_distinct(F.transform("tickers", F.upper))).alias("tickers"),
         headline_hash(F.col("headline")).alias("headline_hash"), "publish_ts", "available_ts", "language",
         market_session(F.col("available_ts")).alias("market_session"),
         seconds_between(F.col("available_ts"), F.col("publish_ts")).alias("availability_delay_seconds"),

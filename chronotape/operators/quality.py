@@ -34,7 +34,7 @@ def _examples(found: DataFrame, n: int = 3) -> DataFrame:
     """First three findings per batch in arrival order, as (symbol, session, examples)."""
     top = first_rows(found.select(*SESSION, "seq", "note"), SESSION, ["seq", "note"], n)
     return top.groupBy(*SESSION).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]).alias("examples"))
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]).alias("examples"))
 
 
 def _result(spine: DataFrame, found: DataFrame, check: str, status: Column, counts: DataFrame | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def stream_hash(rows: DataFrame, columns: Sequence[str], stream: str) -> DataFra
                          digest(parts).alias("_h"))
 
     def joined(order: str) -> Column:
-        items = F.array_sort(F.collect_list(F.struct(order, "_h")))
+        items = F.sort_array(F.collect_list(F.struct(order, "_h")))
         return F.sha2(F.array_join(F.transform(items, lambda x: x["_h"]), "\n"), 256)
 
     chunks = hashed.groupBy(*SESSION, "_chunk").agg(joined("seq").alias("_h"), F.count("*").alias("_n"))
@@ -201,7 +201,7 @@ def batch_hash(spine: DataFrame, streams: dict[str, tuple[DataFrame, Sequence[st
         per_stream = one if per_stream is None else per_stream.unionByName(one)
     text = F.concat_ws("=", "stream", "stream_hash")
     total = per_stream.groupBy(*SESSION).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n"), 256).alias("content_hash"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list(text)), "\n"), 256).alias("content_hash"),
         F.sum("rows").alias("row_count"))
     return spine.join(total, SESSION, "left").select(
         *SESSION, F.coalesce("content_hash", F.sha2(F.lit(""), 256)).alias("content_hash"),
@@ -268,7 +268,7 @@ def _from_findings(spine: DataFrame, findings: DataFrame, names: Sequence[str],
     tally = findings.groupBy(*SESSION, "check").agg(F.count("*").alias("_n"), F.max("size").alias("_worst"))
     top = first_rows(findings.select(*SESSION, "check", "seq", "note"), [*SESSION, "check"], ["seq", "note"], 3)
     notes = top.groupBy(*SESSION, "check").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]).alias("_notes"))
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]).alias("_notes"))
     wanted = spine.select(*SESSION, F.explode(F.array(*[F.lit(n) for n in names])).alias("check"))
     joined = wanted.join(tally, [*SESSION, "check"], "left").join(notes, [*SESSION, "check"], "left")
     n = F.coalesce("_n", F.lit(0)).cast("bigint")

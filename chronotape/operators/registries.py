@@ -62,8 +62,8 @@ def version_refreshes(
 
     item = F.struct(*order, F.col(shares).alias("_shares"), F.col(free_float).alias("_float"),
                     F.struct(*keep).alias("_row"))
-    segments = cut.groupBy("symbol", "_segment").agg(F.collect_list(item).alias("_items")).withColumn(
-        "_items", F.array_sort("_items", lambda a, b: _by_order(a, b, order)))
+    segments = cut.groupBy("symbol", "_segment").agg(
+        F.sort_array(F.collect_list(item)).alias("_items"))
     zero = F.expr("named_struct('shares', cast(null as double), 'ffloat', cast(null as double), "
                   "'reasons', cast(array() as array<string>))")
 
@@ -87,13 +87,6 @@ def version_refreshes(
         "row_hash", row_hash(F.col("symbol"), *[F.col(c) for c in compared], F.col("valid_from")))
 
 
-def _by_order(a: Column, b: Column, order: Sequence[str]) -> Column:
-    out = F.lit(0)
-    for c in reversed(order):
-        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
-    return out
-
-
 # -- resolving ------------------------------------------------------------------------------
 def resolve_symbol(signals: DataFrame, versions: DataFrame, ts: str = "signal_ts", *, zone: str = "America/New_York",
                    **kw) -> DataFrame:

@@ -64,7 +64,7 @@ def outside_embargo(rows: DataFrame, day: Column, boundaries: list[str], embargo
 
 def burn_fingerprint(burned: DataFrame) -> DataFrame:
     """One row: 16 hex digits over the sorted slice texts (a ledger holds few slices)."""
-    who = F.when(F.col("symbols").isNull(), "ALL").otherwise(F.array_join(F.array_sort("symbols"), ","))
+    who = F.when(F.col("symbols").isNull(), "ALL").otherwise(F.array_join(F.sort_array("symbols"), ","))
     text = F.concat_ws("|", F.col("start_date").cast("string"), F.col("end_date").cast("string"), who)
-    joined = F.array_join(F.array_sort(F.collect_list(text)), "\n")
+    joined = F.array_join(F.sort_array(F.collect_list(text)), "\n")
     return burned.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))

@@ -106,12 +106,12 @@ def archetypes(events: DataFrame, scheme: str = "kind_set") -> DataFrame:
     if scheme not in ARCHETYPE_SCHEMES:
         raise ValueError(f"unknown scheme {scheme!r}; choose from {ARCHETYPE_SCHEMES}")
     if scheme == "kind_set":
-        key = F.array_join(F.array_sort(F.collect_set("kind")), "|")
+        key = F.array_join(F.sort_array(F.collect_set("kind")), "|")
     elif scheme == "post_kind_set":
-        key = F.array_join(F.array_sort(F.collect_set(F.when(F.col("phase") == "POST", F.col("kind")))), "|")
+        key = F.array_join(F.sort_array(F.collect_set(F.when(F.col("phase") == "POST", F.col("kind")))), "|")
     else:
         text = F.col("kind") if scheme == "kind_seq" else F.concat_ws(":", "phase", "kind")
-        ordered = F.array_sort(F.collect_list(F.struct("idx", text.alias("k"))))
+        ordered = F.sort_array(F.collect_list(F.struct("idx", text.alias("k"))))
         key = F.array_join(F.transform(ordered, lambda x: x["k"]), ">")
     return events.groupBy("timeline_id").agg(F.count("*").alias("n_events"), key.alias("archetype"))
 
@@ -157,7 +157,7 @@ def heatmap(events: DataFrame, bucket_minutes: int = 5) -> DataFrame:
     cells = events.select("kind", bucket_from_anchor(minutes, bucket_minutes).alias("bucket")).groupBy(
         "kind", "bucket").agg(F.count("*").alias("n"))
     # The axes are the distinct kinds and the distinct buckets of a fixed window.
-    axis = cells.agg(F.array_sort(F.collect_set("kind")).alias("_k"), F.array_sort(F.collect_set("bucket")).alias("_b"))
+    axis = cells.agg(F.sort_array(F.collect_set("kind")).alias("_k"), F.sort_array(F.collect_set("bucket")).alias("_b"))
     grid = axis.select(F.explode("_k").alias("kind"), "_b").select("kind", F.explode("_b").alias("bucket"))
     return grid.join(cells, ["kind", "bucket"], "left").select(
         "kind", "bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
@@ -167,14 +167,14 @@ def event_tree(events: DataFrame) -> DataFrame:
     """Per timeline: phase, kind, count and the ordered clock times."""
     return events.groupBy("timeline_id", "phase", "kind").agg(
         F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.date_format("ts", "HH:mm:ss"))).alias("times"))
+        F.sort_array(F.collect_list(F.date_format("ts", "HH:mm:ss"))).alias("times"))
 
 
 def nested(events: DataFrame) -> DataFrame:
     """One row per timeline with its events as an ordered array, as written to JSON."""
     item = F.struct("idx", "ts", "kind", "phase", "detail")
     return events.groupBy("timeline_id", "symbol", "anchor_ts").agg(
-        F.array_sort(F.collect_list(F.struct("idx", F.to_json(item).alias("j")))).alias("_e")
+        F.sort_array(F.collect_list(F.struct("idx", F.to_json(item).alias("j")))).alias("_e")
     ).select("timeline_id", "symbol", "anchor_ts", F.transform("_e", lambda x: x["j"]).alias("events"))
 
 
