@@ -172,8 +172,8 @@ def halt_facts(halts: DataFrame, session: Column) -> DataFrame:
     """Start and resume facts of halt episodes; an ongoing halt has no resume."""
     sides = F.array(F.struct(F.col("halt_start_ts").alias("ts"), F.lit("HALT_START").alias("kind")),
                     F.struct(F.col("halt_end_ts").alias("ts"), F.lit("HALT_RESUME").alias("kind")))
-    return halts.select("symbol", F.inline(sides)).where(F.col("ts").isNotNull()).select(
-        "symbol", session.alias("session"), "ts", "kind", F.create_map().cast(DETAIL).alias("detail"))
+    return halts.select("symbol", session.alias("session"), F.inline(sides)).where(F.col("ts").isNotNull()).select(
+        "symbol", "session", "ts", "kind", F.create_map().cast(DETAIL).alias("detail"))
 
 
 def clusters(events: DataFrame, settings: DetectorSettings = DEFAULTS, clock: BarClock = MINUTE) -> DataFrame:
