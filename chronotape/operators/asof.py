@@ -161,6 +161,28 @@ def asof_join(
     return out.select(*left.columns, *[F.col("_hit")[c].alias(n) for c, n in renames.items()])
 
 
+def fit_slot(frames: Sequence[tuple[DataFrame, str]], by: Sequence[str], *, max_rows: int = 2_000_000,
+             widths: Sequence[int] = (30 * DAY, DAY, 6 * 3600, 3600, 600, 60)) -> int:
+    """Widest slot in which no (key, slot) holds more than `max_rows` rows of the given frames.
+
+    `frames` are (frame, time column) pairs. Rows are counted once at the finest width; wider
+    slots are sums of those counts. Falls back to the finest width.
+    """
+    finest = min(widths)
+    total = None
+    for df, ts in frames:
+        part = df.where(F.col(ts).isNotNull()).groupBy(*by, slot_of(F.col(ts), finest).alias("_fine")).agg(
+            F.count("*").alias("_n"))
+        total = part if total is None else total.unionByName(part)
+    fine = total.groupBy(*by, "_fine").agg(F.sum("_n").alias("_n"))
+    ordered = sorted(widths, reverse=True)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(w).alias("w"), F.floor(F.col("_fine") * finest / w).alias("s")) for w in ordered]))
+    largest = {r["w"]: r["m"] for r in fine.select(*by, pairs.alias("_p"), "_n").groupBy(*by, "_p").agg(
+        F.sum("_n").alias("_n")).groupBy(F.col("_p")["w"].alias("w")).agg(F.max("_n").alias("m")).collect()}
+    return next((w for w in ordered if largest.get(w, 0) <= max_rows), finest)
+
+
 def with_validity(versions: DataFrame, by: Sequence[str], valid_from: str) -> DataFrame:
     """Derived half-open validity: `valid_to` is the next version's start, NULL while open."""
     order = Window.partitionBy(*by).orderBy(valid_from)

@@ -42,9 +42,10 @@ class References:
     cadence: str = "1H"
 
 
-def with_data_as_of(candidates: DataFrame, bars: DataFrame, by: Sequence[str] = ("symbol", "session")) -> DataFrame:
+def with_data_as_of(candidates: DataFrame, bars: DataFrame, by: Sequence[str] = ("symbol", "session"),
+                    slot_seconds: int = DAY) -> DataFrame:
     """Add `data_as_of_ts`: the newest bar at or before the signal, else the signal time itself."""
-    out = asof_fold(candidates, bars, by, "signal_ts", "ts", {"_bar": Highest(F.col("ts"))})
+    out = asof_fold(candidates, bars, by, "signal_ts", "ts", {"_bar": Highest(F.col("ts"))}, slot_seconds=slot_seconds)
     return out.withColumn("data_as_of_ts", F.coalesce("_bar", "signal_ts")).drop("_bar")
 
 

@@ -27,6 +27,7 @@ _FAR_FUTURE = "9999-12-31 00:00:00"
 def version_refreshes(
     refreshes: DataFrame, *, categorical: Sequence[str] = CATEGORICAL, shares: str = "shares_outstanding",
     free_float: str = "free_float", tie: Sequence[str] = (), slot_seconds: int = 30 * DAY,
+    current: DataFrame | None = None,
 ) -> DataFrame:
     """Turn vendor refreshes into versions: one row per refresh that triggers a version.
 
@@ -36,9 +37,16 @@ def version_refreshes(
     look-back and cut each symbol into independent segments. Refreshes equal to their
     predecessor can never trigger and are dropped. Only the numeric thresholds need the
     ordered fold, and it runs per segment.
+
+    `current` holds the latest stored version per symbol (refresh columns and `version_no`);
+    new refreshes continue from there. A long history is written slice by slice this way,
+    which bounds what one symbol contributes to a task by the slice.
     """
     order = ["valid_from", *tie]
-    rows = refreshes.withColumn("float_bucket", float_bucket(F.col(free_float)))
+    rows = refreshes.withColumn("float_bucket", float_bucket(F.col(free_float))).withColumn("_held", F.lit(False))
+    if current is not None:
+        held = current.select(*refreshes.columns).withColumn("float_bucket", float_bucket(F.col(free_float)))
+        rows = rows.unionByName(held.withColumn("_held", F.lit(True)))
     strict = [*categorical, "float_bucket"]
     compared = [*strict, shares, free_float]
     slot = slot_of(F.col("valid_from"), slot_seconds)
@@ -50,7 +58,7 @@ def version_refreshes(
             cond = cond | ~F.col(n).eqNullSafe(F.col(f"prev_{n}"))
         return cond
 
-    certain = (F.when(F.col("prev__one").isNull(), "INITIAL")
+    certain = (F.when(F.col("_held"), "HELD").when(F.col("prev__one").isNull(), "INITIAL")
                .when(changed(categorical), "CATEGORICAL")
                .when(changed(["float_bucket"]), "BUCKET_CROSS"))
     moving = seen.withColumn("_certain", certain).where(
@@ -83,10 +91,21 @@ def version_refreshes(
     versions = judged.where(F.col("version_reason").isNotNull()).select(
         *[F.col("item")["_row"][c].alias(c) for c in rows.columns], "version_reason")
     counted = with_running_count(cut_lineage(versions), ["symbol"], slot, order, F.lit(True), "version_no")
-    return counted.withColumn("symbol_registry_id", numbered_id(F.col("symbol"), F.col("version_no"))).withColumn(
+    if current is not None:
+        before = current.select("symbol", (F.col("version_no") - 1).alias("_before"))
+        counted = counted.join(before, "symbol", "left").withColumn(
+            "version_no", F.col("version_no") + F.coalesce("_before", F.lit(0))).drop("_before")
+    return counted.where(~F.col("_held")).drop("_held").withColumn("symbol_registry_id", numbered_id(F.col("symbol"), F.col("version_no"))).withColumn(
         "row_hash", row_hash(F.col("symbol"), *[F.col(c) for c in compared], F.col("valid_from")))
 
 
+def latest_versions(versions: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Latest stored version per symbol, as `current` for the next slice."""
+    return versions.groupBy("symbol").agg(
+        F.max_by(F.struct(*[c for c in columns if c != "symbol"], "version_no"), F.col("version_no")).alias("_v")).select(
+        "symbol", "_v.*")
+
+
 # -- resolving ------------------------------------------------------------------------------
 def resolve_symbol(signals: DataFrame, versions: DataFrame, ts: str = "signal_ts", *, zone: str = "America/New_York",
                    **kw) -> DataFrame:

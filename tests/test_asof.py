@@ -3,7 +3,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from chronotape.operators.asof import Highest, Latest, Total, asof_fold, asof_join, asof_small
+from chronotape.operators.asof import DAY, Highest, Latest, Total, asof_fold, asof_join, asof_small, fit_slot
 from chronotape.operators.slots import ordinal_chunk, with_previous, with_running_count
 from chronotape.operators.stats import describe, exact_median
 from conftest import utc
@@ -87,3 +87,12 @@ def test_exact_median(spark):
     assert describe(df, [], "v").head().median == statistics.median(v for _, v in rows)
     empty = describe(df.where("v > 99"), [], "v").head()
     assert (empty["count"], empty.median) == (0, None)
+
+
+def test_fit_slot(spark):
+    left, right, (l, r) = make(spark)
+    assert fit_slot([(l, "t"), (r, "rt")], ["k"], max_rows=10_000) == 30 * DAY
+    narrow = fit_slot([(l, "t"), (r, "rt")], ["k"], max_rows=20)
+    most = l.unionByName(r.select(F.lit(0).alias("id"), "k", F.col("rt").alias("t"))).groupBy(
+        "k", F.floor(F.unix_timestamp("t") / narrow)).count().agg(F.max("count")).head()[0]
+    assert narrow < 30 * DAY and most <= 20

@@ -64,6 +64,12 @@ def test_drift_adds_up_and_every_reason(spark):
     versions = R.version_refreshes(refreshes(spark, rows), slot_seconds=3 * 86400)
     got = [(v.valid_from.strftime("%Y-%m-%dT%H:%M:%S"), v.version_reason) for v in versions.orderBy("valid_from").collect()]
     assert got == want and {r for _, r in want} == {"INITIAL", "CATEGORICAL", "BUCKET_CROSS", "SHARES_THRESHOLD", "FLOAT_THRESHOLD"}
+    # Two slices, the second continuing from the stored versions of the first, give the same.
+    every = refreshes(spark, rows)
+    head = R.version_refreshes(every.where("valid_from < '2025-01-06'"))
+    tail = R.version_refreshes(every.where("valid_from >= '2025-01-06'"), current=R.latest_versions(head, every.columns))
+    cols = ("symbol_registry_id", "version_reason", "row_hash")
+    assert sorted(map(tuple, head.select(*cols).unionByName(tail.select(*cols)).collect())) == sorted(map(tuple, versions.select(*cols).collect()))
     assert sorted(v.symbol_registry_id for v in versions.collect()) == [f"A#{i:04d}" for i in range(1, len(want) + 1)]
 
 
