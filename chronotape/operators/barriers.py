@@ -147,7 +147,7 @@ def cell_metrics(touches: DataFrame, grid: Grid = Grid(), clock: BarClock = MINU
         joined = (base.withColumn("_one", F.lit(1))
                   .join(F.broadcast(spread_ratio.withColumn("_one", F.lit(1))), "_one", "left").drop("_one"))
         cells = touches.sparkSession.createDataFrame([(float(k), h) for k in grid.k for h in grid.h], "k double, h int")
-        joined = F.broadcast(cells).join(joined, ["k", "h"], "left")
+        joined = cells.join(joined, ["k", "h"], "left")
     n_all = F.coalesce(F.col("n"), F.lit(0))
     joined = joined.withColumn("n", n_all)
 
