@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, sharding
+import public_tokenizers
+
+from . import bpe, chat_format, decontaminate, line_dedup, sharding, topk, toxicity
 from .common import read
 
 QUERIES = {
     "op1_line_dedup": lambda s, d: line_dedup.dedup_lines(read(s, d, "documents")),
+    "op3_toxicity": lambda s, d: toxicity.score(read(s, d, "documents"), read(s, d, "labels")),
+    "op4_exact_topk": lambda s, d: topk.top_k(read(s, d, "embeddings")),
     "op5_chat_format": chat_format.format_conversations,
+    "op6_decontamination": lambda s, d: decontaminate.decontaminate(read(s, d, "documents"), read(s, d, "benchmark")),
+    "op8_bpe": lambda s, d: bpe.encode_digests(read(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op9_sharding": lambda s, d: sharding.shard(read(s, d, "documents")),
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op4_exact_topk": topk.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
+    "op6_decontamination": decontaminate.ORACLE,
 }
