@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat_format, decontaminate, line_dedup, sharding, topk, toxicity
+from . import bpe, chat_format, decontaminate, line_dedup, sharding, simhash, topk, toxicity
 from .common import read
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_exact_topk": lambda s, d: topk.top_k(read(s, d, "embeddings")),
     "op5_chat_format": chat_format.format_conversations,
     "op6_decontamination": lambda s, d: decontaminate.decontaminate(read(s, d, "documents"), read(s, d, "benchmark")),
+    "op7_simhash": lambda s, d: simhash.near_duplicates(read(s, d, "documents")),
     "op8_bpe": lambda s, d: bpe.encode_digests(read(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op9_sharding": lambda s, d: sharding.shard(read(s, d, "documents")),
 }

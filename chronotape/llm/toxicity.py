@@ -187,7 +187,7 @@ class BlockMaxIndex:
 
 def logistic(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float] | None:
     """Curve a * logit(raw) + b by Newton steps, with a small ridge towards the identity."""
-    if len(raw) < 20 or labels.min() == labels.max():
+    if len(raw) < 200 or labels.min() == labels.max():
         return None
     x = np.log(np.clip(raw, 1e-6, 1) / np.clip(1 - raw, 1e-6, 1))
     design, beta, pull = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0]), np.array([1.0, 0.0])
