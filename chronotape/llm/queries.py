@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat_format, decontaminate, line_dedup, sharding, simhash, topk, toxicity
+from . import bpe, chat_format, decontaminate, line_dedup, lm_score, sharding, simhash, topk, toxicity
 from .common import read
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_simhash": lambda s, d: simhash.near_duplicates(read(s, d, "documents")),
     "op8_bpe": lambda s, d: bpe.encode_digests(read(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op9_sharding": lambda s, d: sharding.shard(read(s, d, "documents")),
+    "op10_lm_scoring": lambda s, d: lm_score.score(read(s, d, "documents")),
 }
 
 ORACLES = {
