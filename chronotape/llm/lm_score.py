@@ -8,7 +8,7 @@ each symbol seen after it; the STATES contexts of largest gain make the tree (th
 Distributions are smoothed towards the longest retained proper suffix with weight KAPPA, down to add-a-half counts of single
 bytes, so every byte string has a positive probability and all sums are one. For scoring, the tree is closed under
 prefixes, which makes "longest retained suffix" a state machine; texts run through it many positions at a time. A token's
-spelled probability p and its training count c are blended as (c + V p) / (N + V), which sums to one over all tokens.
+spelled probability p and its training frequency c / N are blended as BLEND c / N + (1 - BLEND) p, which sums to one.
 
 Texts are dealt into batches of about BATCH_BYTES by hash. A batch sends the words that it holds once, with its training
 counts; the totals are partial sums, and each batch gets back the totals of its own words. So the vocabulary, which grows with
@@ -38,6 +38,9 @@ STATES = 32_768
 MIN_COUNT = 24
 GAIN = 8.0
 KAPPA = 4.0
+#: Weight of a token's training frequency against its spelled probability.
+BLEND = 0.35
+LOG2_10 = math.log2(10)
 BATCH_BYTES = 16 << 20
 SLICE = 8 << 20
 END = 10
@@ -250,7 +253,6 @@ def score(docs: DataFrame) -> DataFrame:
     tree = retained(seen.where(F.col("gram").isNotNull()).select("gram", "n")).toArrow()
     sent = spark.sparkContext.broadcast(tuple(tree.column(c).to_numpy() for c in ("d", "key", "n", "t")))
     key, floor = f"pst-{uuid.uuid4().hex}", math.log10(n_tokens + n_distinct + 1)
-    share = math.log10(n_distinct / (n_tokens + n_distinct)) if n_tokens else 0.0
 
     def run(_, texts: pa.Table, words: pa.Table) -> pa.Table:
         model = cached(key, sent, SuffixTree)
@@ -266,9 +268,10 @@ def score(docs: DataFrame) -> DataFrame:
             word[begin + size - 1] = False
             c[word] = np.fromiter(map(count.__getitem__, chain.from_iterable(split)), np.int64)
             spelled = model.score(split)
-            chance = np.log10((c + n_distinct * 10.0**spelled) / (n_tokens + n_distinct)) if n_tokens else spelled
-            # Where a long word underflows as a number, only its spelling counts.
-            chance = np.where((c == 0) & (n_tokens > 0), spelled + share, chance)
+            # In logarithms, as the probability of a long word may underflow.
+            whole = np.log10(np.maximum(c, 1e-300) / max(n_tokens, 1)) + math.log10(BLEND)
+            chance = np.logaddexp2(whole * LOG2_10, (spelled + math.log10(1 - BLEND)) * LOG2_10) / LOG2_10
+            chance = np.where(c > 0, chance, spelled + math.log10(1 - BLEND if n_tokens else 1))
             tokens.append(size)
             known.append(np.add.reduceat((c > 0).astype(np.int64), begin))
             base.append(np.add.reduceat(np.log10(c + 1.0), begin) - size * floor)
