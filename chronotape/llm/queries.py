@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat_format, decontaminate, line_dedup, lm_score, sharding, simhash, topk, toxicity
+from . import bpe, chat_format, decontaminate, line_dedup, lm_score, sharding, simhash, suffix_dedup, topk, toxicity
 from .common import read
 
 QUERIES = {
     "op1_line_dedup": lambda s, d: line_dedup.dedup_lines(read(s, d, "documents")),
+    "op2_suffix_dedup": lambda s, d: suffix_dedup.find_repeats(read(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.score(read(s, d, "documents"), read(s, d, "labels")),
     "op4_exact_topk": lambda s, d: topk.top_k(read(s, d, "embeddings")),
     "op5_chat_format": chat_format.format_conversations,
