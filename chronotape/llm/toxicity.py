@@ -174,7 +174,7 @@ class BlockMaxIndex:
         if not len(found):
             return self.empty_rate, found, cosine
         base = self.labels.mean()
-        return float((cosine @ self.labels[found] + PRIOR * base) / (cosine.sum() + PRIOR)), found, cosine
+        return min(1.0, float((cosine @ self.labels[found] + PRIOR * base) / (cosine.sum() + PRIOR))), found, cosine
 
     def score(self, vector, without=-1):
         raw, found, cosine = self.raw(vector, without)
