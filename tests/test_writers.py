@@ -43,6 +43,19 @@ def test_registry_rows_and_write_once(spark, folder):
     assert readers.read_reference(spark, folder + "/halts", "halts").head().reason == "LULD"
 
 
+def test_every_record_is_stored_once_per_run(spark, folder):
+    news = spark.createDataFrame([("K", T0, None, "wire", "first"), ("K", T0, None, "wire", "second"), ("K", T0, None, "wire", "second")],
+                                 "symbol string, news_available_ts timestamp, publish_ts timestamp, source string, headline string")
+    for run in ("a", "a", "b"):
+        W.write_registry(spark, W.news_rows(news, run), folder + "/news", "news", ["news_available_ts"])
+    stored = spark.read.parquet(folder + "/news")
+    assert stored.count() == 6 and stored.select("news_id").distinct().count() == 6
+    halts = "symbol string, halt_start_ts timestamp, halt_end_ts timestamp, reason string"
+    for end in (None, T0 + timedelta(minutes=5)):
+        W.write_registry(spark, W.halt_rows(spark.createDataFrame([("K", T0, end, "LULD")], halts)), folder + "/halts", "halts", ["halt_start_ts"])
+    assert spark.read.parquet(folder + "/halts").count() == 2
+
+
 def test_refusal_partition(spark):
     r = spark.createDataFrame([("UNKNOWN_SETUP",), ("LONG_ONLY_VIOLATION",), ("BURNED_CALIBRATION_SLICE",)], "reason_code string")
     assert (O.rejections_only(r).count(), O.exclusions_only(r).count(), O.by_code(r).count()) == (2, 1, 3)
