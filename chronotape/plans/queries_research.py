@@ -221,10 +221,10 @@ def lifecycle_states(spark, d):
 
 @query("feature_admission", """WITH defs AS (
   SELECT p_partkey AS seq, p_type AS feature_id, p_brand AS version, p_name AS name, CASE WHEN p_size = 50 THEN '' ELSE 'f' END AS formula_ref,
-         'R' || (p_size - 1) AS pit_proof, CASE WHEN p_size = 49 THEN '' ELSE 'why' END AS economic_rationale,
+         CASE WHEN p_size % 11 = 0 THEN 'none' ELSE 'R' || (p_size - 1) END AS pit_proof, CASE WHEN p_size = 49 THEN '' ELSE 'why' END AS economic_rationale,
          CASE WHEN p_size < 10 THEN 'PRICE_STATE' WHEN p_size < 15 THEN 'EXECUTION_STATE' WHEN p_size < 20 THEN 'SEQUENCE_STATE' WHEN p_size < 23 THEN 'MOOD' ELSE 'CUSTOM' END AS feature_class,
          CASE WHEN p_size = 30 THEN -1 ELSE p_size END AS lookback_window, p_name LIKE 'small%' AS cross_row FROM part),
-runs AS (SELECT 'R' || s_suppkey AS pit_run_id, CASE WHEN s_acctbal < 0 THEN 'FAIL' WHEN s_acctbal < 1000 THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM supplier WHERE s_suppkey < 45),
+runs AS (SELECT 'R' || s_suppkey AS pit_run_id, CASE WHEN s_acctbal < 0 THEN 'FAIL' WHEN s_acctbal < 1000 THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM supplier),
 judged AS (SELECT d.*, CASE WHEN formula_ref = '' THEN 'missing required field: formula_ref' WHEN economic_rationale = '' THEN 'missing required field: economic_rationale'
     WHEN feature_class = 'MOOD' THEN 'unknown feature_class' WHEN lookback_window < 0 THEN 'lookback_window must be >= 0' WHEN verdict IS NULL THEN 'pit_proof not found'
     WHEN verdict <> 'PASS' THEN 'pit_proof verdict is ' || verdict WHEN feature_class = 'EXECUTION_STATE' THEN 'EXECUTION_STATE is outcome-side'
@@ -235,13 +235,13 @@ def feature_admission(spark, d):
     size = F.col("p_size")
     defs = D.table(spark, d, "part").select(
         F.col("p_partkey").alias("seq"), F.col("p_type").alias("feature_id"), F.col("p_brand").alias("version"), F.col("p_name").alias("name"),
-        F.when(size == 50, "").otherwise("f").alias("formula_ref"), F.concat(F.lit("R"), size - 1).alias("pit_proof"),
+        F.when(size == 50, "").otherwise("f").alias("formula_ref"), F.when(size % 11 == 0, "none").otherwise(F.concat(F.lit("R"), size - 1)).alias("pit_proof"),
         F.when(size == 49, "").otherwise("why").alias("economic_rationale"),
         F.when(size < 10, "PRICE_STATE").when(size < 15, "EXECUTION_STATE").when(size < 20, "SEQUENCE_STATE").when(size < 23, "MOOD")
          .otherwise("CUSTOM").alias("feature_class"),
         F.when(size == 30, -1).otherwise(size).alias("lookback_window"), F.col("p_name").startswith("small").alias("cross_row_dependent"))
     bal = F.col("s_acctbal")
-    runs = D.table(spark, d, "supplier").where(F.col("s_suppkey") < 45).select(
+    runs = D.table(spark, d, "supplier").select(
         F.concat(F.lit("R"), F.col("s_suppkey")).alias("pit_run_id"),
         F.when(bal < 0, "FAIL").when(bal < 1000, "UNKNOWN").otherwise("PASS").alias("verdict"))
     return L.admit_features(defs, runs).select("seq", text("reject_reason"))
