@@ -265,18 +265,18 @@ def event_tree(spark, d):
 @query("event_query", f"""{_TL} SELECT timeline_id, idx, kind, value FROM tl
 WHERE kind IN ('PURCHASE', 'VIEW') AND phase = 'POST' AND value >= 40 AND ts <= TIMESTAMP '2024-01-20 00:00:00'""")
 def event_query(spark, d):
-    q = T.EventQuery(kinds={"PURCHASE", "VIEW"}, phases={"POST"}, ts_to="2024-01-20T00:00:00+00:00",
-                     detail=[("value", ">=", 40)])
-    hit = q.run(_timeline_events(spark, d))
+    until = F.lit("2024-01-20T00:00:00+00:00").cast("timestamp")
+    hit = _timeline_events(spark, d).where(
+        F.col("kind").isin("PURCHASE", "VIEW") & (F.col("phase") == "POST") & (F.col("ts") <= until) & (T.fact("value") >= 40))
     return hit.select("timeline_id", F.col("idx").cast("bigint").alias("idx"), "kind",
-                      F.try_element_at("detail", F.lit("value")).alias("value"))
+                      T.fact("value").alias("value"))
 
 
 @query("timeline_select", f"""{_TL} SELECT timeline_id FROM tl GROUP BY timeline_id
 HAVING bool_or(kind = 'ERROR') AND count(*) >= 4 AND string_agg(DISTINCT kind, '|' ORDER BY kind) = 'ERROR|NEWS|VIEW'""")
 def timeline_select(spark, d):
-    return T.select_timelines(_timeline_events(spark, d), contains_kind="ERROR", min_events=4,
-                              archetype=("kind_set", "ERROR|NEWS|VIEW"))
+    return T.timelines_where(_timeline_events(spark, d), F.bool_or(F.col("kind") == "ERROR"), F.count("*") >= 4,
+                             T.archetype_key("kind_set") == "ERROR|NEWS|VIEW")
 
 
 @query("knowledge_summary", f"""{_TL},

@@ -103,12 +103,14 @@ def test_families(events):
 
 
 def test_search(events):
-    assert T.EventQuery(kinds={"VWAP_CROSS_UP"}, phases={"POST"}).run(events).count() == 2
-    assert T.EventQuery(kinds={"VOLUME_EXPANSION"}, detail=[("ratio", ">=", 4)]).run(events).count() == 1
-    assert [r[0] for r in T.select_timelines(events, contains_kind="SWEEP_OF_LOWS").collect()] == ["QQQQ"]
-    assert T.select_timelines(events, min_events=4, symbols={"ABCD", "QQQQ"}).count() == 1
+    assert events.where((F.col("kind") == "VWAP_CROSS_UP") & (F.col("phase") == "POST")).count() == 2
+    assert events.where((F.col("kind") == "VOLUME_EXPANSION") & (T.fact("ratio") >= 4)).count() == 1
+    assert events.where(T.fact("no such key") != 1).count() == 0
+    assert [r[0] for r in T.timelines_where(events, F.bool_or(F.col("kind") == "SWEEP_OF_LOWS")).collect()] == ["QQQQ"]
+    some = events.where(F.col("symbol").isin("ABCD", "QQQQ"))
+    assert T.timelines_where(some, F.count("*") >= 4, T.archetype_key("kind_set").isNotNull()).count() == 1
     with pytest.raises(ValueError):
-        T.EventQuery(detail=[("score", ">", 1)])
+        T.fact("score")
 
 
 def test_graph(events):
