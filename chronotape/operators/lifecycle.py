@@ -96,42 +96,43 @@ def current_states(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[
 # -- features ---------------------------------------------------------------------------------
 def admit_features(defs: DataFrame, gate_runs: DataFrame, stored: DataFrame | None = None,
                    classes: Sequence[str] = FEATURE_CLASSES) -> DataFrame:
-    """Add `reject_reason` (NULL = admitted) to definitions; the first failing rule is named.
+    """Add `reject_code` (NULL = admitted) and `reject_about` (the field or value at fault) of the first failing rule.
 
     `gate_runs` holds (pit_run_id, verdict). Of several admissible rows for one (id, version)
     only the first by seq is admitted.
     """
     verdicts = gate_runs.select(F.col("pit_run_id").alias("pit_proof"), F.col("verdict").alias("_verdict"))
     rows = defs.join(verdicts, "pit_proof", "left")
-    reason = None
-    for name in REQUIRED_FEATURE_FIELDS:
-        empty = F.coalesce(F.col(name), F.lit("")) == ""
-        text = f"missing required field: {name}"
-        reason = F.when(empty, text) if reason is None else reason.when(empty, text)
-    reason = (
-        reason.when(~F.coalesce(F.col("feature_class").isin(*classes), F.lit(False)), "unknown feature_class")
-        .when(F.col("lookback_window").isNull() | (F.col("lookback_window") < 0), "lookback_window must be >= 0")
-        .when(F.col("_verdict").isNull(), "pit_proof not found")
-        .when(F.col("_verdict") != "PASS", F.concat(F.lit("pit_proof verdict is "), F.col("_verdict")))
-        .when(F.col("feature_class") == "EXECUTION_STATE", "EXECUTION_STATE is outcome-side")
-        .when((F.col("feature_class") == "SEQUENCE_STATE") & ~F.coalesce(F.col("cross_row_dependent"), F.lit(False)),
-              "SEQUENCE_STATE requires cross_row_dependent"))
-    judged = rows.withColumn("reject_reason", reason).drop("_verdict")
+    kind, none = F.col("feature_class"), F.lit("")
+
+    def refuse(code: str, about: Column) -> Column:
+        return F.struct(F.lit(code).alias("code"), about.alias("about"))
+
+    rules = [(F.coalesce(F.col(c), none) == "", "EMPTY_FIELD", F.lit(c)) for c in REQUIRED_FEATURE_FIELDS] + [
+        (~F.coalesce(kind.isin(*classes), F.lit(False)), "CLASS", F.coalesce(kind, none)),
+        (F.coalesce(F.col("lookback_window"), F.lit(-1)) < 0, "LOOKBACK", F.coalesce(F.col("lookback_window").cast("string"), none)),
+        (F.col("_verdict").isNull(), "NO_PROOF", F.col("pit_proof")),
+        (F.col("_verdict") != "PASS", "PROOF", F.col("_verdict")),
+        (kind == "EXECUTION_STATE", "OUTCOME_SIDE", kind),
+        ((kind == "SEQUENCE_STATE") & ~F.coalesce(F.col("cross_row_dependent"), F.lit(False)), "NOT_CROSS_ROW", kind)]
+    reason = F.coalesce(*[F.when(broken, refuse(code, about)) for broken, code, about in rules])
+    judged = rows.withColumns({"reject_code": reason["code"], "reject_about": reason["about"]}).drop("_verdict")
     key = ["feature_id", "version"]
-    fit = judged.where(F.col("reject_reason").isNull())
+    fit = judged.where(F.col("reject_code").isNull())
     first = fit.groupBy(*key).agg(F.min("seq").alias("_first"))
     out = judged.join(first, key, "left")
     taken = F.col("_first").isNotNull() & (F.col("seq") != F.col("_first"))
     if stored is not None:
         out = out.join(stored.select(*key).distinct().withColumn("_held", F.lit(True)), key, "left")
         taken = taken | F.col("_held").isNotNull()
-    return out.withColumn("reject_reason", F.coalesce(
-        "reject_reason", F.when(taken, "versions are write-once"))).select(*defs.columns, "reject_reason")
+    late = F.col("reject_code").isNull() & taken
+    return out.select(*defs.columns, F.when(late, "TAKEN").otherwise(F.col("reject_code")).alias("reject_code"),
+                      F.when(late, F.col("version")).otherwise(F.col("reject_about")).alias("reject_about"))
 
 
 # -- hypotheses -------------------------------------------------------------------------------
 def register_hypotheses(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Add `reject_reason`: a statement, a predicted effect and a test spec must come first; ids are unique."""
+    """Add `reject_code`: INCOMPLETE without a statement, a predicted effect and a test spec; TAKEN for a used id."""
     incomplete = F.lit(False)
     for c in ("statement", "predicted_effect", "frozen_test_spec"):
         incomplete = incomplete | (F.coalesce(F.col(c), F.lit("")) == "")
@@ -143,8 +144,8 @@ def register_hypotheses(incoming: DataFrame, stored: DataFrame | None = None) ->
     if stored is not None:
         out = out.join(stored.select("hypothesis_id").distinct().withColumn("_held", F.lit(True)), "hypothesis_id", "left")
         again = again | F.col("_held").isNotNull()
-    reason = F.when(F.col("_incomplete"), "incomplete pre-registration").when(again, "already registered")
-    return out.withColumn("reject_reason", reason).select(*incoming.columns, "reject_reason")
+    code = F.when(F.col("_incomplete"), "INCOMPLETE").when(again, "TAKEN")
+    return out.select(*incoming.columns, code.alias("reject_code"))
 
 
 def loggable_experiments(experiments: DataFrame, hypotheses: DataFrame) -> DataFrame:

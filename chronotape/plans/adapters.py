@@ -14,7 +14,6 @@ from ..operators.bars import BarClock, with_spread
 from ..session import configure, cut_lineage
 
 DAY_CLOCK = BarClock(unit_seconds=86_400)
-FIRST_YEAR, LAST_YEAR = 1995, 2001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +45,22 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rth", "session_close")
 
 
+def micros(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Add `<name>_u`: the value in millionths as a whole number, a form that every engine renders alike."""
+    return rows.withColumns({f"{n}_u": F.round(F.col(n) * 1_000_000).cast("bigint") for n in names})
+
+
 def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars written once, for plans that read them several times (a real bar table is stored)."""
     return cut_lineage(bars(spark, sf_dir))
 
 
+def sql_years(symbols: str, day: str, source: str) -> str:
+    """Spine of all symbols and of every year between the ends of a table."""
+    return (f"spine AS (SELECT symbol, CAST(y AS VARCHAR) AS session FROM ({symbols}), (SELECT unnest(generate_series(min(year({day})), "
+            f"max(year({day})))) AS y FROM {source}))")
+
+
 SQL_BARS = """
 bars AS (
   SELECT 'S' || l_suppkey AS symbol, strftime(l_shipdate, '%Y') AS session, l_shipdate AS ts,

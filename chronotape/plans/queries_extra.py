@@ -10,12 +10,11 @@ from ..operators import observations as O
 from ..operators import timelines as T
 from ..operators.detectors import halt_facts
 from ..session import cut_lineage
-from ..sources.spine import year_spine
 from ..sources.tables import same_content
 from . import adapters as D
 from .dataset import dataset_version, select_observations
 from .queries_bars import _TO_OUTCOME, GRID
-from .queries_quality import SQL_BAR_SPINE, SQL_HASH, validated
+from .queries_quality import SQL_BAR_SPINE, SQL_BOTH_HASHES, SQL_GAPS, SQL_VERDICT, bar_spine, validated_again
 from .queries_registries import SQL_TO_BUILT, built
 from .queries_tape import _TL, _timeline_events
 from .registry import iso, query, r6, sql_iso, sql_r6
@@ -33,8 +32,7 @@ SELECT (SELECT count(DISTINCT (symbol, session, entry_ts)) FROM outcome) AS entr
        (SELECT count(*) FROM spine) AS symbol_days, (SELECT count(*) FROM spine WHERE (symbol, session) NOT IN (SELECT (symbol, session) FROM bars)) AS empty_days""")
 def grid_stats(spark, d):
     bars, entries, touches = _touched(spark, d)
-    suppliers = D.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"))
-    return B.run_stats(year_spine(suppliers, D.FIRST_YEAR, D.LAST_YEAR + 1), bars, entries, touches)
+    return B.run_stats(bar_spine(spark, d), bars, entries, touches)
 
 
 @query("outcome_labels", f"""{_TO_OUTCOME},
@@ -68,11 +66,12 @@ def halt_events(spark, d):
     return halt_facts(D.halts(spark, d), F.date_format("halt_start_ts", "yyyy-MM-dd")).select("symbol", iso("ts"), "kind")
 
 
-@query("same_content", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_HASH}
-SELECT count(*) AS n FROM spine LEFT JOIN stream_hash USING (symbol, session) WHERE h IS NULL HAVING count(*) > 1""")
+@query("same_content", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS}, {SQL_VERDICT}, {SQL_BOTH_HASHES},
+runs AS (SELECT content_hash FROM hashed UNION ALL SELECT content_hash FROM hashed JOIN verdicts USING (symbol, session) WHERE verdict <> 'PASS')
+SELECT content_hash, count(*) AS n FROM runs GROUP BY content_hash HAVING count(*) > 1""")
 def same_content_batches(spark, d):
-    """Batches that share a content hash: here exactly the empty ones."""
-    return same_content(validated(spark, d).provenance).select("n")
+    """Contents with more than one provenance row: batches validated again, and empty ones."""
+    return same_content(validated_again(spark, d)).select("content_hash", "n")
 
 
 @query("dataset_selection", f"""{SQL_TO_BUILT} SELECT count(*) AS n_rows FROM built

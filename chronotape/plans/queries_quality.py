@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import instant
 from ..operators import quality as Q
-from ..sources.spine import year_spine
+from ..sources.spine import outside_spine, year_spine
 from . import adapters as D
 from .registry import query, sql_iso
 from .validation import validate
@@ -23,12 +23,12 @@ def customer_orders(spark, d):
     o = D.table(spark, d, "orders")
     rows = o.select(F.concat(F.lit("C"), F.col("o_custkey")).alias("symbol"), F.date_format("o_orderdate", "yyyy").alias("session"),
                     F.col("o_orderkey").alias("seq"), instant(F.col("o_orderdate")).alias("ts"))
-    return year_spine(rows, D.FIRST_YEAR, D.LAST_YEAR), rows
+    return year_spine(rows, rows), rows
 
 
-SQL_ORDER_BATCHES = """
+SQL_ORDER_BATCHES = f"""
 rows0 AS (SELECT 'C' || o_custkey AS symbol, strftime(o_orderdate, '%Y') AS session, o_orderkey AS seq, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders),
-spine AS (SELECT symbol, CAST(y AS VARCHAR) AS session FROM (SELECT DISTINCT symbol FROM rows0), generate_series(1995, 2001) g(y))"""
+{D.sql_years("SELECT DISTINCT symbol FROM rows0", "o_orderdate", "orders")}"""
 
 
 @query("chronology_check", f"""WITH {SQL_ORDER_BATCHES},
@@ -45,7 +45,7 @@ def chronology_check(spark, d):
   SELECT o_orderpriority AS symbol, strftime(o_orderdate, '%Y') AS session, o_orderkey AS seq, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders),
 dup AS (SELECT *, row_number() OVER (PARTITION BY symbol, session, ts ORDER BY seq) AS rn FROM rows0),
 ex AS (SELECT symbol, session, seq, {sql_iso('ts')} AS note, row_number() OVER (PARTITION BY symbol, session ORDER BY seq) AS k FROM dup WHERE rn > 1),
-spine AS (SELECT symbol, CAST(y AS VARCHAR) AS session FROM (SELECT DISTINCT symbol FROM rows0), generate_series(1995, 2001) g(y)),
+{D.sql_years("SELECT DISTINCT symbol FROM rows0", "o_orderdate", "orders")},
 agg AS (SELECT symbol, session, count(*) AS n, string_agg(note, ';' ORDER BY seq) FILTER (WHERE k <= 3) AS examples FROM ex GROUP BY ALL)
 SELECT symbol, session, 'bars_duplication' AS "check", CASE WHEN n IS NULL THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(n, 0) AS n,
        coalesce(examples, '') AS examples FROM spine LEFT JOIN agg USING (symbol, session)""")
@@ -53,11 +53,10 @@ def duplicate_check(spark, d):
     o = D.table(spark, d, "orders")
     rows = o.select(F.col("o_orderpriority").alias("symbol"), F.date_format("o_orderdate", "yyyy").alias("session"),
                     F.col("o_orderkey").alias("seq"), instant(F.col("o_orderdate")).alias("ts"))
-    return _flat(Q.duplication(year_spine(rows, D.FIRST_YEAR, D.LAST_YEAR), rows))
+    return _flat(Q.duplication(year_spine(rows, rows), rows))
 
 
-SQL_BAR_SPINE = f"""
-spine AS (SELECT 'S' || s_suppkey AS symbol, CAST(y AS VARCHAR) AS session FROM supplier, generate_series({D.FIRST_YEAR}, {D.LAST_YEAR + 1}) g(y))"""
+SQL_BAR_SPINE = "\n" + D.sql_years("SELECT DISTINCT 'S' || s_suppkey AS symbol FROM supplier", "l_shipdate", "lineitem")
 
 SQL_GAPS = f"""
 gaps AS (SELECT symbol, session, seq, lag(ts) OVER w AS f, ts AS t, date_diff('second', lag(ts) OVER w, ts) AS s
@@ -70,7 +69,18 @@ gap_agg AS (SELECT symbol, session, count(*) AS n, max(s) AS worst,
 
 def bar_spine(spark, d):
     suppliers = D.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"))
-    return year_spine(suppliers, D.FIRST_YEAR, D.LAST_YEAR + 1)
+    return year_spine(suppliers, D.table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy").alias("session")))
+
+
+@query("outside_spine", f"""WITH rows0 AS (SELECT 'S' || l_suppkey AS symbol, strftime(l_shipdate, '%Y') AS session FROM lineitem),
+{D.sql_years("SELECT 'S' || s_suppkey AS symbol FROM supplier WHERE s_acctbal >= 1000", "l_shipdate", "lineitem")}
+SELECT symbol, session, count(*) AS n FROM rows0 WHERE (symbol, session) NOT IN (SELECT (symbol, session) FROM spine) GROUP BY ALL""")
+def rows_outside_spine(spark, d):
+    """Shipments of suppliers that a spine of well-funded suppliers would pass over."""
+    rows = D.table(spark, d, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.date_format("l_shipdate", "yyyy").alias("session"))
+    funded = D.table(spark, d, "supplier").where("s_acctbal >= 1000").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"))
+    return outside_spine(year_spine(funded, rows), rows)
 
 
 @query("coverage_gaps", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS}
@@ -139,17 +149,30 @@ def news_provenance(spark, d):
     return Q.news_provenance(raw.select("symbol", "session").distinct(), raw).select("symbol", "session", "status", "n")
 
 
-SQL_HASH = f"""
-row_hash AS (SELECT symbol, session, seq, sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || volume) AS h FROM bars),
-chunk_hash AS (SELECT symbol, session, floor(seq / 4096) AS c, sha256(string_agg(h, chr(10) ORDER BY seq)) AS h, count(*) AS n FROM row_hash GROUP BY ALL),
-stream_hash AS (SELECT symbol, session, sha256(string_agg(h, chr(10) ORDER BY c)) AS h, sum(n) AS n FROM chunk_hash GROUP BY ALL)"""
+PRICES = ["open", "high", "low", "close"]
+HASHED = {"bars": ("ts", *[f"{c}_u" for c in PRICES], "volume"), "quotes": ("ts", "bid_u", "ask_u")}
+
+
+def _sql_stream(stream: str, source: str, numbers: list[str], rest: str = "") -> str:
+    values = "".join(f" || '|' || CAST(round({c} * 1000000) AS BIGINT)" for c in numbers)
+    return f"""{stream}_row AS (SELECT symbol, session, seq, sha256(strftime(ts, '%Y-%m-%d %H:%M:%S'){values}{rest}) AS h FROM {source}),
+{stream}_chunk AS (SELECT symbol, session, floor(seq / 4096) AS c, sha256(string_agg(h, chr(10) ORDER BY seq)) AS h, count(*) AS n FROM {stream}_row GROUP BY ALL),
+{stream}_hash AS (SELECT symbol, session, sha256(string_agg(h, chr(10) ORDER BY c)) AS h, CAST(sum(n) AS BIGINT) AS n FROM {stream}_chunk GROUP BY ALL)"""
+
+
+SQL_HASH = "\n" + _sql_stream("bars", "bars", PRICES, " || '|' || volume")
+SQL_BOTH_HASHES = f"""{SQL_HASH},
+{_sql_stream("quotes", "quoted", ["bid", "ask"])},
+hashed AS (SELECT symbol, session, coalesce(sha256('bars=' || b.h || chr(10) || 'quotes=' || q.h), sha256('')) AS content_hash, coalesce(b.n + q.n, 0) AS row_count
+           FROM spine LEFT JOIN bars_hash b USING (symbol, session) LEFT JOIN quotes_hash q USING (symbol, session))"""
 
 
 @query("content_hash", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_HASH}
-SELECT symbol, session, coalesce(sha256('bars=' || h), sha256('')) AS content_hash, CAST(coalesce(n, 0) AS BIGINT) AS row_count
-FROM spine LEFT JOIN stream_hash USING (symbol, session)""")
+SELECT symbol, session, coalesce(sha256('bars=' || h), sha256('')) AS content_hash, coalesce(n, 0) AS row_count
+FROM spine LEFT JOIN bars_hash USING (symbol, session)""")
 def content_hash(spark, d):
-    return Q.batch_hash(bar_spine(spark, d), {"bars": (D.bars(spark, d), ("ts", "volume"))})
+    """Hash over every column of the bars; prices go in as millionths."""
+    return Q.batch_hash(bar_spine(spark, d), {"bars": (D.micros(D.bars(spark, d), PRICES), HASHED["bars"])})
 
 
 SQL_VERDICT = f"""
@@ -158,12 +181,21 @@ per AS (SELECT symbol, session, coalesce(c.n, 0) AS n, coalesce(g.n, 0) AS gaps,
 verdicts AS (SELECT symbol, session, n, CASE WHEN n = 0 OR worst > 20 * {DAY} THEN 'FAIL' WHEN n < 75 OR gaps > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM per)"""
 
 
+def _streams(spark, d):
+    bars = D.micros(D.stored_bars(spark, d), [*PRICES, "bid", "ask"])
+    return Q.Streams(bars=bars, quotes=bars.select("symbol", "session", "seq", "ts", "bid", "ask", "bid_u", "ask_u"), columns=dict(HASHED))
+
+
 def validated(spark, d):
-    bars = D.stored_bars(spark, d)
-    streams = Q.Streams(bars=bars, quotes=bars.select("symbol", "session", "seq", "ts", "bid", "ask"))
-    streams.columns["bars"] = ("ts", "volume")
-    streams.columns["quotes"] = ("ts",)
-    return validate(bar_spine(spark, d), streams, limits=Q.Limits(75, 10 * DAY, 20 * DAY))
+    return validate(bar_spine(spark, d), _streams(spark, d), limits=Q.Limits(75, 10 * DAY, 20 * DAY))
+
+
+def validated_again(spark, d):
+    """Provenance of a run over all batches and of a second run over those that did not pass."""
+    streams, limits = _streams(spark, d), Q.Limits(75, 10 * DAY, 20 * DAY)
+    first = validate(bar_spine(spark, d), streams, limits=limits)
+    spine = first.verdicts.where("verdict <> 'PASS'").select("symbol", "session")
+    return first.provenance.unionByName(validate(spine, streams, run_id="again", limits=limits).provenance)
 
 
 @query("batch_verdict", f"WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS}, {SQL_VERDICT} SELECT symbol, session, verdict FROM verdicts")
@@ -181,10 +213,13 @@ def batch_checks(spark, d):
     return validated(spark, d).checks.groupBy("check", "status").agg(F.count("*").alias("n"))
 
 
-@query("validation_provenance", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS}, {SQL_VERDICT}
-SELECT symbol, session AS range_start, 'bars,quotes' AS streams, 'CONSOLIDATED_SIP' AS feed_type, n * 2 AS row_count, verdict FROM verdicts""")
+@query("validation_provenance", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS}, {SQL_VERDICT}, {SQL_BOTH_HASHES}
+SELECT substring(sha256('run|' || symbol || '|' || session || '|' || content_hash), 1, 32) AS provenance_id, 'MOCK' AS vendor, symbol,
+       session AS range_start, 'bars,quotes' AS streams, 'CONSOLIDATED_SIP' AS feed_type, row_count, content_hash, verdict
+FROM verdicts JOIN hashed USING (symbol, session)""")
 def validation_provenance(spark, d):
-    return validated(spark, d).provenance.select("symbol", "range_start", "streams", "feed_type", "row_count", "verdict")
+    return validated(spark, d).provenance.select(
+        "provenance_id", "vendor", "symbol", "range_start", "streams", "feed_type", "row_count", "content_hash", "verdict")
 
 
 @query("halt_gap_check", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS},

@@ -188,25 +188,41 @@ def audit_report(spark, d):
 _TO_STATE = {"view": "TESTING", "click": "OOS_PASS", "purchase": "VAULT_PASS", "signup": "CONFIRMED", "error": "OOS_FAIL"}
 
 
-def _moves_of(spark, d):
-    to = F.create_map(*[F.lit(x) for pair in _TO_STATE.items() for x in pair])
+_TO_FEATURE = {"view": "TESTING", "click": "PROVISIONAL", "purchase": "CONFIRMED", "signup": "OBSERVATION", "error": "TESTING"}
+
+
+def _moves_of(spark, d, states=None):
+    to = F.create_map(*[F.lit(x) for pair in (states or _TO_STATE).items() for x in pair])
     return D.events(spark, d).select("symbol", F.col("event_id").alias("seq"), to[F.col("event_type")].alias("to_state"))
 
 
-SQL_LIFE = """
-moves AS (SELECT * FROM (VALUES ('REGISTERED','TESTING'), ('REGISTERED','REJECTED'), ('TESTING','OOS_PASS'), ('TESTING','OOS_FAIL'), ('TESTING','REJECTED'),
-  ('OOS_PASS','VAULT_PASS'), ('OOS_PASS','VAULT_FAIL'), ('OOS_PASS','REJECTED'), ('OOS_FAIL','REJECTED'), ('VAULT_PASS','CONFIRMED'), ('VAULT_PASS','REJECTED'),
-  ('VAULT_FAIL','REJECTED')) m(a, b)),
-steps AS (SELECT 'U' || user_id AS symbol, event_id AS seq, CASE event_type WHEN 'view' THEN 'TESTING' WHEN 'click' THEN 'OOS_PASS' WHEN 'purchase' THEN 'VAULT_PASS'
-                 WHEN 'signup' THEN 'CONFIRMED' ELSE 'OOS_FAIL' END AS to_state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+def _sql_life(states: dict, initial: str, moves: str) -> str:
+    """Replay of the event log, one step per level; `moves` lists the allowed pairs."""
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in states.items())
+    state = "CASE WHEN l.legal THEN l.to_state ELSE l.from_state END"
+    return f"""
+moves AS (SELECT * FROM (VALUES {moves}) m(a, b)),
+steps AS (SELECT 'U' || user_id AS symbol, event_id AS seq, CASE event_type {cases} END AS to_state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 life AS (
-  SELECT symbol, n, seq, to_state, 'REGISTERED' AS from_state, ('REGISTERED', to_state) IN (SELECT (a, b) FROM moves) AS legal FROM steps WHERE n = 1
+  SELECT symbol, n, seq, to_state, '{initial}' AS from_state, ('{initial}', to_state) IN (SELECT (a, b) FROM moves) AS legal FROM steps WHERE n = 1
   UNION ALL
-  SELECT s.symbol, s.n, s.seq, s.to_state, CASE WHEN l.legal THEN l.to_state ELSE l.from_state END,
-         (CASE WHEN l.legal THEN l.to_state ELSE l.from_state END, s.to_state) IN (SELECT (a, b) FROM moves)
+  SELECT s.symbol, s.n, s.seq, s.to_state, {state}, ({state}, s.to_state) IN (SELECT (a, b) FROM moves)
   FROM life l JOIN steps s ON s.symbol = l.symbol AND s.n = l.n + 1)"""
 
 
+SQL_LIFE = _sql_life(_TO_STATE, "REGISTERED", """('REGISTERED','TESTING'), ('REGISTERED','REJECTED'), ('TESTING','OOS_PASS'), ('TESTING','OOS_FAIL'),
+  ('TESTING','REJECTED'), ('OOS_PASS','VAULT_PASS'), ('OOS_PASS','VAULT_FAIL'), ('OOS_PASS','REJECTED'), ('OOS_FAIL','REJECTED'), ('VAULT_PASS','CONFIRMED'),
+  ('VAULT_PASS','REJECTED'), ('VAULT_FAIL','REJECTED')""")
+SQL_FEATURE_LIFE = _sql_life(_TO_FEATURE, "OBSERVATION", """('OBSERVATION','TESTING'), ('OBSERVATION','REJECTED'), ('TESTING','PROVISIONAL'), ('TESTING','REJECTED'),
+  ('PROVISIONAL','CONFIRMED'), ('PROVISIONAL','REJECTED')""")
+
+
+@query("feature_lifecycle", f"""WITH RECURSIVE {SQL_FEATURE_LIFE} SELECT symbol, arg_max(CASE WHEN legal THEN to_state ELSE from_state END, n) AS state,
+  count(*) FILTER (WHERE NOT legal) AS refused FROM life GROUP BY symbol""")
+def feature_lifecycle(spark, d):
+    return L.current_states(_moves_of(spark, d, _TO_FEATURE), ["symbol"], L.FEATURE_MOVES, "OBSERVATION")
+
+
 @query("lifecycle_fold", f"WITH RECURSIVE {SQL_LIFE} SELECT symbol, seq, from_state, to_state, legal FROM life")
 def lifecycle_fold(spark, d):
     return L.replay(_moves_of(spark, d), ["symbol"], L.HYPOTHESIS_MOVES, "REGISTERED", chunk_events=2000).select(
@@ -225,12 +241,13 @@ def lifecycle_states(spark, d):
          CASE WHEN p_size < 10 THEN 'PRICE_STATE' WHEN p_size < 15 THEN 'EXECUTION_STATE' WHEN p_size < 20 THEN 'SEQUENCE_STATE' WHEN p_size < 23 THEN 'MOOD' ELSE 'CUSTOM' END AS feature_class,
          CASE WHEN p_size = 30 THEN -1 ELSE p_size END AS lookback_window, p_name LIKE 'small%' AS cross_row FROM part),
 runs AS (SELECT 'R' || s_suppkey AS pit_run_id, CASE WHEN s_acctbal < 0 THEN 'FAIL' WHEN s_acctbal < 1000 THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM supplier),
-judged AS (SELECT d.*, CASE WHEN formula_ref = '' THEN 'missing required field: formula_ref' WHEN economic_rationale = '' THEN 'missing required field: economic_rationale'
-    WHEN feature_class = 'MOOD' THEN 'unknown feature_class' WHEN lookback_window < 0 THEN 'lookback_window must be >= 0' WHEN verdict IS NULL THEN 'pit_proof not found'
-    WHEN verdict <> 'PASS' THEN 'pit_proof verdict is ' || verdict WHEN feature_class = 'EXECUTION_STATE' THEN 'EXECUTION_STATE is outcome-side'
-    WHEN feature_class = 'SEQUENCE_STATE' AND NOT cross_row THEN 'SEQUENCE_STATE requires cross_row_dependent' END AS reason
-  FROM defs d LEFT JOIN runs ON pit_run_id = pit_proof)
-SELECT seq, coalesce(reason, CASE WHEN seq <> min(seq) FILTER (WHERE reason IS NULL) OVER (PARTITION BY feature_id, version) THEN 'versions are write-once' END, '') AS reject_reason FROM judged""")
+judged AS (SELECT d.*, CASE WHEN formula_ref = '' THEN ['EMPTY_FIELD', 'formula_ref'] WHEN economic_rationale = '' THEN ['EMPTY_FIELD', 'economic_rationale']
+    WHEN feature_class = 'MOOD' THEN ['CLASS', 'MOOD'] WHEN lookback_window < 0 THEN ['LOOKBACK', CAST(lookback_window AS VARCHAR)] WHEN verdict IS NULL THEN ['NO_PROOF', pit_proof]
+    WHEN verdict <> 'PASS' THEN ['PROOF', verdict] WHEN feature_class = 'EXECUTION_STATE' THEN ['OUTCOME_SIDE', feature_class]
+    WHEN feature_class = 'SEQUENCE_STATE' AND NOT cross_row THEN ['NOT_CROSS_ROW', feature_class] END AS r
+  FROM defs d LEFT JOIN runs ON pit_run_id = pit_proof),
+final AS (SELECT seq, coalesce(r, CASE WHEN seq <> min(seq) FILTER (WHERE r IS NULL) OVER (PARTITION BY feature_id, version) THEN ['TAKEN', version] END) AS r FROM judged)
+SELECT seq, coalesce(r[1], '') AS reject_code, coalesce(r[2], '') AS reject_about FROM final""")
 def feature_admission(spark, d):
     size = F.col("p_size")
     defs = D.table(spark, d, "part").select(
@@ -244,7 +261,7 @@ def feature_admission(spark, d):
     runs = D.table(spark, d, "supplier").select(
         F.concat(F.lit("R"), F.col("s_suppkey")).alias("pit_run_id"),
         F.when(bal < 0, "FAIL").when(bal < 1000, "UNKNOWN").otherwise("PASS").alias("verdict"))
-    return L.admit_features(defs, runs).select("seq", text("reject_reason"))
+    return L.admit_features(defs, runs).select("seq", text("reject_code"), text("reject_about"))
 
 
 def _experiments(spark, d):
@@ -259,13 +276,13 @@ def family_size(spark, d):
 
 
 @query("hypothesis_registration", """WITH h AS (SELECT c_custkey AS seq, 'H' || c_nationkey AS hypothesis_id, c_acctbal < 0 AS incomplete FROM customer)
-SELECT seq, CASE WHEN incomplete THEN 'incomplete pre-registration' WHEN seq <> min(seq) FILTER (WHERE NOT incomplete) OVER (PARTITION BY hypothesis_id)
-  THEN 'already registered' ELSE '' END AS reject_reason FROM h""")
+SELECT seq, CASE WHEN incomplete THEN 'INCOMPLETE' WHEN seq <> min(seq) FILTER (WHERE NOT incomplete) OVER (PARTITION BY hypothesis_id)
+  THEN 'TAKEN' ELSE '' END AS reject_code FROM h""")
 def hypothesis_registration(spark, d):
     c = D.table(spark, d, "customer").select(
         F.col("c_custkey").alias("seq"), F.concat(F.lit("H"), F.col("c_nationkey")).alias("hypothesis_id"), F.col("c_name").alias("statement"),
         F.when(F.col("c_acctbal") >= 0, "up").alias("predicted_effect"), F.lit("{}").alias("frozen_test_spec"))
-    return L.register_hypotheses(c).select("seq", text("reject_reason"))
+    return L.register_hypotheses(c).select("seq", text("reject_code"))
 
 
 @query("experiment_orphans", """SELECT 'EXP' || o_orderkey AS experiment_id FROM orders
@@ -340,16 +357,16 @@ def _manifest(spark, d):
         F.when(status == "O", "STARTED").when(status == "F", "COMMITTED").otherwise("QUARANTINED").alias("event_type"))
 
 
-SQL_MANIFEST = """
+SQL_MANIFEST = f"""
 m AS (SELECT 'C' || o_custkey AS symbol, strftime(o_orderdate, '%Y') AS session, strftime(o_orderdate, '%Y-%m') AS run_id, o_orderkey AS seq,
              CASE o_orderstatus WHEN 'O' THEN 'STARTED' WHEN 'F' THEN 'COMMITTED' ELSE 'QUARANTINED' END AS event_type FROM orders),
 latest AS (SELECT symbol, session, last(event_type ORDER BY run_id, seq) AS status FROM m GROUP BY ALL),
-spine AS (SELECT 'C' || c_custkey AS symbol, CAST(y AS VARCHAR) AS session FROM customer, generate_series(1995, 2001) g(y))"""
+{D.sql_years("SELECT 'C' || c_custkey AS symbol FROM customer", "o_orderdate", "orders")}"""
 
 
 def _customer_years(spark, d):
     c = D.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("symbol"))
-    return P.year_spine(c, D.FIRST_YEAR, D.LAST_YEAR)
+    return P.year_spine(c, _manifest(spark, d))
 
 
 @query("manifest_status", f"WITH {SQL_MANIFEST} SELECT symbol, session, coalesce(status, 'NONE') AS status FROM spine LEFT JOIN latest USING (symbol, session)")
@@ -357,6 +374,12 @@ def manifest_status(spark, d):
     return T.status_of(_customer_years(spark, d), _manifest(spark, d)).select("symbol", "session", "status")
 
 
+@query("manifest_history", f"""WITH {SQL_MANIFEST}
+SELECT symbol, session, row_number() OVER (PARTITION BY symbol, session ORDER BY run_id, seq) AS step, run_id, seq, event_type FROM m""")
+def manifest_history(spark, d):
+    return T.history(_manifest(spark, d)).select("symbol", "session", "step", "run_id", "seq", "event_type")
+
+
 @query("pending_batches", f"WITH {SQL_MANIFEST} SELECT symbol, session FROM spine LEFT JOIN latest USING (symbol, session) WHERE status IS DISTINCT FROM 'COMMITTED'")
 def pending_batches(spark, d):
     return T.pending(_customer_years(spark, d), _manifest(spark, d)).select("symbol", "session")

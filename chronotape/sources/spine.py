@@ -27,11 +27,21 @@ def batch_spine(symbols: DataFrame, start: str, end: str, weekdays_only: bool =
     return out.select("symbol", F.col("_d").cast("string").alias("session"))
 
 
-def year_spine(symbols: DataFrame, first: int, last: int) -> DataFrame:
-    """Spine with calendar years as sessions."""
-    years = F.explode(F.sequence(F.lit(first), F.lit(last)))
-    return symbols.select("symbol").distinct().select("symbol", years.alias("_y")).select(
-        "symbol", F.col("_y").cast("string").alias("session"))
+def year_spine(symbols: DataFrame, rows: DataFrame) -> DataFrame:
+    """Spine with calendar years as sessions: every year from the first to the last session of `rows`.
+
+    The ends are one row, read from the data; no rows give an empty spine.
+    """
+    year = F.col("session").cast("int")
+    ends = rows.agg(F.min(year).alias("_a"), F.max(year).alias("_b")).where("_a IS NOT NULL").select(
+        F.explode(F.sequence("_a", "_b").cast("array<string>")).alias("session"), F.lit(1).alias("_one"))
+    return symbols.select("symbol").distinct().withColumn("_one", F.lit(1)).join(ends, "_one").select("symbol", "session")
+
+
+def outside_spine(spine: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows per (symbol, session) that no batch of the spine covers: a report over the spine would miss them."""
+    found = rows.groupBy("symbol", "session").agg(F.count("*").alias("n"))
+    return found.join(spine, ["symbol", "session"], "left_anti")
 
 
 def last_weekdays(symbols: DataFrame, end: str, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.slots import first_rows
@@ -80,6 +80,12 @@ def batch_status(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("symbol", "session").agg(F.max_by("event_type", F.struct("run_id", "seq")).alias("status"))
 
 
+def history(manifest: DataFrame) -> DataFrame:
+    """All events of each batch, numbered from 1 in the order in which they were written."""
+    order = Window.partitionBy("symbol", "session").orderBy("run_id", "seq", "event_type")
+    return manifest.withColumn("step", F.row_number().over(order).cast("bigint"))
+
+
 def status_of(specs: DataFrame, manifest: DataFrame) -> DataFrame:
     return specs.join(batch_status(manifest), ["symbol", "session"], "left").withColumn(
         "status", F.coalesce("status", F.lit(NONE)))

@@ -69,11 +69,11 @@ def test_admission(spark):
             ("k", "n", "1", "ref", "R1", "why", "SEQUENCE_STATE", 5, False), ("l", "n", "1", "ref", "R1", "why", "SEQUENCE_STATE", 5, True),
             ("m", "n", "1", "ref", "R9", "why", "CUSTOM", -1, True)]
     defs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], S.FEATURE_DEFS)
-    got = {r.seq: r.reject_reason for r in L.admit_features(defs, gate).collect()}
-    assert got[0] is None and got[7] is None
-    assert [got[i] for i in (1, 2, 3, 4)] == ["versions are write-once", "missing required field: economic_rationale",
-                                              "pit_proof verdict is FAIL", "pit_proof verdict is UNKNOWN"]
-    assert got[5].startswith("EXECUTION_STATE") and got[6].startswith("SEQUENCE_STATE") and got[8].startswith("lookback")
+    got = {r.seq: (r.reject_code, r.reject_about) for r in L.admit_features(defs, gate).collect()}
+    assert got[0] == got[7] == (None, None)
+    assert [got[i] for i in (1, 2, 3, 4)] == [
+        ("TAKEN", "1"), ("EMPTY_FIELD", "economic_rationale"), ("PROOF", "FAIL"), ("PROOF", "UNKNOWN")]
+    assert [got[i][0] for i in (5, 6, 8)] == ["OUTCOME_SIDE", "NOT_CROSS_ROW", "LOOKBACK"]
 
 
 def test_lifecycle_chunks_agree(spark):

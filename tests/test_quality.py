@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from chronotape.operators import quality as Q
 from chronotape.plans.validation import validate
+from chronotape.sources.spine import outside_spine, year_spine
+from chronotape.sources.tables import history
 from conftest import minute_bars, utc
 
 
@@ -84,3 +86,19 @@ def test_halts_explain_gaps(spark, clean):
     ok = Q.halt_consistency(spine_of(spark), gap, halts("2025-03-03T16:20:00")).where("symbol = 'ABCD'").head()
     late = Q.halt_consistency(spine_of(spark), gap, halts("2025-03-03T16:09:00").withColumn("halt_start_ts", F.lit(utc("2025-03-03T16:00:00")))).where("symbol = 'ABCD'").head()
     assert (ok.status, late.status) == ("PASS", "WARN")
+
+
+def test_year_spine_follows_the_rows(spark):
+    rows = spark.createDataFrame([("A", "2019"), ("B", "2021"), ("C", "2030"), ("A", "2019")], "symbol string, session string")
+    symbols = rows.where("symbol <> 'C'")
+    spine = year_spine(symbols, symbols)
+    assert {tuple(r) for r in spine.collect()} == {(s, y) for s in "AB" for y in ("2019", "2020", "2021")}
+    assert [tuple(r) for r in outside_spine(spine, rows).collect()] == [("C", "2030", 1)]
+    assert year_spine(symbols, rows.limit(0)).count() == 0
+
+
+def test_manifest_history(spark):
+    log = spark.createDataFrame([("r2", 1, "A", "d", "COMMITTED"), ("r1", 9, "A", "d", "STARTED"), ("r1", 1, "B", "d", "STARTED")],
+                                "run_id string, seq long, symbol string, session string, event_type string")
+    got = {(r.symbol, r.step): r.event_type for r in history(log).collect()}
+    assert got == {("A", 1): "STARTED", ("A", 2): "COMMITTED", ("B", 1): "STARTED"}
