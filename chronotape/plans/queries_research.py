@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_hash
+from ..functions.rules import CALIBRATION_ROLE
 from ..functions.times import market_session
 from ..operators import audit as U
 from ..operators import features as E
 from ..operators import lifecycle as L
 from ..operators import news as N
 from ..operators import observations as O
+from ..operators.registries import active_symbols
 from ..session import cut_lineage
 from ..sources import spine as P
 from ..sources import tables as T
 from . import adapters as D
 from .collection import account
-from .integrity import run_suite
+from .integrity import judge, run_suite
 from .queries_registries import SQL_TO_BUILT, ZONE, built, references, signal_burn, text
 from .registry import iso, query, sql_iso
 
@@ -398,17 +400,46 @@ def collection_accounting(spark, d):
     return account(spine, rows, store)
 
 
-@query("integrity_checks", f"""{_OBS},
-checks AS (SELECT '1_pit_lookup' AS "check", count(*) AS checked FROM obs UNION ALL SELECT '2_burn_isolation', count(*) FROM obs
-  UNION ALL SELECT '3_version_signing', count(*) FROM obs UNION ALL SELECT '4_anti_survivorship', count(DISTINCT symbol) FROM symver
-  UNION ALL SELECT '5_rebuild_determinism', 0 UNION ALL SELECT '6_completeness_audit', count(DISTINCT (symbol, session)) FROM signals)
-SELECT "check", TRUE AS passed, checked, 0 AS violations FROM checks""")
-def integrity_checks(spark, d):
-    signals = D.signals(spark, d)
+def _rebuild(spark, d):
     views = D.events(spark, d, "view").withColumn("session", F.date_format("ts", "yyyy-MM-dd"))
 
     def rebuild(candidates):
         seen = O.with_data_as_of(candidates, views)
         return O.build_observations(seen, references(spark, d), signal_burn(spark, d), zone=ZONE, asked=candidates,
                                     train_end="2024-01-15", val_end="2024-01-22")
-    return run_suite(signals, rebuild, D.symbol_versions(spark, d), as_of_date="2024-01-15", zone=ZONE)
+    return rebuild
+
+
+@query("integrity_checks", f"""{_OBS},
+checks AS (SELECT 'version_in_force' AS "check", count(*) AS checked FROM obs UNION ALL SELECT 'nothing_burned', count(*) FROM obs
+  UNION ALL SELECT 'signed_and_known', count(*) FROM obs UNION ALL SELECT 'active_set', count(DISTINCT symbol) FROM symver
+  UNION ALL SELECT 'same_when_rebuilt', 0 UNION ALL SELECT 'all_accounted', count(DISTINCT (symbol, session)) FROM signals)
+SELECT "check", TRUE AS passed, checked, 0 AS violations FROM checks""")
+def integrity_checks(spark, d):
+    return run_suite(D.signals(spark, d), _rebuild(spark, d), D.symbol_versions(spark, d), as_of_date="2024-01-15", zone=ZONE)
+
+
+@query("integrity_faults", f"""{_OBS},
+kept AS (SELECT * FROM obs WHERE scanner_rank <> 14),
+act AS (SELECT DISTINCT symbol FROM symver WHERE active_from <= DATE '2024-01-15' AND (active_to IS NULL OR DATE '2024-01-15' < active_to)),
+checks AS (
+  SELECT 'version_in_force' AS "check", count(*) AS checked, count(*) FILTER (WHERE scanner_rank = 11) AS violations FROM kept
+  UNION ALL SELECT 'nothing_burned', count(*), count(*) FILTER (WHERE scanner_rank = 12) FROM kept
+  UNION ALL SELECT 'signed_and_known', count(*), count(*) FILTER (WHERE scanner_rank IN (11, 13)) FROM kept
+  UNION ALL SELECT 'active_set', (SELECT count(DISTINCT symbol) FROM symver) + 1, count(*) + 1 FROM act WHERE symbol LIKE '%7'
+  UNION ALL SELECT 'same_when_rebuilt', n, n FROM (SELECT count(*) FILTER (WHERE scanner_rank = 14)
+    + 2 * count(*) FILTER (WHERE scanner_rank = 11 AND reason_code IS NULL) AS n FROM built)
+  UNION ALL SELECT 'all_accounted', count(DISTINCT (symbol, session)), count(DISTINCT (symbol, session)) FILTER (WHERE scanner_rank = 14) FROM signals)
+SELECT "check", violations = 0 AS passed, checked, violations FROM checks""")
+def integrity_faults(spark, d):
+    """The same checks on tables with planted faults: each must find just these."""
+    signals, symbols = D.signals(spark, d), D.symbol_versions(spark, d)
+    good = cut_lineage(_rebuild(spark, d)(signals))
+    rank, kept = F.col("scanner_rank"), F.col("reason_code").isNull()
+    bad = good.where(rank != 14).withColumns({
+        "symbol_registry_id": F.when(kept & (rank == 11), "NO_SUCH_VERSION").otherwise(F.col("symbol_registry_id")),
+        "dataset_role": F.when(kept & (rank == 12), CALIBRATION_ROLE).otherwise(F.col("dataset_role")),
+        "direction": F.when(kept & (rank == 13), "SHORT").otherwise(F.col("direction"))})
+    listed = active_symbols(symbols, "2024-01-15").where(~F.col("symbol").endswith("7"))
+    ghost = symbols.agg(F.lit("GHOST").alias("symbol"))
+    return judge(signals, bad, good, listed.unionByName(ghost), symbols, as_of_date="2024-01-15", zone=ZONE)
