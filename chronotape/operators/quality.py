@@ -136,6 +136,19 @@ def feed_is_consolidated(feeds: DataFrame, vendor: str) -> bool:
     return bool(row and row[0])
 
 
+def consolidation_by_feed(spine: DataFrame, served: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The same check from a feeds table: `served` names the vendors (symbol, session, vendor) behind each batch.
+
+    `n` counts vendors that aren't known as consolidated; one is enough to fail, and so is a batch without a vendor.
+    """
+    known = feeds.groupBy("vendor").agg(F.bool_and(F.coalesce("consolidated", F.lit(False))).alias("_ok"))
+    per = served.select(*SESSION, "vendor").distinct().join(known, "vendor", "left").groupBy(*SESSION).agg(
+        F.count(F.when(~F.coalesce("_ok", F.lit(False)), 1)).alias("_bad"))
+    return spine.join(per, SESSION, "left").select(
+        *SESSION, F.lit("consolidation").alias("check"), F.when(F.col("_bad") == 0, "PASS").otherwise("FAIL").alias("status"),
+        F.coalesce("_bad", F.lit(0)).alias("n"), F.array().cast("array<string>").alias("examples"))
+
+
 def _constant(spine: DataFrame, check: str, status: str) -> DataFrame:
     return spine.select(*SESSION, F.lit(check).alias("check"), F.lit(status).alias("status"),
                         F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("examples"))

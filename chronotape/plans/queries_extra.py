@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import label_of
 from ..operators import barriers as B
+from ..operators.bars import mark_session
 from ..operators import observations as O
 from ..operators import timelines as T
 from ..operators.detectors import halt_facts
@@ -35,6 +36,14 @@ def grid_stats(spark, d):
     return B.run_stats(bar_spine(spark, d), bars, entries, touches)
 
 
+@query("rth_marks", f"""WITH local AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS l FROM events)
+SELECT event_id, CAST(l AS TIME) >= TIME '09:30:00' AND CAST(l AS TIME) < TIME '16:00:00' AS rth,
+       {sql_iso("timezone('UTC', timezone('America/New_York', date_trunc('day', l) + INTERVAL 16 HOUR))", 'session_close')} FROM local""")
+def rth_marks(spark, d):
+    """Regular hours by the exchange's clock for every event."""
+    return mark_session(D.events(spark, d)).select("event_id", "rth", iso("session_close"))
+
+
 @query("outcome_labels", f"""{_TO_OUTCOME},
 coded AS (SELECT k, CAST(h AS BIGINT) AS h, CASE barrier WHEN 'PROFIT' THEN 1 WHEN 'STOP' THEN -1 ELSE 0 END AS ternary,
                  CASE barrier WHEN 'PROFIT' THEN 1 WHEN 'STOP' THEN -1 ELSE CAST(sign(ret) AS INTEGER) END AS signed FROM outcome)

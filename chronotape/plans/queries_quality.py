@@ -222,6 +222,23 @@ def validation_provenance(spark, d):
         "provenance_id", "vendor", "symbol", "range_start", "streams", "feed_type", "row_count", "content_hash", "verdict")
 
 
+@query("consolidation_check", f"""WITH {SQL_BAR_SPINE},
+served AS (SELECT DISTINCT 'S' || l_suppkey AS symbol, strftime(l_shipdate, '%Y') AS session, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+           WHERE s_acctbal >= 0),
+per AS (SELECT symbol, session, count(*) FILTER (WHERE n_regionkey IS NULL OR n_regionkey = 2) AS n FROM served LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)
+SELECT symbol, session, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(n, 0) AS n FROM spine LEFT JOIN per USING (symbol, session)""")
+def consolidation_check(spark, d):
+    """Nations as vendors: those of one region run single-venue feeds, and suppliers in debt have no vendor."""
+    vendors = D.table(spark, d, "supplier").where("s_acctbal >= 0").select(
+        F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"), F.col("s_nationkey").cast("string").alias("vendor"))
+    feeds = D.table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("string").alias("vendor"), (F.col("n_regionkey") != 2).alias("consolidated"))
+    spine = bar_spine(spark, d)
+    shipped = D.table(spark, d, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.date_format("l_shipdate", "yyyy").alias("session")).distinct()
+    return Q.consolidation_by_feed(spine, shipped.join(vendors, "symbol"), feeds).select("symbol", "session", "status", "n")
+
+
 @query("halt_gap_check", f"""WITH {D.SQL_BARS}, {SQL_BAR_SPINE}, {SQL_GAPS},
 halt AS (SELECT 'S' || l_suppkey AS symbol, l_shipdate AS s, l_shipdate + INTERVAL 12 DAY AS e FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'),
 open_gaps AS (SELECT symbol, session, count(*) AS n FROM long_gaps g WHERE NOT EXISTS (

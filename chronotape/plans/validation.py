@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
 from ..operators.bars import SESSION
-from ..operators.quality import Streams, batch_hash, run_checks, verdict
+from ..operators.quality import Streams, batch_hash, feed_is_consolidated, run_checks, verdict
 from ..session import cut_lineage
 
 
@@ -21,13 +21,16 @@ class Validation:
 
 
 def validate(spine: DataFrame, streams: Streams, *, vendor: str = "MOCK", adapter_version: str = "1",
-             run_id: str = "run", consolidated: bool = True, **check_options) -> Validation:
+             run_id: str = "run", consolidated: bool = True, feeds: DataFrame | None = None, **check_options) -> Validation:
     """Validate every batch of the spine. Input frames are only read; keep using them as they are.
 
     `run_id` separates repeated validations of the same batch: each run appends its own
-    provenance row, and equal `content_hash` values link them.
+    provenance row, and equal `content_hash` values link them. With a `feeds` table the vendor's
+    row decides `consolidated`; an unknown vendor is not consolidated.
     """
     spine = spine.select(*SESSION).distinct()
+    if feeds is not None:
+        consolidated = feed_is_consolidated(feeds, vendor)
     checks = cut_lineage(run_checks(spine, streams, consolidated=consolidated, **check_options))
     verdicts = verdict(checks)
     hashes = batch_hash(spine, streams.present())
