@@ -102,3 +102,15 @@ def test_manifest_history(spark):
                                 "run_id string, seq long, symbol string, session string, event_type string")
     got = {(r.symbol, r.step): r.event_type for r in history(log).collect()}
     assert got == {("A", 1): "STARTED", ("A", 2): "COMMITTED", ("B", 1): "STARTED"}
+
+
+def test_feeds_decide_consolidation(spark, clean):
+    feeds = spark.createDataFrame([("SIP", True), ("VENUE", False)], "vendor string, consolidated boolean")
+    run = validate(spine_of(spark), streams(clean), vendor="VENUE", feeds=feeds)
+    assert run.provenance.where("symbol = 'ABCD'").head().feed_type == "SINGLE_VENUE"
+    served = spark.createDataFrame([("ABCD", "2025-03-03", v) for v in ("SIP", "SIP", "VENUE", "OTHER")],
+                                   "symbol string, session string, vendor string")
+    both = {r.symbol: (r.status, r.n) for r in Q.consolidation_by_feed(spine_of(spark), served, feeds).collect()}
+    assert both == {"ABCD": ("FAIL", 2), "NONE": ("FAIL", 0)}
+    good = Q.consolidation_by_feed(spine_of(spark), served.where("vendor = 'SIP'"), feeds).where("symbol = 'ABCD'").head()
+    assert (good.status, good.n) == ("PASS", 0)
