@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import digest
 from ..operators.roles import pipeline_rows
@@ -28,23 +29,19 @@ def select_observations(
     return rows if labels is None else rows.join(labels, "candidate_key", "left")
 
 
-def dataset_version(rows: DataFrame) -> DataFrame:
-    """One row (n_rows, dataset_version): an order-free hash of the selected keys.
+def dataset_version(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row (n_rows, dataset_version): an order-free hash of the content of `columns` (all, if not given).
 
-    Keys are hashed per shard of their first three hex digits, then over the shards, so no
-    list grows with the data set beyond a shard of it.
+    Each row gives a full sha-256 digest; the sums of its eight 32-bit words and the row count make the version. Sums are
+    partial aggregates, so no list grows with the data set, and repeated rows count.
     """
-    keyed = rows.select("candidate_key", F.substring("candidate_key", 1, 3).alias("_shard"))
-    # Within a shard, sums of key digests are order-free; the count guards against cancellation.
-    parts = keyed.groupBy("_shard").agg(
-        F.count("*").alias("_n"),
-        F.sum(F.conv(F.substring("candidate_key", 4, 8), 16, 10).cast("decimal(38,0)")).alias("_a"),
-        F.sum(F.conv(F.substring("candidate_key", 12, 8), 16, 10).cast("decimal(38,0)")).alias("_b"))
-    item = F.struct("_shard", digest([F.col("_shard"), F.col("_n"), F.col("_a"), F.col("_b")]).alias("h"))
-    return parts.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["h"]), "\n"), 256), 1, 16)
-         .alias("dataset_version"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    parts = [F.array_sort(F.map_entries(c)).alias(c) if isinstance(kinds[c], T.MapType) else F.col(c)
+             for c in sorted(columns or rows.columns)]
+    hashed = rows.select(F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256).alias("_h"))
+    words = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"_w{i}") for i in range(8)]
+    total = hashed.agg(F.count("*").alias("n_rows"), *words)
+    return total.select("n_rows", digest([F.col("n_rows"), *[F.col(f"_w{i}") for i in range(8)]]).alias("dataset_version"))
 
 
 def features_long(observations: DataFrame) -> DataFrame:

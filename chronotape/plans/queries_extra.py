@@ -83,11 +83,15 @@ def same_content_batches(spark, d):
     return same_content(validated_again(spark, d)).select("content_hash", "n")
 
 
-@query("dataset_selection", f"""{SQL_TO_BUILT} SELECT count(*) AS n_rows FROM built
-WHERE reason_code IS NULL AND dataset_role IN ('TRAIN', 'VALIDATION') AND session BETWEEN '2024-01-05' AND '2024-01-25'""")
+_WORDS = " || '|' || ".join(f"coalesce(CAST(sum(CAST('0x' || substring(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR), '')" for i in range(8))
+
+
+@query("dataset_selection", f"""{SQL_TO_BUILT}, picked AS (SELECT sha256('{{"candidate_key":"' || candidate_key || '"}}') AS h FROM built
+WHERE reason_code IS NULL AND dataset_role IN ('TRAIN', 'VALIDATION') AND session BETWEEN '2024-01-05' AND '2024-01-25')
+SELECT count(*) AS n_rows, sha256(count(*) || '|' || {_WORDS}) AS dataset_version FROM picked""")
 def dataset_selection(spark, d):
     rows = select_observations(O.accepted(built(spark, d)), roles=["TRAIN", "VALIDATION"], start="2024-01-05", end="2024-01-25")
-    return dataset_version(rows).select("n_rows")
+    return dataset_version(rows, ["candidate_key"])
 
 
 @query("archetype_index", f"""{_TL} SELECT timeline_id, symbol, {sql_iso('anchor_ts', 'anchor_ts')}, 'post_kind_set' AS scheme,
