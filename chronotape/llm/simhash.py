@@ -10,6 +10,10 @@ forest (fewer links than fingerprints), never all pairs. A bucket of more than B
 each pair of slices is a task of its own, so no task holds an unbounded bucket. The links of all buckets are joined
 into components by distributed star steps.
 
+The pipeline's stage asks for Jaccard similarity instead, which no bit limit decides. Its candidates share one of STAGE_BANDS
+hashes of STAGE_MINIMA minima (MinHash); bands with the same members are compared once, with their texts, and only pairs
+whose exact shingle sets reach the similarity are linked.
+
 Defined cases: null or empty text has no words and fingerprint zero, linked like any other; repeated rows share a
 component; a null doc_id never names a component unless no other id is reachable (then null); an empty table gives an
 empty result.
@@ -191,19 +195,142 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
         F.col("component").alias("component_id"))
 
 
-#: Of the stage: five-word shingles, 256 bits. A Jaccard similarity of 0.8 is a cosine of 0.89, where 39 of 256 bits differ
-#: on average, with a standard deviation of about 6.
-STAGE_WIDTH, STAGE_LANES, STAGE_BITS, STAGE_BLOCKS = 5, 4, 44, 5
+#: Of the stage: word shingles, least Jaccard similarity (a fraction), bands and minima per band. A pair of similarity J shares
+#: no band with probability (1 - J^4)^32, which is 5e-8 at 0.8.
+STAGE_WIDTH, STAGE_NUM, STAGE_DEN, STAGE_BANDS, STAGE_MINIMA = 5, 4, 5, 32, 4
+#: Shingles in one comparing task; a larger group is cut into slices that meet in pairs.
+GROUP_SHINGLES = 1 << 20
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Distinct XXH64 (seed 42) hashes of the word shingles that `fingerprint` counts, in order."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *[e + 1 for e in ends]]
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1:] or ends[-1:])], np.uint64))
+
+
+def band_keys(sets: list[np.ndarray], bands: int, minima: int) -> np.ndarray:
+    """(sets, bands): hashes of `minima` minima each, over as many permutations of the shingle hashes. No set is empty."""
+    every, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+    constants = np.random.default_rng(42).integers(0, 2**63, (bands, minima, 2), dtype=np.uint64)
+    keys = np.zeros((len(sets), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(sets), b, np.uint64)
+        for add, factor in constants[b]:
+            mixed = (every ^ add) * (factor << np.uint64(1) | np.uint64(1))
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0xD6E8FEB86659FD93)
+            key ^= key >> np.uint64(32)
+        keys[:, b] = key
+    return keys
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose exact Jaccard similarity is at least STAGE_NUM / STAGE_DEN."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes, n = sizes[order], len(sets)
+    # A partner has at most STAGE_DEN / STAGE_NUM times the shingles, so the partners after a row end here.
+    ends = np.searchsorted(sizes * STAGE_NUM, sizes * STAGE_DEN, side="right")
+    token, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)[1:]
+    owner, known = np.repeat(np.arange(n), sizes), count[token] > 1
+    token, owner = token[known], owner[known]
+    edge = np.searchsorted(owner, np.arange(n + 1))
+    by = np.argsort(token, kind="stable")
+    posting, begin = owner[by], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(count)))])
+    label, out = np.arange(n), []
+    for i in range(n):
+        end = ends[i]
+        if end <= i + 1 or (label[i + 1:end] == label[i]).all():
+            continue
+        mine = token[edge[i]:edge[i + 1]]
+        many = begin[mine + 1] - begin[mine]
+        at = np.arange(many.sum()) + np.repeat(begin[mine] - np.cumsum(many) + many, many)
+        common = np.bincount(posting[at], minlength=n)[i + 1:end]
+        near = common * STAGE_DEN >= (sizes[i] + sizes[i + 1:end] - common) * STAGE_NUM
+        for j in (np.flatnonzero(near & (label[i + 1:end] != label[i])) + i + 1).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _members(vertices: DataFrame) -> DataFrame:
+    """(task, v): vertices that share a band. Bands with the same vertices are one group; a large group is cut into slices."""
+    rows = vertices.select("v", "n", F.explode("keys").alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"),
+                                   *[F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"x{i}") for i in range(2)]).where("m > 1")
+    groups = cut_lineage(groups.groupBy("m", "n", "x0", "x1").agg(F.min("k").alias("k")).select("k", F.when(
+        F.col("n") > GROUP_SHINGLES, F.ceil(F.col("n") * 2 / GROUP_SHINGLES)).otherwise(1).cast("int").alias("slices")))
+    dealt = (rows.join(groups, "k").withColumn("own", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int"))
+             .withColumn("other", F.explode(F.expr("sequence(0, slices - 1)"))))
+    return dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "v")
+
+
+def similar_links(vertices: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v) links of exact similarity that connect all vertices (v, n, keys, id, mark) found by a band; rows hold the texts."""
+    members = cut_lineage(_members(vertices))
+    asked = vertices.select("v", "id", "mark").join(members.select("v").distinct(), "v", "left_semi")
+    texts = rows.select("id", "mark", "body").join(asked, ["id", "mark"]).groupBy("v").agg(F.first("body").alias("body"))
+
+    def run(batches):
+        task, names, sets = None, [], []
+
+        def flush():
+            pairs = similar(sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs], pa.int64()),
+                                               pa.array([names[j] for _, j in pairs], pa.int64())], names=["u", "v"])
+        for batch in batches:
+            body = batch.column("body")
+            body = body.cast(pa.large_binary() if pa.types.is_large_string(body.type) else pa.binary())
+            for t, v, x in zip(batch.column("task").to_pylist(), batch.column("v").to_pylist(), body, strict=True):
+                if t != task:
+                    yield flush()
+                    task, names, sets = t, [], []
+                names.append(v)
+                sets.append(shingles(x.as_py(), STAGE_WIDTH))
+        yield flush()
+
+    met = members.join(texts, "v").select("task", "v", "body").repartition("task").sortWithinPartitions("task")
+    return met.mapInArrow(run, "u bigint, v bigint")
+
+
+def similar_classes(rows: DataFrame) -> DataFrame:
+    """(v, id, mark, component) of the distinct shingle sets of rows (id, mark, body): id and mark of the first row."""
+    def make():
+        def step(texts):
+            sets = [shingles(t, STAGE_WIDTH) for t in texts]
+            some, keys = [s for s in sets if len(s)], np.zeros((0, STAGE_BANDS), np.uint64)
+            if some:
+                keys = band_keys(some, STAGE_BANDS, STAGE_MINIMA)
+            kind = pa.list_(pa.field("element", pa.int64()))
+            offsets = np.cumsum([0, *[STAGE_BANDS * (len(s) > 0) for s in sets]]).astype(np.int32)
+            return [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
+                    pa.array(np.array([len(s) for s in sets], np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()), type=kind)]
+        return step
+
+    prints = map_texts(rows, make, "v bigint, n bigint, keys array<bigint>", ["id", "mark"])
+    vertices = cut_lineage(prints.groupBy("v").agg(F.min(F.struct("id", "mark")).alias("k"), F.first("n").alias("n"),
+                                                   F.first("keys").alias("keys")).select("v", "k.*", "n", "keys"))
+    roots = components(similar_links(vertices, rows))
+    return vertices.select("v", "id", "mark").join(roots.withColumnRenamed("u", "v"), "v", "left").select(
+        "v", "id", "mark", F.coalesce("root", "v").alias("component"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id (null only if there is no other).
 
+    Groups are connected by pairs of Jaccard similarity 0.8 or more, each checked on the exact sets of shingle hashes.
     Rows that share this doc_id and text are repeated rows, of which one stays. Columns are those of `docs`.
     """
     rows = rows_of(docs).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
-    prints = cut_lineage(fingerprints(rows.select("id", "mark", "body"), STAGE_WIDTH, ["id", "mark"], STAGE_LANES))
-    found = clusters(prints, STAGE_BITS, STAGE_BLOCKS)
+    found = similar_classes(rows.select("id", "mark", "body"))
     stay = found.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k")).select("k.*")
     # Join and grouping share their keys, so texts are exchanged once.
     one = rows.join(stay, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row"))

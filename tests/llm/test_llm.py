@@ -186,6 +186,32 @@ def test_simhash_components_and_stage(spark):
     assert one == many
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_simhash_stage_keeps_exact_jaccard_classes(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", limit)  # the smaller limit cuts groups into slices
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(60, 200))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), max(1, len(copy) * rnd.randint(1, 6) // 100)):
+                copy[at] = f"x{rnd.randint(0, 5000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    assert all(sum(low <= x < low + 0.1 for x in jaccard.values()) > 20 for low in (0.6, 0.7, 0.8))
+    first = list(range(len(texts)))
+    for (i, j), x in jaccard.items():
+        if x >= 0.8 and first[i] != first[j]:
+            a, b = sorted((first[i], first[j]))
+            first = [a if f == b else f for f in first]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.stage(d).collect()) == sorted(set(first))
+    assert simhash.stage(empty(spark)).count() == 0
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
