@@ -4,7 +4,7 @@ A text is its lower-cased words, each followed by a space, and one end symbol: t
 score, so the probability of the symbols is a probability of the token sequence. Contexts of up to DEPTH symbols are
 counted over all training texts. A context is retained if it occurs at least MIN_COUNT times and the likelihood ratio of
 its next-symbol distribution against that of its suffix (count x Kullback-Leibler divergence) exceeds GAIN plus one for
-each symbol seen after it; the STATES contexts of largest gain make the tree (the documented size of the model).
+each symbol seen after it; all such contexts make the tree, so it grows with the training texts.
 Distributions are smoothed towards the longest retained proper suffix with weight KAPPA, down to add-a-half counts of single
 bytes, so every byte string has a positive probability and all sums are one. For scoring, the tree is closed under
 prefixes, which makes "longest retained suffix" a state machine; texts run through it many positions at a time. A token's
@@ -12,7 +12,8 @@ spelled probability p and its training frequency c / N are blended as BLEND c /
 
 Texts are dealt into batches of about BATCH_BYTES by hash. A batch sends the words that it holds once, with its training
 counts; the totals are partial sums, and each batch gets back the totals of its own words. So the vocabulary, which grows with
-the corpus, is never whole in one place. The model is a broadcast bounded by STATES.
+the corpus, is never whole in one place. Likewise a batch sends its distinct contexts and gets back the part of the tree that
+occurs in it: the others can't be met while scoring it, so the scores are those of the whole tree.
 
 Defined cases: null or empty text has one token, the end; a null doc_id counts as training; repeated rows count and score as
 often as they occur; without training texts the base is one for every token and the model is uniform; an empty table gives an
@@ -22,19 +23,18 @@ empty result.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, cut_lineage, keyed, ship
+from .common import cut_lineage, keyed, ship
 
 DEPTH = 5
-STATES = 32_768
 MIN_COUNT = 24
 GAIN = 8.0
 KAPPA = 4.0
@@ -129,30 +129,59 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.repartition("batch").select("batch", "train", "body").mapInArrow(run, "batch int, word binary, gram bigint, n bigint")
 
 
-def retained(counts: DataFrame, limit: int = STATES) -> DataFrame:
+def contexts(docs: DataFrame) -> DataFrame:
+    """(batch, ctx): distinct windows of DEPTH symbols of all texts of a batch, packed like those of `grams`."""
+    def run(batches):
+        seen: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            place = np.array(b.column("batch").to_pylist(), np.int64)
+            body = b.column("body").cast(pa.large_binary() if pa.types.is_large_string(b.column("body").type) else pa.binary())
+            at = 0
+            for part in slices(body.to_pylist()):
+                own = place[at:at + len(part)]
+                at += len(part)
+                for p in np.unique(own).tolist():
+                    found = seen.setdefault(p, [])
+                    found.append(np.unique(grams([words_of(t) for t, q in zip(part, own.tolist()) if q == p])[0] >> 8))
+                    if len(found) > 8:
+                        seen[p] = [np.unique(np.concatenate(found))]
+        for p, found in seen.items():
+            k = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), p, np.int32)), pa.array(k)], names=["batch", "ctx"])
+
+    return docs.repartition("batch").select("batch", "body").mapInArrow(run, "batch int, ctx bigint")
+
+
+def _low(symbols):
+    """Mask of so many trailing symbols."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (symbols * 8).cast("int")) - 1
+
+
+def of_batches(tree: DataFrame, met: DataFrame) -> DataFrame:
+    """(batch, d, key, n, t) of the contexts of the tree that occur in a batch; the root belongs to all. met: (batch, ctx)."""
+    level = F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("d")
+    own = met.select("batch", "ctx", level).select("batch", "d", F.col("ctx").bitwiseAND(_low(F.col("d"))).alias("ctx")).distinct()
+    rows = tree.where("d > 0").withColumn("ctx", F.shiftright("key", 8)).join(own, ["d", "ctx"])
+    # The root has at most 256 rows.
+    roots = met.select("batch").distinct().crossJoin(F.broadcast(tree.where("d = 0")))
+    return rows.select("batch", "d", "key", "n", "t").unionByName(roots.select("batch", "d", "key", "n", "t"))
+
+
+def retained(counts: DataFrame) -> DataFrame:
     """(d, key, n, t) of the retained contexts and the root: key holds d context symbols and the next, t the context's count."""
     level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d")
-    low = lambda symbols: F.call_function("shiftleft", F.lit(1).cast("bigint"), (symbols * 8).cast("int")) - 1
-    seen = (counts.select("gram", "n", level).select("d", F.col("gram").bitwiseAND(low(F.col("d") + 1)).alias("key"), "n")
+    seen = (counts.select("gram", "n", level).select("d", F.col("gram").bitwiseAND(_low(F.col("d") + 1)).alias("key"), "n")
             .groupBy("d", "key").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("key", 8)))
     seen = cut_lineage(seen)
     totals = seen.groupBy("d", "ctx").agg(F.sum("n").alias("t"))
     full = cut_lineage(seen.join(totals, ["d", "ctx"]))
     up = full.select((F.col("d") + 1).alias("d"), F.col("key").alias("up"), F.col("n").alias("pn"), F.col("t").alias("pt"))
-    own = full.where((F.col("d") > 0) & (F.col("t") >= MIN_COUNT)).withColumn("up", F.col("key").bitwiseAND(low(F.col("d"))))
+    own = full.where((F.col("d") > 0) & (F.col("t") >= MIN_COUNT)).withColumn("up", F.col("key").bitwiseAND(_low(F.col("d"))))
     term = F.col("n") * F.log((F.col("n") / F.col("t")) / (F.col("pn") / F.col("pt")))
     gains = own.join(up, ["d", "up"]).groupBy("d", "ctx").agg(F.sum(term).alias("gain"), F.count(F.lit(1)).alias("symbols"))
-    passed = cut_lineage(gains.where(F.col("gain") > F.col("symbols") + GAIN).select(
-        "d", "ctx", F.floor(F.log2("gain") * 16).cast("int").alias("grade")))
-    kept, lowest = 0, 2**30
-    for r in sorted(passed.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
-        if kept + r["count"] > limit:
-            break
-        kept, lowest = kept + r["count"], r["grade"]
-    # At most `limit` contexts: a bounded broadcast.
-    chosen = passed.where(F.col("grade") >= lowest).select("d", "ctx")
+    passed = gains.where(F.col("gain") > F.col("symbols") + GAIN).select("d", "ctx")
     return full.where("d = 0").select("d", "key", "n", "t").unionByName(
-        full.join(F.broadcast(chosen), ["d", "ctx"], "left_semi").select("d", "key", "n", "t"))
+        full.join(passed, ["d", "ctx"], "left_semi").select("d", "key", "n", "t"))
 
 
 class SuffixTree:
@@ -250,12 +279,14 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     ends = n_train or 0
     n_tokens, n_distinct = (total or 0) + ends, distinct + (ends > 0)
-    tree = retained(seen.where(F.col("gram").isNotNull()).select("gram", "n")).toArrow()
-    sent = spark.sparkContext.broadcast(tuple(tree.column(c).to_numpy() for c in ("d", "key", "n", "t")))
-    key, floor = f"pst-{uuid.uuid4().hex}", math.log10(n_tokens + n_distinct + 1)
+    tree = cut_lineage(retained(seen.where(F.col("gram").isNotNull()).select("gram", "n")))
+    floor = math.log10(n_tokens + n_distinct + 1)
 
     def run(_, texts: pa.Table, words: pa.Table) -> pa.Table:
-        model = cached(key, sent, SuffixTree)
+        states = words.column("word").is_null()
+        learned = words.filter(states)
+        model = SuffixTree(tuple(learned.column(c).to_numpy() for c in ("d", "key", "n", "t")))
+        words = words.filter(pc.invert(states))
         count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
         body = texts.column("body").cast(pa.large_binary() if pa.types.is_large_string(texts.column("body").type) else pa.binary())
         tokens, known, base, scores = [], [], [], [np.zeros(0)]
@@ -284,5 +315,6 @@ def score(docs: DataFrame) -> DataFrame:
                          "score": join(scores, float)})
 
     dictionary = of_batch.join(counts, "word", "left").select("batch", "word", F.coalesce("c", F.lit(0)).cast("bigint").alias("c"))
+    dictionary = dictionary.unionByName(of_batches(tree, cut_lineage(contexts(rows))), allowMissingColumns=True)
     return rows.groupBy("batch").cogroup(dictionary.groupBy("batch")).applyInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -252,6 +252,39 @@ def test_lm_base_score_and_probability(spark):
     assert np.allclose(chance[:, :-1].sum(1) + chance[:, -1] * 254, 1, atol=1e-4)
 
 
+def test_lm_keeps_every_context_that_passes(spark):
+    # 60,000 contexts of five symbols, each with one next symbol of its own: parents with two children differ from both.
+    rnd = np.random.default_rng(8)
+    digits = np.unique(rnd.integers(0, 12, (60_000, 5)), axis=0)
+    ctx = (digits + 97) @ (1 << np.arange(32, -1, -8))
+    next_one = 97 + rnd.integers(0, 64, len(ctx))
+    gram = (ctx << 8) | next_one
+    counts = spark.createDataFrame(list(zip(gram.tolist(), [100] * len(gram))), "gram bigint, n bigint")
+    want = set()
+    for d in range(1, lm_score.DEPTH + 1):
+        mine, above = {}, {}
+        for g in gram.tolist():
+            for level, k in ((mine, d), (above, d - 1)):
+                own = level.setdefault((g >> 8) & ((1 << 8 * k) - 1), {})
+                own[g & 255] = own.get(g & 255, 0) + 100
+        for c, own in mine.items():
+            up, t = above[c & ((1 << 8 * (d - 1)) - 1)], sum(own.values())
+            whole = sum(up.values())
+            if sum(n * np.log((n / t) / (up[x] / whole)) for x, n in own.items()) > len(own) + lm_score.GAIN:
+                want.add((d, c))
+    kept = lm_score.retained(counts).where("d > 0").selectExpr("d", "shiftright(key, 8) AS ctx").distinct().collect()
+    assert len(want) > 32_768 and {(r["d"], r["ctx"]) for r in kept} == want
+
+
+def test_lm_parts_of_the_tree_score_like_the_whole(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    read = lambda: {r["doc_id"]: r["score"] for r in lm_score.score(d).collect()}
+    whole = read()
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 100_000)
+    parts = read()
+    assert whole.keys() == parts.keys() and all(abs(x - parts[i]) < 1e-6 * abs(x) for i, x in whole.items())
+
+
 def test_pipeline_keeps_one_of_each(spark):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
