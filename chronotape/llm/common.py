@@ -61,14 +61,15 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_texts(df: DataFrame, make, fields: str, keep: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, make, fields: str, keep: list[str] | None = None, also: list[str] | None = None) -> DataFrame:
     """Apply a function on whole texts: columns `keep` pass through, `fields` (DDL) are new.
 
     `make()` runs once per task and gives a function from a list of UTF-8 bytes to one list or Arrow array per field.
+    The columns `also` are handed to it as further arguments (Arrow arrays) and don't pass through.
     Texts are handed over in slices of about SLICE_BYTES, so memory follows the longest text, not the batch.
     """
     ship(df.sparkSession)
-    keep = keep if keep is not None else [c for c in df.columns if c != "body"]
+    keep, also = keep if keep is not None else [c for c in df.columns if c != "body"], also or []
     added = T.StructType.fromDDL(fields)
     schema = T.StructType([*[df.schema[c] for c in keep], *added.fields])
     types = to_arrow_schema(added).types
@@ -85,14 +86,15 @@ def map_texts(df: DataFrame, make, fields: str, keep: list[str] | None = None) -
                     size += lengths[end] or 0
                     end += 1
                 part = batch.slice(at, end - at)
-                got = step([t or b"" for t in body.slice(at, end - at).to_pylist()])
+                got = step([t or b"" for t in body.slice(at, end - at).to_pylist()],
+                           *[part.column(part.schema.get_field_index(c)) for c in also])
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(part.schema.get_field_index(c)) for c in keep],
                      *[x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(got, types, strict=True)]],
                     names=[f.name for f in schema.fields])
                 at = end
 
-    return df.select(*keep, "body").mapInArrow(run, schema)
+    return df.select(*keep, *also, "body").mapInArrow(run, schema)
 
 
 _CACHE: dict = {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat_format, decontaminate, line_dedup, lm_score, sharding, simhash, suffix_dedup, topk, toxicity
+from . import (bpe, chat_format, decontaminate, line_dedup, lm_score, merkle, periodic_runs, sharding, simhash, suffix_dedup,
+               token_counts, topk, toxicity)
 from .common import read
 
 QUERIES = {
@@ -18,6 +19,10 @@ QUERIES = {
     "op8_bpe": lambda s, d: bpe.encode_digests(read(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op9_sharding": lambda s, d: sharding.shard(read(s, d, "documents")),
     "op10_lm_scoring": lambda s, d: lm_score.score(read(s, d, "documents")),
+    "op11_periodic_runs": lambda s, d: periodic_runs.find_runs(read(s, d, "documents"), periodic_runs.planted()),
+    "op12_merkle": lambda s, d: merkle.verify(read(s, d, "documents"), merkle.tampered()),
+    "op13_token_counts": lambda s, d: token_counts.count_tokens(read(s, d, "documents"),
+                                                                public_tokenizers.path("word_bpe_49k.json")),
 }
 
 ORACLES = {
@@ -25,4 +30,5 @@ ORACLES = {
     "op4_exact_topk": topk.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
