@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import SIGNATURE_FIELDS, candidate_key, digest, registry_signature
 from ..functions.times import EXCHANGE_ZONE, iso_utc, local_date
-from .asof import DAY, Highest, asof_fold
+from ..session import cut_lineage
+from .asof import MAX_ROWS, Highest, asof_fold
 from .registries import resolve_regime, resolve_scanner, resolve_setup, resolve_symbol, resolve_universe
 from .roles import assign_roles
 
@@ -42,24 +43,27 @@ class References:
     cadence: str = "1H"
 
 
-def with_data_as_of(candidates: DataFrame, bars: DataFrame, by: Sequence[str] = ("symbol", "session"),
-                    slot_seconds: int = DAY) -> DataFrame:
-    """Add `data_as_of_ts`: the newest bar at or before the signal, else the signal time itself."""
-    out = asof_fold(candidates, bars, by, "signal_ts", "ts", {"_bar": Highest(F.col("ts"))}, slot_seconds=slot_seconds)
+def with_data_as_of(candidates: DataFrame, bars: DataFrame, by: Sequence[str] = ("symbol", "session")) -> DataFrame:
+    """Add `data_as_of_ts`: the newest bar at or before the signal, else the signal time itself.
+
+    Sessions are bounded by the calendar, so they are not cut further.
+    """
+    out = asof_fold(candidates, bars, by, "signal_ts", "ts", {"_bar": Highest(F.col("ts"))}, max_rows=None)
     return out.withColumn("data_as_of_ts", F.coalesce("_bar", "signal_ts")).drop("_bar")
 
 
 def resolve_references(candidates: DataFrame, refs: References, *, zone: str = EXCHANGE_ZONE,
-                       slot_seconds: int = DAY, asked: DataFrame | None = None) -> DataFrame:
+                       max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Resolve all references as of the signal and set `reason_code` (NULL when complete).
 
-    `asked` is the frame `candidates` was derived from, if that is cheaper to read again.
+    Only row number, keys and time go through the as-of joins; the ids are joined back once.
     """
-    kw = {"slot_seconds": slot_seconds, "asked": candidates if asked is None else asked}
-    out = resolve_symbol(candidates, refs.symbols, zone=zone, **kw)
-    out = resolve_regime(out, refs.regimes, spec=refs.regime_spec, cadence=refs.cadence, **kw)
-    out = resolve_universe(out, refs.universes, **kw)
-    out = resolve_scanner(resolve_setup(out, refs.setups), refs.scanners)
+    rows = cut_lineage(candidates.withColumn("_row", F.monotonically_increasing_id()))
+    thin = rows.select("_row", "symbol", "universe_id", "signal_ts")
+    ids = resolve_symbol(thin, refs.symbols, zone=zone, max_rows=max_rows, asked=thin)
+    ids = resolve_regime(ids, refs.regimes, spec=refs.regime_spec, cadence=refs.cadence, max_rows=max_rows, asked=thin)
+    ids = resolve_universe(ids, refs.universes, max_rows=max_rows, asked=thin).drop("symbol", "universe_id", "signal_ts")
+    out = resolve_scanner(resolve_setup(rows.join(ids, "_row").drop("_row"), refs.setups), refs.scanners)
     reason = F.when(F.col("direction") != "LONG", LONG_ONLY)
     for column, code in MISSING_REFERENCE:
         reason = reason.when(F.col(column).isNull(), code)
@@ -73,7 +77,7 @@ def no_features(observations: DataFrame) -> Column:
 
 def build_observations(
     candidates: DataFrame, refs: References, burned: DataFrame, *, zone: str = EXCHANGE_ZONE,
-    features: Callable[[DataFrame], Column] = no_features, slot_seconds: int = DAY, asked: DataFrame | None = None,
+    features: Callable[[DataFrame], Column] = no_features,
     **boundaries: str | None,
 ) -> DataFrame:
     """All candidates with their observation fields, `candidate_key` and final `reason_code`.
@@ -81,7 +85,7 @@ def build_observations(
     Signature and key exist only for complete rows. A complete but burned row keeps its key
     and gets the exclusion code. `candidates` needs `data_as_of_ts`.
     """
-    rows = resolve_references(candidates, refs, zone=zone, slot_seconds=slot_seconds, asked=asked)
+    rows = resolve_references(candidates, refs, zone=zone)
     rows = assign_roles(rows, burned, local_date(F.col("signal_ts"), zone), **boundaries)
     signed = F.col("reason_code").isNull()
     rows = rows.withColumn("registry_signature_hash", F.when(signed, registry_signature()))

@@ -15,7 +15,7 @@ from ..functions.hashing import numbered_id, row_hash
 from ..functions.rules import MATERIAL_CHANGE, float_bucket, relative_change
 from ..functions.times import local_date, seconds_between, slot_of
 from ..session import cut_lineage
-from .asof import DAY, Highest, Latest, Total, asof_fold, asof_join
+from .asof import Highest, Latest, Total, asof_fold, asof_join
 from .slots import with_previous, with_running_count
 
 CATEGORICAL = ("exchange", "sector", "listing_status", "country", "is_etf", "is_adr", "is_spac", "borrowable_flag")
@@ -26,7 +26,7 @@ _FAR_FUTURE = "9999-12-31 00:00:00"
 # -- writing symbol versions --------------------------------------------------------------
 def version_refreshes(
     refreshes: DataFrame, *, categorical: Sequence[str] = CATEGORICAL, shares: str = "shares_outstanding",
-    free_float: str = "free_float", tie: Sequence[str] = (), slot_seconds: int = 30 * DAY,
+    free_float: str = "free_float", tie: Sequence[str] = (), slot_seconds: int = 30 * 86_400,
     current: DataFrame | None = None,
 ) -> DataFrame:
     """Turn vendor refreshes into versions: one row per refresh that triggers a version.
@@ -123,7 +123,7 @@ def resolve_symbol(signals: DataFrame, versions: DataFrame, ts: str = "signal_ts
 
 def resolve_regime(signals: DataFrame, regimes: DataFrame, ts: str = "signal_ts", *, spec: str = "v1",
                    cadence: str = "1H", **kw) -> DataFrame:
-    """Add the market-wide `regime_snapshot_id`; work is spread over time slots, not keys."""
+    """Add the market-wide `regime_snapshot_id`; its one global key is spread over slices of equal depth."""
     own = regimes.where((F.col("regime_spec_version") == spec) & (F.col("cadence") == cadence))
     return asof_join(signals, own, [], ts, "regime_ts", ["regime_snapshot_id"], tie=["regime_snapshot_id"],
                      **kw)

@@ -12,7 +12,6 @@ from .. import schemas as S
 from ..functions.rules import CALIBRATION_ROLE
 from ..functions.times import EXCHANGE_ZONE
 from ..operators import observations as O
-from ..operators.asof import fit_slot
 from ..operators.bars import SESSION
 from ..operators.quality import Streams
 from ..operators.roles import assert_no_calibration_leak
@@ -118,11 +117,8 @@ def collect(
     passing = batches.where(~withheld)
     found = candidates(passing.select(*SESSION)) if callable(candidates) else candidates.join(
         passing.select(*SESSION), SESSION, "left_semi")
-    # Regimes have one global key, the hottest there is: its slots are narrow enough for all.
-    slot = fit_slot([(found, "signal_ts"), (refs.regimes, "regime_ts")], [])
     seen = O.with_data_as_of(found, streams.bars)
-    built = O.build_observations(seen, refs, burned, zone=zone, features=features, asked=found, slot_seconds=slot,
-                                 **(boundaries or {}))
+    built = O.build_observations(seen, refs, burned, zone=zone, features=features, **(boundaries or {}))
     store = T.read_table(spark, paths.observations, _STORE_DDL)
     # Keys contain the signal time, so only the sessions of this run can hold duplicates.
     low, high = passing.agg(F.min("session"), F.max("session")).head()

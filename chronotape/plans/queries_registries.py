@@ -8,7 +8,7 @@ from ..operators import observations as O
 from ..operators import registries as R
 from ..operators import roles as P
 from ..functions.times import iso_utc
-from ..operators.asof import asof_small, with_validity
+from ..operators.asof import asof_index, with_validity
 from . import adapters as D
 from .registry import iso, query, r6, sql_iso, sql_r6
 
@@ -40,8 +40,9 @@ def asof_regime(spark, d):
 SELECT s.event_id, coalesce(r.regime_snapshot_id, '') AS regime_snapshot_id
 FROM signals s ASOF LEFT JOIN regimes r ON s.signal_ts >= r.regime_ts""")
 def asof_regime_interval(spark, d):
-    """Same result by the size-checked interval form."""
-    out = asof_small(D.signals(spark, d), D.regimes(spark, d), [], "signal_ts", "regime_ts", ["regime_snapshot_id"])
+    """Same result by the index of short version arrays."""
+    index = asof_index(D.regimes(spark, d), [], "regime_ts", ["regime_snapshot_id"], tie=["regime_snapshot_id"])
+    out = index.lookup(D.signals(spark, d), "signal_ts", ["regime_snapshot_id"])
     return out.select("event_id", text("regime_snapshot_id"))
 
 
@@ -214,7 +215,7 @@ def built(spark, d):
     bars = D.events(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("session"), "ts", "event_type")
     signals = D.signals(spark, d)
     candidates = O.with_data_as_of(signals, bars.where(F.col("event_type") == "view"))
-    return O.build_observations(candidates, references(spark, d), signal_burn(spark, d), zone=ZONE, asked=signals,
+    return O.build_observations(candidates, references(spark, d), signal_burn(spark, d), zone=ZONE,
                                 train_end="2024-01-15", val_end="2024-01-22")
 
 

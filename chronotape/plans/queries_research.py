@@ -405,7 +405,7 @@ def _rebuild(spark, d):
 
     def rebuild(candidates):
         seen = O.with_data_as_of(candidates, views)
-        return O.build_observations(seen, references(spark, d), signal_burn(spark, d), zone=ZONE, asked=candidates,
+        return O.build_observations(seen, references(spark, d), signal_burn(spark, d), zone=ZONE,
                                     train_end="2024-01-15", val_end="2024-01-22")
     return rebuild
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
-from ..operators.asof import with_validity
+from ..operators.asof import asof_index
 from ..operators.news import STORY_WINDOW_SECONDS, link_duplicates
 from ..sources import tables as T
 
@@ -62,15 +62,9 @@ def link_news_stream(records: DataFrame, path: str, checkpoint: str,
 
 # -- as-of enrichment ---------------------------------------------------------------------------
 def enrich_as_of(signals: DataFrame, versions: DataFrame, by: list[str], left_ts: str, right_ts: str,
-                 columns: list[str]) -> DataFrame:
-    """Stream-static as-of: the static versions become half-open intervals, the stream joins on key and range."""
-    v = with_validity(versions.select(*by, right_ts, *columns), by, right_ts)
-    v = v.select(*[F.col(c).alias(f"_r_{c}") for c in v.columns])
-    hit = (F.col(left_ts) >= F.col(f"_r_{right_ts}")) & (
-        F.col("_r_valid_to").isNull() | (F.col(left_ts) < F.col("_r_valid_to")))
-    for c in by:
-        hit = hit & (F.col(c) == F.col(f"_r_{c}"))
-    return signals.join(v, hit, "left").select(*signals.columns, *[F.col(f"_r_{c}").alias(c) for c in columns])
+                 columns: list[str], tie: Sequence[str] = ()) -> DataFrame:
+    """Stream-static as-of by an index of the static versions: the stream joins on equal keys and slices only."""
+    return asof_index(versions, by, right_ts, columns, tie=tie).lookup(signals, left_ts, columns)
 
 
 # -- forward outcomes ---------------------------------------------------------------------------

@@ -3,7 +3,10 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from chronotape.operators.asof import DAY, Highest, Latest, Total, asof_fold, asof_join, asof_small, fit_slot
+import pytest
+
+from chronotape.operators.asof import Highest, Latest, Total, asof_fold, asof_index, asof_join
+from chronotape.operators.slices import equal_depth
 from chronotape.operators.slots import ordinal_chunk, with_previous, with_running_count
 from chronotape.operators.stats import describe, exact_median
 from conftest import utc
@@ -33,11 +36,12 @@ def brute(left, right, strict=False):
     return out
 
 
-def test_folds_match_brute_force_across_empty_slots(spark):
+@pytest.mark.parametrize("goal", [None, 7, 40])
+def test_folds_match_brute_force_at_any_depth(spark, goal):
     left, right, (l, r) = make(spark)
     for strict in (False, True):
         got = asof_fold(l, r, ["k"], "t", "rt", {"a": Latest(("v",)), "b": Highest(F.col("v")),
-                                                 "c": Total(F.lit(1).cast("bigint"))}, strict=strict, slot_seconds=7200)
+                                                 "c": Total(F.lit(1).cast("bigint"))}, strict=strict, max_rows=goal)
         rows = {x.id: (x.a.v if x.a else None, x.b, x.c) for x in got.collect()}
         assert rows == brute(left, right, strict)
 
@@ -45,8 +49,8 @@ def test_folds_match_brute_force_across_empty_slots(spark):
 def test_forms_agree(spark):
     _, _, (l, r) = make(spark, 2)
     a = asof_join(l, r, ["k"], "t", "rt", ["v"]).collect()
-    b = asof_small(l, r, ["k"], "t", "rt", ["v"]).collect()
-    c = asof_small(l, r, ["k"], "t", "rt", ["v"], max_broadcast_rows=5).collect()
+    b = asof_index(r, ["k"], "rt", ["v"]).lookup(l, "t", ["v"]).collect()
+    c = asof_index(r, ["k"], "rt", ["v"], max_rows=5).lookup(l, "t", ["v"]).collect()
     l.createOrReplaceTempView("l")
     r.createOrReplaceTempView("r")
     d = spark.sql("select l.*, x.v from l left join lateral (select v from r where r.k = l.k and r.rt <= l.t "
@@ -60,8 +64,11 @@ def test_no_keys_ties_and_nulls(spark):
     r = spark.createDataFrame([("A", T0, 1), ("A", T0, 2), (None, T0, 7)], "k string, rt timestamp, v int")
     got = {x.id: x.v for x in asof_join(l, r, ["k"], "t", "rt", ["v"], tie=["v"]).collect()}
     assert got == {1: None, 2: 2, 3: None}
-    everyone = {x.id: x.v for x in asof_join(l, r.where("k = 'A'"), [], "t", "rt", ["v"], tie=["v"]).collect()}
-    assert everyone == {1: 2, 2: 2, 3: None}
+    for goal in (None, 1):
+        everyone = asof_join(l, r.where("k = 'A'"), [], "t", "rt", ["v"], tie=["v"], max_rows=goal).collect()
+        assert {x.id: x.v for x in everyone} == {1: 2, 2: 2, 3: None}
+    index = asof_index(r.where("k = 'A'"), [], "rt", ["v"], tie=["v"], max_rows=1)
+    assert {x.id: x.v for x in index.lookup(l, "t", ["v"]).collect()} == {1: 2, 2: 2, 3: None}
 
 
 def test_chunked_previous_and_count(spark):
@@ -89,10 +96,36 @@ def test_exact_median(spark):
     assert (empty["count"], empty.median) == (0, None)
 
 
-def test_fit_slot(spark):
-    left, right, (l, r) = make(spark)
-    assert fit_slot([(l, "t"), (r, "rt")], ["k"], max_rows=10_000) == 30 * DAY
-    narrow = fit_slot([(l, "t"), (r, "rt")], ["k"], max_rows=20)
-    most = l.unionByName(r.select(F.lit(0).alias("id"), "k", F.col("rt").alias("t"))).groupBy(
-        "k", F.floor(F.unix_timestamp("t") / narrow)).count().agg(F.max("count")).head()[0]
-    assert narrow < 30 * DAY and most <= 20
+def test_no_slice_is_deeper_than_the_goal(spark):
+    """One key, one day and one instant that hold nearly all rows; a rare key stays whole."""
+    rnd = random.Random(6)
+    minute = lambda m: T0 + timedelta(minutes=m)
+    left = ([(i, "HOT", minute(500)) for i in range(3000)] + [(3000 + i, "HOT", minute(rnd.randrange(1440))) for i in range(1500)]
+            + [(5000 + i, "HOT", minute(rnd.randrange(1440 * 300))) for i in range(100)] + [(6000 + i, "B", minute(i)) for i in range(20)]
+            + [(7000, None, minute(1)), (7001, "HOT", None)])
+    right = [("HOT", minute(rnd.randrange(1440)), i) for i in range(900)] + [("HOT", minute(500), 1000 + i) for i in range(900)] + [("B", minute(3), 9)]
+    l = spark.createDataFrame(left, "id int, k string, t timestamp")
+    r = spark.createDataFrame(right, "k string, rt timestamp, v int")
+    goal = 200
+    for by in (["k"], []):
+        slices = equal_depth([(l, F.unix_micros("t")), (r, F.unix_micros("rt"))], by, max_rows=goal)
+        depth = slices.place(l, F.unix_micros("t")).groupBy(*by, "_slice").count().agg(F.max("count")).head()[0]
+        assert depth <= 2.5 * goal
+    for strict in (False, True):
+        out = asof_join(l, r, ["k"], "t", "rt", ["v"], tie=["v"], strict=strict, max_rows=goal).collect()
+        by_key = {}
+        for k, t, v in right:
+            by_key.setdefault(k, []).append((t, v))
+        want = {i: max(((rt, v) for rt, v in by_key.get(k, []) if t is not None and (rt < t if strict else rt <= t)),
+                       default=(None, None))[1] for i, k, t in left}
+        assert {x.id: x.v for x in out} == want and len(out) == len(left)
+        index = asof_index(r, ["k"], "rt", ["v"], tie=["v"], max_rows=50)
+        assert {x.id: x.v for x in index.lookup(l, "t", ["v"], strict=strict).collect()} == want
+
+
+def test_plans_have_no_nested_loop(spark):
+    _, _, (l, r) = make(spark)
+    plans = [asof_join(l, r, [], "t", "rt", ["v"], max_rows=50), asof_index(r, [], "rt", ["v"], max_rows=50).lookup(l, "t", ["v"])]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "CartesianProduct" not in text
