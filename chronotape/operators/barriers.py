@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import seconds_between
+from .asof import Highest, asof_fold
 from .bars import MINUTE, SESSION, BarClock, atr_at, sample_entries
+from .paths import bars_until, extreme_between, first_reaching, let, sparse_table, with_session_arrays
 from .stats import exact_median
 
 # Barrier multiples, horizons (in bars) and the guards of a usable cell.
@@ -35,36 +37,62 @@ def entries_with_atr(bars: DataFrame, clock: BarClock = MINUTE) -> DataFrame:
         F.col("close").alias("ref"), (F.col("ask") - F.col("bid")).alias("spread"), "atr")
 
 
+def _path_limits(bars: Column, entry: Column, horizon: int, clock: BarClock) -> Column:
+    """Struct of the bars up to the entry (a) and up to the end of its path (b), as counts."""
+    reach = F.least(F.unix_micros(entry["entry_ts"]) + horizon * clock.unit_seconds * 1_000_000,
+                    F.unix_micros(entry["session_close"]))
+    return F.struct(bars_until(bars, F.unix_micros(entry["entry_ts"])).alias("a"), bars_until(bars, reach).alias("b"))
+
+
+def _tables(bars: Column, reach: int) -> Column:
+    """Sparse tables of the highs and of the negated lows."""
+    return F.struct(sparse_table(F.transform(bars, lambda x: x["high"]), reach).alias("up"),
+                    sparse_table(F.transform(bars, lambda x: x["fall"]), reach).alias("down"))
+
+
+def _searched(entries: DataFrame, bars: DataFrame, reach: int, clock: BarClock,
+              result: Callable[[Column, Column, Column, Column, Column], Column]) -> DataFrame:
+    """Per session and entry with a path of at most `reach` bars: `result`(bars, tables, entry, a, b)."""
+    fields = ["entry_ts", "session_close", *[c for c in ("ref", "spread", "atr") if c in entries.columns]]
+    rows = with_session_arrays(entries.where(F.col("atr").isNotNull()), bars, fields)
+    path = F.col("_bars")
+
+    def per_entry(tables: Column) -> Column:
+        found = F.transform("_entries", lambda e: let(_path_limits(path, e, reach, clock), lambda w: F.when(
+            w["b"] > w["a"], result(path, tables, e, w["a"], w["b"]))))
+        return F.array_compact(found)
+    return rows.select(*SESSION, F.inline(let(_tables(path, reach), per_entry)))
+
+
+def _reaches(tables: Column, side: str, entry: Column, k: Column, a: Column, b: Column) -> Column:
+    """Place of the first bar whose high (or low) is k ATR away from the reference, or b."""
+    ref = entry["ref"] if side == "up" else -entry["ref"]
+    return first_reaching(tables[side], a, b, lambda x: (x - ref) / entry["atr"] < k)
+
+
 def first_touches(entries: DataFrame, bars: DataFrame, grid: Grid = Grid(), clock: BarClock = MINUTE) -> DataFrame:
-    """One row per entry that has a forward path, from a single pass over that path.
+    """One row per entry that has a forward path.
 
-    Per k: time of the first bar touching the upper / lower barrier. Per H: last bar within
-    the horizon. First touch of a running extreme equals first touch of the raw extreme, so
-    no running maximum is needed. The path is joined inside its session only.
+    Per k: time of the first bar touching the upper / lower barrier, found in sparse tables of the
+    session's highs and lows. Per H: last bar within the horizon. Bars and entries of a session meet
+    in one row (`paths`); no pairs of entries and bars are formed.
     """
-    unit = clock.unit_seconds
-    path = bars.select(*SESSION, F.col("ts").alias("_t"), "high", "low", "close")
-    reach = F.least(F.col("entry_ts") + F.make_dt_interval(secs=F.lit(max(grid.h) * unit)), F.col("session_close"))
-    pairs = entries.where(F.col("atr").isNotNull()).withColumn("_reach", reach).join(path, SESSION).where(
-        (F.col("_t") > F.col("entry_ts")) & (F.col("_t") <= F.col("_reach")))
-    up = (F.col("high") - F.col("ref")) / F.col("atr")
-    down = (F.col("low") - F.col("ref")) / F.col("atr")
-    age = seconds_between(F.col("_t"), F.col("entry_ts")) / float(unit)
-    aggs = []
-    for i, k in enumerate(grid.k):
-        aggs.append(F.min(F.when(up >= k, F.col("_t"))).alias(f"_up{i}"))
-        aggs.append(F.min(F.when(-down >= k, F.col("_t"))).alias(f"_dn{i}"))
-    for i, h in enumerate(grid.h):
-        inside = F.when(age <= h, F.col("_t"))
-        aggs.append(F.max(inside).alias(f"_last{i}"))
-        aggs.append(F.max_by(F.col("close"), inside).alias(f"_end{i}"))
-    per_entry = ["entry_ts", "ref", "spread", "atr"]
-    return pairs.groupBy(*SESSION, *per_entry).agg(*aggs).select(
-        *SESSION, *per_entry,
-        F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"_up{i}").alias("up_ts"), F.col(f"_dn{i}").alias("dn_ts"))
-                  for i, k in enumerate(grid.k)]).alias("touches"),
-        F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_last{i}").alias("last_ts"), F.col(f"_end{i}").alias("end_close"))
-                  for i, h in enumerate(grid.h)]).alias("horizons"))
+    unit = clock.unit_seconds * 1_000_000
+
+    def result(path: Column, tables: Column, e: Column, a: Column, b: Column) -> Column:
+        def touch(k: Column) -> Column:
+            up, down = _reaches(tables, "up", e, k, a, b), _reaches(tables, "down", e, k, a, b)
+            return F.struct(k.alias("k"), F.when(up < b, F.get(path, up)["t"]).alias("up_ts"),
+                            F.when(down < b, F.get(path, down)["t"]).alias("dn_ts"))
+
+        def horizon(h: Column) -> Column:
+            upto = bars_until(path, F.unix_micros(e["entry_ts"]) + h.cast("bigint") * unit)
+            last = let(F.least(upto, b), lambda n: F.when(n > a, F.get(path, n - 1)))
+            return let(last, lambda x: F.struct(h.alias("h"), x["t"].alias("last_ts"), x["close"].alias("end_close")))
+        return F.struct(*[e[c].alias(c) for c in ("entry_ts", "ref", "spread", "atr")],
+                        F.transform(F.array(*[F.lit(float(k)) for k in grid.k]), touch).alias("touches"),
+                        F.transform(F.array(*[F.lit(int(h)) for h in grid.h]), horizon).alias("horizons"))
+    return _searched(entries, bars, max(grid.h), clock, result)
 
 
 def decide(clock: BarClock = MINUTE) -> dict[str, Column]:
@@ -197,12 +225,45 @@ def run_stats(spine: DataFrame, bars: DataFrame, entries: DataFrame, touches: Da
 
 def excursions(entries: DataFrame, bars: DataFrame, horizon: int, clock: BarClock = MINUTE) -> DataFrame:
     """Largest favourable / adverse excursion within the horizon, in ATR units, and bars seen."""
-    path = bars.select(*SESSION, F.col("ts").alias("_t"), "high", "low")
-    reach = F.least(F.col("entry_ts") + F.make_dt_interval(secs=F.lit(horizon * clock.unit_seconds)),
-                    F.col("session_close"))
-    pairs = entries.where(F.col("atr").isNotNull()).join(path, SESSION).where(
-        (F.col("_t") > F.col("entry_ts")) & (F.col("_t") <= reach))
-    return pairs.groupBy(*SESSION, "entry_ts", "ref", "atr").agg(
-        F.max("high").alias("path_max"), F.min("low").alias("path_min"), F.count("*").alias("path_bars")
-    ).withColumns({"mfe": (F.col("path_max") - F.col("ref")) / F.col("atr"),
-                   "mae": (F.col("path_min") - F.col("ref")) / F.col("atr")})
+    def result(path: Column, tables: Column, e: Column, a: Column, b: Column) -> Column:
+        return F.struct(e["entry_ts"].alias("entry_ts"), e["ref"].alias("ref"), e["atr"].alias("atr"),
+                        extreme_between(tables["up"], a, b).alias("path_max"),
+                        (-extreme_between(tables["down"], a, b)).alias("path_min"), (b - a).cast("bigint").alias("path_bars"))
+    return _searched(entries, bars, horizon, clock, result).withColumns(
+        {"mfe": (F.col("path_max") - F.col("ref")) / F.col("atr"), "mae": (F.col("path_min") - F.col("ref")) / F.col("atr")})
+
+
+def outcome_primitives(entries: DataFrame, bars: DataFrame, k: float, horizon: int, clock: BarClock = MINUTE,
+                       halts: DataFrame | None = None) -> DataFrame:
+    """What happened to each entry under one (k, H): barrier, exit, bars to exit and the path up to the exit.
+
+    barrier, exit_ts, exit_price, bars_to_exit, realized_return, path_max, path_min, mfe and mae (ATR units). With
+    `halts` (symbol, halt_start_ts, halt_end_ts; NULL end: ongoing) also `halt_affected`: some halt overlaps the time
+    from entry to exit. That holds exactly when the latest end among the halts started by the exit is after the
+    entry, so outcomes and halts are not paired.
+    """
+    def result(path: Column, tables: Column, e: Column, a: Column, b: Column) -> Column:
+        def judged(at: Column) -> Column:
+            up, down = at["up"], at["down"]
+            # The same bar touching both sides is a stop.
+            profit, stop = (up < b) & (up < down), (down < b) & (down <= up)
+            move = F.lit(float(k)) * e["atr"]
+            end = F.when(profit, up).when(stop, down).otherwise(b - 1)
+            return let(end, lambda x: let(F.get(path, x), lambda bar: F.struct(
+                e["entry_ts"].alias("entry_ts"), e["ref"].alias("ref"), e["atr"].alias("atr"),
+                F.when(profit, "PROFIT").when(stop, "STOP").otherwise("TIME").alias("barrier"), bar["t"].alias("exit_ts"),
+                F.when(profit, e["ref"] + move).when(stop, e["ref"] - move).otherwise(bar["close"]).alias("exit_price"),
+                (x - a + 1).cast("bigint").alias("bars_to_exit"),
+                extreme_between(tables["up"], a, x + 1).alias("path_max"),
+                (-extreme_between(tables["down"], a, x + 1)).alias("path_min"))))
+        return let(F.struct(_reaches(tables, "up", e, F.lit(float(k)), a, b).alias("up"),
+                            _reaches(tables, "down", e, F.lit(float(k)), a, b).alias("down")), judged)
+    ref, atr = F.col("ref"), F.col("atr")
+    out = _searched(entries, bars, horizon, clock, result).withColumns({
+        "realized_return": (F.col("exit_price") - ref) / ref, "mfe": (F.col("path_max") - ref) / atr,
+        "mae": (F.col("path_min") - ref) / atr})
+    if halts is None:
+        return out
+    end = F.coalesce(F.col("halt_end_ts"), F.lit("9999-12-31 00:00:00").cast("timestamp"))
+    seen = asof_fold(out, halts, ["symbol"], "exit_ts", "halt_start_ts", {"_end": Highest(end)})
+    return seen.withColumn("halt_affected", F.coalesce(F.col("_end") > F.col("entry_ts"), F.lit(False))).drop("_end")

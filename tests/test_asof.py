@@ -90,7 +90,13 @@ def test_exact_median(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     import statistics
     want = {k: statistics.median(v for kk, v in rows if kk == k) for k in "xyz"}
-    assert {r.k: r.median for r in exact_median(df, ["k"], F.col("v")).collect()} == want
+    for small in (65_536, 100):
+        assert {r.k: r.median for r in exact_median(df, ["k"], F.col("v"), small=small).collect()} == want
+    assert exact_median(df, [], F.col("v"), small=50).head().median == statistics.median(v for _, v in rows)
+    # Weights far from the middle of the distinct values, infinities and a NULL group.
+    odd = [(None, float(i)) for i in range(400)] + [(None, -5.0)] * 5000 + [("q", 1e300), ("q", -1e300), ("q", 0.0), ("q", 5e-324)]
+    got = {r.k: r.median for r in exact_median(spark.createDataFrame(odd, "k string, v double"), ["k"], F.col("v"), small=3).collect()}
+    assert got == {None: -5.0, "q": statistics.median([1e300, -1e300, 0.0, 5e-324])}
     assert describe(df, [], "v").head().median == statistics.median(v for _, v in rows)
     empty = describe(df.where("v > 99"), [], "v").head()
     assert (empty["count"], empty.median) == (0, None)
