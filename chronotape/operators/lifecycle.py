@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .slots import first_rows, ordinal_chunk
+from ..session import cut_lineage
+from .slots import first_rows, with_number
 
 # Allowed moves; a state without moves is terminal.
 FEATURE_MOVES = {
@@ -31,6 +32,8 @@ FEATURE_CLASSES = ("PRICE_STATE", "LIQUIDITY_STATE", "LIQUIDITY_SHOCK", "SESSION
                    "EXECUTION_STATE", "CUSTOM")
 REQUIRED_FEATURE_FIELDS = ("feature_id", "name", "version", "formula_ref", "pit_proof", "economic_rationale")
 CHUNK_EVENTS = 1024
+#: Transfer maps composed at once.
+FAN = 64
 
 
 def _move(moves: dict[str, tuple[str, ...]], state: Column, to: Column) -> Column:
@@ -46,33 +49,47 @@ def replay(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[str, ...
            chunk_events: int = CHUNK_EVENTS) -> DataFrame:
     """Judge every event (by..., seq, to_state): adds `from_state` and `legal`.
 
-    Illegal moves leave the state as it is. A log may be long for one entity, so it is cut
-    into ordinal chunks of bounded length: each chunk is summarised as "end state for every
-    possible start state", the summaries are chained, and then each chunk is replayed on its
-    own from its true start state.
+    Illegal moves leave the state as it is. A log may be long for one entity, so its events are
+    numbered densely and cut into chunks. Each chunk is summarised as a transfer map, "end state
+    for every possible start state". Maps are composed FAN at a time, level by level, up to one per
+    entity; going down again, every level learns its start states, and each chunk is replayed on its
+    own. No array holds more than a chunk's events or FAN maps.
     """
     by = list(by)
     states = list(moves)
-    item = F.struct("seq", "to_state")
-    chunks = events.groupBy(*by, ordinal_chunk(F.col("seq"), chunk_events).alias("_chunk")).agg(
-        F.sort_array(F.collect_list(item)).alias("_items"))
-    ends = F.array(*[
-        F.aggregate("_items", F.lit(s), lambda acc, e: _move(moves, acc, e["to_state"])) for s in states])
-    transfer = chunks.withColumn("_ends", ends)
-
-    def jump(state: Column, ends_: Column) -> Column:
-        return F.element_at(ends_, F.array_position(F.array(*[F.lit(s) for s in states]), state).cast("int"))
-
-    links = transfer.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_ends"))).alias("_links"))
-    zero = F.expr(f"named_struct('state', '{initial}', 'starts', "
-                  "cast(array() as array<struct<_chunk:bigint,_start:string>>))")
+    names = F.array(*[F.lit(s) for s in states])
+    numbered = with_number(events.select(*by, "seq", "to_state"), by, ["seq", "to_state"], "_n")
+    chunks = cut_lineage(numbered.groupBy(*by, F.floor(F.col("_n") / chunk_events).alias("_chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "to_state"))).alias("_items")))
+
+    def jump(state: Column, ends: Column) -> Column:
+        return F.element_at(ends, F.array_position(names, state).cast("int"))
+
+    def composed(items: str, step: Callable[[Column, Column], Column]) -> Column:
+        return F.array(*[F.aggregate(items, F.lit(s), step) for s in states])
+
+    level = chunks.select(*by, "_chunk", composed("_items", lambda acc, e: _move(moves, acc, e["to_state"])).alias("_ends"))
+    most, parents = chunks.agg(F.max("_chunk")).first()[0] or 0, []
+    while most > 0:
+        level = cut_lineage(
+            level.groupBy(*by, F.floor(F.col("_chunk") / FAN).alias("_parent"))
+            .agg(F.sort_array(F.collect_list(F.struct("_chunk", "_ends"))).alias("_links"))
+            .select(*by, F.col("_parent").alias("_chunk"), "_links",
+                    composed("_links", lambda acc, link: jump(acc, link["_ends"])).alias("_ends")))
+        parents.append(level)
+        most //= FAN
+
+    zero = F.expr("cast(array() as array<struct<_chunk:bigint,_start:string>>)")
 
     def chain(acc: Column, link: Column) -> Column:
         start = F.struct(link["_chunk"].alias("_chunk"), acc["state"].alias("_start"))
-        return F.struct(jump(acc["state"], link["_ends"]).alias("state"),
-                        F.concat(acc["starts"], F.array(start)).alias("starts"))
+        return F.struct(jump(acc["state"], link["_ends"]).alias("state"), F.concat(acc["starts"], F.array(start)).alias("starts"))
 
-    starts = links.select(*by, F.inline(F.aggregate("_links", zero, chain)["starts"]))
+    starts = None
+    for links in reversed(parents):
+        known = links.withColumn("_start", F.lit(initial)) if starts is None else links.join(starts, [*by, "_chunk"])
+        begin = F.struct(F.col("_start").alias("state"), zero.alias("starts"))
+        starts = known.select(*by, F.inline(F.aggregate("_links", begin, chain)["starts"]))
 
     def judge(acc: Column, e: Column) -> Column:
         nxt = _move(moves, acc["state"], e["to_state"])
@@ -83,7 +100,8 @@ def replay(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[str, ...
     begin = F.struct(
         F.col("_start").alias("state"),
         F.expr("cast(array() as array<struct<seq:bigint,to_state:string,from_state:string,legal:boolean>>)").alias("out"))
-    return chunks.join(starts, [*by, "_chunk"]).select(*by, F.inline(F.aggregate("_items", begin, judge)["out"]))
+    started = chunks.withColumn("_start", F.lit(initial)) if starts is None else chunks.join(starts, [*by, "_chunk"])
+    return started.select(*by, F.inline(F.aggregate("_items", begin, judge)["out"]))
 
 
 def current_states(events: DataFrame, by: Sequence[str], moves: dict[str, tuple[str, ...]], initial: str) -> DataFrame:

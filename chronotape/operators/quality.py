@@ -18,7 +18,7 @@ from ..functions.rules import bar_fault, quote_fault
 from ..functions.times import iso_utc, seconds_between
 from ..session import cut_lineage
 from .bars import SESSION
-from .slots import CHUNK_ROWS, first_rows, ordinal_chunk, with_previous
+from .slots import CHUNK_ROWS, first_rows, with_chunk, with_number, with_previous
 
 # Thresholds of the batch checks.
 MIN_BARS = 300
@@ -46,9 +46,14 @@ def _result(spine: DataFrame, found: DataFrame, check: str, status: Column, coun
         F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
+def _with_previous_ts(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    chunked = with_chunk(rows.select(*SESSION, "seq", "ts"), SESSION, "seq", chunk_rows, "_part")
+    return with_previous(chunked, SESSION, F.col("_part"), ["seq"], ["ts"])
+
+
 def chronology(spine: DataFrame, rows: DataFrame, check: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Times strictly increase in arrival order and are all readable; the first offender is reported."""
-    seen = with_previous(rows.select(*SESSION, "seq", "ts"), SESSION, ordinal_chunk(F.col("seq"), chunk_rows), ["seq"], ["ts"])
+    seen = _with_previous_ts(rows, chunk_rows)
     note = F.when(F.col("ts").isNull(), "unparseable ts").when(F.col("ts") <= F.col("prev_ts"), "non-increasing")
     bad = seen.withColumn("note", note).where(F.col("note").isNotNull())
     first = first_rows(bad, SESSION, ["seq"], 1).withColumn(
@@ -89,7 +94,7 @@ def coverage(spine: DataFrame, bars: DataFrame, warn_seconds: int = GAP_WARN_SEC
 
 def stream_gaps(rows: DataFrame, over_seconds: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(symbol, session, seq, gap_from, gap_to, gap_seconds) for steps longer than the limit."""
-    seen = with_previous(rows.select(*SESSION, "seq", "ts"), SESSION, ordinal_chunk(F.col("seq"), chunk_rows), ["seq"], ["ts"])
+    seen = _with_previous_ts(rows, chunk_rows)
     return seen.select(*SESSION, "seq", F.col("prev_ts").alias("gap_from"), F.col("ts").alias("gap_to"),
                        seconds_between(F.col("ts"), F.col("prev_ts")).alias("gap_seconds")).where(
         F.col("gap_seconds") > over_seconds)
@@ -189,12 +194,12 @@ def verdict(checks: DataFrame) -> DataFrame:
 def stream_hash(rows: DataFrame, columns: Sequence[str], stream: str) -> DataFrame:
     """Order-sensitive hash of one stream per batch: rows -> fixed-size chunks -> batch.
 
-    A chunk lists at most HASH_CHUNK_ROWS row hashes and a batch lists only chunk hashes, so
-    no array grows with the raw stream.
+    Rows are numbered densely in arrival order, whatever the gaps between ordinals. A chunk lists at most HASH_CHUNK_ROWS
+    row hashes and a batch one hash per full chunk.
     """
     parts = [F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.col(c).cast("string")) for c in columns]
-    hashed = rows.select(*SESSION, "seq", ordinal_chunk(F.col("seq"), HASH_CHUNK_ROWS).alias("_chunk"),
-                         digest(parts).alias("_h"))
+    hashed = with_number(rows.select(*SESSION, "seq", digest(parts).alias("_h")), SESSION, ["seq", "_h"], "_number")
+    hashed = hashed.withColumn("_chunk", F.floor(F.col("_number") / HASH_CHUNK_ROWS))
 
     def joined(order: str) -> Column:
         items = F.sort_array(F.collect_list(F.struct(order, "_h")))
@@ -256,7 +261,7 @@ def _stream_findings(rows: DataFrame, names: dict[str, str], fault: Column | Non
     the check names wanted.
     """
     payload = [c for c in rows.columns if c not in (*SESSION, "seq", "ts")]
-    seen = with_previous(rows, SESSION, ordinal_chunk(F.col("seq")), ["seq"], ["ts"])
+    seen = with_previous(with_chunk(rows, SESSION, "seq", name="_part"), SESSION, F.col("_part"), ["seq"], ["ts"])
     gap = seconds_between(F.col("ts"), F.col("prev_ts"))
     stamp = F.coalesce(iso_utc(F.col("ts")), F.lit(""))
 

@@ -1,7 +1,7 @@
 """Ordered operations over a group that may be too big for one task.
 
-`chunk` is any column that only grows along the order (an arrival-ordinal range, a time
-slot). Work is done per (group, chunk); one summary row per chunk links them.
+`chunk` is any column that only grows along the order (`with_chunk`, a time slot). Work is
+done per (group, chunk); one summary row per chunk links them.
 """
 
 from __future__ import annotations
@@ -11,11 +11,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .slices import equal_depth
+
 CHUNK_ROWS = 65_536
 
 
-def ordinal_chunk(seq: Column, rows: int = CHUNK_ROWS) -> Column:
-    return F.floor(seq / F.lit(rows)).cast("bigint")
+def with_chunk(df: DataFrame, by: Sequence[str], order: str, rows: int = CHUNK_ROWS, name: str = "_chunk") -> DataFrame:
+    """Add a chunk number that grows with `order` (an integer): about `rows` rows per chunk, however sparse the numbers are.
+
+    Groups of at most `rows` rows are one chunk; equal numbers share a chunk.
+    """
+    slices = equal_depth([(df, F.col(order))], by, max_rows=rows)
+    return slices.place(df, F.col(order), side="last").withColumnRenamed("_slice", name)
+
+
+def with_number(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add the dense number (from 0) of a row in its group, by `order`, whose first column is an integer.
+
+    Two steps: counts per chunk give each chunk's offset, rows are numbered inside their chunk. Groups of at most
+    `rows` rows are numbered directly.
+    """
+    by = list(by)
+    slices = equal_depth([(df, F.col(order[0]))], by, max_rows=rows)
+    if slices.cuts is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
+    placed = slices.place(df, F.col(order[0]), side="last")
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(placed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order)).cast("bigint") - 1
+    return placed.withColumn("_inside", inside).join(offsets, [*by, "_slice"]).select(
+        *df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
 
 
 def with_previous(

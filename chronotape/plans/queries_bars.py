@@ -186,3 +186,34 @@ def forward_excursions(spark, d):
     bars = D.stored_bars(spark, d)
     out = B.excursions(B.entries_with_atr(bars, D.DAY_CLOCK), bars, 60, D.DAY_CLOCK)
     return out.select("symbol", "session", iso("entry_ts"), "path_bars", r6("mfe"), r6("mae"))
+
+
+def supplier_halts(spark, d):
+    """Large returned shipments halt their supplier for as many days as the line's number; the last lines for good."""
+    rows = D.table(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48))
+    start = F.col("l_shipdate").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(start) + F.col("l_linenumber").cast("bigint") * 86_400_000_000)
+    return rows.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), start.alias("halt_start_ts"),
+                       F.when((F.col("l_linenumber") < 7) | (F.col("l_quantity") < 50), end).alias("halt_end_ts"))
+
+
+@query("outcome_primitives", f"""{_TO_OUTCOME},
+limits AS (SELECT symbol, session, entry_ts, ref, atr, min(age) FILTER (WHERE up >= 1.0) AS up_age, min(age) FILTER (WHERE -dn >= 1.0) AS dn_age,
+                  max(age) AS last_age FROM paths WHERE age <= 60 GROUP BY ALL),
+exits AS (SELECT *, CASE WHEN up_age IS NOT NULL AND (dn_age IS NULL OR up_age < dn_age) THEN 'PROFIT' WHEN dn_age IS NOT NULL THEN 'STOP' ELSE 'TIME' END AS barrier,
+                 least(coalesce(up_age, last_age), coalesce(dn_age, last_age)) AS exit_age FROM limits),
+walked AS (SELECT e.symbol, e.session, e.entry_ts, e.ref, e.atr, e.barrier, count(*) AS bars_to_exit, max(p.ts) AS exit_ts, max(p.up) AS mfe, min(p.dn) AS mae,
+                  arg_max(p.ret, p.ts) AS end_ret FROM exits e JOIN paths p USING (symbol, session, entry_ts) WHERE p.age <= e.exit_age GROUP BY ALL),
+halts AS (SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS TIMESTAMP) AS a,
+          CASE WHEN l_linenumber < 7 OR l_quantity < 50 THEN CAST(l_shipdate AS TIMESTAMP) + to_days(CAST(l_linenumber AS INTEGER)) END AS b
+          FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48),
+hit AS (SELECT DISTINCT w.symbol, w.session, w.entry_ts, TRUE AS halted FROM walked w JOIN halts h ON h.symbol = w.symbol AND h.a <= w.exit_ts AND (h.b IS NULL OR h.b > w.entry_ts))
+SELECT symbol, session, {sql_iso('entry_ts', 'entry_ts')}, barrier, {sql_iso('exit_ts', 'exit_ts')}, bars_to_exit, {sql_r6('mfe', 'mfe')}, {sql_r6('mae', 'mae')},
+  {sql_r6("CASE barrier WHEN 'PROFIT' THEN atr / ref WHEN 'STOP' THEN -atr / ref ELSE end_ret END", 'realized_return')}, coalesce(halted, FALSE) AS halt_affected
+FROM walked LEFT JOIN hit USING (symbol, session, entry_ts)""")
+def outcome_primitives(spark, d):
+    """Exit, bars to exit, excursions up to the exit and halts on the way, for k = 1 and H = 60."""
+    bars = D.stored_bars(spark, d)
+    out = B.outcome_primitives(B.entries_with_atr(bars, D.DAY_CLOCK), bars, 1.0, 60, D.DAY_CLOCK, supplier_halts(spark, d))
+    return out.select("symbol", "session", iso("entry_ts"), "barrier", iso("exit_ts"), "bars_to_exit", r6("mfe"), r6("mae"),
+                      r6("realized_return"), "halt_affected")

@@ -7,7 +7,8 @@ import pytest
 
 from chronotape.operators.asof import Highest, Latest, Total, asof_fold, asof_index, asof_join
 from chronotape.operators.slices import equal_depth
-from chronotape.operators.slots import ordinal_chunk, with_previous, with_running_count
+from chronotape.operators import lifecycle
+from chronotape.operators.slots import with_chunk, with_number, with_previous, with_running_count
 from chronotape.operators.stats import describe, exact_median
 from conftest import utc
 
@@ -72,16 +73,38 @@ def test_no_keys_ties_and_nulls(spark):
 
 
 def test_chunked_previous_and_count(spark):
-    df = spark.createDataFrame([("A", i, i * i) for i in range(0, 50, 3)] + [("B", 7, 1)], "k string, seq bigint, v bigint")
-    seen = with_previous(df, ["k"], ordinal_chunk(F.col("seq"), 5), ["seq"], ["v"])
+    """Sparse and negative ordinals; chunks follow the rows."""
+    rnd = random.Random(8)
+    at = sorted(rnd.sample(range(-10 ** 12, 10 ** 15), 300))
+    df = spark.createDataFrame([("A", t, i * i) for i, t in enumerate(at)] + [("B", 7, 1)], "k string, seq bigint, v bigint")
+    chunked = with_chunk(df, ["k"], "seq", 20, "c")
+    per_chunk = chunked.where("k = 'A'").groupBy("c").count().collect()
+    assert len(per_chunk) >= 300 // 40 and max(r["count"] for r in per_chunk) <= 40
+    seen = with_previous(chunked, ["k"], F.col("c"), ["seq"], ["v"])
     assert {(x.k, x.seq): x.prev_v for x in seen.collect()} == {
-        **{("A", i): (None if i == 0 else (i - 3) ** 2) for i in range(0, 50, 3)}, ("B", 7): None}
-    counted = with_running_count(df, ["k"], ordinal_chunk(F.col("seq"), 5), ["seq"], F.col("v") % 2 == 0, "n")
-    want, n = {}, 0
-    for i in range(0, 50, 3):
-        n += (i * i) % 2 == 0
-        want[i] = n
-    assert {x.seq: x.n for x in counted.where("k = 'A'").collect()} == want
+        **{("A", t): (None if i == 0 else (i - 1) ** 2) for i, t in enumerate(at)}, ("B", 7): None}
+    counted = with_running_count(chunked, ["k"], F.col("c"), ["seq"], F.col("v") % 2 == 0, "n")
+    assert {x.seq: x.n for x in counted.where("k = 'A'").collect()} == {t: i // 2 + 1 for i, t in enumerate(at)}
+    for rows in (20, 65_536):
+        got = with_number(df, ["k"], ["seq"], "n", rows).collect()
+        assert {(x.k, x.seq): x.n for x in got} == {**{("A", t): i for i, t in enumerate(at)}, ("B", 7): 0}
+
+
+def test_replay_of_a_long_sparse_log(spark, monkeypatch):
+    """Maps over several levels, against a plain fold."""
+    monkeypatch.setattr(lifecycle, "FAN", 3)
+    rnd = random.Random(12)
+    moves = {"a": ("b", "c"), "b": ("a", "c"), "c": ("a",)}
+    log = {"HOT": sorted(rnd.sample(range(10 ** 14), 400)), "x": [5]}
+    events = [(k, t, rnd.choice("abc")) for k, ts in log.items() for t in ts]
+    want, state = {}, {}
+    for k, t, to in events:
+        now = state.get(k, "a")
+        state[k] = to if to in moves[now] else now
+        want[k, t] = (now, state[k] != now)
+    df = spark.createDataFrame(events, "k string, seq bigint, to_state string")
+    got = lifecycle.replay(df, ["k"], moves, "a", chunk_events=10).collect()
+    assert {(r.k, r.seq): (r.from_state, r.legal) for r in got} == want and len(got) == len(events)
 
 
 def test_exact_median(spark):

@@ -150,3 +150,49 @@ def test_resample_edges(spark):
     bars = minute_bars(spark, [10, 11, 12, 13, 14, 15], start="2025-03-03T15:00:00")
     out = {r.bucket_end.minute: (r.high, r.open_high) for r in A.resample(bars).collect()}
     assert out == {0: (10.0, None), 5: (15.0, 14.0)}
+
+
+def test_primitives_match_naive_path(spark):
+    rows = walk(13)
+    bars = frame(spark, rows)
+    entries = B.entries_with_atr(bars)
+    t0 = utc("2025-03-03T13:30:00")
+    minute = lambda ts: round((ts.timestamp() - t0.timestamp()) / 60)
+    rnd = random.Random(3)
+    halts = [(rnd.randrange(60, 290), rnd.choice([None, 1, 2, 5]) if i else 1) for i in range(6)]
+    halts = [(a, None if n is None and a < 250 else a + (n or 1)) for a, n in halts if n or a > 250]
+    frame_of = lambda hs: spark.createDataFrame(
+        [("A", t0 + timedelta(minutes=a), b and t0 + timedelta(minutes=b)) for a, b in hs],
+        "symbol string, halt_start_ts timestamp, halt_end_ts timestamp")
+    out = B.outcome_primitives(entries, bars, 1.0, 30, halts=frame_of(halts)).collect()
+    known = {minute(e.entry_ts): (e.ref, e.atr) for e in entries.collect() if e.atr is not None}
+    assert out and {minute(o.entry_ts) for o in out} <= set(known)
+    affected = set()
+    for o in out:
+        e = minute(o.entry_ts)
+        ref, atr = known[e]
+        path, seen, barrier = [r for r in rows if e < r[0] <= e + 30], [], "TIME"
+        for r in path:
+            seen.append(r)
+            if (r[3] - ref) / atr <= -1:
+                barrier = "STOP"
+                break
+            if (r[2] - ref) / atr >= 1:
+                barrier = "PROFIT"
+                break
+        price = {"PROFIT": ref + atr, "STOP": ref - atr, "TIME": seen[-1][4]}[barrier]
+        exit_minute = seen[-1][0]
+        halted = any(a <= exit_minute and (b is None or b > e) for a, b in halts)
+        affected.add(halted)
+        assert (o.barrier, minute(o.exit_ts), o.bars_to_exit, o.halt_affected) == (barrier, exit_minute, len(seen), halted)
+        assert (o.exit_price, o.path_max, o.path_min) == (price, max(r[2] for r in seen), min(r[3] for r in seen))
+    assert affected == {True, False}
+    assert B.outcome_primitives(entries, bars.where("false"), 1.0, 30).count() == 0
+
+
+def test_no_rows_of_entries_and_bars(spark):
+    bars = frame(spark, walk(5))
+    for df in (B.first_touches(B.entries_with_atr(bars), bars), B.excursions(B.entries_with_atr(bars), bars, 60)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # The only joins belong to the ATR of the entries; paths meet them by grouping.
+        assert "_t#" not in plan and "collect_list(_bar" in plan
