@@ -26,9 +26,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def with_session_arrays(entries: DataFrame, bars: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per session with entries: _bars (u, ts, high, fall, close; by time) and _entries (`fields` as structs)."""
+    """One row per session with entries: _bars (u, t, high, fall, close; by time) and _entries (`fields` as structs).
+
+    The close is NULL where `bars` has none.
+    """
+    close = F.col("close") if "close" in bars.columns else F.lit(None)
     bar = F.struct(F.unix_micros("ts").alias("u"), F.col("ts").alias("t"), F.col("high").cast("double").alias("high"),
-                   (-F.col("low").cast("double")).alias("fall"), F.col("close").cast("double").alias("close"))
+                   (-F.col("low").cast("double")).alias("fall"), close.cast("double").alias("close"))
     rows = bars.select(*SESSION, bar.alias("_bar")).unionByName(
         entries.select(*SESSION, F.struct(*fields).alias("_entry")), allowMissingColumns=True)
     grouped = rows.groupBy(*SESSION).agg(F.array_sort(F.collect_list("_bar")).alias("_bars"),

@@ -198,10 +198,18 @@ def quality_as_of(signals: DataFrame, quality: DataFrame, ts: str = "signal_ts",
     return out.withColumn("quarantined", F.coalesce(F.col("feed_outage_active") | F.col("stale_quote"), F.lit(False)))
 
 
-def retrospective_quality(sessions: DataFrame, quality: DataFrame) -> DataFrame:
-    """Attach the RETROSPECTIVE record of (symbol, session_date). For analysis only."""
-    own = quality.where(F.col("pit_class") == "RETROSPECTIVE").drop("pit_class").dropDuplicates(["symbol", "session_date"])
-    return sessions.join(own, ["symbol", "session_date"], "left")
+def retrospective_quality(sessions: DataFrame, quality: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Attach the RETROSPECTIVE record of (symbol, session_date). For analysis only.
+
+    Of several records of a day the last by `order` (an arrival time, a run id) wins, then the greatest by content,
+    so the choice never depends on the layout of the data.
+    """
+    own = quality.where(F.col("pit_class") == "RETROSPECTIVE").drop("pit_class")
+    body = [c for c in own.columns if c not in ("symbol", "session_date")]
+    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in body]), {"ignoreNullFields": "false"})
+    last = own.groupBy("symbol", "session_date").agg(
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in body]), F.struct(*order, content.alias("_content"))).alias("_r"))
+    return sessions.join(last.select("symbol", "session_date", "_r.*"), ["symbol", "session_date"], "left")
 
 
 def news_available(news: DataFrame, as_of: str, symbol: str | None = None) -> DataFrame:

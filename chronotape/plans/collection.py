@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,13 @@ def fresh_rows(built: DataFrame, store: DataFrame) -> DataFrame:
     return T.new_rows(O.accepted(built), store, ["candidate_key"], order)
 
 
+def unrecorded(refusals: DataFrame, store: DataFrame) -> DataFrame:
+    """Refusals the store lacks. A broken run has written all copies of a refusal or none, so copies stay together."""
+    held = store.select(*refusals.columns).distinct().alias("s")
+    equal = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in refusals.columns])
+    return refusals.alias("r").join(held, equal, "left_anti")
+
+
 def account(spine: DataFrame, built: DataFrame, store: DataFrame) -> DataFrame:
     """Counts per batch of the spine; batches without candidates count zero.
 
@@ -86,7 +94,8 @@ def assert_accounted(counts: DataFrame, fresh: DataFrame) -> None:
 def collect(
     specs: DataFrame, streams: Streams, candidates: Callable[[DataFrame], DataFrame] | DataFrame, refs: O.References,
     burned: DataFrame, paths: StorePaths, run_id: str, *, quarantine_on_warn: bool = False, zone: str = EXCHANGE_ZONE,
-    features: Callable[[DataFrame], Column] = O.no_features, boundaries: dict[str, str] | None = None,
+    features: Callable[[DataFrame], Column] = O.no_features,
+    bar_features: Callable[[DataFrame, DataFrame], DataFrame] | None = None, boundaries: dict[str, str] | None = None,
     validation: dict | None = None,
 ) -> DataFrame:
     """Collect all pending batches; returns one row per spec with status, verdict and counts.
@@ -94,7 +103,8 @@ def collect(
     `candidates` is a frame, or a function of the passing batches. `run_id` must sort after
     earlier runs (a timestamp text does). Committed batches are skipped. Order of writes:
     observations, rejections, then the COMMITTED events; a run that dies earlier is repeated
-    and stores nothing twice.
+    and stores nothing twice. `features` computes from the observation rows, `bar_features` (`features.from_bars`) from
+    the bars known at the signal; both end up in the stored map.
     """
     spark = specs.sparkSession
     specs = specs.select(*SESSION).distinct()
@@ -105,7 +115,7 @@ def collect(
 
     checked = validate(todo, streams, run_id=run_id, **(validation or {}))
     provenance = cut_lineage(checked.provenance)
-    T.append(provenance, paths.provenance)
+    T.append_once(spark, provenance, paths.provenance, S.PROVENANCE, ["provenance_id"], ["fetch_ts"])
     batches = provenance.select("symbol", F.col("range_start").alias("session"), "content_hash", "verdict")
     T.append(T.manifest_events(batches, T.STARTED, run_id, 0), paths.manifest)
     withheld = F.col("verdict") == "FAIL"
@@ -117,8 +127,14 @@ def collect(
     passing = batches.where(~withheld)
     found = candidates(passing.select(*SESSION)) if callable(candidates) else candidates.join(
         passing.select(*SESSION), SESSION, "left_semi")
+    make = features
+    if bar_features is not None:
+        found = bar_features(found, streams.bars)
+
+        def make(rows: DataFrame) -> Column:
+            return F.map_concat(F.coalesce("bar_features", F.create_map().cast("map<string,double>")), features(rows))
     seen = O.with_data_as_of(found, streams.bars)
-    built = O.build_observations(seen, refs, burned, zone=zone, features=features, **(boundaries or {}))
+    built = O.build_observations(seen, refs, burned, zone=zone, features=make, **(boundaries or {}))
     store = T.read_table(spark, paths.observations, _STORE_DDL)
     # Keys contain the signal time, so only the sessions of this run can hold duplicates.
     low, high = passing.agg(F.min("session"), F.max("session")).head()
@@ -131,7 +147,7 @@ def collect(
     assert_accounted(counts, fresh)
     assert_no_calibration_leak(fresh)
     T.append(fresh.select(*_store_columns()), paths.observations, ["session"])
-    T.append(O.refused(built), paths.rejections)
+    T.append(unrecorded(O.refused(built), T.read_table(spark, paths.rejections, S.REJECTIONS)), paths.rejections)
     done = counts.join(passing, SESSION)
     T.append(T.manifest_events(done, T.COMMITTED, run_id, 2), paths.manifest)
 

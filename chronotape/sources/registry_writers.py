@@ -67,28 +67,28 @@ def _numbered(rows: DataFrame, id_column: str) -> DataFrame:
                              for c in rows.columns])
 
 
-def quality_as_of_rows(records: DataFrame, run_id: str = "") -> DataFrame:
+def quality_as_of_rows(records: DataFrame, run_id: str) -> DataFrame:
     c = F.col
     hashed = records.withColumn("pit_class", F.lit("AS_OF")).withColumn(
         "row_hash", row_hash(c("symbol"), c("as_of"), c("feed_outage_active"), c("stale_quote")))
     return _recorded(hashed, "dq_id", "DQA_", run_id)
 
 
-def quality_retrospective_rows(records: DataFrame, run_id: str = "") -> DataFrame:
+def quality_retrospective_rows(records: DataFrame, run_id: str) -> DataFrame:
     c = F.col
     hashed = records.withColumn("pit_class", F.lit("RETROSPECTIVE")).withColumn(
         "row_hash", row_hash(c("symbol"), c("session_date"), c("missing_bars_pct")))
     return _recorded(hashed, "dq_id", "DQR_", run_id)
 
 
-def news_rows(items: DataFrame, run_id: str = "") -> DataFrame:
+def news_rows(items: DataFrame, run_id: str) -> DataFrame:
     """Adds the publication delay (NULL when the publication time is unknown)."""
     c = F.col
     delayed = items.withColumn("publication_delay_sec", seconds_between(c("news_available_ts"), c("publish_ts")))
     return _recorded(delayed, "news_id", "NEWS_", run_id)
 
 
-def halt_rows(halts: DataFrame, run_id: str = "") -> DataFrame:
+def halt_rows(halts: DataFrame, run_id: str) -> DataFrame:
     """A halt recorded open and again with its end gives two records."""
     return _recorded(halts, "halt_id", "HALT_", run_id)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chronotape import schemas as S
 from chronotape.functions.hashing import SIGNATURE_FIELDS, registry_signature
 from chronotape.operators import audit as U
+from chronotape.operators import features
 from chronotape.operators.observations import References
 from chronotape.operators.quality import Streams
 from chronotape.plans.collection import StorePaths, burned_in_store, collect, read_observations
@@ -99,6 +100,50 @@ def test_rejections_quarantine_and_burn(spark, folder, nothing_burned):
     assert burned_in_store(read_observations(spark, StorePaths(other))).count() == 0
 
 
+def test_a_broken_run_is_repeated_without_doubles(spark, folder, nothing_burned, monkeypatch):
+    """A run that dies between its last rows and its COMMITTED events."""
+    d = "2024-03-01"
+    st = streams(batch(spark, "KTOS", d), batch(spark, "ZZZZ", d))
+    sp = specs(spark, ("KTOS", d), ("ZZZZ", d))
+    twice = lambda passing: spine.candidates_at(passing).unionAll(spine.candidates_at(passing).where("symbol = 'ZZZZ'"))
+    real = tables.manifest_events
+
+    def dies(rows, event_type, *args):
+        if event_type == tables.COMMITTED:
+            raise RuntimeError("lost")
+        return real(rows, event_type, *args)
+
+    monkeypatch.setattr(tables, "manifest_events", dies)
+    with pytest.raises(RuntimeError):
+        run(spark, sp, st, nothing_burned, folder, "1", candidates=twice)
+    monkeypatch.setattr(tables, "manifest_events", real)
+    paths = StorePaths(folder)
+    sizes = lambda: [spark.read.parquet(p).count() for p in (paths.observations, paths.rejections, paths.provenance)]
+    assert sizes() == [3, 6, 2]
+    again = run(spark, sp, st, nothing_burned, folder, "1", candidates=twice)
+    assert {r.status for r in again.values()} == {"COMMITTED"} and sizes() == [3, 6, 2]
+    assert {r.status for r in run(spark, sp, st, nothing_burned, folder, "2", candidates=twice).values()} == {"SKIPPED"}
+    assert sizes() == [3, 6, 2]
+
+
+def test_features_come_from_bars_known_at_the_signal(spark, folder, nothing_burned):
+    d = "2024-03-01"
+    one = batch(spark, "KTOS", d)
+    st = streams(one)
+    port = features.from_bars({"last_close": features.last_close, "trailing_return": features.trailing_return, "bars": features.bars_known,
+                               "never": features.Fold(lambda: F.max(F.when(F.col("close") < 0, F.col("close"))))})
+    extra = lambda rows: F.create_map(F.lit("rank"), F.col("scanner_rank").cast("double"))
+    run(spark, specs(spark, ("KTOS", d)), st, nothing_burned, folder, bar_features=port, features=extra)
+    bars = sorted((b.ts, b.close) for b in one.collect())
+    stored = read_observations(spark, StorePaths(folder)).collect()
+    assert len(stored) == 3
+    for o in stored:
+        known = [c for t, c in bars if t <= o.signal_ts]
+        assert len(known) < len(bars)
+        want = {"last_close": known[-1], "trailing_return": known[-1] / known[0] - 1, "bars": float(len(known))}
+        assert {k: v for k, v in o.features.items() if k != "rank"} == want and "never" not in o.features
+
+
 def test_spines(spark):
     one = spark.createDataFrame([("A",)], "symbol string")
     assert [r.session for r in spine.batch_spine(one, "2025-03-07", "2025-03-10").orderBy("session").collect()] == ["2025-03-07", "2025-03-10"]

@@ -94,3 +94,19 @@ def test_labels(spark):
     df = spark.createDataFrame([("PROFIT", 0.1), ("STOP", -0.1), ("TIME", -0.02)], "b string, r double")
     get = lambda enc: [x[0] for x in df.select(label_of(F.col("b"), F.col("r"), enc)).collect()]
     assert get("TERNARY_ZERO") == [1, -1, 0] and get("SIGN_RETURN") == [1, -1, -1]
+
+
+def test_gate_reads_the_bars_once_for_all_folds(spark, folder):
+    bars = minute_bars(spark, [10 + i % 7 for i in range(60)])
+    bars.write.parquet(folder + "/bars")
+    bars = spark.read.parquet(folder + "/bars")
+    cases = spark.createDataFrame([(str(i), "ABCD", "2025-03-03", utc("2025-03-03T14:45:00") + timedelta(minutes=i)) for i in (0, 9)], S.PIT_CASES)
+    many = {f"f{i}": ("1", E.Fold(lambda i=i: F.max(F.col("close") + i)), 0) for i in range(6)}
+    plan = E.gate(many, cases, bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    # A frame function and a fold of the same meaning agree; a case without bars counts as a case.
+    more = cases.unionByName(spark.createDataFrame([("none", "ZZ", "2025-03-03", utc("2025-03-03T14:45:00"))], S.PIT_CASES))
+    runs = {r.feature_name: r for r in E.gate({"a": ("1", E.last_close, 0), "b": ("1", lambda f: E.last_close(f), 0),
+                                               "c": ("1", E.trailing_return, 3)}, more, bars).collect()}
+    assert (runs["a"].verdict, runs["a"].failures, runs["a"].n_cases) == (runs["b"].verdict, runs["b"].failures, runs["b"].n_cases)
+    assert (runs["a"].verdict, runs["c"].verdict, runs["c"].n_cases) == ("FAIL", "PASS", 3)

@@ -32,13 +32,13 @@ def test_registry_rows_and_write_once(spark, folder):
     universes = W.universe_rows(spark.createDataFrame([("U", "1", T0, "{}")], "universe_id string, version string, valid_from timestamp, membership_rule string"))
     assert universes.head().universe_version_id == "U@1"
     news = W.news_rows(spark.createDataFrame([("K", T0, T0 - timedelta(seconds=180), "s"), ("K", T0, None, "s")],
-                                             "symbol string, news_available_ts timestamp, publish_ts timestamp, source string")).collect()
+                                             "symbol string, news_available_ts timestamp, publish_ts timestamp, source string"), "r").collect()
     assert [r.publication_delay_sec for r in news] == [180.0, None] and news[0].news_id != news[1].news_id
-    dq = W.quality_as_of_rows(spark.createDataFrame([("K", T0, True, False)], "symbol string, as_of timestamp, feed_outage_active boolean, stale_quote boolean"))
+    dq = W.quality_as_of_rows(spark.createDataFrame([("K", T0, True, False)], "symbol string, as_of timestamp, feed_outage_active boolean, stale_quote boolean"), "r")
     assert dq.head().pit_class == "AS_OF" and dq.head().dq_id.startswith("DQA_")
-    retro = W.quality_retrospective_rows(spark.sql("select 'K' symbol, date'2025-03-03' session_date, 0.5D missing_bars_pct"))
+    retro = W.quality_retrospective_rows(spark.sql("select 'K' symbol, date'2025-03-03' session_date, 0.5D missing_bars_pct"), "r")
     assert retro.head().dq_id.startswith("DQR_")
-    halts = W.halt_rows(spark.createDataFrame([("K", T0, None, "LULD")], "symbol string, halt_start_ts timestamp, halt_end_ts timestamp, reason string"))
+    halts = W.halt_rows(spark.createDataFrame([("K", T0, None, "LULD")], "symbol string, halt_start_ts timestamp, halt_end_ts timestamp, reason string"), "r")
     W.write_registry(spark, halts, folder + "/halts", "halts", ["halt_start_ts"])
     assert readers.read_reference(spark, folder + "/halts", "halts").head().reason == "LULD"
 
@@ -52,7 +52,7 @@ def test_every_record_is_stored_once_per_run(spark, folder):
     assert stored.count() == 6 and stored.select("news_id").distinct().count() == 6
     halts = "symbol string, halt_start_ts timestamp, halt_end_ts timestamp, reason string"
     for end in (None, T0 + timedelta(minutes=5)):
-        W.write_registry(spark, W.halt_rows(spark.createDataFrame([("K", T0, end, "LULD")], halts)), folder + "/halts", "halts", ["halt_start_ts"])
+        W.write_registry(spark, W.halt_rows(spark.createDataFrame([("K", T0, end, "LULD")], halts), "r"), folder + "/halts", "halts", ["halt_start_ts"])
     assert spark.read.parquet(folder + "/halts").count() == 2
 
 
@@ -92,3 +92,20 @@ def test_archetype_index(spark):
     index = T.index_rows(events, "kind_set")
     assert [(r.archetype, r.n) for r in T.index_families(index, "kind_set").collect()] == [("X|Y", 2), ("X", 1)]
     assert [r.timeline_id for r in T.index_members(index, "kind_set", "X|Y").collect()] == ["a", "b"]
+
+
+def test_equal_halts_of_two_runs_are_both_kept(spark, folder):
+    halts = spark.createDataFrame([("K", T0, None, "LULD")] * 2, "symbol string, halt_start_ts timestamp, halt_end_ts timestamp, reason string")
+    for run in ("a", "a", "b"):
+        W.write_registry(spark, W.halt_rows(halts, run), folder + "/halts", "halts", ["halt_start_ts"])
+    assert spark.read.parquet(folder + "/halts").count() == 4
+
+
+def test_retrospective_choice_does_not_depend_on_layout(spark):
+    from chronotape.operators.registries import retrospective_quality
+    rows = [("K", "2025-03-03", "RETROSPECTIVE", run, n, None) for run, n in (("r1", 9), ("r3", 1), ("r2", 5), ("r3", 2))]
+    quality = spark.createDataFrame(rows, "symbol string, session_date string, pit_class string, run_id string, n_bad_ticks int, note string")
+    sessions = spark.createDataFrame([("K", "2025-03-03"), ("L", "2025-03-03")], "symbol string, session_date string")
+    for parts in (1, 4):
+        got = retrospective_quality(sessions, quality.repartition(parts), order=["run_id"]).collect()
+        assert {r.symbol: (r.run_id, r.n_bad_ticks) for r in got} == {"K": ("r3", 2), "L": (None, None)}
