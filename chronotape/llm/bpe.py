@@ -30,12 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, cut_lineage, documents, map_texts, rows_of, ship, with_text
+from .common import cached, cut_lineage, documents, map_texts, ship
 
 LEXICON = 60_000
 MIN_COUNT = 4
 MAX_WORD = 64
-REMEMBERED = 300_000
+#: Words a worker remembers: no more than the lexicon holds.
+REMEMBERED = 60_000
+NO_RANK = 1 << 30
 #: Fixed: how byte-level BPE splits a text into words.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -66,23 +68,16 @@ class Tokenizer:
     def merge(self, word: bytes) -> list[int]:
         ids = [self.single[b] for b in word]
         if len(ids) < 40:
-            while len(ids) > 1:
-                best, at = None, 0
-                for i in range(len(ids) - 1):
-                    r = self.rank.get((ids[i], ids[i + 1]))
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    return ids
-                pair, out, i = (ids[at], ids[at + 1]), [], 0
-                while i < len(ids):
-                    if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                        out.append(self.merged[pair])
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
+            rank = self.rank.get
+            ranks = [rank(p, NO_RANK) for p in zip(ids, ids[1:])]
+            while ranks and (lowest := min(ranks)) < NO_RANK:
+                i = ranks.index(lowest)
+                ids[i] = self.merged[ids[i], ids[i + 1]]
+                del ids[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank((ids[i], ids[i + 1]), NO_RANK)
+                if i:
+                    ranks[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
             return ids
         after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
         heap = [(self.rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
@@ -186,6 +181,8 @@ class Transducer:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Place of each word in the lexicon, or -1: all words walk the automaton together, a byte a step."""
+        if not len(self.keys):
+            return np.full(len(words), -1)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         text, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
         state, place = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -194,7 +191,7 @@ class Transducer:
         while len(at := at[(lengths[at] > step) & (state[at] >= 0)]):
             key = state[at] << 8 | text[starts[at] + step]
             edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[edge] == key if len(self.keys) else np.zeros(len(at), bool)
+            ok = self.keys[edge] == key
             place[at] += np.where(ok, self.skip[edge], 0)
             state[at] = np.where(ok, self.target[edge], -1)
             step += 1
@@ -318,7 +315,10 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 def stage(docs: DataFrame, path: str) -> DataFrame:
     """The columns of `docs`, the text as decoded again, plus `bpe_ids` (array of int) and `bpe_length`."""
     key, sent = encoder(docs, path)
-    done = encode(rows_of(docs).select("row", "body"), key, sent, ["row"])
+    # The text goes to Python once, outside the row that passes through.
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+                       F.coalesce(F.col("text"), F.lit("")).alias("body"))
+    done = encode(rows, key, sent, ["row"])
     new = {"bpe_length": "n_tokens", "bpe_ids": "ids"}
     return done.select(*[F.col("decoded").alias(c) if c == "text" else F.col("row").getField(c).alias(c)
                          for c in docs.columns if c not in new], *[F.col(v).alias(k) for k, v in new.items()])

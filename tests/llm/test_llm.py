@@ -4,11 +4,14 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from chronotape.llm import bpe, chat_format, decontaminate, line_dedup, lm_score, sharding, simhash, suffix_dedup, topk, toxicity
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, body string"
 
 
@@ -213,8 +216,6 @@ def test_simhash_stage_keeps_exact_jaccard_classes(spark, monkeypatch, limit):
 
 
 def test_bpe_equals_the_library(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     texts = ["the thing the thing", "", "<|endoftext|>a<|endoftext|>", "é" * 700 + "  \n\n x", "日本語 ok's", "ab" * 3000]
@@ -291,3 +292,27 @@ def test_pipeline_keeps_one_of_each(spark):
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) > 100 and {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns)
     assert out.where("size(bpe_ids) <> bpe_length").count() == 0
+
+
+def test_bpe_without_frequent_words(spark):
+    """No word occurs often enough for the lexicon: everything is merged, nothing is looked up."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["one two", "three", "supercalifragilisticexpialidocious " + "x" * 70, "aaaaaaaaaaaaaaa", ""]
+    out = {r["doc_id"]: r for r in bpe.encode_digests(docs(spark, texts), PATH).collect()}
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert out[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    staged = {r["doc_id"]: r for r in bpe.stage(docs(spark, texts), PATH).collect()}
+    assert staged[2]["text"] == texts[2] and staged[2]["body"] == "b" and staged[len(texts)]["bpe_length"] == 0
+    assert bpe.stage(empty(spark), PATH).columns[:2] == ["doc_id", "text"] and bpe.stage(empty(spark), PATH).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_and_long_merges_agree(seed):
+    tokenizer = bpe.Tokenizer(open(PATH, encoding="utf-8").read())
+    library, rnd = Tokenizer.from_file(PATH), random.Random(seed)
+    for _ in range(300):
+        word = "".join(rnd.choice("aaabbe nrstionghé") for _ in range(rnd.choice([1, 2, 5, 9, 20, 39, 60]))).replace(" ", "")
+        if word:
+            ids = library.encode(word, add_special_tokens=False).ids
+            assert [i for w in bpe.regex.findall(bpe.PATTERN, word) for i in tokenizer.merge(w.encode())] == ids
