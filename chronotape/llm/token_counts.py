@@ -35,7 +35,9 @@ from .common import cached, cut_lineage, documents, map_texts
 
 LIMIT = 2048
 MISS_BYTES = 8 << 20
-REMEMBERED = 100_000
+REMEMBERED = 50_000
+#: Chunks handed to the library at once.
+BATCH = 2_000
 #: Longer chunks are not remembered.
 MAX_CHUNK = 64
 #: Fixed: the white space that is normalised.
@@ -61,7 +63,9 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def sizes(self, chunks: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        encode = self.tokenizer.encode_batch_fast
+        return [len(e.ids) for i in range(0, len(chunks), BATCH)
+                for e in encode(chunks[i:i + BATCH], add_special_tokens=False)]
 
     def count(self, texts: list[bytes]) -> list[int]:
         split = [t.decode().translate(SPACES).split(" ") for t in texts]
