@@ -1,11 +1,14 @@
+import random
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronotape.operators import barriers as B
 from chronotape.operators import news as N
 from chronotape.operators.asof import asof_join
 from chronotape.streaming import jobs as J
+from chronotape.streaming.outcomes import forward_outcomes
 from conftest import utc
 from test_news_features import articles
 
@@ -62,18 +65,30 @@ def test_enrichment_equals_batch(spark, folder):
     assert sorted(map(tuple, spark.table("e1").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_forward_outcomes_equal_batch(spark, folder):
-    closes = [10.0, 10.2, 10.6, 11.2, 10.9, 10.1, 9.2, 8.8, 9.0, 9.1, 9.05, 9.0, 9.02]
-    rows = [("A", T0 + timedelta(minutes=i), c, c + 0.05, c - 0.05, 1.0 if i in (0, 3, 8) else None, i // 5) for i, c in enumerate(closes)]
-    # A late bar far away moves the watermark past every horizon.
-    rows += [("A", T0 + timedelta(hours=2), 9.0, 9.0, 9.0, None, 3), ("B", T0 + timedelta(hours=3), 9.0, 9.0, 9.0, None, 4)]
-    df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double, high double, low double, atr double, _file int")
-    finish(J.forward_outcomes(stream_of(spark, df, folder, 5), 1.0, 10).writeStream.format("memory").queryName("f1").outputMode("append"))
-    got = {r.entry_ts: (r.barrier, r.ttr, round(r.realized_return, 9)) for r in spark.table("f1").collect()}
-    entries = df.where("atr is not null").select("symbol", F.lit("d").alias("session"), F.col("ts").alias("entry_ts"),
-                                                 F.lit(T0 + timedelta(hours=1)).alias("session_close"), F.col("close").alias("ref"),
-                                                 F.lit(0.1).alias("spread"), "atr")
-    bars = df.select("symbol", F.lit("d").alias("session"), "ts", "high", "low", "close")
-    want = B.outcomes(B.first_touches(entries, bars, B.Grid((1.0,), (10,))))
-    assert got == {r.entry_ts: (r.barrier, r.ttr, round(r.realized_return, 9)) for r in want.collect()}
-    assert {v[0] for v in got.values()} == {"PROFIT", "STOP", "TIME"}
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_forward_outcomes_equal_batch_for_any_cut(spark, folder, cuts):
+    """Rows out of order inside the watermark, several sessions, a close before the horizon and an entry without a path."""
+    rnd = random.Random(cuts)
+    rows = []
+    for symbol, session, start, minutes in (("A", "d1", 0, 60), ("A", "d2", 24 * 60, 40), ("B", "d1", 0, 60)):
+        price, close_at = 10.0, T0 + timedelta(minutes=start + minutes - 8)
+        for m in range(start, start + minutes):
+            price += rnd.gauss(0, 0.25)
+            entry = rnd.random() < 0.3 or m == start + minutes - 8
+            rows.append((symbol, session, close_at, T0 + timedelta(minutes=m), price, price + 0.1, price - 0.1, 1.0 if entry else None))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][3], rnd.random()))
+    shuffled = sorted(order, key=lambda i: rows[i][3].timestamp() + rnd.uniform(0, 280))
+    size = -(-len(rows) // cuts)
+    data = [(*rows[i], n // size) for n, i in enumerate(shuffled)]
+    # Later rows of another symbol move the watermark past every session.
+    data += [("Z", "d9", T0 + timedelta(days=9), T0 + timedelta(days=5, minutes=n), 9.0, 9.0, 9.0, None, cuts + n) for n in range(2)]
+    df = spark.createDataFrame(data, "symbol string, session string, session_close timestamp, ts timestamp, close double, high double, "
+                                     "low double, atr double, _file int")
+    out = forward_outcomes(stream_of(spark, df, folder, cuts + 2), 1.0, 15)
+    finish(out.writeStream.format("memory").queryName(f"f{cuts}").outputMode("append"))
+    got = sorted((r.symbol, r.session, r.entry_ts, r.barrier, r.ttr, round(r.realized_return, 9)) for r in spark.table(f"f{cuts}").collect())
+    entries = df.where("atr is not null").select("symbol", "session", F.col("ts").alias("entry_ts"), "session_close",
+                                                 F.col("close").alias("ref"), F.lit(0.1).alias("spread"), "atr")
+    want = B.outcomes(B.first_touches(entries, df.drop("_file"), B.Grid((1.0,), (15,)))).collect()
+    assert got == sorted((r.symbol, r.session, r.entry_ts, r.barrier, r.ttr, round(r.realized_return, 9)) for r in want)
+    assert {r[3] for r in got} == {"PROFIT", "STOP", "TIME"} and len({r[:2] for r in got}) == 3
