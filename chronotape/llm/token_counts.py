@@ -12,7 +12,7 @@ MISS_BYTES by count (a later run over mostly known texts), they are broadcast fi
 all. The last join carries ids and digests only, its hot digests are split by adaptive execution.
 
 Inside a task, chunks between white space are encoded once (the counts of chunks add up, since no token and no special
-string spans white space); at most REMEMBERED of them are kept. That memo decides speed only.
+string spans white space); those of the last slices are kept, REMEMBERED of them and a slice. That memo decides speed only.
 
 A lost executor repeats its task; rows are appended once by the commit of the write. Two runs that append one content at
 once, or a run repeated after a crash, leave equal rows, which are reduced to one on reading.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ from .common import cached, cut_lineage, documents, map_texts
 LIMIT = 2048
 MISS_BYTES = 8 << 20
 REMEMBERED = 50_000
-#: Chunks handed to the library at once.
-BATCH = 2_000
+#: Chunks handed to the library as one text.
+BATCH = 500
 #: Longer chunks are not remembered.
 MAX_CHUNK = 64
 #: Fixed: the white space that is normalised.
@@ -61,20 +62,29 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def sizes(self, chunks: list[str]) -> list[int]:
-        encode = self.tokenizer.encode_batch_fast
-        return [len(e.ids) for i in range(0, len(chunks), BATCH)
-                for e in encode(chunks[i:i + BATCH], add_special_tokens=False)]
+        """Tokens per chunk: chunks are encoded BATCH at a time as one text, a token belongs to the chunk it starts in."""
+        out: list[int] = []
+        for i in range(0, len(chunks), BATCH):
+            part = chunks[i:i + BATCH]
+            starts = np.cumsum([0, *(len(c) + 1 for c in part)])
+            at = np.array([o[0] for o in self.tokenizer.encode(" ".join(part), add_special_tokens=False).offsets], np.int64)
+            out += np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(part)).tolist()
+        return out
 
     def count(self, texts: list[bytes]) -> list[int]:
         split = [t.decode().translate(SPACES).split(" ") for t in texts]
+        # Chunks of the last slices stay known, so frequent ones are encoded once per worker.
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({c for chunks in split for c in chunks if len(c) <= MAX_CHUNK} - self.known.keys())
-        self.known.update(zip(new, self.sizes(new), strict=True))
+            self.known, self.older = {}, self.known
+        new = {c for chunks in split for c in chunks if len(c) <= MAX_CHUNK} - self.known.keys()
+        self.known.update((c, self.older[c]) for c in new & self.older.keys())
+        fresh = list(new - self.known.keys())
+        self.known.update(zip(fresh, self.sizes(fresh), strict=True))
         long = [c for chunks in split for c in chunks if len(c) > MAX_CHUNK]
-        extra = iter(self.sizes(long))
+        extra = iter([len(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in long])
         get = self.known.get
         return [sum(next(extra) if (n := get(c)) is None else n for c in chunks) for chunks in split]
 
