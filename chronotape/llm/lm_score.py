@@ -1,49 +1,56 @@
-"""LM scoring with a probabilistic suffix tree over bytes.
-
-A text is its lower-cased words, each followed by a space, and one end symbol: the same tokens as the word-level base
-score, so the probability of the symbols is a probability of the token sequence. Contexts of up to DEPTH symbols are
-counted over all training texts. A context is retained if it occurs at least MIN_COUNT times and the likelihood ratio of
-its next-symbol distribution against that of its suffix (count x Kullback-Leibler divergence) exceeds GAIN plus one for
-each symbol seen after it; all such contexts make the tree, so it grows with the training texts.
-Distributions are smoothed towards the longest retained proper suffix with weight KAPPA, down to add-a-half counts of single
-bytes, so every byte string has a positive probability and all sums are one. For scoring, the tree is closed under
-prefixes, which makes "longest retained suffix" a state machine; texts run through it many positions at a time. A token's
-spelled probability p and its training frequency c / N are blended as BLEND c / N + (1 - BLEND) p, which sums to one.
-
-Texts are dealt into batches of about BATCH_BYTES by hash. A batch sends the words that it holds once, with its training
-counts; the totals are partial sums, and each batch gets back the totals of its own words. So the vocabulary, which grows with
-the corpus, is never whole in one place. Likewise a batch sends its distinct contexts and gets back the part of the tree that
-occurs in it: the others can't be met while scoring it, so the scores are those of the whole tree.
+"""LM scoring with a probabilistic suffix tree over words.
+
+Symbols are the tokens of the base score: lower-cased words and one end per text. A context is the words before a token, the
+nearest first; the end of the text before stands for the start, and nothing beyond it is seen. The root is the base
+distribution itself, (c + 1) / (N + V + 1), in which all unknown words share one symbol.
+
+The tree grows level by level. A context becomes a candidate if its suffix (one word shorter) was retained, its farthest word
+is retained as a context of its own, and that word was followed by the next one at least MIN_COUNT times. It is retained if
+it occurs at least MIN_COUNT times and predicts its own next words, each judged with that occurrence left out, by more than
+GAIN nats better than its suffix does: the divergence test. Growth ends with the first level on which nothing passes, so depth and
+number of contexts follow the training texts. A retained context that was followed t times by u different words, n times by
+this one, gives it (n + u q) / (t + u), where q is what its suffix gives; the sum over all symbols stays one. The longest
+retained context of a token scores it.
+
+Texts stay in batches of about BATCH_BYTES, packed as word numbers by the task that read them. On each level a batch sends its
+candidates with their next words (0 times for held-out texts), and gets back the retained ones among them and the counts of
+what other batches hold too. So neither the vocabulary nor the tree, which grow with the corpus, is ever whole in one place.
+Words and contexts are known by number, not by hash, so nothing is mixed up.
 
 Defined cases: null or empty text has one token, the end; a null doc_id counts as training; repeated rows count and score as
-often as they occur; without training texts the base is one for every token and the model is uniform; an empty table gives an
-empty result.
+often as they occur; without training texts every token is unknown and has probability one; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import chain
+import pickle
+from functools import reduce
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage, keyed, ship
+from .common import cut_lineage, documents, ship
 
-DEPTH = 5
 MIN_COUNT = 24
 GAIN = 8.0
-KAPPA = 4.0
-#: Weight of a token's training frequency against its spelled probability.
-BLEND = 0.35
-LOG2_10 = math.log2(10)
-BATCH_BYTES = 16 << 20
-SLICE = 8 << 20
-END = 10
+BATCH_BYTES = 8 << 20
+#: No white space can be part of a word, so this one can stand for the end.
+END = b"\n"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+PARTS = "batch bigint, body binary, words array<binary>, n array<bigint>"
+LEVEL = ("batch bigint, parent bigint, word bigint, next array<bigint>, n array<bigint>, up array<double>, body binary, "
+         "doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
+         "found array<bigint>, base array<double>")
+TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -52,269 +59,227 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after DEPTH end symbols; where each text starts; which places are symbols of a text."""
-    pad = bytes([END]) * DEPTH
-    parts = [pad + b" ".join(w) + (b" " if w else b"") + bytes([END]) for w in texts]
-    symbols = np.frombuffer(b"".join(parts), np.uint8)
-    starts = np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
-    real = np.ones(len(symbols), bool)
-    real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return symbols, starts, real
-
-
-def slices(texts: list[bytes]):
-    size, part = 0, []
+def packed(ids: list, held: list[bool], texts: list[bytes]) -> tuple[bytes, list[bytes], list[int]]:
+    """A batch: its texts as numbers of its own words (0: the end), these words, and how often training texts hold them."""
+    place, stream, ends = {END: 0}, [0], []
     for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= SLICE:
-            yield part
-            size, part = 0, []
-    if part:
-        yield part
-
-
-def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of DEPTH + 1 symbols, packed big-endian, and their counts."""
-    symbols, _, real = stream(texts)
-    key = np.zeros(len(symbols), np.int64)
-    for k in range(DEPTH + 1):
-        key[DEPTH:] |= symbols[k:len(symbols) - DEPTH + k].astype(np.int64) << (8 * (DEPTH - k))
-    return np.unique(key[real], return_counts=True)
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64)
+        stream += [place.setdefault(w, len(place)) for w in words_of(t)]
+        stream.append(0)
+        ends.append(len(stream))
+    stream = np.array(stream, np.int32)
+    train = np.repeat(~np.array(held, bool), np.diff([1, *ends]))
+    body = {"ids": ids, "held": np.array(held, bool), "ends": np.array(ends), "stream": stream}
+    return (zstandard.compress(pickle.dumps(body, protocol=5), 3), list(place),
+            np.bincount(stream[1:][train], minlength=len(place)).tolist())
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """One row per batch."""
+    def run(batches):
+        number = numbers(TaskContext.get().partitionId() << 32)
+        ids, held, texts, size = [], [], [], 0
 
+        def row():
+            body, words, n = packed(ids, held, texts)
+            return pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([body], pa.binary()),
+                                               pa.array([words], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64()))],
+                                              names=["batch", "body", "words", "n"])
 
-def gather(docs: DataFrame) -> DataFrame:
-    """(batch, word, gram, n): training counts of each batch's words (0 for words of held-out texts only), and of grams."""
-    def run(batches):
-        seen: dict[int, Counter] = {}
-        keys, counts = [], []
-        for b in batches:
-            place = b.column("batch").to_pylist()
-            train = b.column("train").to_pylist()
-            body = b.column("body").cast(pa.large_binary() if pa.types.is_large_string(b.column("body").type) else pa.binary())
-            at = 0
-            for part in slices(body.to_pylist()):
-                split = [words_of(t) for t in part]
-                for i, w in enumerate(split):
-                    own = seen.setdefault(place[at + i], Counter())
-                    if train[at + i]:
-                        own.update(w)
-                    else:
-                        for x in w:
-                            own.setdefault(x, 0)
-                learn = [w for i, w in enumerate(split) if train[at + i]]
-                if learn:
-                    k, n = grams(learn)
-                    keys.append(k)
-                    counts.append(n)
-                    if len(keys) > 8:
-                        k, n = _merged(keys, counts)
-                        keys, counts = [k], [n]
-                at += len(part)
-        names = ["batch", "word", "gram", "n"]
-        for place, own in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), place, np.int32)), pa.array(own.keys(), pa.binary()),
-                                              pa.nulls(len(own), pa.int64()), pa.array(own.values(), pa.int64())], names=names)
-        if keys:
-            k, n = _merged(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k),
-                                              pa.array(n)], names=names)
-
-    return docs.repartition("batch").select("batch", "train", "body").mapInArrow(run, "batch int, word binary, gram bigint, n bigint")
-
-
-def contexts(docs: DataFrame) -> DataFrame:
-    """(batch, ctx): distinct windows of DEPTH symbols of all texts of a batch, packed like those of `grams`."""
-    def run(batches):
-        seen: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            place = np.array(b.column("batch").to_pylist(), np.int64)
-            body = b.column("body").cast(pa.large_binary() if pa.types.is_large_string(b.column("body").type) else pa.binary())
-            at = 0
-            for part in slices(body.to_pylist()):
-                own = place[at:at + len(part)]
-                at += len(part)
-                for p in np.unique(own).tolist():
-                    found = seen.setdefault(p, [])
-                    found.append(np.unique(grams([words_of(t) for t, q in zip(part, own.tolist()) if q == p])[0] >> 8))
-                    if len(found) > 8:
-                        seen[p] = [np.unique(np.concatenate(found))]
-        for p, found in seen.items():
-            k = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), p, np.int32)), pa.array(k)], names=["batch", "ctx"])
-
-    return docs.repartition("batch").select("batch", "body").mapInArrow(run, "batch int, ctx bigint")
-
-
-def _low(symbols):
-    """Mask of so many trailing symbols."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (symbols * 8).cast("int")) - 1
-
-
-def of_batches(tree: DataFrame, met: DataFrame) -> DataFrame:
-    """(batch, d, key, n, t) of the contexts of the tree that occur in a batch; the root belongs to all. met: (batch, ctx)."""
-    level = F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("d")
-    own = met.select("batch", "ctx", level).select("batch", "d", F.col("ctx").bitwiseAND(_low(F.col("d"))).alias("ctx")).distinct()
-    rows = tree.where("d > 0").withColumn("ctx", F.shiftright("key", 8)).join(own, ["d", "ctx"])
-    # The root has at most 256 rows.
-    roots = met.select("batch").distinct().crossJoin(F.broadcast(tree.where("d = 0")))
-    return rows.select("batch", "d", "key", "n", "t").unionByName(roots.select("batch", "d", "key", "n", "t"))
-
-
-def retained(counts: DataFrame) -> DataFrame:
-    """(d, key, n, t) of the retained contexts and the root: key holds d context symbols and the next, t the context's count."""
-    level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d")
-    seen = (counts.select("gram", "n", level).select("d", F.col("gram").bitwiseAND(_low(F.col("d") + 1)).alias("key"), "n")
-            .groupBy("d", "key").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("key", 8)))
-    seen = cut_lineage(seen)
-    totals = seen.groupBy("d", "ctx").agg(F.sum("n").alias("t"))
-    full = cut_lineage(seen.join(totals, ["d", "ctx"]))
-    up = full.select((F.col("d") + 1).alias("d"), F.col("key").alias("up"), F.col("n").alias("pn"), F.col("t").alias("pt"))
-    own = full.where((F.col("d") > 0) & (F.col("t") >= MIN_COUNT)).withColumn("up", F.col("key").bitwiseAND(_low(F.col("d"))))
-    term = F.col("n") * F.log((F.col("n") / F.col("t")) / (F.col("pn") / F.col("pt")))
-    gains = own.join(up, ["d", "up"]).groupBy("d", "ctx").agg(F.sum(term).alias("gain"), F.count(F.lit(1)).alias("symbols"))
-    passed = gains.where(F.col("gain") > F.col("symbols") + GAIN).select("d", "ctx")
-    return full.where("d = 0").select("d", "key", "n", "t").unionByName(
-        full.join(passed, ["d", "ctx"], "left_semi").select("d", "key", "n", "t"))
-
-
-class SuffixTree:
-    """The retained contexts as a state machine with a smoothed next-symbol distribution per state."""
-
-    def __init__(self, value):
-        d, key, n, t = value
-        self.symbols = np.unique(key & 255)
-        self.width = len(self.symbols) + 1  # the last class stands for every byte that training never saw
-        self.code = np.full(256, self.width - 1, np.int64)
-        self.code[self.symbols] = np.arange(len(self.symbols))
-        kept = {(int(a), int(b)) for a, b in zip(d, key >> 8)} | {(0, 0)}
-        states = set(kept)
-        for depth, context in kept:
-            while depth:
-                depth, context = depth - 1, context >> 8
-                states.add((depth, context))
-        states = sorted(states)
-        number = {s: i for i, s in enumerate(states)}
-
-        def suffix(s, among):
-            depth, context = s
-            while depth:
-                depth -= 1
-                context &= (1 << (8 * depth)) - 1
-                if (depth, context) in among:
-                    return number[depth, context]
-            return 0
-
-        root = np.zeros(self.width)
-        at_root = d == 0
-        root[self.code[key[at_root] & 255]] = n[at_root]
-        unseen = 256 - len(self.symbols)
-        root = (root + 0.5) / (n[at_root].sum() + 128)
-        root[-1] = 0.5 / (n[at_root].sum() + 128) if unseen else 0
-        chance = np.zeros((len(states), self.width))
-        chance[0] = root
-        where = np.array([number[int(a), int(b)] for a, b in zip(d, key >> 8)], np.int64)
-        order = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[order], np.arange(len(states) + 1))
-        step = np.zeros((len(states), self.width), np.int32)
-        children: dict[int, list] = {}
-        for (depth, context), i in number.items():
-            if depth and len(at := np.flatnonzero(self.symbols == (context & 255))):
-                children.setdefault(number[depth - 1, context >> 8], []).append((int(at[0]), i))
-        for i, s in enumerate(states):
-            if i:
-                chance[i] = chance[suffix(s, kept)]
-                rows = order[edges[i]:edges[i + 1]]
-                if len(rows):
-                    total = t[rows[0]]
-                    chance[i] *= KAPPA / (total + KAPPA)
-                    chance[i, self.code[key[rows] & 255]] += n[rows] / (total + KAPPA)
-                step[i] = step[suffix(s, number)]
-            for symbol, child in children.get(i, ()):
-                step[i, symbol] = child
-        self.log = np.log10(np.maximum(chance, 1e-300)).astype(np.float32).ravel()
-        self.step = step.ravel()
-
-    def score(self, texts: list[list[bytes]], lanes: int = 8_192) -> np.ndarray:
-        """log10 probability of each token (words, then the end, text by text).
-
-        A state depends on DEPTH symbols, so lanes may start anywhere that far ahead.
-        """
-        symbols, _, real = stream(texts)
-        long = -(-len(symbols) // lanes)
-        codes = np.full(DEPTH + lanes * long, self.code[END], np.int64)
-        codes[DEPTH:DEPTH + len(symbols)] = self.code[symbols]
-        out, state = np.empty((long, lanes), np.float32), np.zeros(lanes, np.int64)
-        at = np.arange(lanes) * long
-        for k in range(DEPTH + long):
-            place = state * self.width + codes[at + k]
-            if k >= DEPTH:
-                out[k - DEPTH] = self.log[place]
-            state = self.step[place]
-        flat = out.T.ravel()[:len(symbols)].astype(float)
-        flat[~real] = 0
-        begins = real.copy()
-        begins[1:] &= ~real[:-1] | (symbols[:-1] == 32)
-        return np.add.reduceat(flat, np.flatnonzero(begins))
+            body = b.column("body")
+            body = body.cast(pa.large_binary() if pa.types.is_large_string(body.type) else pa.binary())
+            for i, h, t in zip(b.column("id").to_pylist(), b.column("held").to_pylist(), body):
+                t = t.as_py()
+                if texts and size + len(t) > BATCH_BYTES:
+                    yield row()
+                    ids, held, texts, size = [], [], [], 0
+                ids.append(i)
+                held.append(h)
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield row()
+
+    held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    return documents(docs).select("id", held.alias("held"), "body").mapInArrow(run, PARTS)
+
+
+class Batch:
+    """The tokens of a batch on their way down the tree: `at` are the places that may still find a longer context."""
+
+    def __init__(self, body: bytes):
+        self.__dict__.update(pickle.loads(zstandard.decompress(body)))
+
+    def body(self) -> bytes:
+        return zstandard.compress(pickle.dumps(self.__dict__, protocol=5), 3)
+
+    def start(self, known: dict, size: float) -> dict:
+        """At the root, with numbers and counts of the words. Gives the columns of each text."""
+        self.word, c = np.empty(len(known["n"]), np.int64), np.empty(len(known["n"]), np.int64)
+        self.word[known["parent"]], c[known["parent"]] = known["node"], known["n"]
+        c = c[self.stream]
+        starts = np.concatenate([[1], self.ends[:-1]])
+        self.doc = np.repeat(np.arange(-1, len(self.ends)), [1, *(self.ends - starts)]).astype(np.int32)
+        self.begins = starts
+        self.train = ~self.held[self.doc]
+        self.at = np.arange(1, len(self.stream))
+        self.p = (c[1:] + 1.0) / size
+        self.parent, self.nodes = np.zeros(len(self.at), np.int64), np.zeros(1, np.int64)
+        self.grows = c >= MIN_COUNT  # of a word: whether it may be a context
+        total = lambda x: np.add.reduceat(x, starts)
+        found, tokens, base = total((c > 0).astype(np.int64)), self.ends - starts, total(np.log10(c + 1.0))
+        out = {"doc": np.arange(len(starts)), "delta": total(np.concatenate([[0], np.log10(self.p)])), "id": self.ids,
+               "held": self.held, "tokens": tokens, "found": found, "base": base - tokens * math.log10(size)}
+        del self.ids, self.held, self.ends
+        return out
+
+    def local(self, words: np.ndarray) -> np.ndarray:
+        """Own numbers of words that are known to occur here."""
+        order = np.argsort(self.word, kind="stable")
+        return order[np.searchsorted(self.word, words, sorter=order)]
+
+    def candidates(self, d: int) -> None:
+        """Go on with the tokens whose context of d words is a candidate: numbers of context and of (context, next word)."""
+        ok = self.at - self.begins[self.doc[self.at]] + 1 >= d
+        ok[ok] = self.grows[self.at[ok] - d if d == 1 else self.at[ok] - d + 1]
+        self.at, self.p, self.parent, width = self.at[ok], self.p[ok], self.parent[ok], len(self.word)
+        self.contexts, self.context = np.unique(self.parent * width + self.stream[self.at - d], return_inverse=True)
+        self.pairs, self.pair = np.unique(self.context * width + self.stream[self.at], return_inverse=True)
+
+    def descend(self, d: int, known: dict) -> dict:
+        """Take over what is known of level d ; gives how much the texts gain by it."""
+        self.candidates(d)
+        width = len(self.word)
+        n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.pairs))
+        order = np.argsort(self.nodes, kind="stable")
+        above = order[np.searchsorted(self.nodes, known["parent"], sorter=order)]
+        mine = np.searchsorted(self.contexts, above * width + self.local(known["word"]))
+        whole = known["next"] < 0
+        node, t, u = (np.full(len(self.contexts), -1, np.int64) for _ in range(3))
+        for x, c in ((node, "node"), (t, "t"), (u, "u")):
+            x[mine[whole]] = known[c][whole]
+        n[np.searchsorted(self.pairs, mine[~whole] * width + self.local(known["next"][~whole]))] = known["n"][~whole]
+        kept = node[self.context] >= 0
+        self.at, self.parent, before, n = self.at[kept], self.context[kept], self.p[kept], n[self.pair[kept]]
+        self.nodes = node
+        if d == 1:
+            self.grows = np.zeros(len(self.stream), bool)  # of a place: whether the word before is a context, often before it
+            self.grows[self.at] = n >= MIN_COUNT
+        u = u[self.parent]
+        self.p = (n + u * before) / (t[self.parent] + u)
+        gain = np.bincount(self.doc[self.at], np.log10(self.p / before)) if len(self.at) else np.zeros(0)
+        doc = np.unique(self.doc[self.at])
+        self.shrink(d)
+        return {"doc": doc, "delta": gain[doc]}
+
+    def shrink(self, d: int) -> None:
+        """Keep only places that may go on."""
+        ok = self.at - self.begins[self.doc[self.at]] >= d
+        ok[ok] = self.grows[self.at[ok] - d]
+        self.at, self.p, self.parent = self.at[ok], self.p[ok], self.parent[ok]
+
+    def send(self, d: int, batch: int) -> dict:
+        """Candidates of level d with the words that follow them, their counts and what their suffixes give."""
+        self.candidates(d)
+        width = max(len(self.word), 1)
+        n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.pairs))
+        up = np.zeros(len(self.pairs))
+        up[self.pair] = self.p
+        edges = np.searchsorted(self.pairs // width, np.arange(len(self.contexts) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(edges, x) for x in (self.word[self.pairs % width], n, up)]
+        out = {"parent": self.nodes[self.contexts // width], "word": self.word[self.contexts % width],
+               **dict(zip(("next", "n", "up"), lists))}
+        del self.contexts, self.context, self.pairs, self.pair
+        return out
+
+
+def step(d: int, size: float):
+    """Of one batch: take over level d, send the candidates of level d + 1. Rows of three kinds: texts, candidates, state."""
+    schema = to_arrow_schema(T.StructType.fromDDL(LEVEL))
+
+    def run(part: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(part):
+            return schema.empty_table()
+        number = part.column("batch")[0].as_py()
+        known = {c: rows.column(c).fill_null(-1).to_numpy() for c in ("parent", "word", "node", "next", "n", "t", "u")}
+        batch = Batch(part.column("body")[0].as_py())
+        texts = batch.descend(d, known) if d else batch.start(known, size)
+        # After the root a text only has a gain.
+        kinds = [{c: [texts.get(c, [None] * len(texts["doc"]))] for c in TEXTS}, batch.send(d + 1, number)]
+        if len(batch.at):
+            kinds.append({"body": [batch.body()]})
+        tables = []
+        for kind in kinds:
+            long = len(next(iter(kind.values())))
+            kind["batch"] = np.full(long, number)
+            tables.append(pa.table([pa.array(kind[f.name], f.type) if f.name in kind and not isinstance(kind[f.name], pa.Array)
+                                    else kind.get(f.name, pa.nulls(long, f.type)) for f in schema], schema=schema))
+        return pa.concat_tables(tables)
+
+    return run
+
+
+def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Retained contexts (parent, word, node, t, u) of a level, and the counts (parent, word, next, n) that batches can't know."""
+    pair = F.explode(F.arrays_zip("next", "n", "up")).alias("x")
+    each = (seen.select("parent", "word", pair).select("parent", "word", "x.*").groupBy("parent", "word", "next")
+            .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.count(F.lit(1)).alias("k")).where("n > 0"))
+    # A pair that only one batch has needs no return, and all that follow a context once have the same part in its gain.
+    apart = F.expr("n > 1 OR k > 1")
+    thin = cut_lineage(each.select("parent", "word", F.when(apart, F.col("next")).alias("next"), "n", "up", "k")
+                       .groupBy("parent", "word", "next")
+                       .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.max("k").alias("k"), F.count(F.lit(1)).alias("types"),
+                            F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")))
+    totals = (thin.groupBy("parent", "word").agg(F.sum("n").alias("t"), F.sum("types").alias("u"), F.sum("once").alias("once"))
+              .where((F.col("t") >= MIN_COUNT) & (F.col("u") < F.col("t"))))
+    left = F.expr("n * ln((n - 1 + u * up) / ((t - 1 + u) * up))")
+    gain = F.col("gain") + F.expr("CASE WHEN once > 0 THEN once * ln((u - 1) / (t + u - 2)) ELSE 0 END")
+    nodes = (thin.where("n > 1").drop("once", "types").join(totals, ["parent", "word"]).groupBy("parent", "word")
+             .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
+             .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + 1).alias("node"), "t", "u"))
+    return cut_lineage(nodes), thin.where("next IS NOT NULL AND k > 1").select("parent", "word", "next", "n")
+
+
+def shared(seen: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What each batch gets back of a level : its retained contexts, and its counts of words after them."""
+    own = seen.select("batch", "parent", "word", "next").join(nodes, ["parent", "word"])
+    whole = own.select("batch", "parent", "word", "node", F.lit(None).cast("bigint").alias("next"),
+                       F.lit(0).cast("bigint").alias("n"), "t", "u")
+    asked = own.select("batch", "parent", "word", "node", "t", "u", F.explode("next").alias("next"))
+    counted = asked.join(pairs, ["parent", "word", "next"]).select("batch", "parent", "word", "node", "next", "n", "t", "u")
+    return whole.unionByName(counted)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ship(spark)
-    held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(7)) == 2, F.lit(False))
-    rows = keyed(docs).withColumn("train", ~held)
-    size, n_train = rows.agg(F.sum(F.octet_length("body")), F.sum(F.col("train").cast("bigint"))).first()
-    n_batches = 1 + (size or 0) // BATCH_BYTES
-    rows = rows.select("id", "body", "train", F.pmod(F.xxhash64("id", "mark"), F.lit(n_batches)).cast("int").alias("batch"))
-    seen = cut_lineage(gather(rows))
-    of_batch = seen.where(F.col("batch").isNotNull()).groupBy("batch", "word").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(seen.where(F.col("batch").isNotNull() & (F.col("n") > 0)).groupBy("word").agg(F.sum("n").alias("c")))
+    parts = cut_lineage(pack(docs))
+    own = parts.select("batch", F.posexplode(F.arrays_zip("words", "n")).alias("at", "x")).select("batch", "at", "x.*")
+    counts = cut_lineage(own.where("n > 0").groupBy("words").agg(F.sum("n").alias("c"))
+                         .withColumn("number", F.monotonically_increasing_id() + 1))
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    ends = n_train or 0
-    n_tokens, n_distinct = (total or 0) + ends, distinct + (ends > 0)
-    tree = cut_lineage(retained(seen.where(F.col("gram").isNotNull()).select("gram", "n")))
-    floor = math.log10(n_tokens + n_distinct + 1)
-
-    def run(_, texts: pa.Table, words: pa.Table) -> pa.Table:
-        states = words.column("word").is_null()
-        learned = words.filter(states)
-        model = SuffixTree(tuple(learned.column(c).to_numpy() for c in ("d", "key", "n", "t")))
-        words = words.filter(pc.invert(states))
-        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
-        body = texts.column("body").cast(pa.large_binary() if pa.types.is_large_string(texts.column("body").type) else pa.binary())
-        tokens, known, base, scores = [], [], [], [np.zeros(0)]
-        for part in slices(body.to_pylist()):
-            split = [words_of(t) for t in part]
-            size = np.fromiter(map(len, split), np.int64, len(split)) + 1
-            begin = np.cumsum(size) - size
-            c = np.full(size.sum(), ends, np.int64)
-            word = np.ones(len(c), bool)
-            word[begin + size - 1] = False
-            c[word] = np.fromiter(map(count.__getitem__, chain.from_iterable(split)), np.int64)
-            spelled = model.score(split)
-            # In logarithms, as the probability of a long word may underflow.
-            whole = np.log10(np.maximum(c, 1e-300) / max(n_tokens, 1)) + math.log10(BLEND)
-            chance = np.logaddexp2(whole * LOG2_10, (spelled + math.log10(1 - BLEND)) * LOG2_10) / LOG2_10
-            chance = np.where(c > 0, chance, spelled + math.log10(1 - BLEND if n_tokens else 1))
-            tokens.append(size)
-            known.append(np.add.reduceat((c > 0).astype(np.int64), begin))
-            base.append(np.add.reduceat(np.log10(c + 1.0), begin) - size * floor)
-            scores.append(np.add.reduceat(chance, begin))
-        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
-        return pa.table({"doc_id": texts.column("id"), "held_out": pa.array([not x for x in texts.column("train").to_pylist()],
-                                                                            pa.bool_()),
-                         "n_tokens": join(tokens, np.int64), "n_known": join(known, np.int64),
-                         "train_tokens": np.full(len(texts), n_tokens, np.int64), "base_score": join(base, float),
-                         "score": join(scores, float)})
-
-    dictionary = of_batch.join(counts, "word", "left").select("batch", "word", F.coalesce("c", F.lit(0)).cast("bigint").alias("c"))
-    dictionary = dictionary.unionByName(of_batches(tree, cut_lineage(contexts(rows))), allowMissingColumns=True)
-    return rows.groupBy("batch").cogroup(dictionary.groupBy("batch")).applyInArrow(
-        run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    n_tokens, size = total or 0, float((total or 0) + distinct + 1)
+    none = F.lit(None).cast("bigint")
+    # A word that training never saw needs a number of its own within its batch only.
+    known = own.join(counts, "words", "left").select(
+        "batch", F.col("at").cast("bigint").alias("parent"), none.alias("word"),
+        F.coalesce("number", -F.col("at").cast("bigint") - 2).alias("node"), none.alias("next"),
+        F.coalesce("c", F.lit(0)).cast("bigint").alias("n"), none.alias("t"), none.alias("u"))
+    state, levels = parts.select("batch", "body"), []
+    for d in numbers():
+        level = cut_lineage(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
+        levels.append(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x")).select("batch", "x.*"))
+        state, seen = level.where("body IS NOT NULL").select("batch", "body"), level.where("parent IS NOT NULL")
+        if state.isEmpty():
+            break
+        nodes, pairs = level_of(seen)
+        if nodes.isEmpty():
+            break
+        known = shared(seen, nodes, pairs)
+    one = lambda c: F.max(c).alias(c)
+    texts = reduce(DataFrame.unionByName, levels).groupBy("batch", "doc").agg(
+        *[one(c) for c in TEXTS[2:]], F.sum("delta").alias("score"))
+    return texts.select(F.col("id").alias("doc_id"), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"),
+                        F.col("found").alias("n_known"), F.lit(n_tokens).cast("bigint").alias("train_tokens"),
+                        F.col("base").alias("base_score"), "score")

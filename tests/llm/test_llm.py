@@ -1,7 +1,10 @@
 """Training-data operators against brute force, exact round trips and held-out cases, with the defined odd inputs."""
 
+import collections
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -240,50 +243,83 @@ def test_sharding_is_even_and_gapless(spark):
     assert sharding.shard(empty(spark)).count() == 0
 
 
-def test_lm_base_score_and_probability(spark):
-    rnd = random.Random(6)
-    texts = [" ".join(rnd.choices(["the", "cat", "sat", "mat", "on"], k=20)) for _ in range(60)]
-    out = {r["doc_id"]: r for r in lm_score.score(docs(spark, texts + ["zzz qqq"])).collect()}
-    assert out[61]["n_tokens"] == 1 and out[60]["score"] < -5 and all(r["score"] < 0 for r in out.values())
-    held = [r for i, r in out.items() if i is not None and i < 60 and r["held_out"]]
-    assert held and all(r["score"] > r["base_score"] - 3 for r in held)
+def brute_scores(rows, min_count, gain):
+    """Log10 probabilities of all texts by dictionaries, context by context."""
+    toks = [(["\n", *(t or "").lower().split(), "\n"], held) for t, held in rows]
+    tree, base = {}, collections.Counter(w for x, held in toks if not held for w in x[1:])
+    size = sum(base.values()) + len(base) + 1
+
+    def give(ctx, w):  # ctx: nearest word first
+        if not ctx:
+            return (base[w] + 1) / size
+        own, t, u = tree[ctx]
+        return (own[w] + u * give(ctx[:-1], w)) / (t + u)
+
+    depth = 0
+    while True:
+        depth += 1
+        new = {}
+        for x, held in toks:
+            for i in range(depth, 0 if held else len(x)):
+                ctx = tuple(x[i - 1 - k] for k in range(depth))
+                far = ctx[-1]
+                if depth == 1 and base[far] >= min_count or depth > 1 and ctx[:-1] in tree and (far,) in tree \
+                        and tree[far,][0][ctx[-2]] >= min_count:
+                    new.setdefault(ctx, collections.Counter())[x[i]] += 1
+        kept = {}
+        for ctx, own in new.items():
+            t, u = sum(own.values()), len(own)
+            if t >= min_count and u < t:
+                up = {w: give(ctx[:-1], w) for w in own}
+                won = sum(n * math.log((n - 1 + u * up[w]) / (t - 1 + u) / up[w]) if n > 1 else math.log((u - 1) / (t + u - 2))
+                          for w, n in own.items())
+                if won > gain:
+                    kept[ctx] = own, t, u
+        tree |= kept
+        if not kept:
+            break
+    out = []
+    for x, _ in toks:
+        total = 0.0
+        for i in range(1, len(x)):
+            ctx = ()
+            while len(ctx) < i and (longer := (*ctx, x[i - 1 - len(ctx)])) in tree:
+                ctx = longer
+            total += math.log10(give(ctx, x[i]))
+        out.append(total)
+    return out, max(map(len, tree), default=0), base
+
+
+@pytest.mark.parametrize("batch_bytes", [8 << 20, 300])
+def test_lm_equals_brute_force(spark, monkeypatch, batch_bytes):
+    """Counts, base and score of every text, with the tree several levels deep, for one batch and for many."""
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", batch_bytes)
+    rnd = random.Random(3)
+    phrases = ["the cat sat on the mat", "a dog ran to the cat", "on the hill a dog sat", "to the sea ran Rare{}"]
+    texts = [" ".join(rnd.choice(phrases).format(rnd.randint(0, 40)) for _ in range(rnd.randint(1, 9))) for _ in range(150)]
+    table = docs(spark, [*texts, "zzz qqq", " \n "])
+    got = lm_score.score(table).collect()
+    rows = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in table.collect())
+    held = [known and zlib.crc32(str(i).encode()) % 7 == 2 for known, i, _ in rows]
+    want, depth, base = brute_scores([(t, h) for (_, _, t), h in zip(rows, held)], lm_score.MIN_COUNT, lm_score.GAIN)
+    got.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    assert depth >= 2 and len(got) == len(rows) and [r["held_out"] for r in got] == held
+    total, size = sum(base.values()), sum(base.values()) + len(base) + 1
+    for r, (_, _, t), w in zip(got, rows, want):
+        words = [*t.lower().split(), "\n"]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(base[x] > 0 for x in words), total)
+        assert math.isclose(r["base_score"], sum(math.log10((base[x] + 1) / size) for x in words), rel_tol=1e-9)
+        assert math.isclose(r["score"], w, rel_tol=1e-9)
+    free = [(r["score"], r["base_score"]) for r, h in zip(got, held) if h]
+    assert free and sum(s for s, _ in free) > sum(b for _, b in free)
+
+
+def test_lm_odd_inputs(spark):
     assert lm_score.score(empty(spark)).count() == 0
-    tree = lm_score.SuffixTree(tuple(np.array(x, np.int64) for x in ([0, 0, 1, 1], [97, 10, 97 << 8 | 97, 97 << 8 | 10], [6, 2, 3, 3], [8, 8, 6, 6])))
-    chance = 10.0 ** tree.log.reshape(-1, tree.width)
-    assert np.allclose(chance[:, :-1].sum(1) + chance[:, -1] * 254, 1, atol=1e-4)
-
-
-def test_lm_keeps_every_context_that_passes(spark):
-    # 60,000 contexts of five symbols, each with one next symbol of its own: parents with two children differ from both.
-    rnd = np.random.default_rng(8)
-    digits = np.unique(rnd.integers(0, 12, (60_000, 5)), axis=0)
-    ctx = (digits + 97) @ (1 << np.arange(32, -1, -8))
-    next_one = 97 + rnd.integers(0, 64, len(ctx))
-    gram = (ctx << 8) | next_one
-    counts = spark.createDataFrame(list(zip(gram.tolist(), [100] * len(gram))), "gram bigint, n bigint")
-    want = set()
-    for d in range(1, lm_score.DEPTH + 1):
-        mine, above = {}, {}
-        for g in gram.tolist():
-            for level, k in ((mine, d), (above, d - 1)):
-                own = level.setdefault((g >> 8) & ((1 << 8 * k) - 1), {})
-                own[g & 255] = own.get(g & 255, 0) + 100
-        for c, own in mine.items():
-            up, t = above[c & ((1 << 8 * (d - 1)) - 1)], sum(own.values())
-            whole = sum(up.values())
-            if sum(n * np.log((n / t) / (up[x] / whole)) for x, n in own.items()) > len(own) + lm_score.GAIN:
-                want.add((d, c))
-    kept = lm_score.retained(counts).where("d > 0").selectExpr("d", "shiftright(key, 8) AS ctx").distinct().collect()
-    assert len(want) > 32_768 and {(r["d"], r["ctx"]) for r in kept} == want
-
-
-def test_lm_parts_of_the_tree_score_like_the_whole(spark, monkeypatch):
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    read = lambda: {r["doc_id"]: r["score"] for r in lm_score.score(d).collect()}
-    whole = read()
-    monkeypatch.setattr(lm_score, "BATCH_BYTES", 100_000)
-    parts = read()
-    assert whole.keys() == parts.keys() and all(abs(x - parts[i]) < 1e-6 * abs(x) for i, x in whole.items())
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    rows = [(held[0], "x y", None, None, 1, "r", "b"), (held[1], None, None, None, 1, "r", "b"), (held[2], "w" * 3_000_000, None, None, 1, "r", "b")]
+    out = lm_score.score(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == 3 and all((r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0) for r in out)
 
 
 def test_pipeline_keeps_one_of_each(spark):
