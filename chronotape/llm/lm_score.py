@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from functools import reduce
 from itertools import count as numbers
 
@@ -33,27 +34,38 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage, documents, ship
+from chronotape.session import ensure_checkpoint_dir
+
+from .common import documents, ship
 
 MIN_COUNT = 24
 GAIN = 8.0
 BATCH_BYTES = 8 << 20
+#: The words after a context are dealt into one more part for each so many occurrences of its farthest word.
+PART_ROWS = 1_000_000
 #: No white space can be part of a word, so this one can stand for the end.
 END = b"\n"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARTS = "batch bigint, body binary, words array<binary>, n array<bigint>"
-LEVEL = ("batch bigint, parent bigint, word bigint, next array<bigint>, n array<bigint>, up array<double>, body binary, "
+LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, next array<bigint>, n array<bigint>, up array<double>, body binary, "
          "doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
          "found array<bigint>, base array<double>")
 TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `cut_lineage`, packed more tightly."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words between the six ASCII white spaces."""
     return text.translate(_LOWER).split()
@@ -76,7 +88,7 @@ def packed(ids: list, held: list[bool], texts: list[bytes]) -> tuple[bytes, list
 def pack(docs: DataFrame) -> DataFrame:
     """One row per batch."""
     def run(batches):
-        number = numbers(TaskContext.get().partitionId() << 32)
+        number = numbers(TaskContext.get().partitionId() << 12)
         ids, held, texts, size = [], [], [], 0
 
         def row():
@@ -115,24 +127,32 @@ class Batch:
 
     def start(self, known: dict, size: float) -> dict:
         """At the root, with numbers and counts of the words. Gives the columns of each text."""
-        self.word, c = np.empty(len(known["n"]), np.int64), np.empty(len(known["n"]), np.int64)
-        self.word[known["parent"]], c[known["parent"]] = known["node"], known["n"]
-        c = c[self.stream]
+        self.word, self.c = np.empty(len(known["n"]), np.int64), np.empty(len(known["n"]), np.int64)
+        self.word[known["parent"]], self.c[known["parent"]] = known["node"], known["n"]
+        c = self.c[self.stream]
         starts = np.concatenate([[1], self.ends[:-1]])
-        self.doc = np.repeat(np.arange(-1, len(self.ends)), [1, *(self.ends - starts)]).astype(np.int32)
         self.begins = starts
-        self.train = ~self.held[self.doc]
-        self.at = np.arange(1, len(self.stream))
-        self.p = (c[1:] + 1.0) / size
-        self.parent, self.nodes = np.zeros(len(self.at), np.int64), np.zeros(1, np.int64)
-        self.grows = c >= MIN_COUNT  # of a word: whether it may be a context
+        self.at_root(size)
         total = lambda x: np.add.reduceat(x, starts)
         found, tokens, base = total((c > 0).astype(np.int64)), self.ends - starts, total(np.log10(c + 1.0))
         out = {"doc": np.arange(len(starts)), "delta": total(np.concatenate([[0], np.log10(self.p)])), "id": self.ids,
                "held": self.held, "tokens": tokens, "found": found, "base": base - tokens * math.log10(size)}
-        del self.ids, self.held, self.ends
+        del self.ids
         return out
 
+    def at_root(self, size: float) -> None:
+        c = self.c[self.stream]
+        self.doc = np.repeat(np.arange(-1, len(self.ends)), [1, *(self.ends - self.begins)]).astype(np.int32)
+        self.train = ~self.held[self.doc]
+        self.at = np.arange(1, len(self.stream))
+        self.p = (c[1:] + 1.0) / size
+        self.parent, self.nodes = np.zeros(len(self.at), np.int64), np.zeros(1, np.int64)
+        self.grows = c >= MIN_COUNT  # of a word: whether it may be a context
+
+    def leave_root(self) -> None:
+        """Nothing is kept that `at_root` can make again."""
+        del self.doc, self.train, self.at, self.p, self.parent, self.nodes, self.grows
+
     def local(self, words: np.ndarray) -> np.ndarray:
         """Own numbers of words that are known to occur here."""
         order = np.argsort(self.word, kind="stable")
@@ -178,16 +198,23 @@ class Batch:
         ok[ok] = self.grows[self.at[ok] - d]
         self.at, self.p, self.parent = self.at[ok], self.p[ok], self.parent[ok]
 
-    def send(self, d: int, batch: int) -> dict:
+    def send(self, d: int, part_rows: int) -> dict:
         """Candidates of level d with the words that follow them, their counts and what their suffixes give."""
         self.candidates(d)
         width = max(len(self.word), 1)
         n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.pairs))
         up = np.zeros(len(self.pairs))
         up[self.pair] = self.p
-        edges = np.searchsorted(self.pairs // width, np.arange(len(self.contexts) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(edges, x) for x in (self.word[self.pairs % width], n, up)]
-        out = {"parent": self.nodes[self.contexts // width], "word": self.word[self.contexts % width],
+        context, follows = self.pairs // width, self.word[self.pairs % width]
+        far = self.contexts % width
+        part = follows % (1 + self.c[far] // part_rows)[context]
+        order = np.lexsort((part, context))
+        context, part = context[order], part[order]
+        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (part[1:] != part[:-1])][:len(context)])
+        edges = np.append(first, len(context)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(edges, x[order]) for x in (follows, n, up)]
+        own = self.contexts[context[first]]
+        out = {"parent": self.nodes[own // width], "word": self.word[own % width], "part": part[first],
                **dict(zip(("next", "n", "up"), lists))}
         del self.contexts, self.context, self.pairs, self.pair
         return out
@@ -203,10 +230,15 @@ def step(d: int, size: float):
         number = part.column("batch")[0].as_py()
         known = {c: rows.column(c).fill_null(-1).to_numpy() for c in ("parent", "word", "node", "next", "n", "t", "u")}
         batch = Batch(part.column("body")[0].as_py())
+        if d == 1:
+            batch.at_root(size)
         texts = batch.descend(d, known) if d else batch.start(known, size)
         # After the root a text only has a gain.
-        kinds = [{c: [texts.get(c, [None] * len(texts["doc"]))] for c in TEXTS}, batch.send(d + 1, number)]
-        if len(batch.at):
+        kinds = [{c: [texts.get(c, [None] * len(texts["doc"]))] for c in TEXTS}, batch.send(d + 1, PART_ROWS)]
+        goes_on = len(batch.at) > 0
+        if not d:
+            batch.leave_root()
+        if goes_on:
             kinds.append({"body": [batch.body()]})
         tables = []
         for kind in kinds:
@@ -222,14 +254,15 @@ def step(d: int, size: float):
 def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retained contexts (parent, word, node, t, u) of a level, and the counts (parent, word, next, n) that batches can't know."""
     pair = F.explode(F.arrays_zip("next", "n", "up")).alias("x")
-    each = (seen.select("parent", "word", pair).select("parent", "word", "x.*").groupBy("parent", "word", "next")
+    key = ["parent", "word", "part"]
+    # Lists are exchanged whole, once; what follows keeps to this partitioning.
+    each = (seen.select(*key, "next", "n", "up").repartition(*key).select(*key, pair).select(*key, "x.*").groupBy(*key, "next")
             .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.count(F.lit(1)).alias("k")).where("n > 0"))
     # A pair that only one batch has needs no return, and all that follow a context once have the same part in its gain.
     apart = F.expr("n > 1 OR k > 1")
-    thin = cut_lineage(each.select("parent", "word", F.when(apart, F.col("next")).alias("next"), "n", "up", "k")
-                       .groupBy("parent", "word", "next")
-                       .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.max("k").alias("k"), F.count(F.lit(1)).alias("types"),
-                            F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")))
+    thin = stored(each.select(*key, F.when(apart, F.col("next")).alias("next"), "n", "up", "k").groupBy(*key, "next")
+                  .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.max("k").alias("k"), F.count(F.lit(1)).alias("types"),
+                       F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")))
     totals = (thin.groupBy("parent", "word").agg(F.sum("n").alias("t"), F.sum("types").alias("u"), F.sum("once").alias("once"))
               .where((F.col("t") >= MIN_COUNT) & (F.col("u") < F.col("t"))))
     left = F.expr("n * ln((n - 1 + u * up) / ((t - 1 + u) * up))")
@@ -237,7 +270,7 @@ def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = (thin.where("n > 1").drop("once", "types").join(totals, ["parent", "word"]).groupBy("parent", "word")
              .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
              .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + 1).alias("node"), "t", "u"))
-    return cut_lineage(nodes), thin.where("next IS NOT NULL AND k > 1").select("parent", "word", "next", "n")
+    return stored(nodes), thin.where("next IS NOT NULL AND k > 1").select("parent", "word", "next", "n")
 
 
 def shared(seen: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -254,21 +287,22 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ship(spark)
-    parts = cut_lineage(pack(docs))
+    parts = stored(pack(docs))
     own = parts.select("batch", F.posexplode(F.arrays_zip("words", "n")).alias("at", "x")).select("batch", "at", "x.*")
-    counts = cut_lineage(own.where("n > 0").groupBy("words").agg(F.sum("n").alias("c"))
-                         .withColumn("number", F.monotonically_increasing_id() + 1))
-    total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    n_tokens, size = total or 0, float((total or 0) + distinct + 1)
     none = F.lit(None).cast("bigint")
-    # A word that training never saw needs a number of its own within its batch only.
-    known = own.join(counts, "words", "left").select(
-        "batch", F.col("at").cast("bigint").alias("parent"), none.alias("word"),
-        F.coalesce("number", -F.col("at").cast("bigint") - 2).alias("node"), none.alias("next"),
-        F.coalesce("c", F.lit(0)).cast("bigint").alias("n"), none.alias("t"), none.alias("u"))
+    # A word's number is the place of its first holder, which also tells apart words that training never saw.
+    same = Window.partitionBy("words")
+    place = F.call_function("shiftleft", "batch", F.lit(30)) + F.col("at")
+    known = own.select("batch", "words", F.col("at").cast("bigint").alias("parent"), "n", place.alias("place"))
+    known = known.withColumn("c", F.sum("n").over(same)).withColumn("node", F.min("place").over(same))
+    known = stored(known.select("batch", "parent", none.alias("word"), "node", none.alias("next"), F.col("c").alias("n"),
+                                none.alias("t"), none.alias("u"), (F.col("place") == F.col("node")).alias("first")))
+    total, distinct = known.where("first AND n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    n_tokens, size = total or 0, float((total or 0) + distinct + 1)
+    known = known.drop("first")
     state, levels = parts.select("batch", "body"), []
     for d in numbers():
-        level = cut_lineage(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
+        level = stored(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
         levels.append(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x")).select("batch", "x.*"))
         state, seen = level.where("body IS NOT NULL").select("batch", "body"), level.where("parent IS NOT NULL")
         if state.isEmpty():

@@ -294,6 +294,7 @@ def brute_scores(rows, min_count, gain):
 def test_lm_equals_brute_force(spark, monkeypatch, batch_bytes):
     """Counts, base and score of every text, with the tree several levels deep, for one batch and for many."""
     monkeypatch.setattr(lm_score, "BATCH_BYTES", batch_bytes)
+    monkeypatch.setattr(lm_score, "PART_ROWS", batch_bytes // 10)
     rnd = random.Random(3)
     phrases = ["the cat sat on the mat", "a dog ran to the cat", "on the hill a dog sat", "to the sea ran Rare{}"]
     texts = [" ".join(rnd.choice(phrases).format(rnd.randint(0, 40)) for _ in range(rnd.randint(1, 9))) for _ in range(150)]
