@@ -15,7 +15,10 @@ retained context of a token scores it.
 Texts stay in batches of about BATCH_BYTES, packed as word numbers by the task that read them. On each level a batch sends its
 candidates with their next words (0 times for held-out texts), and gets back the retained ones among them and the counts of
 what other batches hold too. So neither the vocabulary nor the tree, which grow with the corpus, is ever whole in one place.
-Words and contexts are known by number, not by hash, so nothing is mixed up.
+A batch forgets the words that no place of it can still reach, and a level's tables are deleted when the next level is written.
+What remains gets small long before the last level (a passage that repeats is followed word by word): as soon as all batches
+together hold at most REST_PLACES words, one task takes them as a single batch and grows the levels that are left by the same
+rules. Words and contexts are known by number, not by hash, so nothing is mixed up.
 
 Defined cases: null or empty text has one token, the end; a null doc_id counts as training; repeated rows count and score as
 often as they occur; without training texts every token is unknown and has probability one; an empty table gives an empty
@@ -48,12 +51,13 @@ GAIN = 8.0
 BATCH_BYTES = 8 << 20
 #: The words after a context are dealt into one more part for each so many occurrences of its farthest word.
 PART_ROWS = 1_000_000
+#: One task takes over when no more words than this (about those of one batch) are still in reach of a longer context.
+REST_PLACES = 2_000_000
 #: No white space can be part of a word, so this one can stand for the end.
 END = b"\n"
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARTS = "batch bigint, body binary, words array<binary>, n array<bigint>"
-LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, next array<bigint>, n array<bigint>, up array<double>, body binary, "
-         "doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
+LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, next array<bigint>, n array<bigint>, up array<float>, body binary, "
+         "places bigint, doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
          "found array<bigint>, base array<double>")
 TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,6 +70,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(frames: list[DataFrame]) -> None:
+    """Delete stored frames that nothing reads any more, since all that follows from them is stored itself."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words between the six ASCII white spaces."""
     return text.translate(_LOWER).split()
@@ -171,14 +184,20 @@ class Batch:
         self.candidates(d)
         width = len(self.word)
         n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.pairs))
+        whole, count = known["next"] < 0, known["next"] >= 0
         order = np.argsort(self.nodes, kind="stable")
-        above = order[np.searchsorted(self.nodes, known["parent"], sorter=order)]
-        mine = np.searchsorted(self.contexts, above * width + self.local(known["word"]))
-        whole = known["next"] < 0
+        above = order[np.searchsorted(self.nodes, known["parent"][whole], sorter=order)]
+        mine = np.searchsorted(self.contexts, above * width + self.local(known["word"][whole]))
         node, t, u = (np.full(len(self.contexts), -1, np.int64) for _ in range(3))
         for x, c in ((node, "node"), (t, "t"), (u, "u")):
-            x[mine[whole]] = known[c][whole]
-        n[np.searchsorted(self.pairs, mine[~whole] * width + self.local(known["next"][~whole]))] = known["n"][~whole]
+            x[mine] = known[c][whole]
+        by_node = np.argsort(known["node"][whole])
+        holder = mine[by_node][np.searchsorted(known["node"][whole][by_node], known["node"][count])]
+        n[np.searchsorted(self.pairs, holder * width + self.local(known["next"][count]))] = known["n"][count]
+        return self.take(d, node, n, t, u)
+
+    def take(self, d: int, node: np.ndarray, n: np.ndarray, t: np.ndarray, u: np.ndarray) -> dict:
+        """Score with the retained contexts (node >= 0) of level d ; gives how much the texts gain by it."""
         kept = node[self.context] >= 0
         self.at, self.parent, before, n = self.at[kept], self.context[kept], self.p[kept], n[self.pair[kept]]
         self.nodes = node
@@ -197,6 +216,59 @@ class Batch:
         ok = self.at - self.begins[self.doc[self.at]] >= d
         ok[ok] = self.grows[self.at[ok] - d]
         self.at, self.p, self.parent = self.at[ok], self.p[ok], self.parent[ok]
+        above, self.parent = np.unique(self.parent, return_inverse=True)
+        self.nodes = self.nodes[above]
+        # A place reaches back to the next one that does not grow; this one stays and ends the way in the shorter stream too.
+        places = np.arange(len(self.stream))
+        stop = np.maximum.accumulate(np.where(self.grows, 0, places))
+        low = np.maximum(stop[self.at - d], self.begins[self.doc[self.at]] - 1)
+        edge = np.zeros(len(places) + 1, np.int64)
+        np.add.at(edge, low, 1)
+        np.add.at(edge, self.at + 1, -1)
+        needed = np.cumsum(edge[:-1]) > 0
+        moved = np.concatenate([[0], np.cumsum(needed)])
+        self.at, self.begins = moved[self.at], moved[self.begins]
+        self.doc, self.grows = self.doc[needed], self.grows[needed]
+        words, self.stream = np.unique(self.stream[needed], return_inverse=True)
+        self.stream, self.word, self.c = self.stream.astype(np.int32), self.word[words], self.c[words]
+        self.train = ~self.held[self.doc]
+
+    @classmethod
+    def merged(cls, batches: list[Batch]) -> Batch:
+        """All batches as one; `doc` counts through the texts of all of them."""
+        one = cls.__new__(cls)
+
+        def joined(get, by=None):
+            shift = np.cumsum([0, *[len(by(b)) for b in batches]])[:-1] if by else [0] * len(batches)
+            return np.concatenate([get(b) + s if by else get(b) for b, s in zip(batches, shift)])
+
+        stream = lambda b: b.stream
+        one.word, first, word = np.unique(joined(lambda b: b.word), return_index=True, return_inverse=True)
+        one.c = joined(lambda b: b.c)[first]
+        one.stream = word[joined(stream, lambda b: b.word)].astype(np.int32)
+        one.nodes, node = np.unique(joined(lambda b: b.nodes), return_inverse=True)
+        one.parent = node[joined(lambda b: b.parent, lambda b: b.nodes)]
+        one.at, one.begins = joined(lambda b: b.at, stream), joined(lambda b: b.begins, stream)
+        one.doc, one.held = joined(lambda b: b.doc, lambda b: b.held), joined(lambda b: b.held)
+        one.p, one.grows, one.train = joined(lambda b: b.p), joined(lambda b: b.grows), joined(lambda b: b.train)
+        return one
+
+    def alone(self, d: int) -> dict:
+        """Level d, when no other batch has places: the test of `level_of` on the own counts."""
+        self.candidates(d)
+        k, width = len(self.contexts), max(len(self.word), 1)
+        n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.pairs))
+        up = np.zeros(len(self.pairs), np.float32)
+        up[self.pair] = self.p
+        context, up, seen = self.pairs // width, up.astype(float), n > 0
+        t, u = np.bincount(context, n, k), np.bincount(context[seen], minlength=k)
+        ok = (t >= MIN_COUNT) & (u < t)
+        use = seen & ok[context]
+        c, m, up = context[use], n[use], up[use]
+        with np.errstate(divide="ignore"):
+            left = np.where(m > 1, (m - 1 + u[c] * up) / ((t[c] - 1 + u[c]) * up), (u[c] - 1) / (t[c] + u[c] - 2))
+        kept = ok & (np.bincount(c, m * np.log(left), k) > GAIN)
+        return self.take(d, np.where(kept, np.arange(k), -1), n, t, u)
 
     def send(self, d: int, part_rows: int) -> dict:
         """Candidates of level d with the words that follow them, their counts and what their suffixes give."""
@@ -239,7 +311,7 @@ def step(d: int, size: float):
         if not d:
             batch.leave_root()
         if goes_on:
-            kinds.append({"body": [batch.body()]})
+            kinds.append({"body": [batch.body()], "places": [len(batch.stream)]})
         tables = []
         for kind in kinds:
             long = len(next(iter(kind.values())))
@@ -251,13 +323,30 @@ def step(d: int, size: float):
     return run
 
 
+def finish(d: int):
+    """Of all that goes on beyond level d, as one batch: what the texts gain on the levels that are left."""
+    def run(rows: pa.Table) -> pa.Table:
+        numbers_, batches = rows.column("batch").to_pylist(), [Batch(b.as_py()) for b in rows.column("body")]
+        owner = np.repeat(numbers_, [len(b.held) for b in batches])
+        doc = np.concatenate([np.arange(len(b.held)) for b in batches])
+        batch, delta = Batch.merged(batches), np.zeros(len(owner))
+        for level in numbers(d + 1):
+            if not len(batch.at):
+                break
+            gain = batch.alone(level)
+            delta[gain["doc"]] += gain["delta"]
+        return pa.table({"batch": owner, "doc": doc, "delta": delta})
+
+    return run
+
+
 def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Retained contexts (parent, word, node, t, u) of a level, and the counts (parent, word, next, n) that batches can't know."""
+    """Of a level: retained contexts (parent, word, node, t, u), and counts per context and next word (several batches: k > 1)."""
     pair = F.explode(F.arrays_zip("next", "n", "up")).alias("x")
     key = ["parent", "word", "part"]
     # Lists are exchanged whole, once; what follows keeps to this partitioning.
     each = (seen.select(*key, "next", "n", "up").repartition(*key).select(*key, pair).select(*key, "x.*").groupBy(*key, "next")
-            .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.count(F.lit(1)).alias("k")).where("n > 0"))
+            .agg(F.sum("n").alias("n"), F.max("up").cast("double").alias("up"), F.count(F.lit(1)).alias("k")).where("n > 0"))
     # A pair that only one batch has needs no return, and all that follow a context once have the same part in its gain.
     apart = F.expr("n > 1 OR k > 1")
     thin = stored(each.select(*key, F.when(apart, F.col("next")).alias("next"), "n", "up", "k").groupBy(*key, "next")
@@ -270,16 +359,20 @@ def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = (thin.where("n > 1").drop("once", "types").join(totals, ["parent", "word"]).groupBy("parent", "word")
              .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
              .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + 1).alias("node"), "t", "u"))
-    return stored(nodes), thin.where("next IS NOT NULL AND k > 1").select("parent", "word", "next", "n")
+    return stored(nodes), thin
 
 
-def shared(seen: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What each batch gets back of a level : its retained contexts, and its counts of words after them."""
-    own = seen.select("batch", "parent", "word", "next").join(nodes, ["parent", "word"])
-    whole = own.select("batch", "parent", "word", "node", F.lit(None).cast("bigint").alias("next"),
-                       F.lit(0).cast("bigint").alias("n"), "t", "u")
-    asked = own.select("batch", "parent", "word", "node", "t", "u", F.explode("next").alias("next"))
-    counted = asked.join(pairs, ["parent", "word", "next"]).select("batch", "parent", "word", "node", "next", "n", "t", "u")
+def shared(seen: DataFrame, nodes: DataFrame, thin: DataFrame) -> DataFrame:
+    """What each batch gets back of a level : its retained contexts, and counts of words after them that other batches hold too."""
+    named = nodes.select("parent", "word", "node")
+    none = F.lit(None).cast("bigint")
+    whole = seen.select("batch", "parent", "word").join(nodes, ["parent", "word"]).select(
+        "batch", "parent", "word", "node", none.alias("next"), none.alias("n"), "t", "u")
+    # Only three numbers of each pair are exchanged; the batch knows the context of a node from its whole row.
+    asked = seen.join(named, ["parent", "word"]).select("batch", "node", F.explode("next").alias("next"))
+    pairs = thin.where("next IS NOT NULL AND k > 1").join(named, ["parent", "word"]).select("node", "next", "n")
+    counted = asked.join(pairs, ["node", "next"]).select(
+        "batch", none.alias("parent"), none.alias("word"), "node", "next", "n", none.alias("t"), none.alias("u"))
     return whole.unionByName(counted)
 
 
@@ -299,18 +392,27 @@ def score(docs: DataFrame) -> DataFrame:
                                 none.alias("t"), none.alias("u"), (F.col("place") == F.col("node")).alias("first")))
     total, distinct = known.where("first AND n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n_tokens, size = total or 0, float((total or 0) + distinct + 1)
-    known = known.drop("first")
-    state, levels = parts.select("batch", "body"), []
+    old, known, state, levels = [parts, known], known.drop("first"), parts.select("batch", "body"), []
     for d in numbers():
         level = stored(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
-        levels.append(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x")).select("batch", "x.*"))
+        levels.append(stored(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x"))
+                             .select("batch", "x.*")))
+        remove(old)
         state, seen = level.where("body IS NOT NULL").select("batch", "body"), level.where("parent IS NOT NULL")
-        if state.isEmpty():
+        old, places = [level], level.agg(F.sum("places")).first()[0]
+        if not places:
+            break
+        if d and places <= REST_PLACES:
+            rest = state.groupBy().applyInArrow(finish(d), "batch bigint, doc bigint, delta double")
+            levels.append(stored(rest.select("batch", *[F.col(f.name) if f.name in rest.columns else F.lit(None).cast(f.dataType)
+                                                        .alias(f.name) for f in levels[0].schema if f.name != "batch"])))
             break
-        nodes, pairs = level_of(seen)
+        nodes, thin = level_of(seen)
+        old += [nodes, thin]
         if nodes.isEmpty():
             break
-        known = shared(seen, nodes, pairs)
+        known = shared(seen, nodes, thin)
+    remove(old)
     one = lambda c: F.max(c).alias(c)
     texts = reduce(DataFrame.unionByName, levels).groupBy("batch", "doc").agg(
         *[one(c) for c in TEXTS[2:]], F.sum("delta").alias("score"))

@@ -290,9 +290,10 @@ def brute_scores(rows, min_count, gain):
     return out, max(map(len, tree), default=0), base
 
 
-@pytest.mark.parametrize("batch_bytes", [8 << 20, 300])
-def test_lm_equals_brute_force(spark, monkeypatch, batch_bytes):
-    """Counts, base and score of every text, with the tree several levels deep, for one batch and for many."""
+@pytest.mark.parametrize("batch_bytes,rest", [(8 << 20, 0), (300, 0), (300, 2_000_000)])
+def test_lm_equals_brute_force(spark, monkeypatch, batch_bytes, rest):
+    """Counts, base and score of every text, several levels deep, for one batch and for many, with and without a last task."""
+    monkeypatch.setattr(lm_score, "REST_PLACES", rest)
     monkeypatch.setattr(lm_score, "BATCH_BYTES", batch_bytes)
     monkeypatch.setattr(lm_score, "PART_ROWS", batch_bytes // 10)
     rnd = random.Random(3)
