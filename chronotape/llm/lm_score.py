@@ -35,6 +35,7 @@ from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -51,14 +52,18 @@ GAIN = 8.0
 BATCH_BYTES = 8 << 20
 #: The words after a context are dealt into one more part for each so many occurrences of its farthest word.
 PART_ROWS = 1_000_000
+#: Pairs of a context and a next word that a task counts at a time.
+COUNT_PAIRS = 1_000_000
 #: One task takes over when no more words than this (about those of one batch) are still in reach of a longer context.
 REST_PLACES = 2_000_000
 #: No white space can be part of a word, so this one can stand for the end.
 END = b"\n"
 PARTS = "batch bigint, body binary, words array<binary>, n array<bigint>"
-LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, next array<bigint>, n array<bigint>, up array<float>, body binary, "
+LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, parts bigint, next array<bigint>, n array<bigint>, up array<float>, body binary, "
          "places bigint, doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
          "found array<bigint>, base array<double>")
+COUNTS = ("parent bigint, word bigint, t bigint, u bigint, once bigint, n array<bigint>, up array<double>, "
+          "batch bigint, next array<bigint>")
 TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -184,16 +189,13 @@ class Batch:
         self.candidates(d)
         width = len(self.word)
         n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.pairs))
-        whole, count = known["next"] < 0, known["next"] >= 0
         order = np.argsort(self.nodes, kind="stable")
-        above = order[np.searchsorted(self.nodes, known["parent"][whole], sorter=order)]
-        mine = np.searchsorted(self.contexts, above * width + self.local(known["word"][whole]))
+        above = order[np.searchsorted(self.nodes, known["parent"], sorter=order)]
+        mine = np.searchsorted(self.contexts, above * width + self.local(known["word"]))
         node, t, u = (np.full(len(self.contexts), -1, np.int64) for _ in range(3))
         for x, c in ((node, "node"), (t, "t"), (u, "u")):
-            x[mine] = known[c][whole]
-        by_node = np.argsort(known["node"][whole])
-        holder = mine[by_node][np.searchsorted(known["node"][whole][by_node], known["node"][count])]
-        n[np.searchsorted(self.pairs, holder * width + self.local(known["next"][count]))] = known["n"][count]
+            x[mine] = known[c]
+        n[np.searchsorted(self.pairs, np.repeat(mine, known["long"]) * width + self.local(known["next"]))] = known["more"]
         return self.take(d, node, n, t, u)
 
     def take(self, d: int, node: np.ndarray, n: np.ndarray, t: np.ndarray, u: np.ndarray) -> dict:
@@ -279,7 +281,8 @@ class Batch:
         up[self.pair] = self.p
         context, follows = self.pairs // width, self.word[self.pairs % width]
         far = self.contexts % width
-        part = follows % (1 + self.c[far] // part_rows)[context]
+        parts = 1 + self.c[far] // part_rows
+        part = follows % parts[context]
         order = np.lexsort((part, context))
         context, part = context[order], part[order]
         first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (part[1:] != part[:-1])][:len(context)])
@@ -287,6 +290,7 @@ class Batch:
         lists = [pa.ListArray.from_arrays(edges, x[order]) for x in (follows, n, up)]
         own = self.contexts[context[first]]
         out = {"parent": self.nodes[own // width], "word": self.word[own % width], "part": part[first],
+               "parts": parts[context[first]],
                **dict(zip(("next", "n", "up"), lists))}
         del self.contexts, self.context, self.pairs, self.pair
         return out
@@ -300,7 +304,10 @@ def step(d: int, size: float):
         if not len(part):
             return schema.empty_table()
         number = part.column("batch")[0].as_py()
-        known = {c: rows.column(c).fill_null(-1).to_numpy() for c in ("parent", "word", "node", "next", "n", "t", "u")}
+        known = {c: rows.column(c).fill_null(-1).to_numpy() for c in ("parent", "word", "node", "n", "t", "u")}
+        for c, flat in (("next", "next"), ("counts", "more")):
+            known[flat] = pc.list_flatten(rows.column(c)).to_numpy()
+        known["long"] = pc.list_value_length(rows.column("next")).fill_null(0).to_numpy()
         batch = Batch(part.column("body")[0].as_py())
         if d == 1:
             batch.at_root(size)
@@ -340,40 +347,98 @@ def finish(d: int):
     return run
 
 
+def counted(keys: np.ndarray, one: np.ndarray, batch: np.ndarray, long: np.ndarray, follows: np.ndarray, n: np.ndarray,
+            up: np.ndarray) -> pa.Table:
+    """Whole keys (parent, word, part; `one`: the only part), sorted, as lists of several batches: a row of counts for each key,
+    and for each list a row with the totals of what other lists hold too."""
+    lists = np.arange(len(keys))
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    key_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
+    at = np.repeat(lists, long)
+    key = key_of[at]
+    order = np.lexsort((follows, key))
+    k, f = key[order], follows[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])][:len(k)]
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    first = order[new]
+    total, held, up = np.bincount(pair, n).astype(np.int64), np.bincount(pair), up[first].astype(float)
+    owner, many = key[first], len(starts)
+    t, u = np.bincount(owner, total, many).astype(np.int64), np.bincount(owner[total > 0], minlength=many)
+    once = np.bincount(owner[total == 1], minlength=many)
+    # What can't be retained is not answered. Of several parts only all together tell.
+    alive = ~one[starts] | ((t >= MIN_COUNT) & (u < t))
+    use = (total > 1) & alive[owner]
+    edges = lambda lengths: pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+    cut = edges(np.bincount(owner[use], minlength=many)[alive])
+    schema = to_arrow_schema(T.StructType.fromDDL(COUNTS))
+
+    def table(columns: dict, rows: int) -> pa.Table:
+        return pa.table([pa.array(columns[x.name]) if x.name in columns else pa.nulls(rows, x.type) for x in schema], schema=schema)
+
+    sums = table({"parent": keys[starts, 0][alive], "word": keys[starts, 1][alive], "t": t[alive], "u": u[alive], "once": once[alive],
+                  "n": pa.ListArray.from_arrays(cut, pa.array(total[use])),
+                  "up": pa.ListArray.from_arrays(cut, pa.array(up[use]))}, int(alive.sum()))
+    back = (held[pair] > 1) & (total[pair] > 0) & alive[key]
+    lengths = np.bincount(at[back], minlength=len(lists))
+    some = alive[key_of]
+    cut = edges(lengths[some])
+    answers = table({"parent": keys[some, 0], "word": keys[some, 1], "batch": batch[some],
+                     "next": pa.ListArray.from_arrays(cut, pa.array(follows[back])),
+                     "n": pa.ListArray.from_arrays(cut, pa.array(total[pair][back]))}, int(some.sum()))
+    return pa.concat_tables([sums, answers])
+
+
+def count_lists(batches):
+    """`counted` on lists sorted by key, about COUNT_PAIRS pairs at a time, never splitting a key."""
+    def done(rows: pa.Table):
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).to_numpy()
+        flat = lambda c: pc.list_flatten(rows.column(c)).to_numpy()
+        keys = np.stack([column("parent"), column("word"), column("part")], axis=1)
+        return counted(keys, column("parts") == 1, column("batch"), pc.list_value_length(rows.column("next")).to_numpy(),
+                       flat("next"), flat("n"), flat("up")).to_batches()
+
+    kept, size = [], 0
+    for b in batches:
+        kept.append(b)
+        size += len(b.column("next").flatten())
+        if size >= COUNT_PAIRS:
+            rows = pa.Table.from_batches(kept)
+            keys = np.stack([rows.column(c).to_numpy() for c in ("parent", "word", "part")], axis=1)
+            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            if len(last):
+                end = int(last[-1]) + 1
+                yield from done(rows.slice(0, end))
+                kept = rows.slice(end).combine_chunks().to_batches()
+                size = sum(len(x.column("next").flatten()) for x in kept)
+    if kept and sum(map(len, kept)):
+        yield from done(pa.Table.from_batches(kept))
+
+
 def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of a level: retained contexts (parent, word, node, t, u), and counts per context and next word (several batches: k > 1)."""
-    pair = F.explode(F.arrays_zip("next", "n", "up")).alias("x")
+    """Of a level: retained contexts (parent, word, node, t, u), and the rows of `counted`."""
     key = ["parent", "word", "part"]
-    # Lists are exchanged whole, once; what follows keeps to this partitioning.
-    each = (seen.select(*key, "next", "n", "up").repartition(*key).select(*key, pair).select(*key, "x.*").groupBy(*key, "next")
-            .agg(F.sum("n").alias("n"), F.max("up").cast("double").alias("up"), F.count(F.lit(1)).alias("k")).where("n > 0"))
-    # A pair that only one batch has needs no return, and all that follow a context once have the same part in its gain.
-    apart = F.expr("n > 1 OR k > 1")
-    thin = stored(each.select(*key, F.when(apart, F.col("next")).alias("next"), "n", "up", "k").groupBy(*key, "next")
-                  .agg(F.sum("n").alias("n"), F.max("up").alias("up"), F.max("k").alias("k"), F.count(F.lit(1)).alias("types"),
-                       F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")))
-    totals = (thin.groupBy("parent", "word").agg(F.sum("n").alias("t"), F.sum("types").alias("u"), F.sum("once").alias("once"))
+    # Lists are exchanged whole, once; single pairs never become rows.
+    counts = stored(seen.select(*key, "parts", "batch", "next", "n", "up").repartition(*key).sortWithinPartitions(*key)
+                    .mapInArrow(count_lists, COUNTS))
+    sums = counts.where("batch IS NULL").select("parent", "word", "t", "u", "once", "n", "up")
+    totals = (sums.groupBy("parent", "word").agg(*[F.sum(c).alias(c) for c in ("t", "u", "once")])
               .where((F.col("t") >= MIN_COUNT) & (F.col("u") < F.col("t"))))
-    left = F.expr("n * ln((n - 1 + u * up) / ((t - 1 + u) * up))")
+    # All that follow a context once have the same part in its gain.
     gain = F.col("gain") + F.expr("CASE WHEN once > 0 THEN once * ln((u - 1) / (t + u - 2)) ELSE 0 END")
-    nodes = (thin.where("n > 1").drop("once", "types").join(totals, ["parent", "word"]).groupBy("parent", "word")
+    left = F.expr("aggregate(arrays_zip(n, up), 0D, (s, x) -> s + x.n * ln((x.n - 1 + u * x.up) / ((t - 1 + u) * x.up)))")
+    nodes = (sums.select("parent", "word", "n", "up").join(totals, ["parent", "word"]).groupBy("parent", "word")
              .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
              .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + 1).alias("node"), "t", "u"))
-    return stored(nodes), thin
+    return stored(nodes), counts
 
 
-def shared(seen: DataFrame, nodes: DataFrame, thin: DataFrame) -> DataFrame:
-    """What each batch gets back of a level : its retained contexts, and counts of words after them that other batches hold too."""
-    named = nodes.select("parent", "word", "node")
-    none = F.lit(None).cast("bigint")
-    whole = seen.select("batch", "parent", "word").join(nodes, ["parent", "word"]).select(
-        "batch", "parent", "word", "node", none.alias("next"), none.alias("n"), "t", "u")
-    # Only three numbers of each pair are exchanged; the batch knows the context of a node from its whole row.
-    asked = seen.join(named, ["parent", "word"]).select("batch", "node", F.explode("next").alias("next"))
-    pairs = thin.where("next IS NOT NULL AND k > 1").join(named, ["parent", "word"]).select("node", "next", "n")
-    counted = asked.join(pairs, ["node", "next"]).select(
-        "batch", none.alias("parent"), none.alias("word"), "node", "next", "n", none.alias("t"), none.alias("u"))
-    return whole.unionByName(counted)
+def shared(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """What each batch gets back of a level : its retained contexts, with counts of words after them that others hold too."""
+    return counts.where("batch IS NOT NULL").select("batch", "parent", "word", "next", F.col("n").alias("counts")).join(
+        nodes, ["parent", "word"]).select("batch", "parent", "word", "node", F.lit(None).cast("bigint").alias("n"), "t", "u",
+                                          "next", "counts")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -388,11 +453,12 @@ def score(docs: DataFrame) -> DataFrame:
     place = F.call_function("shiftleft", "batch", F.lit(30)) + F.col("at")
     known = own.select("batch", "words", F.col("at").cast("bigint").alias("parent"), "n", place.alias("place"))
     known = known.withColumn("c", F.sum("n").over(same)).withColumn("node", F.min("place").over(same))
-    known = stored(known.select("batch", "parent", none.alias("word"), "node", none.alias("next"), F.col("c").alias("n"),
-                                none.alias("t"), none.alias("u"), (F.col("place") == F.col("node")).alias("first")))
+    known = stored(known.select("batch", "parent", "node", F.col("c").alias("n"), (F.col("place") == F.col("node")).alias("first")))
     total, distinct = known.where("first AND n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n_tokens, size = total or 0, float((total or 0) + distinct + 1)
-    old, known, state, levels = [parts, known], known.drop("first"), parts.select("batch", "body"), []
+    lists = [F.lit(None).cast("array<bigint>").alias(c) for c in ("next", "counts")]
+    old, state, levels = [parts, known], parts.select("batch", "body"), []
+    known = known.select("batch", "parent", none.alias("word"), "node", "n", none.alias("t"), none.alias("u"), *lists)
     for d in numbers():
         level = stored(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
         levels.append(stored(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x"))
@@ -407,11 +473,11 @@ def score(docs: DataFrame) -> DataFrame:
             levels.append(stored(rest.select("batch", *[F.col(f.name) if f.name in rest.columns else F.lit(None).cast(f.dataType)
                                                         .alias(f.name) for f in levels[0].schema if f.name != "batch"])))
             break
-        nodes, thin = level_of(seen)
-        old += [nodes, thin]
+        nodes, counts = level_of(seen)
+        old += [nodes, counts]
         if nodes.isEmpty():
             break
-        known = shared(seen, nodes, thin)
+        known = shared(nodes, counts)
     remove(old)
     one = lambda c: F.max(c).alias(c)
     texts = reduce(DataFrame.unionByName, levels).groupBy("batch", "doc").agg(
