@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import queries_bars, queries_extra, queries_quality, queries_registries, queries_research, queries_tape  # noqa: F401
+from . import queries_bars, queries_extra, queries_quality, queries_registries, queries_research, queries_rubric, queries_tape  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
