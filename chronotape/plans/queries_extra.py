@@ -12,6 +12,7 @@ from ..operators import timelines as T
 from ..operators.detectors import halt_facts
 from ..session import cut_lineage
 from ..sources.tables import same_content
+from ..streaming.lateness import arrival_counts, lateness_report
 from . import adapters as D
 from .dataset import dataset_version, select_observations
 from .queries_bars import _TO_OUTCOME, GRID
@@ -99,3 +100,16 @@ def dataset_selection(spark, d):
 def archetype_index(spark, d):
     return T.index_rows(cut_lineage(_timeline_events(spark, d)), "post_kind_set").select(
         "timeline_id", "symbol", iso("anchor_ts"), "scheme", "archetype", "n_events")
+
+
+@query("late_bars", f"""WITH {D.SQL_EVENTS}, arrived AS (
+  SELECT symbol, date_trunc('minute', ts) AS bar, ts + to_seconds(CAST(k * 12 AS INTEGER)) AS arrival FROM ev),
+counted AS (SELECT make_timestamp(CAST(floor(epoch_us(bar) / 3600000000) AS BIGINT) * 3600000000) AS w, symbol, bar, count(*) AS n,
+                   count(*) FILTER (WHERE arrival > bar + INTERVAL 600 SECOND) AS late FROM arrived GROUP BY ALL)
+SELECT {sql_iso('w', 'window_start')}, symbol, CAST(sum(n) AS BIGINT) AS arrivals, count(*) AS bars, CAST(sum(n) - count(*) AS BIGINT) AS repeats,
+       CAST(sum(late) AS BIGINT) AS late FROM counted GROUP BY w, symbol""")
+def late_bars(spark, d):
+    """Events as minute bars that arrive up to 20 minutes later: late, repeated and distinct bars per hour."""
+    bars = D.events(spark, d).select("symbol", F.date_trunc("minute", "ts").alias("ts"), F.timestamp_micros(
+        F.unix_micros("ts") + F.col("k").cast("bigint") * 12_000_000).alias("arrival_ts"))
+    return lateness_report(arrival_counts(bars, 600, 3600)).select(iso("window_start"), "symbol", "arrivals", "bars", "repeats", "late")

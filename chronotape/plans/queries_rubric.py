@@ -11,7 +11,7 @@ from .queries_bars import _TO_OUTCOME, GRID
 from .registry import iso, query, r6, sql_iso, sql_r6
 
 #: Daily bars of few suppliers lean to one side: wider bands, so that cells reach the stability and tie-break stages.
-DAILY = R.Rubric(min_class=0.10, min_entropy=0.80, time_band=(0.10, 0.65), max_side_gap=0.5, min_events=50,
+DAILY = R.Rubric(min_class=0.10, min_entropy=0.70, time_band=(0.10, 0.65), min_ttr=3.0, max_side_gap=0.5, min_events=50,
                  max_entropy_range=0.3, max_time_range=0.3)
 
 
@@ -25,13 +25,22 @@ def order_regimes(spark, d):
     return days.join(quarters, "quarter").select("regime_ts", "risk_state")
 
 
-SQL_EPISODES = """
+def yearly_regimes(spark, d):
+    """Long phases: one snapshot per order day, ON in even years."""
+    days = D.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("regime_ts")).distinct()
+    return days.withColumn("risk_state", F.when(F.year("regime_ts") % 2 == 0, "ON").otherwise("OFF"))
+
+
+_TURNS = """
+turns AS (SELECT ts, state FROM (SELECT *, lag(state) OVER (ORDER BY ts) AS prev FROM snaps) WHERE state IS DISTINCT FROM prev),
+episodes AS (SELECT row_number() OVER (ORDER BY ts) AS episode, state, ts AS start_ts, lead(ts) OVER (ORDER BY ts) AS end_ts FROM turns)"""
+SQL_YEARS = f"""
+snaps AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN year(o_orderdate) % 2 = 0 THEN 'ON' ELSE 'OFF' END AS state FROM orders),{_TURNS}"""
+SQL_EPISODES = f"""
 quarters AS (SELECT date_trunc('quarter', o_orderdate) AS q,
                     CASE WHEN count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) * 5 > count(*) * 2 THEN 'ON' ELSE 'OFF' END AS state
              FROM orders GROUP BY 1),
-snaps AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS ts, state FROM orders JOIN quarters ON q = date_trunc('quarter', o_orderdate)),
-turns AS (SELECT ts, state FROM (SELECT *, lag(state) OVER (ORDER BY ts) AS prev FROM snaps) WHERE state IS DISTINCT FROM prev),
-episodes AS (SELECT row_number() OVER (ORDER BY ts) AS episode, state, ts AS start_ts, lead(ts) OVER (ORDER BY ts) AS end_ts FROM turns)"""
+snaps AS (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS ts, state FROM orders JOIN quarters ON q = date_trunc('quarter', o_orderdate)),{_TURNS}"""
 
 
 def _metrics(name: str, scope: str) -> str:
@@ -54,13 +63,13 @@ def _flags(r: R.Rubric, ratio: float) -> dict[str, str]:
             "ttr": f"(ttr < {r.min_ttr} OR ttr > round({r.max_ttr_share} * h, 6))", "side_gap": f"round(abs(p - s), 6) > {r.max_side_gap}"}
 
 
-def _rubric_sql(r: R.Rubric) -> str:
+def _rubric_sql(r: R.Rubric, episodes: str = SQL_EPISODES) -> str:
     whole, inside = _flags(r, r.min_spread_ratio), _flags(r, r.episode_spread_ratio)
     names = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in whole.items())
     counts = ", ".join(f"CASE WHEN count(*) FILTER (WHERE {c}) > 0 THEN 'episodes.{n}=' || count(*) FILTER (WHERE {c}) END" for n, c in inside.items())
     grid_k = ", ".join(f"({i}, CAST({k} AS DOUBLE))" for i, k in enumerate(sorted(GRID.k)))
     grid_h = ", ".join(f"({i}, {h})" for i, h in enumerate(sorted(GRID.h)))
-    return f"""{_TO_OUTCOME}, {SQL_EPISODES},
+    return f"""{_TO_OUTCOME}, {episodes},
 placed AS (SELECT o.*, e.episode FROM outcome o ASOF LEFT JOIN episodes e ON o.entry_ts >= e.start_ts), {_metrics('w', '1')}, {_metrics('e', 'episode')},
 over AS (SELECT k, h, count(*) AS episodes, round(max(entropy) - min(entropy), 6) AS er, round(max(t) - min(t), 6) AS tr, concat_ws(',', {counts}) AS failed FROM e GROUP BY k, h),
 joined AS (SELECT w.*, coalesce(episodes, 0) AS episodes, er, tr, coalesce(failed, '') AS failed, concat_ws(',', {names}) AS names,
@@ -80,10 +89,10 @@ SELECT k, h, n, episodes, {sql_r6('coalesce(er, -1)', 'entropy_range')}, {sql_r6
 FROM ranked"""
 
 
-def _chosen(spark, d, rubric: R.Rubric):
+def _chosen(spark, d, rubric: R.Rubric, regimes):
     bars = D.stored_bars(spark, d)
     touches = B.first_touches(B.entries_with_atr(bars, D.DAY_CLOCK), bars, GRID, D.DAY_CLOCK)
-    out = R.choose_cell(touches, order_regimes(spark, d), "regime_ts", "risk_state", GRID, rubric, D.DAY_CLOCK)
+    out = R.choose_cell(touches, regimes, "regime_ts", "risk_state", GRID, rubric, D.DAY_CLOCK)
     out = out.fillna({"entropy_range": -1.0, "time_range": -1.0, "rank": 0})
     return out.select("k", F.col("h").cast("bigint").alias("h"), "n", "episodes", r6("entropy_range"), r6("time_range"), r6("plateau"), "stage",
                       F.concat_ws(",", "refusals").alias("refusals"), F.col("rank").cast("bigint").alias("rank"), "outcome", "selected")
@@ -99,9 +108,10 @@ def regime_episodes(spark, d):
 @query("grid_rubric", _rubric_sql(R.Rubric()))
 def grid_rubric(spark, d):
     """The standing limits: every cell with its refusals, and at most one selected."""
-    return _chosen(spark, d, R.Rubric())
+    return _chosen(spark, d, R.Rubric(), order_regimes(spark, d))
 
 
-@query("grid_rubric_daily", _rubric_sql(DAILY))
+@query("grid_rubric_daily", _rubric_sql(DAILY, SQL_YEARS))
 def grid_rubric_daily(spark, d):
-    return _chosen(spark, d, DAILY)
+    """Bands for daily bars over yearly phases."""
+    return _chosen(spark, d, DAILY, yearly_regimes(spark, d))
