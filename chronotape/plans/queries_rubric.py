@@ -10,7 +10,7 @@ from . import adapters as D
 from .queries_bars import _TO_OUTCOME, GRID
 from .registry import iso, query, r6, sql_iso, sql_r6
 
-#: Daily bars of few suppliers lean to one side: wider bands, so that cells reach the stability and tie-break stages.
+#: Daily bars of few suppliers lean to one side: bands widened by hand on this data, so that the selection is exercised.
 DAILY = R.Rubric(min_class=0.10, min_entropy=0.70, time_band=(0.10, 0.65), min_ttr=3.0, max_side_gap=0.5, min_events=50,
                  max_entropy_range=0.3, max_time_range=0.3)
 
