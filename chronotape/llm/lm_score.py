@@ -64,6 +64,10 @@ LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, parts bigint, n
          "found array<bigint>, base array<double>")
 COUNTS = ("parent bigint, word bigint, t bigint, u bigint, once bigint, n array<bigint>, up array<double>, "
           "batch bigint, next array<bigint>")
+#: The same for the tasks: a worker has no session that could parse DDL.
+COUNTS_ARROW = pa.schema([(name, pa.list_(pa.field("element", {"bigint": pa.int64(), "double": pa.float64()}[kind[6:-1]]))
+                           if kind.startswith("array") else pa.int64())
+                          for name, kind in (column.split() for column in COUNTS.split(", "))])
 TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -371,10 +375,10 @@ def counted(keys: np.ndarray, one: np.ndarray, batch: np.ndarray, long: np.ndarr
     use = (total > 1) & alive[owner]
     edges = lambda lengths: pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
     cut = edges(np.bincount(owner[use], minlength=many)[alive])
-    schema = to_arrow_schema(T.StructType.fromDDL(COUNTS))
 
     def table(columns: dict, rows: int) -> pa.Table:
-        return pa.table([pa.array(columns[x.name]) if x.name in columns else pa.nulls(rows, x.type) for x in schema], schema=schema)
+        return pa.table([columns[x.name] if isinstance(columns.get(x.name), pa.Array) else pa.array(columns[x.name], x.type)
+                         if x.name in columns else pa.nulls(rows, x.type) for x in COUNTS_ARROW], schema=COUNTS_ARROW)
 
     sums = table({"parent": keys[starts, 0][alive], "word": keys[starts, 1][alive], "t": t[alive], "u": u[alive], "once": once[alive],
                   "n": pa.ListArray.from_arrays(cut, pa.array(total[use])),

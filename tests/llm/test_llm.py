@@ -1,9 +1,13 @@
 """Training-data operators against brute force, exact round trips and held-out cases, with the defined odd inputs."""
 
+import ast
 import collections
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -316,6 +320,23 @@ def test_lm_equals_brute_force(spark, monkeypatch, batch_bytes, rest):
     assert free and sum(s for s, _ in free) > sum(b for _, b in free)
 
 
+def test_lm_counts_without_a_session():
+    """Workers have no session: counting needs none."""
+    code = """
+import numpy as np
+from chronotape.llm.lm_score import MIN_COUNT, counted
+keys, ones = np.array([[0, 5, 0], [0, 5, 0]]), np.array([True, True])
+out = counted(keys, ones, np.array([1, 2]), np.array([2, 1]), np.array([7, 8, 7]), np.array([MIN_COUNT, 1, 2]), np.array([.1, .2, .1]))
+print(out.to_pylist())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root)
+    assert done.returncode == 0, done.stderr
+    sums, *answers = ast.literal_eval(done.stdout)
+    assert (sums["t"], sums["u"], sums["once"], sums["n"], sums["batch"]) == (lm_score.MIN_COUNT + 3, 2, 1, [lm_score.MIN_COUNT + 2], None)
+    assert [(r["batch"], r["next"], r["n"], r["t"]) for r in answers] == [(b, [7], [lm_score.MIN_COUNT + 2], None) for b in (1, 2)]
+
+
 def test_lm_odd_inputs(spark):
     assert lm_score.score(empty(spark)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
