@@ -320,6 +320,42 @@ def test_lm_equals_brute_force(spark, monkeypatch, batch_bytes, rest):
     assert free and sum(s for s, _ in free) > sum(b for _, b in free)
 
 
+def test_simhash_stage_signatures():
+    """The stage's fingerprints are those of `fingerprint`, each distinct shingle counted once."""
+    rnd = random.Random(5)
+    for n in (1, 3, 5, 254, 260, 2_000):
+        text = " ".join(f"w{rnd.randint(0, 9**6)}" for _ in range(n)).encode()
+        sets = [simhash.shingles(t, 5) for t in (text, b"a b c", text)]
+        got = simhash.signatures(sets, 3)
+        assert got[0].tolist() == got[2].tolist() == simhash.fingerprint(text, 5, 3) and got[1].tolist() == simhash.fingerprint(b"a b c", 5, 3)
+
+
+@pytest.mark.parametrize("bucket", [20_000, 4])
+def test_simhash_stage_groups_hold_all_near_pairs(spark, bucket):
+    """Against all pairs: each that agrees in a block and is within the limit shares a group, also of a bucket cut into slices."""
+    rnd = random.Random(6)
+    base = [[rnd.getrandbits(64) for _ in range(3)] for _ in range(12)]
+    rows = [[f ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 12))) for f in rnd.choice(base)] for _ in range(80)]
+    vertices = spark.createDataFrame([(*np.array(f, np.uint64).view(np.int64).tolist(), i) for i, f in enumerate(rows)],
+                                     "f0 bigint, f1 bigint, f2 bigint, rep bigint")
+    met = collections.defaultdict(set)
+    for r in simhash.near_groups(vertices, 20, 8, 2, bucket).collect():
+        met[r["v"]].add(r["k"])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sum((rows[i][x] ^ rows[j][x]).bit_count() for x in (0, 1)) <= 20
+             and any((rows[i][x] ^ rows[j][x]) >> 8 * b & 255 == 0 for x in range(3) for b in range(8))]
+    assert len(pairs) > 30 and all(met[i] & met[j] for i, j in pairs)
+
+
+def test_simhash_stage_takes_candidates_from_the_index(spark, monkeypatch):
+    """Without the index's groups nothing is linked: no other path makes candidates."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, str(i)]), None, None, 1, "r", "b") for i in range(3)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert [r["doc_id"] for r in simhash.stage(d).collect()] == [0]
+    monkeypatch.setattr(simhash, "near_groups", lambda *a: spark.createDataFrame([], "k bigint, v bigint"))
+    assert sorted(r["doc_id"] for r in simhash.stage(d).collect()) == [0, 1, 2]
+
+
 def test_lm_counts_without_a_session():
     """Workers have no session: counting needs none."""
     code = """
