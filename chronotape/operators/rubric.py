@@ -56,9 +56,14 @@ def regime_episodes(snapshots: DataFrame, ts: str, state: str, *, tie: Sequence[
 
 
 def in_episodes(rows: DataFrame, episodes: DataFrame, ts: str) -> DataFrame:
-    """Add the `episode` that holds each row's instant; NULL before the first."""
+    """Add the `episode` that holds each row's instant; NULL before the first.
+
+    Only the distinct instants are scanned; rows get theirs by an equality join. `rows` is read twice.
+    """
     starts = episodes.select("episode", F.col("start_ts").alias("_start"))
-    return asof_join(rows, starts, [], ts, "_start", ["episode"], tie=["episode"])
+    instants = cut_lineage(rows.select(F.col(ts).alias("_at")).distinct())
+    found = asof_join(instants, starts, [], "_at", "_start", ["episode"], tie=["episode"])
+    return rows.join(found, F.col(ts) == F.col("_at"), "left").drop("_at")
 
 
 def _six(name: str) -> Column:
@@ -147,6 +152,8 @@ def choose_cell(touches: DataFrame, snapshots: DataFrame, ts: str, state: str, g
 
     Entries before the first snapshot count for the cells, but in no episode; an episode without entries is not judged.
     """
+    # The search for touches is the costly part: its rows are stored before they are read several times.
+    touches = cut_lineage(touches)
     placed = cut_lineage(in_episodes(touches, regime_episodes(snapshots, ts, state, tie=tie), "entry_ts"))
     inside = placed.where(F.col("episode").isNotNull())
     return judge(cell_metrics(placed, grid, clock), cell_metrics(inside, grid, clock, by=["episode"]), grid, rubric)

@@ -114,3 +114,33 @@ def test_plateau_counts_accepted_neighbours(spark):
     got = verdict(spark, {(2.0, 60): dict(degenerate=True)})
     assert {c: r.plateau for c, r in got.items()} == {(1.0, 30): 1.0, (2.0, 30): 0.5, (1.0, 60): 0.5, (2.0, 60): 1.0}
     assert got[(1.0, 30)].rank == 1 and got[(2.0, 60)].rank is None
+
+
+def counted(df):
+    """The same rows, and a number that grows with each row whenever the frame is computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_touches_and_entries_are_computed_once(spark):
+    """The search for touches is costly: what reads its rows several times must read stored ones."""
+    from conftest import minute_bars
+    from chronotape.operators import barriers as B
+    from chronotape.operators import rubric as R
+    rnd = random.Random(4)
+    closes = [100 + rnd.random() for _ in range(390)]
+    bars = minute_bars(spark, closes, highs=[c + rnd.random() for c in closes], lows=[c - rnd.random() for c in closes])
+    entries = B.entries_with_atr(bars).where("atr IS NOT NULL").persist()
+    grid = B.Grid(k=(0.5, 1.0), h=(15, 30))
+    touches, seen = counted(B.first_touches(entries, bars, grid).persist())
+    snapshots = bars.select(F.col("ts").alias("at"), F.when(F.col("seq") < 200, "ON").otherwise("OFF").alias("state"))
+    assert R.choose_cell(touches, snapshots, "at", "state", grid).count() == 4 and seen.value == B.first_touches(entries, bars, grid).count() > 50
+    again, seen = counted(entries)
+    halts = bars.where("seq = 100").select("symbol", F.col("ts").alias("halt_start_ts"), F.col("ts").alias("halt_end_ts"))
+    B.outcome_primitives(again, bars, 1.0, 30, halts=halts).collect()
+    assert seen.value == entries.count()
