@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import seconds_between
+from ..session import cut_lineage
 from .asof import Highest, asof_fold
 from .bars import MINUTE, SESSION, BarClock, atr_at, sample_entries
 from .paths import bars_until, extreme_between, first_reaching, let, sparse_table, with_session_arrays
@@ -265,5 +266,6 @@ def outcome_primitives(entries: DataFrame, bars: DataFrame, k: float, horizon: i
     if halts is None:
         return out
     end = F.coalesce(F.col("halt_end_ts"), F.lit("9999-12-31 00:00:00").cast("timestamp"))
-    seen = asof_fold(out, halts, ["symbol"], "exit_ts", "halt_start_ts", {"_end": Highest(end)})
+    # The as-of scan reads its rows several times; the search behind them runs once.
+    seen = asof_fold(cut_lineage(out), halts, ["symbol"], "exit_ts", "halt_start_ts", {"_end": Highest(end)})
     return seen.withColumn("halt_affected", F.coalesce(F.col("_end") > F.col("entry_ts"), F.lit(False))).drop("_end")
