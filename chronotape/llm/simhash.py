@@ -11,8 +11,8 @@ each pair of slices is a task of its own, so no task holds an unbounded bucket.
 into components by distributed star steps.
 
 The pipeline's stage asks for Jaccard similarity, which no bit limit decides. It uses the same index for candidates only: wider
-fingerprints over distinct shingles, a wider limit and more blocks. What a bucket's tree connects is a group; groups with the
-same members are compared once, with their texts, and only pairs whose exact shingle sets reach the similarity are linked.
+fingerprints over distinct shingles, a wider limit and more blocks. What the trees of all buckets connect is a group; its members
+are compared once, with their texts, and only pairs whose exact shingle sets reach the similarity are linked.
 
 Defined cases: null or empty text has no words and fingerprint zero, linked like any other; repeated rows share a
 component; a null doc_id never names a component unless no other id is reachable (then null); an empty table gives an
@@ -91,10 +91,11 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
-def links(fps: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def links(fps: np.ndarray, group: np.ndarray, bits: int, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest, as (row, root row), of rows of one group whose fingerprints differ in at most `bits` bits.
 
-    fps: (rows, lanes) of unsigned 64-bit numbers.
+    fps: (rows, lanes) of unsigned 64-bit numbers. Rows of a group with equal `same` are connected already: only what connects
+    more is returned.
     """
     n, lanes = fps.shape
     if not n:
@@ -113,6 +114,12 @@ def links(fps: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np
         levels.append((np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts), starts, first[starts],
                        g[starts]))
     label = np.arange(n)
+    if same is not None:
+        same = same[order]
+        by = np.lexsort((same, group))
+        new = np.flatnonzero(np.r_[True, (np.diff(group[by]) != 0) | (np.diff(same[by]) != 0)])
+        label[by] = np.repeat(by[new], np.diff([*new, n]))
+    alone = label == np.arange(n)
     root_of = np.repeat(np.arange(len(levels[-1][0])), np.diff([*levels[-1][3], n]))
     a, size = 0, FIRST
     while a < n:
@@ -146,7 +153,7 @@ def links(fps: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np
             np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
             while (label[label] != label).any():
                 label = label[label]
-    moved = np.flatnonzero(label != np.arange(n))
+    moved = np.flatnonzero(alone & (label != np.arange(n)))
     return order[moved], order[label[moved]]
 
 
@@ -154,13 +161,13 @@ def _lanes(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c[0] == "f" and c[1:].isdigit()]
 
 
-def _bucketed(vertices: DataFrame, blocks: int, bucket: int, carried: int | None = None) -> DataFrame:
-    """(f0.., rep, k): vertices (f0.., rep) in a task key k for each of `blocks` parts of a lane; the first `carried` lanes only."""
+def _bucketed(vertices: DataFrame, blocks: int, bucket: int, carried: int | None = None, by: slice = slice(None)) -> DataFrame:
+    """(f0.., rep, k): vertices (f0.., rep) in a task key k for each of `blocks` parts of the lanes `by`; the first `carried` lanes only."""
     ship(vertices.sparkSession)
     lanes = _lanes(vertices)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = F.array(*[F.struct(F.lit(i * blocks + b).alias("block"), F.shiftrightunsigned(lane, edges[b]).bitwiseAND(
-        F.lit(2**(edges[b + 1] - edges[b]) - 1)).alias("value")) for i, lane in enumerate(lanes) for b in range(blocks)])
+        F.lit(2**(edges[b + 1] - edges[b]) - 1)).alias("value")) for i, lane in list(enumerate(lanes))[by] for b in range(blocks)])
     kept = lanes[:carried]
     rows = vertices.select(*kept, "rep", F.explode(keys).alias("k")).select(*kept, "rep", "k.*")
     hot = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
@@ -172,8 +179,8 @@ def _bucketed(vertices: DataFrame, blocks: int, bucket: int, carried: int | None
     return rows.select(*kept, "rep", F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other")).alias("k"))
 
 
-def _forests(keyed: DataFrame, bits: int) -> DataFrame:
-    """(k, u, v): the spanning forest of each task key, as links of a row to its root."""
+def _forests(keyed: DataFrame, bits: int, merged: bool = False) -> DataFrame:
+    """(k, u, v): the spanning forest of each task key, as links of a row to its root. `merged`: rows of one rep are connected."""
     lanes = _lanes(keyed)
 
     def run(batches):
@@ -183,7 +190,7 @@ def _forests(keyed: DataFrame, bits: int) -> DataFrame:
         table = pa.Table.from_batches(parts)
         fps = np.stack([table.column(c).to_numpy() for c in lanes], 1).view(np.uint64)
         rep, key = table.column("rep").to_numpy(), table.column("k").to_numpy()
-        i, j = links(fps, np.unique(key, return_inverse=True)[1], bits)
+        i, j = links(fps, np.unique(key, return_inverse=True)[1], bits, rep if merged else None)
         yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(rep[i]), pa.array(rep[j])], names=["k", "u", "v"])
 
     return keyed.repartition("k").mapInArrow(run, "k bigint, u bigint, v bigint")
@@ -196,7 +203,24 @@ def near_links(vertices: DataFrame, bits: int, blocks: int, bucket: int = BUCKET
 
 def near_groups(vertices: DataFrame, bits: int, blocks: int, carried: int, bucket: int = BUCKET) -> DataFrame:
     """(k, v): groups of vertices (f0.., rep) that hold, among others, each pair that agrees in one of `blocks` parts of a lane
-    and differs in at most `bits` bits of the first `carried` lanes."""
+    and differs in at most `bits` bits of the first `carried` lanes. No vertex is in two groups.
+
+    The first lane's buckets connect nearly all; the others then give only the links between what is not connected yet, so many
+    texts that are nearly alike don't come back from each bucket.
+    """
+    roots = components(_forests(_bucketed(vertices, blocks, bucket, carried, slice(0, 1)), bits).select("u", "v"))
+    named = cut_lineage(vertices.join(roots, vertices["rep"] == roots["u"], "left").select(
+        *_lanes(vertices), vertices["rep"].alias("member"), F.coalesce("root", "rep").alias("rep")))
+    if len(_lanes(vertices)) > 1:
+        found = _forests(_bucketed(named.drop("member"), blocks, bucket, carried, slice(1, None)), bits, merged=True)
+        more = components(found.select("u", "v"))
+        named = named.join(more, named["rep"] == more["u"], "left").select("member", F.coalesce("root", "rep").alias("rep"))
+    named = cut_lineage(named.select(F.col("rep").alias("k"), F.col("member").alias("v")))
+    return named.join(named.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "k", "left_semi")
+
+
+def bucket_groups(vertices: DataFrame, bits: int, blocks: int, carried: int, bucket: int = BUCKET) -> DataFrame:
+    """Like `near_groups`, with smaller groups: those of each bucket, so a vertex is in up to as many as there are blocks."""
     found = _forests(_bucketed(vertices, blocks, bucket, carried), bits).withColumn("g", F.xxhash64("k", "v"))
     return found.select(F.col("g").alias("k"), F.explode(F.array("u", "v")).alias("v")).distinct()
 
@@ -287,15 +311,35 @@ def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def _sliced(groups: DataFrame) -> DataFrame:
+    """Groups with n shingles: in how many slices each is compared, and how many shingles its tasks read."""
+    return groups.withColumn("slices", F.when(F.col("n") > GROUP_SHINGLES, F.ceil(F.col("n") * 2 / GROUP_SHINGLES)).otherwise(1).cast("int")
+                             ).withColumn("cost", F.col("n") * F.col("slices"))
+
+
 def _members(vertices: DataFrame) -> DataFrame:
-    """(task, v): vertices of one group of the index. Groups with the same vertices are one; a large group is cut into slices."""
-    found = near_groups(vertices.where("n > 0").select(*_lanes(vertices), F.col("v").alias("rep")), STAGE_BITS, STAGE_BLOCKS, STAGE_CARRIED)
-    rows = cut_lineage(found.join(vertices.select("v", "n"), "v"))
-    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"),
-                                   *[F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"x{i}") for i in range(2)]).where("m > 1")
-    groups = cut_lineage(groups.groupBy("m", "n", "x0", "x1").agg(F.min("k").alias("k")).select("k", F.when(
-        F.col("n") > GROUP_SHINGLES, F.ceil(F.col("n") * 2 / GROUP_SHINGLES)).otherwise(1).cast("int").alias("slices")))
-    dealt = (rows.join(groups, "k").withColumn("own", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int"))
+    """(task, v): vertices of one group of the index. A group too large for one task goes by the groups of its buckets, or is cut
+    into slices that meet in pairs, whichever reads less."""
+    named = vertices.where("n > 0").select(*_lanes(vertices), F.col("v").alias("rep"))
+    how = STAGE_BITS, STAGE_BLOCKS, STAGE_CARRIED
+    rows = cut_lineage(near_groups(named, *how).join(vertices.select("v", "n"), "v").select("k", "v", "n"))
+    groups = cut_lineage(_sliced(rows.groupBy("k").agg(F.sum("n").alias("n"))))
+    large = groups.where("slices > 1")
+    if not large.isEmpty():
+        part = cut_lineage(rows.join(large.select("k"), "k", "left_semi").withColumnRenamed("k", "whole"))
+        inner = cut_lineage(bucket_groups(named.join(part.select(F.col("v").alias("rep")), "rep", "left_semi"), *how).join(part, "v"))
+        # Groups with the same vertices are one.
+        small = inner.groupBy("whole", "k").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"),
+                                                *[F.bit_xor(F.xxhash64("v", F.lit(i))).alias(f"x{i}") for i in range(2)]).where("m > 1")
+        small = cut_lineage(_sliced(small.groupBy("whole", "m", "n", "x0", "x1").agg(F.min("k").alias("k"))))
+        split = cut_lineage(small.groupBy("whole").agg(F.sum("cost").alias("parts")).join(
+            large.select(F.col("k").alias("whole"), "cost"), "whole").where("parts < cost").select("whole"))
+        kept = "k", "slices"
+        groups = groups.join(split, groups["k"] == split["whole"], "left_anti").select(*kept).unionByName(
+            small.join(split, "whole", "left_semi").select(*kept))
+        rows = rows.join(split, rows["k"] == split["whole"], "left_anti").select("k", "v").unionByName(
+            inner.join(split, "whole", "left_semi").select("k", "v"))
+    dealt = (rows.select("k", "v").join(groups.select("k", "slices"), "k").withColumn("own", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, slices - 1)"))))
     return dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "v")
 

@@ -346,6 +346,40 @@ def test_simhash_stage_groups_hold_all_near_pairs(spark, bucket):
     assert len(pairs) > 30 and all(met[i] & met[j] for i, j in pairs)
 
 
+def test_simhash_stage_names_each_text_once(spark):
+    """Many near copies meet in most of the buckets; still a group lists each of them once, and a large group's buckets connect them too."""
+    rnd = random.Random(7)
+    base = [rnd.getrandbits(64) for _ in range(4)]
+    rows = [[f ^ sum(1 << b for b in rnd.sample(range(64), 3)) for f in base] for _ in range(120)]
+    vertices = spark.createDataFrame([(*np.array(f, np.uint64).view(np.int64).tolist(), i) for i, f in enumerate(rows)],
+                                     "f0 bigint, f1 bigint, f2 bigint, f3 bigint, rep bigint")
+    found = simhash.near_groups(vertices, 24, 8, 4).collect()
+    assert sorted(r["v"] for r in found) == list(range(120)) and len({r["k"] for r in found}) == 1
+    assert simhash.bucket_groups(vertices, 24, 8, 4).count() > 5 * 120
+
+
+def test_simhash_links_of_what_is_connected():
+    """With some rows connected before, the links are those that are missing."""
+    rnd = random.Random(8)
+    for _ in range(20):
+        n = rnd.randint(1, 60)
+        base = [rnd.getrandbits(64) for _ in range(4)]
+        fps = np.array([[rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5)))] for _ in range(n)], np.uint64)
+        group, same = (np.array([rnd.randint(0, m) for _ in range(n)]) for m in (1, 12))
+        i, j = simhash.links(fps, group, 4, same)
+        got = np.array([(g, s) for g, s in zip(group, same)])
+
+        def classes(pairs):
+            name = list(range(n))
+            for a, b in [*pairs, *((a, b) for a in range(n) for b in range(a) if (got[a] == got[b]).all())]:
+                a, b = sorted((name[a], name[b]))
+                name = [a if x == b else x for x in name]
+            return name
+        near = [(a, b) for a in range(n) for b in range(a) if group[a] == group[b] and int(fps[a, 0] ^ fps[b, 0]).bit_count() <= 4]
+        assert classes(zip(i.tolist(), j.tolist())) == classes(near)
+        assert len(i) < max(1, len({tuple(x) for x in got.tolist()}))
+
+
 def test_simhash_stage_takes_candidates_from_the_index(spark, monkeypatch):
     """Without the index's groups nothing is linked: no other path makes candidates."""
     words = [f"w{i}" for i in range(200)]
