@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import pickle
 import uuid
+import zlib
 from functools import reduce
 from itertools import count as numbers
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,14 +53,22 @@ GAIN = 8.0
 BATCH_BYTES = 8 << 20
 #: The words after a context are dealt into one more part for each so many occurrences of its farthest word.
 PART_ROWS = 1_000_000
-#: Pairs of a context and a next word that a task counts at a time.
-COUNT_PAIRS = 1_000_000
 #: One task takes over when no more words than this (about those of one batch) are still in reach of a longer context.
 REST_PLACES = 2_000_000
+#: A bucket of words is numbered, and one of contexts judged, by one task at a time.
+WORD_BUCKETS = 1_024
+CONTEXT_BUCKETS = 4_096
+#: Contexts in several parts have numbers from here on.
+IN_PARTS = 1 << 62
 #: No white space can be part of a word, so this one can stand for the end.
 END = b"\n"
 PARTS = "batch bigint, body binary, words array<binary>, n array<bigint>"
-LEVEL = ("batch bigint, parent bigint, word bigint, part bigint, parts bigint, next array<bigint>, n array<bigint>, up array<float>, body binary, "
+#: Words of a batch in one bucket (joined by line feeds), where the batch has them and how often its training texts hold them.
+WORDS = "bucket int, batch bigint, at array<int>, words binary, n array<bigint>"
+#: The same with the words' numbers and counts in all training texts; `total` and `distinct` are sums over a bucket, told once.
+KNOWN = "batch bigint, at array<int>, node array<bigint>, c array<bigint>, total bigint, distinct bigint"
+LEVEL = ("batch bigint, bucket int, parent array<bigint>, word array<bigint>, part array<bigint>, parts array<bigint>, long array<bigint>, "
+         "next array<bigint>, n array<bigint>, up array<float>, body binary, "
          "places bigint, doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
          "found array<bigint>, base array<double>")
 COUNTS = ("parent bigint, word bigint, t bigint, u bigint, once bigint, n array<bigint>, up array<double>, "
@@ -68,6 +77,9 @@ COUNTS = ("parent bigint, word bigint, t bigint, u bigint, once bigint, n array<
 COUNTS_ARROW = pa.schema([(name, pa.list_(pa.field("element", {"bigint": pa.int64(), "double": pa.float64()}[kind[6:-1]]))
                            if kind.startswith("array") else pa.int64())
                           for name, kind in (column.split() for column in COUNTS.split(", "))])
+#: What a batch gets back of a level, lists in one row, or rows of `counted` (contexts in several parts).
+JUDGED = "node array<bigint>, parents array<bigint>, words array<bigint>, ts array<bigint>, us array<bigint>, long array<bigint>"
+JUDGED_ARROW = pa.schema([*COUNTS_ARROW, *[(column.split()[0], pa.list_(pa.field("element", pa.int64()))) for column in JUDGED.split(", ")]])
 TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -138,6 +150,62 @@ def pack(docs: DataFrame) -> DataFrame:
     return documents(docs).select("id", held.alias("held"), "body").mapInArrow(run, PARTS)
 
 
+def deal_words(batches):
+    """One row per batch and bucket of words, of rows (batch, words, n)."""
+    for b in batches:
+        for batch, words, n in zip(b.column("batch").to_pylist(), b.column("words"), b.column("n")):
+            words = words.as_py()
+            n = n.values.to_numpy(zero_copy_only=False)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORD_BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            edges = pa.array(np.append(starts, len(words)).astype(np.int32))
+            dealt = [words[i] for i in order.tolist()]
+            joined = [b"\n".join(b"" if w == END else w for w in dealt[i:j]) for i, j in zip(starts.tolist(), [*starts.tolist()[1:], len(dealt)])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[order][starts].astype(np.int32)), pa.array(np.full(len(starts), batch)),
+                 pa.ListArray.from_arrays(edges, pa.array(order.astype(np.int32))), pa.array(joined, pa.binary()),
+                 pa.ListArray.from_arrays(edges, pa.array(n[order]))], names=["bucket", "batch", "at", "words", "n"])
+
+
+def number_words(batches):
+    """Rows of `deal_words`, sorted by bucket: the words of each bucket are numbered from the most frequent on, and counted."""
+    def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        words = [w for x in table.column("words") for w in x.as_py().split(b"\n")]
+        code = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy()
+        n = pc.list_flatten(table.column("n")).to_numpy()
+        total = np.zeros(code.max() + 1, np.int64)
+        np.add.at(total, code, n)
+        rank = np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        node = rank * WORD_BUCKETS + table.column("bucket")[0].as_py()
+        edges = pa.array(np.r_[0, np.cumsum(pc.list_value_length(table.column("n")).to_numpy())].astype(np.int32))
+        lists = lambda x: pa.ListArray.from_arrays(edges, pa.array(x))
+        once = lambda x: pa.array(np.r_[x, np.zeros(len(table) - 1, np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(table.column("batch").to_numpy()), lists(pc.list_flatten(table.column("at")).to_numpy()),
+                                           lists(node[code]), lists(total[code]), once(total.sum()), once((total > 0).sum())], names=["batch", "at", "node", "c", "total", "distinct"])
+
+    kept, last = [], None
+    for b in batches:
+        bucket = b.column("bucket").to_numpy()
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        for i, j in zip(starts, [*starts[1:], len(bucket)]):
+            if kept and bucket[i] != last:
+                yield done(kept)
+                kept = []
+            kept.append(b.slice(i, j - i))
+            last = bucket[i]
+    if kept:
+        yield done(kept)
+
+
+def _mixed(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of contexts."""
+    x = (parent.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Batch:
     """The tokens of a batch on their way down the tree: `at` are the places that may still find a longer context."""
 
@@ -149,8 +217,8 @@ class Batch:
 
     def start(self, known: dict, size: float) -> dict:
         """At the root, with numbers and counts of the words. Gives the columns of each text."""
-        self.word, self.c = np.empty(len(known["n"]), np.int64), np.empty(len(known["n"]), np.int64)
-        self.word[known["parent"]], self.c[known["parent"]] = known["node"], known["n"]
+        self.word, self.c = np.empty(len(known["c"]), np.int64), np.empty(len(known["c"]), np.int64)
+        self.word[known["at"]], self.c[known["at"]] = known["node"], known["c"]
         c = self.c[self.stream]
         starts = np.concatenate([[1], self.ends[:-1]])
         self.begins = starts
@@ -287,15 +355,20 @@ class Batch:
         far = self.contexts % width
         parts = 1 + self.c[far] // part_rows
         part = follows % parts[context]
-        order = np.lexsort((part, context))
-        context, part = context[order], part[order]
+        parent, word = self.nodes[self.contexts // width], self.word[far]
+        bucket = _mixed(parent, word)[context]
+        bucket = ((bucket + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % CONTEXT_BUCKETS
+        order = np.lexsort((part, context, bucket))
+        bucket, context, part = bucket[order], context[order], part[order]
         first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (part[1:] != part[:-1])][:len(context)])
-        edges = np.append(first, len(context)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(edges, x[order]) for x in (follows, n, up)]
-        own = self.contexts[context[first]]
-        out = {"parent": self.nodes[own // width], "word": self.word[own % width], "part": part[first],
-               "parts": parts[context[first]],
-               **dict(zip(("next", "n", "up"), lists))}
+        long = np.diff(np.append(first, len(context)))
+        rows = np.flatnonzero(np.diff(bucket[first], prepend=-1))
+        edges = lambda x, end: pa.array(np.append(x, end).astype(np.int32))
+        lists = lambda x, at: pa.ListArray.from_arrays(at, pa.array(x))
+        own, keys, pairs = context[first], edges(rows, len(first)), edges(first[rows], len(context))
+        out = {"bucket": bucket[first[rows]].astype(np.int32), "parent": lists(parent[own], keys), "word": lists(word[own], keys),
+               "part": lists(part[first], keys), "parts": lists(parts[own], keys), "long": lists(long, keys),
+               "next": lists(follows[order], pairs), "n": lists(n[order], pairs), "up": lists(up[order].astype(np.float32), pairs)}
         del self.contexts, self.context, self.pairs, self.pair
         return out
 
@@ -308,10 +381,11 @@ def step(d: int, size: float):
         if not len(part):
             return schema.empty_table()
         number = part.column("batch")[0].as_py()
-        known = {c: rows.column(c).fill_null(-1).to_numpy() for c in ("parent", "word", "node", "n", "t", "u")}
-        for c, flat in (("next", "next"), ("counts", "more")):
-            known[flat] = pc.list_flatten(rows.column(c)).to_numpy()
-        known["long"] = pc.list_value_length(rows.column("next")).fill_null(0).to_numpy()
+        flat = lambda c: pc.list_flatten(rows.column(c)).to_numpy()
+        if d:
+            known = {c: flat(c) for c in ("parent", "word", "node", "t", "u", "long", "next")} | {"more": flat("counts")}
+        else:
+            known = {"at": flat("at"), "node": flat("node"), "c": flat("c")}
         batch = Batch(part.column("body")[0].as_py())
         if d == 1:
             batch.at_root(size)
@@ -393,56 +467,104 @@ def counted(keys: np.ndarray, one: np.ndarray, batch: np.ndarray, long: np.ndarr
     return pa.concat_tables([sums, answers])
 
 
-def count_lists(batches):
-    """`counted` on lists sorted by key, about COUNT_PAIRS pairs at a time, never splitting a key."""
-    def done(rows: pa.Table):
-        rows = rows.combine_chunks()
-        column = lambda c: rows.column(c).to_numpy()
-        flat = lambda c: pc.list_flatten(rows.column(c)).to_numpy()
-        keys = np.stack([column("parent"), column("word"), column("part")], axis=1)
-        return counted(keys, column("parts") == 1, column("batch"), pc.list_value_length(rows.column("next")).to_numpy(),
-                       flat("next"), flat("n"), flat("up")).to_batches()
+def judged(keys: np.ndarray, batch: np.ndarray, long: np.ndarray, follows: np.ndarray, n: np.ndarray, up: np.ndarray,
+           bucket: int) -> pa.Table:
+    """Whole keys (parent, word) in one part, sorted, as lists of several batches: one row for each batch with the contexts that are
+    retained, and the totals of what other lists hold too."""
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    many = len(starts)
+    owner = np.repeat(np.arange(many), np.diff(np.r_[starts, len(keys)]))
+    at = np.repeat(np.arange(len(keys)), long)
+    key = owner[at]
+    order = np.lexsort((follows, key))
+    k, f = key[order], follows[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])]
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    first = order[new]
+    total, held, above, context = np.bincount(pair, n).astype(np.int64), np.bincount(pair), up[first].astype(float), key[first]
+    t, u = np.bincount(context, total, many).astype(np.int64), np.bincount(context[total > 0], minlength=many)
+    ok = (t >= MIN_COUNT) & (u < t)
+    use = (total > 0) & ok[context]
+    c, m, above = context[use], total[use], above[use]
+    with np.errstate(divide="ignore"):
+        left = np.where(m > 1, (m - 1 + u[c] * above) / ((t[c] - 1 + u[c]) * above), (u[c] - 1) / (t[c] + u[c] - 2))
+    kept = ok & (np.bincount(c, m * np.log(left), many) > GAIN)
+    node = 1 + bucket + CONTEXT_BUCKETS * np.arange(many)
+    by = np.flatnonzero(kept[owner])
+    by = by[np.argsort(batch[by], kind="stable")]
+    back = (held[pair] > 1) & (total[pair] > 0) & kept[key]
+    lengths = np.bincount(at[back], minlength=len(keys))
+    answers = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.flatnonzero(back))).take(pa.array(by))
+    place = answers.flatten().to_numpy()
+    rows = np.flatnonzero(np.diff(batch[by], prepend=-1))
+    wide, deep = np.append(rows, len(by)), np.r_[0, np.cumsum(lengths[by])]
+    lists = lambda x, edges: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))
+    columns = {"batch": pa.array(batch[by][rows]), "parents": lists(keys[by, 0], wide), "words": lists(keys[by, 1], wide),
+               "node": lists(node[owner[by]], wide), "ts": lists(t[owner[by]], wide), "us": lists(u[owner[by]], wide),
+               "long": lists(lengths[by], wide), "next": lists(follows[place], deep[wide]), "n": lists(total[pair][place], deep[wide])}
+    return pa.table([columns.get(x.name, pa.nulls(len(rows), x.type)) for x in JUDGED_ARROW], schema=JUDGED_ARROW)
 
-    kept, size = [], 0
+
+def count_lists(batches):
+    """Rows of `send`, sorted by bucket: contexts in one part are judged, those in several counted, a bucket at a time."""
+    def done(rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows)
+        flat = lambda c: pc.list_flatten(table.column(c)).to_numpy()
+        keys, one, long = np.stack([flat(c) for c in ("parent", "word", "part")], axis=1), flat("parts") == 1, flat("long")
+        batch = np.repeat(table.column("batch").to_numpy(), pc.list_value_length(table.column("parent")).to_numpy())
+        edges = np.r_[0, np.cumsum(long)]
+        order = np.lexsort(keys.T[::-1])
+        for whole in (True, False):
+            mine = order[one[order] == whole]
+            if not len(mine):
+                continue
+            length = long[mine]
+            place = np.repeat(edges[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            lists = [flat(c)[place] for c in ("next", "n", "up")]
+            if whole:
+                yield from judged(keys[mine, :2], batch[mine], length, *lists, table.column("bucket")[0].as_py()).to_batches()
+            else:
+                counts = counted(keys[mine], one[mine], batch[mine], length, *lists)
+                yield from pa.table([counts.column(x.name) if x.name in COUNTS_ARROW.names else pa.nulls(len(counts), x.type)
+                                     for x in JUDGED_ARROW], schema=JUDGED_ARROW).to_batches()
+
+    kept, last = [], None
     for b in batches:
-        kept.append(b)
-        size += len(b.column("next").flatten())
-        if size >= COUNT_PAIRS:
-            rows = pa.Table.from_batches(kept)
-            keys = np.stack([rows.column(c).to_numpy() for c in ("parent", "word", "part")], axis=1)
-            last = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            if len(last):
-                end = int(last[-1]) + 1
-                yield from done(rows.slice(0, end))
-                kept = rows.slice(end).combine_chunks().to_batches()
-                size = sum(len(x.column("next").flatten()) for x in kept)
-    if kept and sum(map(len, kept)):
-        yield from done(pa.Table.from_batches(kept))
-
-
-def level_of(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of a level: retained contexts (parent, word, node, t, u), and the rows of `counted`."""
-    key = ["parent", "word", "part"]
+        bucket = b.column("bucket").to_numpy()
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        for i, j in zip(starts, [*starts[1:], len(bucket)]):
+            if kept and bucket[i] != last:
+                yield from done(kept)
+                kept = []
+            kept.append(b.slice(i, j - i))
+            last = bucket[i]
+    if kept:
+        yield from done(kept)
+
+
+def level_of(seen: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Of a level: what each batch gets back, its retained contexts (parent, word, node, t, u) with counts of the words after them that
+    others hold too, all as lists; and the stored frames behind it."""
     # Lists are exchanged whole, once; single pairs never become rows.
-    counts = stored(seen.select(*key, "parts", "batch", "next", "n", "up").repartition(*key).sortWithinPartitions(*key)
-                    .mapInArrow(count_lists, COUNTS))
+    counts = stored(seen.select("bucket", "batch", "parent", "word", "part", "parts", "long", "next", "n", "up").repartition("bucket")
+                    .sortWithinPartitions("bucket").mapInArrow(count_lists, f"{COUNTS}, {JUDGED}"))
     sums = counts.where("batch IS NULL").select("parent", "word", "t", "u", "once", "n", "up")
     totals = (sums.groupBy("parent", "word").agg(*[F.sum(c).alias(c) for c in ("t", "u", "once")])
               .where((F.col("t") >= MIN_COUNT) & (F.col("u") < F.col("t"))))
     # All that follow a context once have the same part in its gain.
     gain = F.col("gain") + F.expr("CASE WHEN once > 0 THEN once * ln((u - 1) / (t + u - 2)) ELSE 0 END")
     left = F.expr("aggregate(arrays_zip(n, up), 0D, (s, x) -> s + x.n * ln((x.n - 1 + u * x.up) / ((t - 1 + u) * x.up)))")
-    nodes = (sums.select("parent", "word", "n", "up").join(totals, ["parent", "word"]).groupBy("parent", "word")
-             .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
-             .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + 1).alias("node"), "t", "u"))
-    return stored(nodes), counts
-
-
-def shared(nodes: DataFrame, counts: DataFrame) -> DataFrame:
-    """What each batch gets back of a level : its retained contexts, with counts of words after them that others hold too."""
-    return counts.where("batch IS NOT NULL").select("batch", "parent", "word", "next", F.col("n").alias("counts")).join(
-        nodes, ["parent", "word"]).select("batch", "parent", "word", "node", F.lit(None).cast("bigint").alias("n"), "t", "u",
-                                          "next", "counts")
+    nodes = stored(sums.select("parent", "word", "n", "up").join(totals, ["parent", "word"]).groupBy("parent", "word")
+                   .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
+                   .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + IN_PARTS).alias("node"), "t", "u"))
+    parts = counts.where("batch IS NOT NULL AND node IS NULL").select("batch", "parent", "word", "next", F.col("n").alias("counts")).join(
+        nodes, ["parent", "word"]).select("batch", *[F.array(c).alias(c) for c in ("parent", "word", "node", "t", "u")],
+                                          F.array(F.size("next").cast("bigint")).alias("long"), "next", "counts")
+    whole = counts.where("node IS NOT NULL").select(
+        "batch", *[F.col(c).alias(name) for c, name in (("parents", "parent"), ("words", "word"), ("node", "node"), ("ts", "t"), ("us", "u"))],
+        "long", "next", F.col("n").alias("counts"))
+    return whole.unionByName(parts), [counts, nodes]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -450,25 +572,18 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     parts = stored(pack(docs))
-    own = parts.select("batch", F.posexplode(F.arrays_zip("words", "n")).alias("at", "x")).select("batch", "at", "x.*")
-    none = F.lit(None).cast("bigint")
-    # A word's number is the place of its first holder, which also tells apart words that training never saw.
-    same = Window.partitionBy("words")
-    place = F.call_function("shiftleft", "batch", F.lit(30)) + F.col("at")
-    known = own.select("batch", "words", F.col("at").cast("bigint").alias("parent"), "n", place.alias("place"))
-    known = known.withColumn("c", F.sum("n").over(same)).withColumn("node", F.min("place").over(same))
-    known = stored(known.select("batch", "parent", "node", F.col("c").alias("n"), (F.col("place") == F.col("node")).alias("first")))
-    total, distinct = known.where("first AND n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
-    n_tokens, size = total or 0, float((total or 0) + distinct + 1)
-    lists = [F.lit(None).cast("array<bigint>").alias(c) for c in ("next", "counts")]
+    words = parts.select("batch", "words", "n").mapInArrow(deal_words, WORDS)
+    known = stored(words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(number_words, KNOWN))
+    total, distinct = known.agg(F.sum("total"), F.sum("distinct")).first()
+    n_tokens, size = total or 0, float((total or 0) + (distinct or 0) + 1)
     old, state, levels = [parts, known], parts.select("batch", "body"), []
-    known = known.select("batch", "parent", none.alias("word"), "node", "n", none.alias("t"), none.alias("u"), *lists)
+    known = known.select("batch", "at", "node", "c")
     for d in numbers():
         level = stored(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
         levels.append(stored(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x"))
                              .select("batch", "x.*")))
         remove(old)
-        state, seen = level.where("body IS NOT NULL").select("batch", "body"), level.where("parent IS NOT NULL")
+        state, seen = level.where("body IS NOT NULL").select("batch", "body"), level.where("bucket IS NOT NULL")
         old, places = [level], level.agg(F.sum("places")).first()[0]
         if not places:
             break
@@ -477,11 +592,10 @@ def score(docs: DataFrame) -> DataFrame:
             levels.append(stored(rest.select("batch", *[F.col(f.name) if f.name in rest.columns else F.lit(None).cast(f.dataType)
                                                         .alias(f.name) for f in levels[0].schema if f.name != "batch"])))
             break
-        nodes, counts = level_of(seen)
-        old += [nodes, counts]
-        if nodes.isEmpty():
+        known, behind = level_of(seen)
+        old += behind
+        if known.isEmpty():
             break
-        known = shared(nodes, counts)
     remove(old)
     one = lambda c: F.max(c).alias(c)
     texts = reduce(DataFrame.unionByName, levels).groupBy("batch", "doc").agg(
