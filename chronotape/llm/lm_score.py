@@ -84,10 +84,20 @@ TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Exchanged files go with the query that made them, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Like `cut_lineage`, packed more tightly."""
+    """Like `cut_lineage`, packed more tightly; what was exchanged for it is deleted."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

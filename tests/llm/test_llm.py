@@ -8,6 +8,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -407,6 +408,35 @@ print(out.to_pylist())
     assert [(r["batch"], r["next"], r["n"], r["t"]) for r in answers] == [(b, [7], [lm_score.MIN_COUNT + 2], None) for b in (1, 2)]
 
 
+def test_lm_stored_frames_leave_no_exchanged_files(spark):
+    """Only the stored rows stay on disk, not what was exchanged to make them."""
+    def exchanged():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        return {x for x in env.blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "/shuffle_" in x}
+    before = exchanged()
+    out = lm_score.stored(spark.range(10_000).repartition(4, "id"))
+    for _ in range(50):
+        if not (left := exchanged() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 10_000 and spark.conf.get(lm_score.CLEANUP) == "false"
+
+
+def test_lm_deals_words_and_contexts_in_few_rows(spark):
+    """A batch sends its words and contexts as one row per bucket, and numbers and counts come back the same way."""
+    texts = [" ".join(f"w{i * 7 % 50_000}" for i in range(k, k + 400)) for k in range(0, 40_000, 50)]
+    table = docs(spark, texts).coalesce(1)
+    parts = lm_score.pack(table)
+    words = parts.select("batch", "words", "n").mapInArrow(lm_score.deal_words, lm_score.WORDS).repartition("bucket").sortWithinPartitions("bucket")
+    known = words.mapInArrow(lm_score.number_words, lm_score.KNOWN).collect()
+    count = collections.Counter(w for r in table.collect() if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2
+                                for w in [*(r["text"] or "").split(), "\n"])
+    own = [w.decode() for w in parts.first()["words"]]
+    got = {own[a]: (node, c) for r in known for a, node, c in zip(r["at"], r["node"], r["c"])}
+    assert len(known) <= lm_score.WORD_BUCKETS < len(own) == len(got) == len({node for node, _ in got.values()})
+    assert all(c == count[w] for w, (_, c) in got.items()) and sum(r["total"] for r in known) == sum(count.values())
+
+
 def test_lm_odd_inputs(spark):
     assert lm_score.score(empty(spark)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
