@@ -603,7 +603,10 @@ def score(docs: DataFrame) -> DataFrame:
                                                         .alias(f.name) for f in levels[0].schema if f.name != "batch"])))
             break
         known, behind = level_of(seen)
-        old += behind
+        # The candidates are no longer needed while the next level is written, only the batches.
+        state = stored(state)
+        remove(old)
+        old = [state, *behind]
         if known.isEmpty():
             break
     remove(old)
