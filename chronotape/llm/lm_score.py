@@ -15,7 +15,8 @@ retained context of a token scores it.
 Texts stay in batches of about BATCH_BYTES, packed as word numbers by the task that read them. On each level a batch sends its
 candidates with their next words (0 times for held-out texts), and gets back the retained ones among them and the counts of
 what other batches hold too. So neither the vocabulary nor the tree, which grow with the corpus, is ever whole in one place.
-A batch forgets the words that no place of it can still reach, and a level's tables are deleted when the next level is written.
+Words and contexts are sent as lists, one row per batch and bucket, and are numbered, judged and answered a bucket at a time. A batch
+forgets the words that no place of it can still reach, and a level's tables are deleted as soon as all that follows is stored.
 What remains gets small long before the last level (a passage that repeats is followed word by word): as soon as all batches
 together hold at most REST_PLACES words, one task takes them as a single batch and grows the levels that are left by the same
 rules. Words and contexts are known by number, not by hash, so nothing is mixed up.
