@@ -74,6 +74,21 @@ def with_previous(
     )
 
 
+def with_previous_by(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], rows: int = CHUNK_ROWS,
+                     prefix: str = "prev_", longest: int | None = None) -> DataFrame:
+    """`with_previous` along an integer ordinal. Groups of at most `rows` rows are read in one window, without chunks.
+
+    `longest`: rows of the largest group, where the caller has counted them.
+    """
+    short = longest is not None and longest <= rows
+    slices = None if short else equal_depth([(df, F.col(order))], by, max_rows=rows)
+    if slices is None or slices.cuts is None:
+        w = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_first())
+        return df.withColumns({prefix + v: F.lag(v).over(w) for v in values})
+    chunked = slices.place(df, F.col(order), side="last").withColumnRenamed("_slice", "_part")
+    return with_previous(chunked, by, F.col("_part"), [order], values, prefix).drop("_part")
+
+
 def with_running_count(
     df: DataFrame, by: Sequence[str], chunk: Column, order: Sequence[str], flag: Column, name: str,
 ) -> DataFrame:

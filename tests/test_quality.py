@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronotape.operators import quality as Q
-from chronotape.plans.validation import validate
+from chronotape.operators.slots import with_number, with_previous_by
+from chronotape.plans.validation import validate, with_second_run
 from chronotape.sources.spine import outside_spine, year_spine
 from chronotape.sources.tables import history
 from conftest import minute_bars, utc
@@ -114,3 +116,34 @@ def test_feeds_decide_consolidation(spark, clean):
     assert both == {"ABCD": ("FAIL", 2), "NONE": ("FAIL", 0)}
     good = Q.consolidation_by_feed(spine_of(spark), served.where("vendor = 'SIP'"), feeds).where("symbol = 'ABCD'").head()
     assert (good.status, good.n) == ("PASS", 0)
+
+
+def test_second_run_shares_the_work_of_the_first(spark, clean):
+    twice = clean.unionByName(clean.withColumn("symbol", F.lit("HOLE")).where("seq not between 100 and 104"))
+    spine = spine_of(spark).unionByName(spine_of(spark).where("symbol = 'ABCD'").withColumn("symbol", F.lit("HOLE")))
+    first = validate(spine, streams(twice), run_id="run")
+    apart = first.provenance.unionByName(
+        validate(first.verdicts.where("verdict <> 'PASS'").select("symbol", "session"), streams(twice), run_id="again").provenance)
+    together = with_second_run(validate(spine, streams(twice), run_id="run"), "again", F.col("verdict") != "PASS")
+    rows = lambda df: sorted(tuple(r) for r in df.drop("fetch_ts").collect())
+    assert rows(together) == rows(apart) and len(rows(apart)) > first.verdicts.count()
+
+
+def test_short_batches_need_no_numbers(spark, clean, monkeypatch):
+    """A batch within one hash chunk is neither numbered nor chunked; a longer one gives the hashes it always gave."""
+    rows = clean.where("symbol = 'ABCD'")
+    short = Q.stream_hash(rows, ["ts", "close"], "bars").head()
+    numbered = []
+    monkeypatch.setattr(Q, "with_number", lambda *a: numbered.append(1) or with_number(*a))
+    assert Q.stream_hash(rows, ["ts", "close"], "bars", longest=Q.HASH_CHUNK_ROWS + 1).head() == short and numbered
+    numbered.clear()
+    assert Q.stream_hash(rows, ["ts", "close"], "bars").head() == short and not numbered
+
+
+def test_previous_by_is_the_same_with_and_without_chunks(spark):
+    df = spark.range(500).selectExpr("concat('k', id % 3) k", "(id * 37) % 500 seq", "id v")
+    order = Window.partitionBy("k").orderBy("seq")
+    want = sorted(map(tuple, df.withColumn("p", F.lag("v").over(order)).collect()), key=str)
+    for rows in (1000, 16):
+        got = with_previous_by(df, ["k"], "seq", ["v"], rows)
+        assert sorted(map(tuple, got.collect()), key=str) == want
