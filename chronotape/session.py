@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     # Bars are exchanged once on (symbol, session); later joins that add more
     # equality keys may reuse that layout instead of shuffling again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # HotSpot leaves methods of more than 8,000 bytes of code uncompiled; a stage that needs one is
+    # faster as separate operators.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -1,6 +1,7 @@
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronotape.operators import detectors as X
@@ -132,3 +133,16 @@ def test_forbidden_detail(spark, events):
     assert T.guard_details(events).count() == events.count()
     with pytest.raises(Exception, match="forbidden"):
         T.guard_details(bad).collect()
+
+
+def test_volume_median_reads_lagged_values_as_a_percentile_would(spark):
+    """Even and odd numbers of values, repeats, gaps in the volume and short lookbacks; no percentile is aggregated per frame."""
+    from chronotape.operators.detectors import DetectorSettings
+    volumes = [5, None, 7, 7, 1, 9, 40, None, None, 3, 8, 2, 100, 4, 4, None, 30, 6]
+    rows = [("A", "d", utc(f"2025-03-03T15:{i:02d}:00"), 1.0, 1.0, 1.0, v, True) for i, v in enumerate(volumes)]
+    bars = spark.createDataFrame(rows, "symbol string, session string, ts timestamp, high double, low double, close double, volume bigint, rth boolean")
+    for n in (1, 2, 3, 6):
+        frame, _ = X.volume_expansion(bars, DetectorSettings(volume_lookback=n))
+        assert "percentile" not in frame._jdf.queryExecution().analyzed().toString()
+        want = F.percentile("volume", F.lit(0.5)).over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-n, -1))
+        assert all(r._vol_med == r.want for r in frame.withColumn("want", want).collect())
