@@ -20,6 +20,7 @@ import heapq
 import io
 import json
 import mmap
+import struct
 import tempfile
 import uuid
 from collections import Counter
@@ -64,20 +65,27 @@ class Tokenizer:
         self.rank = {(self.id_of[raw(a)], self.id_of[raw(b)]): r for r, (a, b) in enumerate(pairs)}
         self.merged = {p: self.id_of[self.bytes_of[p[0]] + self.bytes_of[p[1]]] for p in self.rank}
         self.single = [self.id_of[bytes([b])] for b in range(256)]
+        # The short merge meets no pair as a tuple: bytes by table, later pairs as one number, results by rank.
+        self.by_rank = [0] * len(pairs)
+        for p, r in self.rank.items():
+            self.by_rank[r] = self.merged[p]
+        self.first = [[self.rank.get((a, b), NO_RANK) for b in self.single] for a in self.single]
+        self.rank_of = {a << 32 | b: r for (a, b), r in self.rank.items()}
 
     def merge(self, word: bytes) -> list[int]:
-        ids = [self.single[b] for b in word]
+        single = self.single
+        ids = [single[b] for b in word]
         if len(ids) < 40:
-            rank = self.rank.get
-            ranks = [rank(p, NO_RANK) for p in zip(ids, ids[1:])]
+            first, rank, by_rank = self.first, self.rank_of.get, self.by_rank
+            ranks = [first[a][b] for a, b in zip(word, word[1:])]
             while ranks and (lowest := min(ranks)) < NO_RANK:
                 i = ranks.index(lowest)
-                ids[i] = self.merged[ids[i], ids[i + 1]]
+                ids[i] = new = by_rank[lowest]
                 del ids[i + 1], ranks[i]
                 if i < len(ranks):
-                    ranks[i] = rank((ids[i], ids[i + 1]), NO_RANK)
+                    ranks[i] = rank(new << 32 | ids[i + 1], NO_RANK)
                 if i:
-                    ranks[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
+                    ranks[i - 1] = rank(ids[i - 1] << 32 | new, NO_RANK)
             return ids
         after, before, alive = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids)
         heap = [(self.rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
@@ -203,6 +211,8 @@ class Encoder:
 
     def __init__(self, value: tuple[str, bytes]):
         self.tokenizer, self.lexicon = Tokenizer(value[0]), Transducer.mapped(value[1])
+        # Ids of the lexicon's words end to end, four bytes each.
+        self.blob, self.ends = self.lexicon.ids.astype("<u4").tobytes(), (self.lexicon.offsets * 4).tolist()
         self.known: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
         special = sorted(self.tokenizer.special, key=len, reverse=True)
@@ -215,10 +225,13 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         raw = [w.encode() for w in words]
-        offsets, ids = self.lexicon.offsets, self.lexicon.ids
+        blob, ends, merge, known = self.blob, self.ends, self.tokenizer.merge, self.known
         for word, b, place in zip(words, raw, self.lexicon.find(raw).tolist(), strict=True):
-            self.known[word] = (ids[offsets[place]:offsets[place + 1]].astype("<u4").tobytes() if place >= 0 else
-                                np.array(self.tokenizer.merge(b), "<u4").tobytes())
+            if place >= 0:
+                known[word] = blob[ends[place]:ends[place + 1]]
+            else:
+                ids = merge(b)
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""

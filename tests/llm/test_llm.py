@@ -475,3 +475,18 @@ def test_short_and_long_merges_agree(seed):
         if word:
             ids = library.encode(word, add_special_tokens=False).ids
             assert [i for w in bpe.regex.findall(bpe.PATTERN, word) for i in tokenizer.merge(w.encode())] == ids
+
+
+def test_bpe_short_merge_builds_no_pairs():
+    """Words below 40 bytes look up neither rank nor result by a tuple, and get the ids of the long form."""
+    tokenizer = bpe.Tokenizer(open(PATH, encoding="utf-8").read())
+    words = ["a", "zqxjkv", "aaaaaaaaaaa", "hello", "2718281828459045", "naïveté", "你好", "x" * 39, " the"]
+    want = []
+    for word in words:
+        ids = [tokenizer.single[b] for b in word.encode()]
+        while pairs := [(tokenizer.rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in tokenizer.rank]:
+            i = min(pairs)[1]
+            ids[i:i + 2] = [tokenizer.merged[ids[i], ids[i + 1]]]
+        want.append(ids)
+    tokenizer.rank = tokenizer.merged = None
+    assert [tokenizer.merge(w.encode()) for w in words] == want
