@@ -15,7 +15,8 @@ retained context of a token scores it.
 Texts stay in batches of about BATCH_BYTES, packed as word numbers by the task that read them. On each level a batch sends its
 candidates with their next words (0 times for held-out texts), and gets back the retained ones among them and the counts of
 what other batches hold too. So neither the vocabulary nor the tree, which grow with the corpus, is ever whole in one place.
-Words and contexts are sent as lists, one row per batch and bucket, and are numbered, judged and answered a bucket at a time. A batch
+Words and contexts are sent as lists, one row per batch and bucket, and are numbered, judged and answered a bucket at a time. Contexts
+and answers travel as blocks of narrow numbers (`blocks`), and a batch is stored without what the rest of it tells. A batch
 forgets the words that no place of it can still reach, and a level's tables are deleted as soon as all that follows is stored.
 What remains gets small long before the last level (a passage that repeats is followed word by word): as soon as all batches
 together hold at most REST_PLACES words, one task takes them as a single batch and grows the levels that are left by the same
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import struct
 import uuid
 import zlib
 from functools import reduce
@@ -52,13 +54,20 @@ from .common import documents, ship
 MIN_COUNT = 24
 GAIN = 8.0
 BATCH_BYTES = 8 << 20
-#: The words after a context are dealt into one more part for each so many occurrences of its farthest word.
+#: The words after a context are dealt into one more part for each so many occurrences it can have: those of its word or, with
+#: several words, of its two farthest words in a row (in steps of 1 << COUNT_STEP), and of the context without its farthest word.
 PART_ROWS = 1_000_000
+COUNT_STEP = 16
 #: One task takes over when no more words than this (about those of one batch) are still in reach of a longer context.
 REST_PLACES = 2_000_000
 #: A bucket of words is numbered, and one of contexts judged, by one task at a time.
 WORD_BUCKETS = 1_024
+#: At most so many buckets of contexts, fewer if they would have less than BUCKET_TOKENS training tokens each, but FEW_BUCKETS at least.
 CONTEXT_BUCKETS = 4_096
+FEW_BUCKETS = 256
+BUCKET_TOKENS = 1 << 18
+#: Answers are gathered over the buckets of a task until they hold so many numbers.
+ANSWER_NUMBERS = 8_000_000
 #: Contexts in several parts have numbers from here on.
 IN_PARTS = 1 << 62
 #: No white space can be part of a word, so this one can stand for the end.
@@ -68,21 +77,21 @@ PARTS = "batch bigint, body binary, words array<binary>, n array<bigint>"
 WORDS = "bucket int, batch bigint, at array<int>, words binary, n array<bigint>"
 #: The same with the words' numbers and counts in all training texts; `total` and `distinct` are sums over a bucket, told once.
 KNOWN = "batch bigint, at array<int>, node array<bigint>, c array<bigint>, total bigint, distinct bigint"
-LEVEL = ("batch bigint, bucket int, parent array<bigint>, word array<bigint>, part array<bigint>, parts array<bigint>, long array<bigint>, "
-         "next array<bigint>, n array<bigint>, up array<float>, body binary, "
-         "places bigint, doc array<bigint>, delta array<double>, id array<bigint>, held array<boolean>, tokens array<bigint>, "
-         "found array<bigint>, base array<double>")
+LEVEL = ("batch bigint, bucket int, lists binary, body binary, places bigint, doc array<bigint>, delta array<double>, id array<bigint>, "
+         "held array<boolean>, tokens array<bigint>, found array<bigint>, base array<double>")
 COUNTS = ("parent bigint, word bigint, t bigint, u bigint, once bigint, n array<bigint>, up array<double>, "
           "batch bigint, next array<bigint>")
 #: The same for the tasks: a worker has no session that could parse DDL.
 COUNTS_ARROW = pa.schema([(name, pa.list_(pa.field("element", {"bigint": pa.int64(), "double": pa.float64()}[kind[6:-1]]))
                            if kind.startswith("array") else pa.int64())
                           for name, kind in (column.split() for column in COUNTS.split(", "))])
-#: What a batch gets back of a level, lists in one row, or rows of `counted` (contexts in several parts).
-JUDGED = "node array<bigint>, parents array<bigint>, words array<bigint>, ts array<bigint>, us array<bigint>, long array<bigint>"
-JUDGED_ARROW = pa.schema([*COUNTS_ARROW, *[(column.split()[0], pa.list_(pa.field("element", pa.int64()))) for column in JUDGED.split(", ")]])
+#: What a batch gets back of a level, a block of the columns KNOWN_OF in one row, or rows of `counted` (contexts in several parts).
+ANSWERS = f"{COUNTS}, answer binary"
+ANSWERS_ARROW = pa.schema([*COUNTS_ARROW, ("answer", pa.binary())])
+KNOWN_OF = ("parent", "word", "node", "t", "u", "long", "next", "more")
 TEXTS = ("doc", "delta", "id", "held", "tokens", "found", "base")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_PACK = zstandard.ZstdCompressor(level=3)
 
 
 #: Exchanged files go with the query that made them, not when the driver happens to collect garbage.
@@ -111,6 +120,76 @@ def remove(frames: list[DataFrame]) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold all of them."""
+    if x.dtype.kind not in "iu":
+        return x
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return x.astype(next(k for k in (np.dtype(f"{'i' if low < 0 else 'u'}{n}") for n in (1, 2, 4, 8))
+                         if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on: a row per byte."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+
+
+def whole(kind: str, block: bytes) -> np.ndarray:
+    """The numbers behind `planes`; whole ones are wide again."""
+    kind = np.dtype(kind)
+    x = np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+    return x.astype(np.int64) if kind.kind in "iu" else x
+
+
+def blocks(columns: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """One block per row, of columns of lists (values, edges)."""
+    narrowed = [(narrow(x), edges) for x, edges in columns]
+    kinds = "".join(x.dtype.char for x, _ in narrowed)
+    split = [(planes(x), edges.tolist()) for x, edges in narrowed]
+    out = []
+    for row in range(len(columns[0][1]) - 1):
+        parts = [x[:, edges[row]:edges[row + 1]].tobytes() for x, edges in split]
+        out.append(_PACK.compress(b"".join([struct.pack(f"<B{len(parts)}q", len(parts), *map(len, parts)), kinds.encode(), *parts])))
+    return out
+
+
+def opened(column) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all blocks of an Arrow column, one after another, and how long the first one is in each block."""
+    rows = []
+    for block in column:
+        block = zstandard.decompress(block.as_py())
+        many = block[0]
+        sizes, at = struct.unpack_from(f"<{many}q", block, 1), 1 + 9 * many
+        edges = [at + sum(sizes[:i]) for i in range(many + 1)]
+        rows.append([whole(chr(kind), block[i:j]) for kind, i, j in zip(block[1 + 8 * many:at], edges, edges[1:])])
+    return [np.concatenate(x) for x in zip(*rows)], np.array([len(x[0]) for x in rows], np.int64)
+
+
+def tight(state: dict) -> bytes:
+    """A batch's arrays, in few bytes."""
+    def one(x):
+        if not isinstance(x, np.ndarray):
+            return x
+        if x.dtype == bool:
+            return "?", len(x), np.packbits(x).tobytes()
+        if x.dtype.kind == "f":
+            return "f", x.dtype.char, x.tobytes()
+        return x.dtype.char, narrow(x).dtype.char, planes(narrow(x)).tobytes()
+    return _PACK.compress(pickle.dumps({name: one(x) for name, x in state.items()}, protocol=5))
+
+
+def loose(body: bytes) -> dict:
+    """The arrays of `tight`."""
+    def one(x):
+        if not isinstance(x, tuple):
+            return x
+        kind, more, block = x
+        if kind == "?":
+            return np.unpackbits(np.frombuffer(block, np.uint8), count=more).astype(bool)
+        return np.frombuffer(block, more).copy() if kind == "f" else whole(more, block).astype(kind)
+    return {name: one(x) for name, x in pickle.loads(zstandard.decompress(body)).items()}
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words between the six ASCII white spaces."""
     return text.translate(_LOWER).split()
@@ -123,11 +202,17 @@ def packed(ids: list, held: list[bool], texts: list[bytes]) -> tuple[bytes, list
         stream += [place.setdefault(w, len(place)) for w in words_of(t)]
         stream.append(0)
         ends.append(len(stream))
-    stream = np.array(stream, np.int32)
+    # Frequent words get small numbers.
+    stream, words = np.array(stream, np.int32), list(place)
+    often = np.bincount(stream, minlength=len(words))
+    often[0] = len(stream) + 1
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words))
+    stream, words = rank[stream], [words[i] for i in order.tolist()]
     train = np.repeat(~np.array(held, bool), np.diff([1, *ends]))
     body = {"ids": ids, "held": np.array(held, bool), "ends": np.array(ends), "stream": stream}
-    return (zstandard.compress(pickle.dumps(body, protocol=5), 3), list(place),
-            np.bincount(stream[1:][train], minlength=len(place)).tolist())
+    return tight(body), words, np.bincount(stream[1:][train], minlength=len(words)).tolist()
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -220,16 +305,62 @@ def _mixed(parent: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Batch:
     """The tokens of a batch on their way down the tree: `at` are the places that may still find a longer context."""
 
+    #: After level 1: how often the word of each place follows its context, and how many different words do (`u`).
+    counts = None
+
     def __init__(self, body: bytes):
-        self.__dict__.update(pickle.loads(zstandard.decompress(body)))
+        state = loose(body)
+        if "word" in state:
+            state["word"] = np.cumsum(state["word"])
+        if "at" in state:
+            state["at"], state["doc"] = np.flatnonzero(state["at"]), np.repeat(np.arange(-1, len(state["held"]), dtype=np.int32), state["doc"])
+            state["train"] = ~state["held"][state["doc"]]
+        n, u = (state.pop(x, None) for x in ("n", "u"))
+        self.__dict__.update(state)
+        if n is not None:
+            self.parent = self.parent[self.stream[self.at - 1]]
+            n = n[self.followed()[1]]
+            self.counts = n, u
+            u = u[self.parent]
+            self.p = (n + u * ((self.c[self.stream[self.at]] + 1.0) / self.size)) / (self.t[self.parent] + u)
 
     def body(self) -> bytes:
-        return zstandard.compress(pickle.dumps(self.__dict__, protocol=5), 3)
+        """All that is needed to go on. Places and texts are told by marks and lengths. After level 1 the word before tells the
+        context, and p follows from counts."""
+        state = dict(self.__dict__)
+        state.pop("counts", None)
+        state["word"] = np.diff(self.word, prepend=0)
+        if "at" in state:
+            del state["train"]
+            state.pop("ends", None)
+            state["at"] = np.zeros(len(self.stream), bool)
+            state["at"][self.at] = True
+            state["doc"] = np.bincount(self.doc + 1, minlength=len(self.held) + 1)
+            if self.counts is not None:
+                state["parent"] = np.full(len(self.word), -1)
+                state["parent"][self.stream[self.at - 1]] = self.parent
+                n, state["u"] = self.counts
+                state["n"] = n[self.followed()[0]]
+                del state["p"]
+        return tight(state)
+
+    def followed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the different pairs (context, word of the place): a place of each, and the pair of each place."""
+        code = self.parent * len(self.word) + self.stream[self.at]
+        order = np.argsort(code)
+        new = np.diff(code[order], prepend=-1) > 0
+        pair = np.empty(len(code), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        return order[new], pair
 
     def start(self, known: dict, size: float) -> dict:
         """At the root, with numbers and counts of the words. Gives the columns of each text."""
         self.word, self.c = np.empty(len(known["c"]), np.int64), np.empty(len(known["c"]), np.int64)
         self.word[known["at"]], self.c[known["at"]] = known["node"], known["c"]
+        order = np.argsort(self.word)  # from here on own numbers ascend with the numbers of the words
+        own = np.empty(len(order), np.int32)
+        own[order] = np.arange(len(order))
+        self.stream, self.word, self.c, self.size = own[self.stream], self.word[order], self.c[order], size
         c = self.c[self.stream]
         starts = np.concatenate([[1], self.ends[:-1]])
         self.begins = starts
@@ -256,14 +387,21 @@ class Batch:
 
     def local(self, words: np.ndarray) -> np.ndarray:
         """Own numbers of words that are known to occur here."""
-        order = np.argsort(self.word, kind="stable")
-        return order[np.searchsorted(self.word, words, sorter=order)]
+        return np.searchsorted(self.word, words)
+
+    def keep(self, ok: np.ndarray) -> None:
+        """Only some of the places."""
+        self.at, self.p, self.parent = self.at[ok], self.p[ok], self.parent[ok]
+        if self.counts is not None:
+            n, u = self.counts
+            self.counts = n[ok], u
 
     def candidates(self, d: int) -> None:
         """Go on with the tokens whose context of d words is a candidate: numbers of context and of (context, next word)."""
         ok = self.at - self.begins[self.doc[self.at]] + 1 >= d
         ok[ok] = self.grows[self.at[ok] - d if d == 1 else self.at[ok] - d + 1]
-        self.at, self.p, self.parent, width = self.at[ok], self.p[ok], self.parent[ok], len(self.word)
+        self.keep(ok)
+        width = len(self.word)
         self.contexts, self.context = np.unique(self.parent * width + self.stream[self.at - d], return_inverse=True)
         self.pairs, self.pair = np.unique(self.context * width + self.stream[self.at], return_inverse=True)
 
@@ -287,22 +425,31 @@ class Batch:
         self.at, self.parent, before, n = self.at[kept], self.context[kept], self.p[kept], n[self.pair[kept]]
         self.nodes = node
         if d == 1:
-            self.grows = np.zeros(len(self.stream), bool)  # of a place: whether the word before is a context, often before it
-            self.grows[self.at] = n >= MIN_COUNT
+            # Of a place: 0, or if the word before is a context that is often before it, how often, in steps.
+            self.grows = np.zeros(len(self.stream), np.int32)
+            self.grows[self.at] = np.where(n >= MIN_COUNT, 1 + (n >> COUNT_STEP), 0)
+        self.counts, self.t = (n, u) if d == 1 else None, t
         u = u[self.parent]
         self.p = (n + u * before) / (t[self.parent] + u)
         gain = np.bincount(self.doc[self.at], np.log10(self.p / before)) if len(self.at) else np.zeros(0)
         doc = np.unique(self.doc[self.at])
-        self.shrink(d)
+        self.shrink(d, n)
         return {"doc": doc, "delta": gain[doc]}
 
-    def shrink(self, d: int) -> None:
-        """Keep only places that may go on."""
+    def shrink(self, d: int, n: np.ndarray) -> None:
+        """Keep only places that may go on. How often a context of d + 1 words occurs is how often (`n`) its nearest word follows the
+        rest of it, where that was retained; if that is too seldom, it can't be retained."""
+        often = np.ones(len(self.stream), bool)
+        often[self.at] = n >= MIN_COUNT
         ok = self.at - self.begins[self.doc[self.at]] >= d
-        ok[ok] = self.grows[self.at[ok] - d]
-        self.at, self.p, self.parent = self.at[ok], self.p[ok], self.parent[ok]
+        ok[ok] = self.grows[self.at[ok] - d] > 0
+        ok &= often[self.at - 1]
+        self.keep(ok)
         above, self.parent = np.unique(self.parent, return_inverse=True)
-        self.nodes = self.nodes[above]
+        self.nodes, self.t = self.nodes[above], self.t[above]
+        if self.counts is not None:
+            n, u = self.counts
+            self.counts = n, u[above]
         # A place reaches back to the next one that does not grow; this one stays and ends the way in the shorter stream too.
         places = np.arange(len(self.stream))
         stop = np.maximum.accumulate(np.where(self.grows, 0, places))
@@ -346,7 +493,7 @@ class Batch:
         up = np.zeros(len(self.pairs), np.float32)
         up[self.pair] = self.p
         context, up, seen = self.pairs // width, up.astype(float), n > 0
-        t, u = np.bincount(context, n, k), np.bincount(context[seen], minlength=k)
+        t, u = np.bincount(context, n, k).astype(np.int64), np.bincount(context[seen], minlength=k)
         ok = (t >= MIN_COUNT) & (u < t)
         use = seen & ok[context]
         c, m, up = context[use], n[use], up[use]
@@ -355,7 +502,7 @@ class Batch:
         kept = ok & (np.bincount(c, m * np.log(left), k) > GAIN)
         return self.take(d, np.where(kept, np.arange(k), -1), n, t, u)
 
-    def send(self, d: int, part_rows: int) -> dict:
+    def send(self, d: int, part_rows: int, buckets: int) -> dict:
         """Candidates of level d with the words that follow them, their counts and what their suffixes give."""
         self.candidates(d)
         width = max(len(self.word), 1)
@@ -364,27 +511,30 @@ class Batch:
         up[self.pair] = self.p
         context, follows = self.pairs // width, self.word[self.pairs % width]
         far = self.contexts % width
-        parts = 1 + self.c[far] // part_rows
+        most = self.c[far]
+        if d > 1:
+            # All batches know the same of a context, so they deal it alike.
+            most[self.context] = self.grows[self.at - d + 1].astype(np.int64) << COUNT_STEP
+            most = np.minimum(most, self.t[self.contexts // width])
+        parts = 1 + most // part_rows
         part = follows % parts[context]
         parent, word = self.nodes[self.contexts // width], self.word[far]
         bucket = _mixed(parent, word)[context]
-        bucket = ((bucket + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % CONTEXT_BUCKETS
+        bucket = ((bucket + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
         order = np.lexsort((part, context, bucket))
         bucket, context, part = bucket[order], context[order], part[order]
         first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (part[1:] != part[:-1])][:len(context)])
         long = np.diff(np.append(first, len(context)))
         rows = np.flatnonzero(np.diff(bucket[first], prepend=-1))
-        edges = lambda x, end: pa.array(np.append(x, end).astype(np.int32))
-        lists = lambda x, at: pa.ListArray.from_arrays(at, pa.array(x))
-        own, keys, pairs = context[first], edges(rows, len(first)), edges(first[rows], len(context))
-        out = {"bucket": bucket[first[rows]].astype(np.int32), "parent": lists(parent[own], keys), "word": lists(word[own], keys),
-               "part": lists(part[first], keys), "parts": lists(parts[own], keys), "long": lists(long, keys),
-               "next": lists(follows[order], pairs), "n": lists(n[order], pairs), "up": lists(up[order].astype(np.float32), pairs)}
+        own, keys, pairs = context[first], np.append(rows, len(first)), np.append(first[rows], len(context))
+        out = {"bucket": bucket[first[rows]].astype(np.int32), "lists": blocks(
+            [*((x, keys) for x in (parent[own], word[own], part[first], parts[own], long)),
+             *((x, pairs) for x in (follows[order], n[order], up[order].astype(np.float32)))])}
         del self.contexts, self.context, self.pairs, self.pair
         return out
 
 
-def step(d: int, size: float):
+def step(d: int, size: float, buckets: int):
     """Of one batch: take over level d, send the candidates of level d + 1. Rows of three kinds: texts, candidates, state."""
     schema = to_arrow_schema(T.StructType.fromDDL(LEVEL))
 
@@ -394,7 +544,8 @@ def step(d: int, size: float):
         number = part.column("batch")[0].as_py()
         flat = lambda c: pc.list_flatten(rows.column(c)).to_numpy()
         if d:
-            known = {c: flat(c) for c in ("parent", "word", "node", "t", "u", "long", "next")} | {"more": flat("counts")}
+            told = opened(rows.column("answer").drop_null())[0]
+            known = {c: np.concatenate([*told[i:i + 1], flat(c)]) for i, c in enumerate(KNOWN_OF)}
         else:
             known = {"at": flat("at"), "node": flat("node"), "c": flat("c")}
         batch = Batch(part.column("body")[0].as_py())
@@ -402,7 +553,7 @@ def step(d: int, size: float):
             batch.at_root(size)
         texts = batch.descend(d, known) if d else batch.start(known, size)
         # After the root a text only has a gain.
-        kinds = [{c: [texts.get(c, [None] * len(texts["doc"]))] for c in TEXTS}, batch.send(d + 1, PART_ROWS)]
+        kinds = [{c: [texts.get(c, [None] * len(texts["doc"]))] for c in TEXTS}, batch.send(d + 1, PART_ROWS, buckets)]
         goes_on = len(batch.at) > 0
         if not d:
             batch.leave_root()
@@ -479,9 +630,9 @@ def counted(keys: np.ndarray, one: np.ndarray, batch: np.ndarray, long: np.ndarr
 
 
 def judged(keys: np.ndarray, batch: np.ndarray, long: np.ndarray, follows: np.ndarray, n: np.ndarray, up: np.ndarray,
-           bucket: int) -> pa.Table:
-    """Whole keys (parent, word) in one part, sorted, as lists of several batches: one row for each batch with the contexts that are
-    retained, and the totals of what other lists hold too."""
+           bucket: int) -> dict:
+    """Whole keys (parent, word) in one part, sorted, as lists of several batches: of each list whose context is retained the batch and
+    the columns KNOWN_OF, with the totals of what other lists hold too."""
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
     many = len(starts)
     owner = np.repeat(np.arange(many), np.diff(np.r_[starts, len(keys)]))
@@ -503,43 +654,54 @@ def judged(keys: np.ndarray, batch: np.ndarray, long: np.ndarray, follows: np.nd
     kept = ok & (np.bincount(c, m * np.log(left), many) > GAIN)
     node = 1 + bucket + CONTEXT_BUCKETS * np.arange(many)
     by = np.flatnonzero(kept[owner])
-    by = by[np.argsort(batch[by], kind="stable")]
     back = (held[pair] > 1) & (total[pair] > 0) & kept[key]
-    lengths = np.bincount(at[back], minlength=len(keys))
-    answers = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.flatnonzero(back))).take(pa.array(by))
-    place = answers.flatten().to_numpy()
-    rows = np.flatnonzero(np.diff(batch[by], prepend=-1))
-    wide, deep = np.append(rows, len(by)), np.r_[0, np.cumsum(lengths[by])]
-    lists = lambda x, edges: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x))
-    columns = {"batch": pa.array(batch[by][rows]), "parents": lists(keys[by, 0], wide), "words": lists(keys[by, 1], wide),
-               "node": lists(node[owner[by]], wide), "ts": lists(t[owner[by]], wide), "us": lists(u[owner[by]], wide),
-               "long": lists(lengths[by], wide), "next": lists(follows[place], deep[wide]), "n": lists(total[pair][place], deep[wide])}
-    return pa.table([columns.get(x.name, pa.nulls(len(rows), x.type)) for x in JUDGED_ARROW], schema=JUDGED_ARROW)
+    return {"batch": batch[by], "parent": keys[by, 0], "word": keys[by, 1], "node": node[owner[by]], "t": t[owner[by]], "u": u[owner[by]],
+            "long": np.bincount(at[back], minlength=len(keys))[by], "next": follows[back], "more": total[pair][back]}
+
+
+def ragged(long: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the values of lists (`long`: their lengths), if the lists come in another order."""
+    length = long[order]
+    return np.repeat((np.cumsum(long) - long)[order] - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def answers_of(told: list[dict]) -> pa.RecordBatch:
+    """One row per batch of what `judged` gave."""
+    all_ = {c: np.concatenate([x[c] for x in told]) for c in ("batch", *KNOWN_OF)}
+    order = np.argsort(all_["batch"], kind="stable")
+    batch, place = all_["batch"][order], ragged(all_["long"], order)
+    rows = np.flatnonzero(np.diff(batch, prepend=-1))
+    wide = np.append(rows, len(order))
+    deep = np.r_[0, np.cumsum(all_["long"][order])][wide]
+    made = blocks([*((all_[c][order], wide) for c in KNOWN_OF[:6]), *((all_[c][place], deep) for c in KNOWN_OF[6:])])
+    return pa.RecordBatch.from_arrays([pa.array(batch[rows]) if x.name == "batch" else pa.array(made, x.type) if x.name == "answer"
+                                       else pa.nulls(len(rows), x.type) for x in ANSWERS_ARROW], schema=ANSWERS_ARROW)
 
 
 def count_lists(batches):
     """Rows of `send`, sorted by bucket: contexts in one part are judged, those in several counted, a bucket at a time."""
     def done(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows)
-        flat = lambda c: pc.list_flatten(table.column(c)).to_numpy()
-        keys, one, long = np.stack([flat(c) for c in ("parent", "word", "part")], axis=1), flat("parts") == 1, flat("long")
-        batch = np.repeat(table.column("batch").to_numpy(), pc.list_value_length(table.column("parent")).to_numpy())
-        edges = np.r_[0, np.cumsum(long)]
+        (parent, word, part, parts, long, *values), many = opened(table.column("lists"))
+        keys, one, batch = np.stack([parent, word, part], axis=1), parts == 1, np.repeat(table.column("batch").to_numpy(), many)
         order = np.lexsort(keys.T[::-1])
-        for whole in (True, False):
-            mine = order[one[order] == whole]
+        for single in (True, False):
+            mine = order[one[order] == single]
             if not len(mine):
                 continue
-            length = long[mine]
-            place = np.repeat(edges[mine] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            lists = [flat(c)[place] for c in ("next", "n", "up")]
-            if whole:
-                yield from judged(keys[mine, :2], batch[mine], length, *lists, table.column("bucket")[0].as_py()).to_batches()
+            place = ragged(long, mine)
+            lists = [x[place] for x in values]
+            if single:
+                told.append(judged(keys[mine, :2], batch[mine], long[mine], *lists, table.column("bucket")[0].as_py()))
             else:
-                counts = counted(keys[mine], one[mine], batch[mine], length, *lists)
+                counts = counted(keys[mine], one[mine], batch[mine], long[mine], *lists)
                 yield from pa.table([counts.column(x.name) if x.name in COUNTS_ARROW.names else pa.nulls(len(counts), x.type)
-                                     for x in JUDGED_ARROW], schema=JUDGED_ARROW).to_batches()
+                                     for x in ANSWERS_ARROW], schema=ANSWERS_ARROW).to_batches()
+        if sum(x.size for t in told for x in t.values()) > ANSWER_NUMBERS:
+            yield answers_of(told)
+            told.clear()
 
+    told = []
     kept, last = [], None
     for b in batches:
         bucket = b.column("bucket").to_numpy()
@@ -552,14 +714,15 @@ def count_lists(batches):
             last = bucket[i]
     if kept:
         yield from done(kept)
+    if told:
+        yield answers_of(told)
 
 
 def level_of(seen: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Of a level: what each batch gets back, its retained contexts (parent, word, node, t, u) with counts of the words after them that
     others hold too, all as lists; and the stored frames behind it."""
     # Lists are exchanged whole, once; single pairs never become rows.
-    counts = stored(seen.select("bucket", "batch", "parent", "word", "part", "parts", "long", "next", "n", "up").repartition("bucket")
-                    .sortWithinPartitions("bucket").mapInArrow(count_lists, f"{COUNTS}, {JUDGED}"))
+    counts = stored(seen.select("bucket", "batch", "lists").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_lists, ANSWERS))
     sums = counts.where("batch IS NULL").select("parent", "word", "t", "u", "once", "n", "up")
     totals = (sums.groupBy("parent", "word").agg(*[F.sum(c).alias(c) for c in ("t", "u", "once")])
               .where((F.col("t") >= MIN_COUNT) & (F.col("u") < F.col("t"))))
@@ -569,13 +732,10 @@ def level_of(seen: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     nodes = stored(sums.select("parent", "word", "n", "up").join(totals, ["parent", "word"]).groupBy("parent", "word")
                    .agg(F.sum(left).alias("gain"), F.first("t").alias("t"), F.first("u").alias("u"), F.first("once").alias("once"))
                    .where(gain > GAIN).select("parent", "word", (F.monotonically_increasing_id() + IN_PARTS).alias("node"), "t", "u"))
-    parts = counts.where("batch IS NOT NULL AND node IS NULL").select("batch", "parent", "word", "next", F.col("n").alias("counts")).join(
+    parts = counts.where("batch IS NOT NULL AND answer IS NULL").select("batch", "parent", "word", "next", F.col("n").alias("more")).join(
         nodes, ["parent", "word"]).select("batch", *[F.array(c).alias(c) for c in ("parent", "word", "node", "t", "u")],
-                                          F.array(F.size("next").cast("bigint")).alias("long"), "next", "counts")
-    whole = counts.where("node IS NOT NULL").select(
-        "batch", *[F.col(c).alias(name) for c, name in (("parents", "parent"), ("words", "word"), ("node", "node"), ("ts", "t"), ("us", "u"))],
-        "long", "next", F.col("n").alias("counts"))
-    return whole.unionByName(parts), [counts, nodes]
+                                          F.array(F.size("next").cast("bigint")).alias("long"), "next", "more")
+    return counts.where("answer IS NOT NULL").select("batch", "answer").unionByName(parts, allowMissingColumns=True), [counts, nodes]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -587,10 +747,13 @@ def score(docs: DataFrame) -> DataFrame:
     known = stored(words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(number_words, KNOWN))
     total, distinct = known.agg(F.sum("total"), F.sum("distinct")).first()
     n_tokens, size = total or 0, float((total or 0) + (distinct or 0) + 1)
-    old, state, levels = [parts, known], parts.select("batch", "body"), []
+    buckets = min(CONTEXT_BUCKETS, max(FEW_BUCKETS, 1 << (n_tokens // BUCKET_TOKENS).bit_length()))
+    state = stored(parts.select("batch", "body"))
+    remove([parts])
+    old, levels = [state, known], []
     known = known.select("batch", "at", "node", "c")
     for d in numbers():
-        level = stored(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size), LEVEL))
+        level = stored(state.toDF("batch", "body").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(step(d, size, buckets), LEVEL))
         levels.append(stored(level.where("doc IS NOT NULL").select("batch", F.explode(F.arrays_zip(*TEXTS)).alias("x"))
                              .select("batch", "x.*")))
         remove(old)

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -349,6 +350,7 @@ def test_simhash_stage_groups_hold_all_near_pairs(spark, bucket):
 
 def test_simhash_stage_names_each_text_once(spark):
     """Many near copies meet in most of the buckets; still a group lists each of them once, and a large group's buckets connect them too."""
+    monkeypatch.setattr(lm_score, "COUNT_STEP", 4)
     rnd = random.Random(7)
     base = [rnd.getrandbits(64) for _ in range(4)]
     rows = [[f ^ sum(1 << b for b in rnd.sample(range(64), 3)) for f in base] for _ in range(120)]
@@ -437,6 +439,39 @@ def test_lm_deals_words_and_contexts_in_few_rows(spark):
     assert all(c == count[w] for w, (_, c) in got.items()) and sum(r["total"] for r in known) == sum(count.values())
 
 
+def test_lm_blocks_hold_all_numbers():
+    """Columns of lists come back from their blocks as they were, and so do arrays."""
+    columns = [np.array([3, 1 << 62, 0, 5]), np.array([-1, 70_000, -300, 2]), np.array([0.5, 1e-9, 2.0, 3.5], np.float32)]
+    edges = np.array([0, 1, 1, 4])
+    got, many = lm_score.opened(pa.array(lm_score.blocks([(x, edges) for x in columns])))
+    assert many.tolist() == [1, 0, 3] and all(g.tolist() == x.tolist() for g, x in zip(got, columns))
+    state = {"a": np.array([], np.int64), "b": np.array([True, False, True]), "c": np.array([.1, 7e300]), "d": np.array([-5, 9], np.int32), "e": [None, 3]}
+    again = lm_score.loose(lm_score.tight(state))
+    assert all(again[k].dtype == x.dtype and again[k].tolist() == x.tolist() for k, x in state.items() if k != "e") and again["e"] == [None, 3]
+
+
+def test_lm_batch_goes_on_from_what_is_stored(monkeypatch):
+    """A batch is read back as it was, and a rare context of a frequent word is not dealt into parts."""
+    monkeypatch.setattr(lm_score, "COUNT_STEP", 4)
+    rnd = random.Random(7)
+    texts = [" ".join(f"often x{rnd.randint(0, 9)} y{rnd.randint(0, 2)} z{rnd.randint(0, 99)}" for _ in range(20)).encode() for _ in range(60)]
+    body, words, n = lm_score.packed(list(range(60)), [i % 7 == 2 for i in range(60)], texts)
+    size = float(sum(n) + len(n) + 1)
+    batch = lm_score.Batch(body)
+    batch.start({"at": np.arange(len(n)), "node": rnd.sample(range(10_000), len(n)), "c": n}, size)
+    batch.send(1, 500, 256)
+    batch.leave_root()
+    batch = lm_score.Batch(batch.body())
+    batch.at_root(size)
+    batch.alone(1)
+    sent, again = batch.send(2, 500, 256), lm_score.Batch(batch.body())
+    assert len(batch.at) > 100 and max(n) > 1_000
+    for name in ("stream", "word", "c", "at", "p", "parent", "nodes", "t", "doc", "train", "grows", "begins", "held"):
+        assert getattr(again, name).tolist() == getattr(batch, name).tolist(), name
+    (_, _, _, parts, *_), _ = lm_score.opened(pa.array(sent["lists"]))
+    assert len(parts) > 5 and set(parts.tolist()) == {1}
+
+
 def test_lm_odd_inputs(spark):
     assert lm_score.score(empty(spark)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
