@@ -323,10 +323,12 @@ class Batch:
             self.counts = n, u
             u = u[self.parent]
             self.p = (n + u * ((self.c[self.stream[self.at]] + 1.0) / self.size)) / (self.t[self.parent] + u)
+        elif "at" in state:
+            self.p = self.p[self.followed()[1]]
 
     def body(self) -> bytes:
         """All that is needed to go on. Places and texts are told by marks and lengths. After level 1 the word before tells the
-        context, and p follows from counts."""
+        context, and p follows from counts; later p is told once for each context and next word."""
         state = dict(self.__dict__)
         state.pop("counts", None)
         state["word"] = np.diff(self.word, prepend=0)
@@ -342,6 +344,8 @@ class Batch:
                 n, state["u"] = self.counts
                 state["n"] = n[self.followed()[0]]
                 del state["p"]
+            else:
+                state["p"] = self.p[self.followed()[0]]
         return tight(state)
 
     def followed(self) -> tuple[np.ndarray, np.ndarray]:
