@@ -33,8 +33,10 @@ SELECT (SELECT count(DISTINCT (symbol, session, entry_ts)) FROM outcome) AS entr
        (SELECT count(*) FROM warm WHERE atr > 0) - (SELECT count(DISTINCT (symbol, session, entry_ts)) FROM outcome) AS skipped_path,
        (SELECT count(*) FROM spine) AS symbol_days, (SELECT count(*) FROM spine WHERE (symbol, session) NOT IN (SELECT (symbol, session) FROM bars)) AS empty_days""")
 def grid_stats(spark, d):
-    bars, entries, touches = _touched(spark, d)
-    return B.run_stats(bar_spine(spark, d), bars, entries, touches)
+    bars = D.stored_bars(spark, d)
+    # Entries are counted and searched; the ATR behind them is made once.
+    entries = cut_lineage(B.entries_with_atr(bars, D.DAY_CLOCK))
+    return B.run_stats(bar_spine(spark, d), bars, entries, B.first_touches(entries, bars, GRID, D.DAY_CLOCK))
 
 
 @query("rth_marks", f"""WITH local AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS l FROM events)

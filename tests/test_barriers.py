@@ -196,3 +196,11 @@ def test_no_rows_of_entries_and_bars(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         # The only joins belong to the ATR of the entries; paths meet them by grouping.
         assert "_t#" not in plan and "collect_list(_bar" in plan
+
+
+def test_grid_stats_make_the_atr_once(spark):
+    """The counts read stored entries; nothing resamples bars again for them."""
+    from chronotape.plans import catalog
+    out = catalog.QUERIES["grid_stats"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and out.count() == 1
